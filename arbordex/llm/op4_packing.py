@@ -138,8 +138,14 @@ def linear_groups(counts: dict[int, int], groups: int) -> list[list[tuple[int, i
     return out
 
 
-def configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
-    """The basis of the linear programme that covers `demand` with as few configurations as it can: (slots of each size, times)."""
+def configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds: int = 3000, patience: int = 100) -> list[tuple[np.ndarray, float]]:
+    """The basis of the linear programme that covers `demand` with as few configurations as it can: (slots of each size, times).
+
+    Demands are set apart by small fractions while it runs, so that ties don't stall it; it ends when no configuration
+    would help, or when `patience` exchanges gained nothing to speak of.
+    """
+    apart = demand * (1 + 1e-4 * np.arange(len(demand)) / len(demand))
+    best_total, idle = np.inf, 0
     k = len(sizes)
     size = np.array(sizes)
     basis = np.diag([float(capacity // s) for s in sizes])
@@ -165,7 +171,11 @@ def configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds:
             if pick[at] >= 0:
                 column[pick[at]] += 1
                 at -= size[pick[at]]
-        step, x = inverse @ column, inverse @ demand
+        step, x = inverse @ column, inverse @ apart
+        idle = 0 if x.sum() < best_total * (1 - 1e-5) else idle + 1
+        best_total = min(best_total, x.sum())
+        if idle > patience:
+            break
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
