@@ -138,6 +138,22 @@ def linear_groups(counts: dict[int, int], groups: int) -> list[list[tuple[int, i
     return out
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan steps, without a linear algebra library's threads."""
+    k = len(matrix)
+    both = np.hstack([matrix, np.eye(k)])
+    for i in range(k):
+        p = i + int(np.abs(both[i:, i]).argmax())
+        if p != i:
+            both[[i, p]] = both[[p, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        used = np.flatnonzero(factor)
+        both[used] -= factor[used, None] * both[i]
+    return both[:, k:]
+
+
 def configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds: int = 3000, patience: int = 100) -> list[tuple[np.ndarray, float]]:
     """The basis of the linear programme that covers `demand` with as few configurations as it can: (slots of each size, times).
 
@@ -149,7 +165,7 @@ def configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds:
     k = len(sizes)
     size = np.array(sizes)
     basis = np.diag([float(capacity // s) for s in sizes])
-    inverse, most = np.linalg.inv(basis), capacity // min(sizes)
+    inverse, most = _inverse(basis), capacity // min(sizes)
     room = np.arange(capacity + 1)
     from_ = room[:, None] - size[None, :]
     allowed = from_ >= 0
@@ -171,7 +187,7 @@ def configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds:
             if pick[at] >= 0:
                 column[pick[at]] += 1
                 at -= size[pick[at]]
-        step, x = inverse @ column, inverse @ apart
+        step, x = (inverse * column).sum(axis=1), (inverse * apart).sum(axis=1)
         idle = 0 if x.sum() < best_total * (1 - 1e-5) else idle + 1
         best_total = min(best_total, x.sum())
         if idle > patience:
@@ -182,13 +198,12 @@ def configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds:
             break
         basis[:, out] = column
         if i % 50 == 49:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
         else:
             inverse[out] /= step[out]
             others = np.arange(k) != out
             inverse[others] -= step[others, None] * inverse[out]
-    inverse = np.linalg.inv(basis)
-    return [(np.rint(basis[:, j]).astype(int), float(x)) for j, x in enumerate(inverse @ demand)]
+    return [(np.rint(basis[:, j]).astype(int), float(x)) for j, x in enumerate((_inverse(basis) * demand).sum(axis=1))]
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
