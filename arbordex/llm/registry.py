@@ -6,9 +6,11 @@ from arbordex.llm import op10_lines as lines
 from arbordex.llm.op10_lines import op10_lines
 from arbordex.llm.op1_media import op1_media
 from arbordex.llm.op2_language import op2_language
+from arbordex.llm import op3_substrings as substrings
+from arbordex.llm.op3_substrings import op3_substrings
 from arbordex.llm.op4_packing import op4_packing
 from arbordex.llm.op6_fingerprints import op6_fingerprints
 from arbordex.llm.op7_secrets import op7_secrets
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_language, op4_packing, op6_fingerprints, op7_secrets, op10_lines)}
-ORACLE: dict[str, str] = {"op10_lines": lines.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_media, op2_language, op3_substrings, op4_packing, op6_fingerprints, op7_secrets, op10_lines)}
+ORACLE: dict[str, str] = {"op3_substrings": substrings.ORACLE, "op10_lines": lines.ORACLE}
