@@ -9,9 +9,10 @@ from arbordex.llm.op2_language import op2_language
 from arbordex.llm import op3_substrings as substrings
 from arbordex.llm.op3_substrings import op3_substrings
 from arbordex.llm.op4_packing import op4_packing
+from arbordex.llm.op5_jaccard import op5_jaccard
 from arbordex.llm.op6_fingerprints import op6_fingerprints
 from arbordex.llm.op7_secrets import op7_secrets
 from arbordex.llm.op8_suffixes import op8_suffixes
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_language, op3_substrings, op4_packing, op6_fingerprints, op7_secrets, op8_suffixes, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_language, op3_substrings, op4_packing, op5_jaccard, op6_fingerprints, op7_secrets, op8_suffixes, op10_lines)}
 ORACLE: dict[str, str] = {"op3_substrings": substrings.ORACLE, "op10_lines": lines.ORACLE}
