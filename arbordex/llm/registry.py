@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from arbordex.llm import op10_lines as lines
 from arbordex.llm.op10_lines import op10_lines
 from arbordex.llm.op1_media import op1_media
@@ -13,6 +15,7 @@ from arbordex.llm.op5_jaccard import op5_jaccard
 from arbordex.llm.op6_fingerprints import op6_fingerprints
 from arbordex.llm.op7_secrets import op7_secrets
 from arbordex.llm.op8_suffixes import op8_suffixes
+from arbordex.llm.op9_pieces import op9_pieces
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_language, op3_substrings, op4_packing, op5_jaccard, op6_fingerprints, op7_secrets, op8_suffixes, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_language, op3_substrings, op4_packing, op5_jaccard, op6_fingerprints, op7_secrets, op8_suffixes, op9_pieces, op10_lines)} | {"pipeline": corpus_pipeline.run}
 ORACLE: dict[str, str] = {"op3_substrings": substrings.ORACLE, "op10_lines": lines.ORACLE}
