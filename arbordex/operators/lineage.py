@@ -11,3 +11,16 @@ def kept(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/arbordex-checkpoints")
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: str, start: int = 1) -> DataFrame:
+    """df with `id`: start, start + 1, … in the order of a column. Rows are dealt into ranges and numbered within each; only one
+    row for each range meets in one place."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    dealt = kept(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return dealt.withColumn("_place", place).join(F.broadcast(before), "_range").select(*df.columns, (F.col("_before") + F.col("_place") + F.lit(start - 1)).cast("long").alias("id"))

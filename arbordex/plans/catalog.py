@@ -11,6 +11,7 @@ from arbordex.functions import classify, text
 from arbordex.operators import graph, inventory, merge, resolve, snapshot, summary
 
 from arbordex.plans.adapters import frame, with_sql
+from arbordex.sources import scripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -490,3 +491,56 @@ def project_uid(spark, sf_dir):
     return frame(spark, sf_dir, "projects").select("id", F.substring(F.sha2(F.concat_ws("|", "root", "uid"), 256), 1, 40).alias("derived_uid"))
 
 
+
+
+def _scripts(spark: SparkSession, sf_dir: str, form: str, extension: str) -> DataFrame:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return nation.select(F.concat(F.lit("n/"), F.col("n_nationkey").cast("string"), F.lit(extension)).alias("path"), F.lit(extension).alias("extension"), F.expr(form).alias("content"))
+
+
+@query("parse_gdscript", """SELECT concat('n/', CAST(n_nationkey AS VARCHAR), '.gd') AS path, 'parsed_class' AS status, concat('C', CAST(n_nationkey AS VARCHAR)) AS class_name, 'Node3D' AS direct_base_type, 4 AS symbols,
+ concat('r/', CAST(n_regionkey AS VARCHAR), '.tscn') AS target_path FROM nation""")
+def parse_gdscript(spark, sf_dir):
+    form = "concat('class_name C', n_nationkey, '\\nextends Node3D\\n## Doc.\\nfunc f(a: int) -> void:\\n\\tpass\\nvar s = preload(\"res://r/', n_regionkey, '.tscn\")\\n')"
+    found = scripts.parse_scripts(_scripts(spark, sf_dir, form, ".gd"))
+    preload = F.filter("dependencies", lambda d: d["dependency_kind"] == "preload_path")[0]
+    return found.select("path", "status", "class_name", "direct_base_type", F.size("symbols").alias("symbols"), preload["target_project_relative_path"].alias("target_path"))
+
+
+@query("parse_csharp", """SELECT concat('n/', CAST(n_nationkey AS VARCHAR), '.cs') AS path, 'parsed_class' AS status, concat('C', CAST(n_nationkey AS VARCHAR)) AS class_name, 'Node3D' AS direct_base_type,
+ concat('r/', CAST(n_regionkey AS VARCHAR), '.tres') AS target_path FROM nation""")
+def parse_csharp(spark, sf_dir):
+    form = "concat('[GlobalClass]\\npublic partial class C', n_nationkey, ' : Node3D {\\n  void F() { var s = GD.Load<Thing>(\"res://r/', n_regionkey, '.tres\"); }\\n}\\n')"
+    found = scripts.parse_scripts(_scripts(spark, sf_dir, form, ".cs"))
+    load = F.filter("dependencies", lambda d: d["dependency_kind"] == "gd_load_path")[0]
+    return found.select("path", "status", "class_name", "direct_base_type", load["target_project_relative_path"].alias("target_path"))
+
+
+@query("parse_scene", """SELECT concat('n/', CAST(n_nationkey AS VARCHAR), '.tscn') AS path, concat('r/', CAST(n_regionkey AS VARCHAR), '.gd') AS script_path, concat('Root/N', CAST(n_nationkey AS VARCHAR)) AS node_path, true AS is_resolved FROM nation""")
+def parse_scene(spark, sf_dir):
+    form = "concat('[ext_resource type=\"Script\" path=\"res://r/', n_regionkey, '.gd\" id=\"1_a\"]\\n[node name=\"N', n_nationkey, '\" parent=\"Root\"]\\nscript = ExtResource(\"1_a\")\\n')"
+    found = scripts.parse_scenes(_scripts(spark, sf_dir, form, ".tscn")).select("path", F.explode("script_attachments").alias("a"))
+    return found.select("path", F.col("a.script_project_relative_path").alias("script_path"), "a.node_path", "a.is_resolved")
+
+
+@query("parse_autoload", """SELECT concat('A', CAST(n_nationkey AS VARCHAR)) AS autoload_name, concat('a/', CAST(n_regionkey AS VARCHAR), '.gd') AS target_project_relative_path, n_nationkey % 2 = 0 AS is_singleton FROM nation""")
+def parse_autoload(spark, sf_dir):
+    form = "concat('[autoload]\\nA', n_nationkey, '=\"', CASE WHEN n_nationkey % 2 = 0 THEN '*' ELSE '' END, 'res://a/', n_regionkey, '.gd\" ; note\\n[other]\\nB=1\\n')"
+    files = _scripts(spark, sf_dir, form, ".godot").withColumn("path", F.concat(F.col("path"), F.lit("/project.godot")))
+    return scripts.parse_project_files(files).select(F.explode("autoloads").alias("a")).select("a.autoload_name", "a.target_project_relative_path", "a.is_singleton")
+
+
+@query("stream_dirty_batches", "SELECT concat('u', CAST(user_id AS VARCHAR)) AS path, max_by(event_type = 'error', event_id) AS removed, max(event_id) AS seq FROM events GROUP BY 1")
+def stream_dirty_batches(spark, sf_dir):
+    """The events as a file stream, run to its end; the state of each path after the last batch."""
+    import uuid
+
+    from arbordex.streaming.changes import latest_state
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/{{events.parquet}}")
+    name = f"changes_{uuid.uuid4().hex}"
+    state = latest_state(stream.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), (F.col("event_type") == "error").alias("removed"), F.col("event_id").alias("seq")))
+    run = state.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
