@@ -136,7 +136,7 @@ class Project:
         symbols = keep("symbols", self._as("symbols", merge.drop_orphans(merge.replace_children(self.store.table("symbols"), self._as("symbols", symbols), gone), files)))
         declared = again.where("class_name <> ''").select("class_name", F.col("path").alias("script_path"), "file_id", "language", F.col("direct_base_type").alias("base_type"))
         old_classes = self.store.table("classes").join(gone, "file_id", "left_anti")
-        classes = merge.stale_classes(merge.class_registry(old_classes.unionByName(self._as("classes", declared)), order="script_path"), files)
+        classes = merge.drop_orphans(merge.class_registry(old_classes.unionByName(self._as("classes", declared)), order="script_path"), files)
         classes = keep("classes", self._as("classes", classes))
         for name, column in (("dependencies", "dependency"), ("references", "reference")):
             edges = again.select("file_id", F.explode(name).alias("d")).select(
