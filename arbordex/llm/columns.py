@@ -5,6 +5,7 @@ Every operator of this subpackage reads its texts here: a null text is an empty
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,14 @@ _LOWER[65:91] += 32
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
+_libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
+
+
+def release() -> None:
+    """Give freed memory back to the system; idle Python workers otherwise keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -105,16 +114,6 @@ class Words:
         return np.diff(self.first)
 
 
-def windows(words: Words, width: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place in the text, hash) of each run of `width` words of one text."""
-    n = words.counts()
-    full = np.maximum(n - width + 1, 0)
-    row = np.repeat(np.arange(len(n)), full)
-    place = ranges(full)
-    start = words.first[row] + place
-    return row, place, Rolling(words.hashes, lane).of(start, start + width)
-
-
 def ranges(lengths: np.ndarray) -> np.ndarray:
     """0..n-1 for each n, end to end."""
     ends = np.cumsum(lengths)

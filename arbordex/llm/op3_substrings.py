@@ -19,8 +19,6 @@ counts as smaller than another.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -157,9 +155,9 @@ def removed(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, text, found): the texts, null ids and texts filled, with the packed starts of the windows to remove."""
     docs = df.select(F.coalesce(df[key].cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(df[text], F.lit("")).alias("text"))
     kinds = ["<u4", "<i8", "<i4", "u1"]
-    anchors = per_id(regroup(docs, map_anchors, kinds, reduce_anchors, ["<i4"]))
+    anchors = per_id(regroup(docs, map_anchors, kinds, reduce_anchors, ["<i4"]), ["<i4"])
     held = docs.join(anchors, "id", "left")
-    repeats = per_id(regroup(held, map_windows, ["<u8", "<i8", "<i4", "u1"], reduce_windows, ["<i4"]))
+    repeats = per_id(regroup(held, map_windows, ["<u8", "<i8", "<i4", "u1"], reduce_windows, ["<i4"]), ["<i4"])
     return docs.join(repeats, "id", "left")
 
 

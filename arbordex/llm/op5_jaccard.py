@@ -11,7 +11,7 @@ Two documents link if 100 * shared >= PERCENT * united. Every stage keeps every
 4. Each cluster's sets go into a prefix tree, common shingles first so that near copies share long paths. A set walks down
    it, carries its overlap along and leaves subtrees that their sizes and remaining lengths rule out. Sets that are already
    connected are not compared for their own sake: walks go on until all sets that never walked are connected. Clusters of
-   more than BLOCK sets are split into blocks, and each two blocks share a tree.
+   more than BLOCK sets are split into blocks that share a few sets; what these leave apart then meets every block.
 5. Links, equal sets and nothing else make the components.
 
 A batch settles what its own documents decide and sends one record for each hash, so copies and common lines that fill a
@@ -36,7 +36,9 @@ from arbordex.llm.tables import checkpointed, partitions, table
 
 SHINGLE = 5
 PERCENT = 80
-BLOCK = 2048
+BLOCK = 256
+#: Sets of a large cluster that go into all of its blocks.
+PIVOTS = 16
 #: Ids of survivors that a broadcast may hold (32 MB); beyond that they are joined.
 BROADCAST_IDS = 4_000_000
 SIZE, SAME, SHARED = 0, 1, 2
@@ -161,7 +163,7 @@ def described(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(same, pa.int64()), pa.array(shared, pa.int64())], ["id", "n", "same", "shared"])
 
     found = regroup(docs, map_samples, ["<u8", "<u8", "<i8", "<i4", "u1"], reduce_samples, ["u1", "<i8"])
-    return checkpointed(per_id(found).mapInArrow(run, "id long, n long, same long, shared long"))
+    return checkpointed(per_id(found, ["u1", "<i8"]).mapInArrow(run, "id long, n long, same long, shared long"))
 
 
 def survivor_sets(docs: DataFrame, info: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -265,9 +267,9 @@ def edges(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids, lists = b.column(0).to_numpy(), [np.unique(np.frombuffer(f, "<i8")) for f in b.column(1).to_pylist()]
-            if lists:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in lists])), pa.array(np.concatenate(lists))], ["a", "b"])
+            for payload in b.column(1).to_pylist():
+                pairs = np.unique(np.stack(unpack([payload], ["<i8", "<i8"])), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return found.mapInArrow(run, "a long, b long")
 
@@ -359,8 +361,13 @@ class PrefixTree:
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def linked(hashes: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between distinct sets, enough of them to connect what all links connect."""
+def linked(hashes: list[np.ndarray], groups: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links between sets, enough of them to connect what all links connect; `groups` says what is connected already."""
+    first: dict[bytes, int] = {}
+    same = [(i, j) for i, h in enumerate(hashes) if (j := first.setdefault(h.tobytes(), i)) != i]
+    if same:
+        own = list(first.values())
+        return same + [(own[i], own[j]) for i, j in linked([hashes[i] for i in own], groups and [groups[i] for i in own])]
     n = len(hashes)
     if n < 2:
         return []
@@ -371,9 +378,14 @@ def linked(hashes: list[np.ndarray]) -> list[tuple[int, int]]:
     cuts = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
     ranked = [np.sort(rank[of[a:b]]) for a, b in zip(cuts, cuts[1:])]
     centre = np.add.reduceat(count[of], cuts[:-1]) / np.diff(cuts)
-    tree, label, size, out = PrefixTree(ranked), np.arange(n), np.ones(n, np.int64), []
-    members: dict[int, list[int]] = {i: [i] for i in range(n)}
-    waiting, largest = np.argsort(-centre, kind="stable").tolist(), 0
+    tree, label, size, out = PrefixTree(ranked), np.arange(n), np.zeros(n, np.int64), []
+    members: dict[int, list[int]] = {}
+    for i, g in enumerate(groups or range(n)):
+        members.setdefault(g, []).append(i)
+    members = {some[0]: some for some in members.values()}
+    for first, some in members.items():
+        label[some], size[first] = first, len(some)
+    waiting, largest = np.argsort(-centre, kind="stable").tolist(), int(size.argmax())
     while waiting:  # sets of the largest group may wait; those whose group is no longer the largest walk in the next turn
         later = []
         for i in waiting:
@@ -394,34 +406,58 @@ def linked(hashes: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def links(survivors: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): linked survivors, enough of them to connect what all links connect."""
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+def _tree_links(dealt: DataFrame, survivors: DataFrame) -> DataFrame:
+    """(a, b): the links of each group (component, i, j) of `dealt` (id, component, i, j, known), where equal `known` are connected."""
     held = dealt.join(survivors, "id").repartition(partitions(survivors.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "id")
 
     def run(batches):
-        def parts() -> Iterator[tuple[list[int], list[bytes]]]:
-            key, ids, blobs = None, [], []
+        def parts() -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+            key, ids, known, blobs = None, [], [], []
             for b in batches:
-                for i, k, blob in zip(b.column(0).to_pylist(), zip(*(b.column(c).to_pylist() for c in (1, 2, 3))), b.column(4).to_pylist()):
+                for i, k, c, blob in zip(b.column(0).to_pylist(), zip(*(b.column(c).to_pylist() for c in (1, 2, 3))), b.column(4).to_pylist(), b.column(5).to_pylist()):
                     if k != key and ids:
-                        yield ids, blobs
-                        ids, blobs = [], []
+                        yield ids, known, blobs
+                        ids, known, blobs = [], [], []
                     key = k
                     ids.append(i)
+                    known.append(c)
                     blobs.append(blob)
             if ids:
-                yield ids, blobs
+                yield ids, known, blobs
 
-        for ids, blobs in parts():
-            pairs = [(ids[x], ids[y]) for x, y in linked([np.frombuffer(h, np.uint64) for h in blobs])]
+        for ids, known, blobs in parts():
+            pairs = [(ids[x], ids[y]) for x, y in linked([np.frombuffer(h, np.uint64) for h in blobs], known)]
             if pairs:
                 a, b = zip(*pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return held.mapInArrow(run, "a long, b long")
+    return held.select("id", "component", "i", "j", "known", "hashes").mapInArrow(run, "a long, b long")
+
+
+def links(survivors: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): linked survivors, enough of them to connect what all links connect.
+
+    First each block of a cluster gets a tree, and about PIVOTS sets of a cluster with several blocks go into all its blocks.
+    That connects almost all that is connected. Then each set outside its cluster's largest group meets every block. Any two
+    sets that are not connected by then have one outside the largest group, so no link is lost.
+    """
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
+    placed = checkpointed(clusters.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    large = placed.where("blocks > 1")
+    one = placed.select("id", "component", F.col("own").alias("i"), F.lit(0).alias("j"), F.col("id").alias("known"))
+    pivots = large.where(F.pmod(F.xxhash64("id", F.lit(1)), F.col("size")) < PIVOTS).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> own")
+    first = checkpointed(_tree_links(one.unionByName(pivots.select("id", "component", "i", F.lit(0).alias("j"), F.col("id").alias("known"))), survivors))
+    if large.isEmpty():
+        return first
+    known = large.join(components(first).withColumnRenamed("component", "known"), "id", "left").withColumn("known", F.coalesce("known", "id"))
+    grouped = known.groupBy("component", "known").agg(F.count("*").alias("n"))
+    largest = grouped.groupBy("component").agg(F.max_by("known", F.struct("n", "known")).alias("largest"), (F.sum("n") - F.max("n")).alias("outside")).withColumn("chunks", F.ceil(F.col("outside") / F.lit(block)).cast("int"))
+    known = checkpointed(known.join(largest, "component").where("chunks > 0"))
+    chunk = F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int")
+    every = known.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.col("own"))
+    outside = known.where("known <> largest").withColumn("j", chunk).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["id", "component", "i", "j", "known"]
+    return first.unionByName(_tree_links(every.select(columns).unionByName(outside.select(columns)).distinct(), survivors))
 
 
 def joined(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -429,7 +465,7 @@ def joined(df: DataFrame, key: str, text: str) -> DataFrame:
     docs = df.select(F.coalesce(df[key].cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(df[text], F.lit("")).alias("text"))
     info = described(docs)
     survivors = survivor_sets(docs, info)
-    frequent = per_id(regroup(survivors, map_frequencies, ["<u4", "<i8", "<i4"], reduce_frequencies, ["<i4", "<i4"]))
+    frequent = per_id(regroup(survivors, map_frequencies, ["<u4", "<i8", "<i4"], reduce_frequencies, ["<i4", "<i4"]), ["<i4", "<i4"])
     near = regroup(survivors.join(frequent, "id", "left"), map_prefixes, ["<u8", "<i8", "<i8"], reduce_prefixes, ["<i8"])
     found = links(survivors, components(edges(near)))
     equal = info.where("same is not null").select(F.col("id").alias("a"), F.col("same").alias("b"))

@@ -15,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from arbordex.llm.columns import mix
+from arbordex.llm.columns import mix, release
 from arbordex.llm.tables import partitions
 
 #: Buckets for each shuffle partition; more of them bound a reducer's memory more closely.
 BUCKETS = 2
+#: Bytes of a batch that a mapper takes at once.
+BATCH_BYTES = 6 << 20
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -38,7 +40,12 @@ def pack(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, b
     cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
-            yield int(bucket[a]), b"".join(c[a:b].tobytes() for c in columns)
+            yield int(bucket[a]), b"".join(_planes(c[a:b]) for c in columns)
+
+
+def _planes(column: np.ndarray) -> bytes:
+    """The first bytes of all values, then all second bytes, and so on: high bytes, mostly equal, compress to almost nothing."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T.tobytes()
 
 
 def unpack(payloads: list[bytes], kinds: list[str]) -> list[np.ndarray]:
@@ -47,8 +54,9 @@ def unpack(payloads: list[bytes], kinds: list[str]) -> list[np.ndarray]:
     for p in payloads:
         n, at = len(p) // width, 0
         for i, k in enumerate(kinds):
-            parts[i].append(np.frombuffer(p, k, n, at))
-            at += n * np.dtype(k).itemsize
+            size = n * np.dtype(k).itemsize
+            parts[i].append(np.frombuffer(p, np.uint8, size, at).reshape(-1, n).T.copy().view(k)[:, 0] if n else np.zeros(0, k))
+            at += size
     return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(parts, kinds)]
 
 
@@ -56,40 +64,63 @@ Mapper = Callable[[pa.RecordBatch, int], Iterator[tuple[np.ndarray, list[np.ndar
 Reducer = Callable[[list[np.ndarray]], Iterator[tuple[np.ndarray, list[np.ndarray]]]]
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about BATCH_BYTES, which bounds what a mapper holds."""
+    rows = max(1, b.num_rows * BATCH_BYTES // max(b.nbytes, 1))
+    for first in range(0, b.num_rows, rows):
+        yield b.slice(first, rows)
+
+
+def _rows(rows: list[tuple[int, bytes]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names)
+
+
+def _held(batches) -> dict[int, list[bytes]]:
+    held: dict[int, list[bytes]] = {}
+    for b in batches:
+        for bucket, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            held.setdefault(bucket, []).append(payload)
+    return held
+
+
 def regroup(df: DataFrame, mapper: Mapper, kinds: list[str], reducer: Reducer, out: list[str]) -> DataFrame:
-    """(id long, found binary): mapper(batch, buckets) yields (bucket, columns of `kinds`); reducer(columns of a bucket) yields
-    (id, columns of `out`). Each row has what one task found for one id, packed; see `per_id`."""
+    """(bucket long, payload binary): mapper(batch, buckets) yields (bucket, columns of `kinds`); reducer(columns of a bucket) yields
+    (id, columns of `out`). A payload holds the ids and columns that one task found for one bucket of ids; see `per_id`."""
     buckets = BUCKETS * partitions(df.sparkSession)
 
     def scatter(batches):
         for b in batches:
-            rows = [r for bucket, columns in mapper(b, buckets) for r in pack(bucket, columns)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
+            for part in _slices(b):
+                yield _rows([r for bucket, columns in mapper(part, buckets) for r in pack(bucket, columns)], ["bucket", "payload"])
+                release()
 
     def gather(batches):
-        held: dict[int, list[bytes]] = {}
-        for b in batches:
-            for bucket, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(bucket, []).append(payload)
-        ids, columns = [], [[] for _ in out]
+        held, ids, columns = _held(batches), [], [[] for _ in out]
         for bucket in sorted(held):
             for found, parts in reducer(unpack(held.pop(bucket), kinds)):
                 ids.append(found)
                 for c, p in zip(columns, parts):
                     c.append(p)
-        if not ids:
-            return
-        rows = list(pack(np.concatenate(ids), [np.concatenate(c).astype(k) for c, k in zip(columns, out)]))
-        for first in range(0, len(rows), 20_000):
-            part = rows[first : first + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary())], ["id", "found"])
+        if ids:
+            every = np.concatenate(ids).astype("<i8")
+            yield _rows(list(pack(spread(every, buckets), [every, *(np.concatenate(c).astype(k) for c, k in zip(columns, out))])), ["bucket", "payload"])
+        del held, ids, columns
+        release()
 
     sent = df.mapInArrow(scatter, "bucket long, payload binary").repartition(partitions(df.sparkSession), "bucket")
-    return sent.mapInArrow(gather, "id long, found binary")
+    return sent.mapInArrow(gather, "bucket long, payload binary")
 
 
-def per_id(found: DataFrame) -> DataFrame:
-    """(id, found array<binary>): one row for each id."""
-    from pyspark.sql import functions as F
+def per_id(found: DataFrame, out: list[str]) -> DataFrame:
+    """(id, found array<binary>): what `regroup` found for each id, its columns packed; one row for each id."""
+
+    def run(batches):
+        held = _held(batches)
+        for bucket in sorted(held):
+            ids, *columns = unpack(held.pop(bucket), ["<i8", *out])
+            rows = list(pack(ids, columns))
+            for first in range(0, len(rows), 10_000):
+                part = rows[first : first + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([[r[1]] for r in part], pa.list_(pa.binary()))], ["id", "found"])
 
-    return found.groupBy("id").agg(F.collect_list("found").alias("found"))
+    return found.repartition(partitions(found.sparkSession), "bucket").mapInArrow(run, "id long, found array<binary>")
