@@ -1,15 +1,12 @@
-"""The queries of this subpackage, by name, and their SQL where SQL can say the same."""
+"""The queries of this subpackage, by name, and their SQL where SQL can say the same on whole tables."""
 
 from __future__ import annotations
 
 import corpus_pipeline
 
-from arbordex.llm import op10_lines as lines
-from arbordex.llm.op10_lines import op10_lines
+from arbordex.llm import op3_substrings, op10_lines
 from arbordex.llm.op1_media import op1_media
 from arbordex.llm.op2_language import op2_language
-from arbordex.llm import op3_substrings as substrings
-from arbordex.llm.op3_substrings import op3_substrings
 from arbordex.llm.op4_packing import op4_packing
 from arbordex.llm.op5_jaccard import op5_jaccard
 from arbordex.llm.op6_fingerprints import op6_fingerprints
@@ -17,5 +14,6 @@ from arbordex.llm.op7_secrets import op7_secrets
 from arbordex.llm.op8_suffixes import op8_suffixes
 from arbordex.llm.op9_pieces import op9_pieces
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_language, op3_substrings, op4_packing, op5_jaccard, op6_fingerprints, op7_secrets, op8_suffixes, op9_pieces, op10_lines)} | {"pipeline": corpus_pipeline.run}
-ORACLE: dict[str, str] = {"op3_substrings": substrings.ORACLE, "op10_lines": lines.ORACLE}
+_OPERATORS = (op1_media, op2_language, op3_substrings.op3_substrings, op4_packing, op5_jaccard, op6_fingerprints, op7_secrets, op8_suffixes, op9_pieces, op10_lines.op10_lines)
+QUERIES = {f.__name__: f for f in _OPERATORS} | {"pipeline": corpus_pipeline.run}
+ORACLE: dict[str, str] = {"op3_substrings": op3_substrings.ORACLE, "op10_lines": op10_lines.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
