@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordex.functions import classify, text
+from arbordex.functions import classify, taxonomy, text
 from arbordex.operators import graph, inventory, merge, resolve, snapshot, summary
 
 from arbordex.plans.adapters import frame, with_sql
@@ -93,6 +93,11 @@ def classify_files(spark, sf_dir):
     return typed_files(spark, sf_dir).select("id", "file_type", "engine_type", F.when(hint == classify.NOT_TYPED, "none").otherwise("extension").alias("type_hint_source"), classify.hint_confidence(hint).alias("type_hint_confidence"))
 
 
+@query("legacy_taxonomy", f"SELECT id, CASE WHEN is_directory THEN 'Folder' ELSE {taxonomy.sql_case(FOLD('path'), FOLD('name'), 'extension')} END AS label FROM files")
+def legacy_taxonomy(spark, sf_dir):
+    return frame(spark, sf_dir, "files").select("id", taxonomy.label(F.col("path"), F.col("is_directory")).alias("label"))
+
+
 @query("type_histogram", f"{TYPED} SELECT file_type, engine_type, count(*) AS n FROM typed WHERE NOT is_deleted GROUP BY ALL")
 def type_histogram(spark, sf_dir):
     return typed_files(spark, sf_dir).where("not is_deleted").groupBy("file_type", "engine_type").agg(F.count("*").alias("n"))

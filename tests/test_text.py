@@ -38,3 +38,13 @@ def test_classification(spark):
 def test_confidence_and_flags(spark):
     assert values(spark, [0.95, 0.35, 1.5, -1.0], text.confidence_milli(F.col("v")), "v double") == [950, 350, 1000, 0]
     assert values(spark, [0, 2, 2 | 1 << 12], text.remap_flags(F.col("v"), text.SCRIPT_TO_SYMBOL), "v long") == [0, 8, 8 | 512]
+
+
+def test_taxonomy(spark):
+    from arbordex.functions import taxonomy
+
+    cases = {"a/Cargo.lock": "PackageLock", "Makefile": "BuildScript", ".godot/editor/filesystem_cache4": "GodotEditorFilesystemCache", "x/.gitignore": "Git Ignore", "n.yaml": "Data", "s.sql": "DatabaseScript", "b.blend": "GodotResource", "q.zzz": "Unknown"}
+    df = spark.createDataFrame([(p,) for p in cases], "p string").select("p", taxonomy.label(F.col("p"), F.lit(False)))
+    assert dict(map(tuple, df.collect())) == cases
+    own = (("Mine", "suffix", ".zzz"), *taxonomy.RULES)
+    assert df.select(taxonomy.label(F.lit("q.ZZZ"), F.lit(False), own)).first()[0] == "Mine"
