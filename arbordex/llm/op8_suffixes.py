@@ -9,8 +9,8 @@ LENGTH-byte string holds two anchors that its own bytes decide. Rounds then rank
 1. The stretch from an anchor through the next one (about 60 bytes) is ranked by its hash, and the pair of that rank and the
    rank of its surroundings, all strings of LENGTH bytes that hold the stretch, by both. A stretch that occurs once drops out
    with every string through it. Surroundings that occur twice are past the threshold: all their strings repeat.
-2. Where a stretch repeats in different surroundings, the strings of LENGTH bytes through it are ranked one by one; of equal
-   surroundings one occurrence speaks for all.
+2. Where a stretch repeats in different surroundings, the strings of LENGTH bytes through it are ranked one by one, but for those
+   that hold another stretch, decided by their own bytes, that occurs once; of equal surroundings one occurrence speaks for all.
 
 A batch settles what its own documents decide and sends one record of a rank, so hot passages cost a reducer one record for
 each batch, and at most FEW surroundings of a hot stretch. Ranks are 64-bit hashes.
@@ -37,7 +37,7 @@ GRAM = 16
 SPREAD = (LENGTH - GRAM + 1) // 2
 FEW = 64
 BULK, EMIT = 1, 2
-_FOUND = ["<i4", "<i4", "u1"]
+_FOUND = ["<i4", "u1", "u1"]
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -56,7 +56,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> np.ndarr
     if n < LENGTH:
         return np.zeros(0, np.int64)
     at = np.arange(n - GRAM + 1)
-    grams = (rolling.of(at, at + GRAM) >> np.uint64(32)).astype(np.uint32)
+    grams = _grams(rolling, at)
     least = _slide(grams, SPREAD, np.minimum)
     room = np.repeat(offsets[1:], np.diff(offsets))[: len(least)] - np.arange(len(least))
     size = np.repeat(np.diff(offsets), np.diff(offsets))[: len(least)]
@@ -65,8 +65,28 @@ def anchors(data: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> np.ndarr
     return np.flatnonzero((_slide(padded, SPREAD, np.maximum) == grams) & (grams > 0))
 
 
+def _grams(rolling: Rolling, at: np.ndarray) -> np.ndarray:
+    return (rolling.of(at, at + GRAM) >> np.uint64(32)).astype(np.uint32)
+
+
+def _surroundings(place: np.ndarray, reach: np.ndarray, n: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end, in a text of n bytes, of all strings of LENGTH bytes that hold the stretch at `place` of `reach` bytes."""
+    return np.maximum(place + reach - LENGTH, 0), np.minimum(place + LENGTH, n)
+
+
+def _classes(name: np.ndarray, around: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted records: whether each begins a name and a class (name, surroundings), its class, and the class's distinct places."""
+    new_name, new_place = np.ones(len(name), bool), np.ones(len(name), bool)
+    new_name[1:] = name[1:] != name[:-1]
+    new_class = new_name.copy()
+    new_class[1:] |= around[1:] != around[:-1]
+    new_place[1:] = new_class[1:] | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
+    of = np.cumsum(new_class) - 1
+    return new_name, new_class, of, np.bincount(of, weights=new_place)[of]
+
+
 def map_stretches(b: pa.RecordBatch, buckets: int):
-    """Records (stretch, surroundings, doc, start, size, state); state 0 asks, 1 and 3 know that all strings repeat and that they
+    """Records (stretch, surroundings, doc, place, reach, state); state 0 asks, 1 and 3 know that all strings repeat and that they
     are to be ranked, 2 stands for two or more equal surroundings."""
     data, offsets = buffers(b.column(1))
     ids, parts = b.column(0).to_numpy(), []
@@ -78,63 +98,73 @@ def map_stretches(b: pa.RecordBatch, buckets: int):
         row = np.searchsorted(at, places, side="right") - 1
         same = row[1:] == row[:-1]
         a, z, row = places[:-1][same], places[1:][same] + GRAM, row[:-1][same]
-        start, stop = np.maximum(at[row], z - LENGTH), np.minimum(at[row + 1], a + LENGTH)
-        parts.append((rolling.of(a, z), rolling.of(start, stop), ids[first:end][row], (start - at[row]).astype(np.int32), (stop - start).astype(np.int32)))
+        start, stop = _surroundings(a - at[row], z - a, np.diff(at)[row])
+        parts.append((rolling.of(a, z), rolling.of(at[row] + start, at[row] + stop), ids[first:end][row], (a - at[row]).astype(np.int32), (z - a).astype(np.uint8), start.astype(np.int32)))
     if not parts:
         return
-    name, around, doc, start, size = (np.concatenate(c) for c in zip(*parts))
+    name, around, doc, place, reach, start = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((start, doc, around, name))
-    name, around, doc, start, size = (c[order] for c in (name, around, doc, start, size))
-    new_class = np.ones(len(name), bool)
-    new_class[1:] = (name[1:] != name[:-1]) | (around[1:] != around[:-1])
-    distinct = new_class.copy()
-    distinct[1:] |= (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
-    name, around, doc, start, size, new_class = (c[distinct] for c in (name, around, doc, start, size, new_class))
-    class_of = np.cumsum(new_class) - 1
-    many = np.bincount(class_of)[class_of] > 1
-    new_name = np.ones(len(name), bool)
-    new_name[1:] = name[1:] != name[:-1]
-    class_in_name = class_of - class_of[np.flatnonzero(new_name)][np.cumsum(new_name) - 1]
-    beyond = class_in_name >= FEW
-    ask, known, stand, rank = ~many & ~beyond, many, many & new_class & ~beyond, new_class & beyond
-    picks = (ask, known, stand, rank)
-    bucket = np.concatenate([bucket_of(name[ask], buckets), spread(doc[known], buckets), bucket_of(name[stand], buckets), spread(doc[rank], buckets)])
-    state = np.repeat(np.array([0, 1, 2, 3], np.uint8), [p.sum() for p in picks])
-    low = (name & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    yield bucket, [*(np.concatenate([c[p] for p in picks]) for c in (low, around, doc, start, size)), state]
+    new_name, new_class, of, spots = _classes(name[order], around[order], doc[order], start[order])
+    many = spots > 1
+    # a stretch that occurs twice within the same surroundings: only ranks tell which of their strings repeat
+    twin = ~many & (np.bincount(of)[of] > 1)
+    beyond = of - of[np.flatnonzero(new_name)][np.cumsum(new_name) - 1] >= FEW
+    picks = [np.sort(order[p]) for p in (new_class & ~many & ~beyond, many, new_class & many & ~beyond, (new_class & beyond) | twin)]
+    states = np.repeat(np.array([0, 1, 2, 3], np.uint8), [len(p) for p in picks])
+    bucket = np.concatenate([(bucket_of(name[p], buckets), spread(doc[p], buckets))[k % 2] for k, p in enumerate(picks)])
+    pick = np.concatenate(picks)
+    yield bucket, [(name[pick] & np.uint64(0xFFFFFFFF)).astype(np.uint32), around[pick], doc[pick], place[pick], reach[pick], states]
 
 
 def reduce_stretches(columns: list[np.ndarray]):
-    """(doc, start, size, BULK or EMIT): surroundings all of whose strings repeat, and those whose strings are to be ranked."""
+    """(doc, place, reach, BULK or EMIT): stretches all of whose strings repeat, and those whose strings are to be ranked."""
     state = columns[5]
     for known, action in ((state == 1, BULK), (state == 3, EMIT)):
         yield columns[2][known], [columns[3][known], columns[4][known], np.full(known.sum(), action, np.uint8)]
     asked = (state == 0) | (state == 2)
-    name, around, doc, start, size, state = (c[asked] for c in columns)
+    name, around, doc, place, reach, state = (c[asked] for c in columns)
     if not len(name):
         return
+    start = np.maximum(place + reach - LENGTH, 0)
     order = np.lexsort((start, doc, around, name))
-    name, around, doc, start, size, state = (c[order] for c in (name, around, doc, start, size, state))
-    new_name = np.ones(len(name), bool)
-    new_name[1:] = name[1:] != name[:-1]
-    new_class = new_name.copy()
-    new_class[1:] |= around[1:] != around[:-1]
-    name_of, class_of = np.cumsum(new_name) - 1, np.cumsum(new_class) - 1
-    many = (np.bincount(class_of)[class_of] > 1) | (np.bincount(class_of, weights=state == 2)[class_of] > 0)
+    doc, place, reach, state = (c[order] for c in (doc, place, reach, state))
+    new_name, new_class, of, spots = _classes(name[order], around[order], doc, start[order])
+    many = (spots > 1) | (np.bincount(of, weights=state == 2)[of] > 0)
+    name_of = np.cumsum(new_name) - 1
     varied = np.bincount(name_of, weights=new_class)[name_of] > 1
-    bulk, emit = many & (state == 0), varied & new_class
-    for pick, action in ((bulk, BULK), (emit, EMIT)):
-        yield doc[pick], [start[pick], size[pick], np.full(pick.sum(), action, np.uint8)]
+    for pick, action in ((many & (state == 0), BULK), (varied & new_class, EMIT)):
+        yield doc[pick], [place[pick], reach[pick], np.full(pick.sum(), action, np.uint8)]
 
 
-def _starts(start: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
-    """Which places below n start a string of LENGTH bytes inside one of the surroundings."""
+def _starts(place: np.ndarray, reach: np.ndarray, n: int) -> np.ndarray:
+    """Which places of a text of n bytes start a string of LENGTH bytes that holds one of the stretches."""
+    start, end = _surroundings(place.astype(np.int64), reach.astype(np.int64), n)
     delta = np.zeros(n + 1, np.int32)
     np.add.at(delta, start, 1)
-    np.add.at(delta, start + size - LENGTH + 1, -1)
+    np.add.at(delta, end - LENGTH + 1, -1)
     return np.cumsum(delta[:n]) > 0
 
 
+def _possible(emit: np.ndarray, places: np.ndarray, grams: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Those of the starts `emit` whose string may repeat: all stretches that its own bytes decide occur elsewhere.
+
+    The least anchors of the string's first and last SPREAD positions are decided by its bytes, and so is all between them.
+    """
+    ends = []
+    for first, side in ((emit, -1), (emit + LENGTH - GRAM + 1 - SPREAD, 1)):
+        low, high = np.searchsorted(places, first), np.searchsorted(places, first + SPREAD)
+        best, least = low.copy(), np.full(len(emit), 1 << 32, np.int64)
+        for k in range(int((high - low).max(initial=0))):
+            i = np.minimum(low + k, len(places) - 1)
+            g = np.where(low + k < high, grams[i].astype(np.int64), 1 << 33)
+            better = g < least if side < 0 else g <= least
+            best, least = np.where(better, i, best), np.where(better, g, least)
+        ends.append(best)
+    sums = np.concatenate([[0], np.cumsum(shared)])
+    first, last = ends
+    return emit[(last > first) & (sums[last] - sums[first] == last - first)]
+
+
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of each run of True."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
@@ -150,17 +180,22 @@ def map_strings(b: pa.RecordBatch, buckets: int):
         if not any(found[first:end]):
             continue
         rolling = Rolling(byte_values(part))
+        every = anchors(part, at, rolling)
+        cuts = np.searchsorted(every, at)
         for i in range(end - first):
             if found[first + i]:
-                start, size, action = unpack(found[first + i], _FOUND)
+                place, reach, action = unpack(found[first + i], _FOUND)
                 n, doc = int(at[i + 1] - at[i]), ids[first + i]
                 # rows that share an id but not a text may be shorter than the places say
-                inside = start + size <= n
-                start, size, action = start[inside], size[inside], action[inside]
-                bulk = _starts(start[action == BULK], size[action == BULK], n)
+                inside = (place.astype(np.int64) + reach <= n) & (n >= LENGTH)
+                place, reach, action = place[inside], reach[inside], action[inside]
+                bulk = _starts(place[action == BULK], reach[action == BULK], n)
                 a, length = _runs(bulk)
                 known.append((np.full(len(a), doc), a.astype(np.int32), (length + LENGTH - 1).astype(np.int32)))
-                emit = np.flatnonzero(_starts(start[action == EMIT], size[action == EMIT], n))
+                emit = np.flatnonzero(_starts(place[action == EMIT], reach[action == EMIT], n))
+                if len(emit):
+                    own = every[cuts[i] : cuts[i + 1]]
+                    emit = _possible(emit, own - at[i], _grams(rolling, own), np.isin(own[:-1] - at[i], place))
                 if len(emit):
                     ranked.append((rolling.of(at[i] + emit, at[i] + emit + LENGTH), np.full(len(emit), doc), emit.astype(np.int32), bulk[emit]))
     out: list[list[np.ndarray]] = []
@@ -170,15 +205,14 @@ def map_strings(b: pa.RecordBatch, buckets: int):
     if ranked:
         rank, doc, start, sure = (np.concatenate(c) for c in zip(*ranked))
         order = np.argsort(rank, kind="stable")
-        rank, doc, start, sure = (c[order] for c in (rank, doc, start, sure))
         new = np.ones(len(rank), bool)
-        new[1:] = rank[1:] != rank[:-1]
+        new[1:] = rank[order][1:] != rank[order][:-1]
         of = np.cumsum(new) - 1
-        many = (np.bincount(of)[of] > 1) | (np.bincount(of, weights=sure)[of] > 0)
-        settled, ask, stand = many & ~sure, ~many, many & new
-        for pick, state in ((settled, 1), (ask, 0), (stand, 2)):
-            bucket = spread(doc[pick], buckets) if state == 1 else bucket_of(rank[pick], buckets)
-            out.append([bucket, rank[pick], doc[pick], start[pick], np.full(pick.sum(), LENGTH, np.int32), np.full(pick.sum(), state, np.uint8)])
+        many = (np.bincount(of)[of] > 1) | (np.bincount(of, weights=sure[order])[of] > 0)
+        for pick, state in ((many & ~sure[order], 1), (~many, 0), (many & new, 2)):
+            p = np.sort(order[pick])  # in the order of the documents, which packs best
+            bucket = spread(doc[p], buckets) if state == 1 else bucket_of(rank[p], buckets)
+            out.append([bucket, rank[p], doc[p], start[p], np.full(len(p), LENGTH, np.int32), np.full(len(p), state, np.uint8)])
     if out:
         bucket, *columns = (np.concatenate(c) for c in zip(*out))
         yield bucket, columns
@@ -203,8 +237,8 @@ def reduce_strings(columns: list[np.ndarray]):
 def deduplicated(df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of each row."""
     docs = df.select(F.coalesce(df[key].cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(df[text], F.lit("")).alias("text"))
-    stretches = per_id(regroup(docs, map_stretches, ["<u4", "<u8", "<i8", "<i4", "<i4", "u1"], reduce_stretches, _FOUND))
-    strings = per_id(regroup(docs.join(stretches, "id", "left"), map_strings, ["<u8", "<i8", "<i4", "<i4", "u1"], reduce_strings, ["<i4", "<i4"]))
+    stretches = per_id(regroup(docs, map_stretches, ["<u4", "<u8", "<i8", "<i4", "u1", "u1"], reduce_stretches, _FOUND), _FOUND)
+    strings = per_id(regroup(docs.join(stretches, "id", "left"), map_strings, ["<u8", "<i8", "<i4", "<i4", "u1"], reduce_strings, ["<i4", "<i4"]), ["<i4", "<i4"])
 
     def run(batches):
         for b in batches:
