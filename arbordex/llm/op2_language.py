@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordex.llm.columns import buffers, mix, passes
+from arbordex.llm.columns import buffers, mix, passes, release
 from arbordex.llm.tables import table
 
 BINS = 1 << 16
@@ -108,6 +108,7 @@ def predict(df: DataFrame, key: str, text: str, model: tuple[list[str], np.ndarr
                     langs.append(names[i] if known else UNKNOWN)
                     scores.append(s if known else 0.0)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], out)
+            release()
 
     fields = ", ".join(f"`{n}` {t}" for n, t in source.dtypes[1:])
     return source.mapInArrow(run, f"{fields}, lang_pred string, score double")

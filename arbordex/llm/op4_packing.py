@@ -27,14 +27,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from arbordex.llm.columns import release
 from arbordex.llm.tables import checkpointed, partitions, table
 
 CAPACITY = 1024
 END = 2
 SMALL = CAPACITY // 3
 GROUPS = 240
-#: Words whose ids a task remembers.
-CACHE = 1_000_000
+#: Words whose ids a task remembers; it forgets them when it ends, as the worker may wait idle or run other stages.
+CACHE = 500_000
 VOCABULARY = "byte_bpe_50k"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SPECIAL = "<|endoftext|>"
@@ -80,7 +81,8 @@ def encoder(name: str = VOCABULARY):
         return array("I", encoding.encode_ordinary(text)).tobytes()
 
     bare = WordIds(ordinary, "")
-    get = WordIds(ordinary, " ", bare).__getitem__
+    spaced = WordIds(ordinary, " ", bare)
+    get = spaced.__getitem__
 
     def encode(text: str) -> bytes:
         if _SPECIAL in text:
@@ -91,6 +93,11 @@ def encoder(name: str = VOCABULARY):
             return ordinary(text)
         return (bare[first] if first else b"") + b"".join(map(get, rest))
 
+    def forget() -> None:
+        bare.clear()
+        spaced.clear()
+
+    encode.forget = forget
     return encode
 
 
@@ -116,6 +123,8 @@ def pieces(df: DataFrame, key: str, text: str, name: str = VOCABULARY, capacity:
                 rows += [(k, i, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
             columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+        encode.forget()
+        release()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbordex.llm.columns import release
 from arbordex.llm.tables import table
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -159,6 +160,7 @@ def redact(df: DataFrame, key: str, text: str, mask: str = "[SECRET]", length: s
                     at = max(at, end)
                 out.append("".join([*parts, t[at:]]) if parts else t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *(b.column(i) for i in range(1, b.num_columns))], names)
+            release()
 
     own = [c for c in df.columns if c != text]
     names = ["_text", *(f"c{i}" for i in range(len(own)))]
