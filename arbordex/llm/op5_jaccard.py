@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordex.llm.columns import Rolling, Words, buffers, mix, passes, ranges
+from arbordex.llm.columns import Rolling, Words, buffers, mix, passes, ranges, release
 from arbordex.llm.graph import components
 from arbordex.llm.op3_substrings import LAST_ID, settle_shared
-from arbordex.llm.packed import bucket_of, per_id, regroup, spread, unpack
+from arbordex.llm.packed import bucket_of, per_id, regroup, slices, spread, unpack
 from arbordex.llm.tables import checkpointed, partitions, table
 
 SHINGLE = 5
@@ -178,7 +178,7 @@ def survivor_sets(docs: DataFrame, info: DataFrame, most: int = BROADCAST_IDS) -
         shared, docs = None, docs.join(chosen, "id", "left_semi")
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             if shared is not None:
                 own = b.column(0).to_numpy()
                 at = np.minimum(np.searchsorted(shared.value, own), max(len(shared.value) - 1, 0))
@@ -190,6 +190,8 @@ def survivor_sets(docs: DataFrame, info: DataFrame, most: int = BROADCAST_IDS) -
                 cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
                 blobs += [key[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["id", "hashes"])
+            del data, offsets, blobs
+            release()
 
     made = docs.mapInArrow(run, "id long, hashes binary")
     # rows that share an id bring their sets along; the larger one stands for them

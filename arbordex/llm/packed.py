@@ -64,7 +64,7 @@ Mapper = Callable[[pa.RecordBatch, int], Iterator[tuple[np.ndarray, list[np.ndar
 Reducer = Callable[[list[np.ndarray]], Iterator[tuple[np.ndarray, list[np.ndarray]]]]
 
 
-def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about BATCH_BYTES, which bounds what a mapper holds."""
     rows = max(1, b.num_rows * BATCH_BYTES // max(b.nbytes, 1))
     for first in range(0, b.num_rows, rows):
@@ -90,7 +90,7 @@ def regroup(df: DataFrame, mapper: Mapper, kinds: list[str], reducer: Reducer, o
 
     def scatter(batches):
         for b in batches:
-            for part in _slices(b):
+            for part in slices(b):
                 yield _rows([r for bucket, columns in mapper(part, buckets) for r in pack(bucket, columns)], ["bucket", "payload"])
                 release()
 
