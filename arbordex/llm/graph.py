@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbordex.llm.tables import checkpointed, partitions
+from arbordex.llm.tables import checkpointed, mapped, partitions
 
 
 def _contract(batches):
@@ -60,19 +60,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each id in `edges` (a, b): the smallest id reachable. Null ends are ignored.
 
     What a task's own edges connect is contracted first. Then large stars (a node's larger neighbours move to its smallest; the
-    smallest is aggregated before the shuffle, and a node with many neighbours is a join that Spark can split) and small stars
-    (a node's smaller neighbours do) alternate until nothing moves. Each round is kept in the shared folder.
+    smallest is aggregated before the shuffle and kept, so that both sides of the join are plain exchanges and Spark splits a node
+    with many neighbours) and small stars (a node's smaller neighbours do) alternate until nothing moves. Each round is kept in
+    the shared folder.
     """
     size = partitions(edges.sparkSession)
-    edges = edges.where("a is not null and b is not null and a <> b").select("a", "b").mapInArrow(_contract, "a long, b long")
+    edges = mapped(edges.where("a is not null and b is not null and a <> b").select("a", "b"), _contract, "a long, b long")
     edges, before = checkpointed(edges), None
     while (now := _state(edges)) != before:
         before = now
         if not now[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = checkpointed(large.repartition(size, "a").mapInArrow(_small_stars, "a long, b long"))
+        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = checkpointed(mapped(large.repartition(size, "a"), _small_stars, "a long, b long"))
     # at rest each node has one edge, to its component
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

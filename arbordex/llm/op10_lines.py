@@ -1,13 +1,15 @@
 """Operator 10, line dedup: levelled sorted runs of line hashes.
 
-A run is a table (level, hash, n) sorted by hash within its files: in how many documents of the batches behind it a line key
-occurs. `LineRuns.add` sums a new batch into one run of level 0 and merges FANOUT runs of a level into one of the next.
-`LineRuns.seen` merges all runs. `new_lines` is the anti-join of a batch with the runs. `drop_common` removes the lines whose
-key is in at least `documents` documents.
-
-A line's key is the line stripped of `[\\x20\\x09-\\x0D]` at both ends with A-Z lower-cased. A document counts once for a key
-however often it has it. A key of fewer than `points` code points is never dropped. Null or empty text: one empty line, whose
-key is empty. Lines keep their order and their other bytes. Rows with equal keys of their own are separate documents.
+A run is a table (hash, n), bucketed and sorted by hash: in how many documents of the batches behind it a line key occurs. A new
+batch is summed, merge-anti-joined with the keys that a run has already settled (found in enough documents), and adds the rest as a
+run of level 0. FANOUT runs of a level are merged into one of the next, two sorted runs at a time. Batches and runs share their
+buckets, so joins and merges need no exchange; a batch is exchanged once, when it is summed. At the end all levels are merged, and
+the keys found in at least `documents` documents are common.
+
+A line's key is the line stripped of `[\\x20\\x09-\\x0D]` at both ends with A-Z lower-cased; keys are compared by 64-bit hashes. A
+document counts once for a key however often it has it. A key of fewer than `points` code points is never dropped. Null or empty
+text: one empty line, whose key is empty. Lines keep their order and their other bytes. Rows that share a doc_id, or have none, are
+documents of their own. Other columns may have any name. BROADCAST_KEYS chooses between two ways to the same result.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordex.llm.columns import release
-from arbordex.llm.tables import shared_dir, table
+from arbordex.llm.tables import bounded, checkpointed, mapped, partitions, table
 
 LEAST_DOCUMENTS = 10
 LEAST_POINTS = 1
-FANOUT = 4
+FANOUT = 2
+#: Batches that a table of files arrives as, unless BATCH_FILES asks for more.
+BATCHES = 4
+BATCH_FILES = 20_000
 #: Hashes that a broadcast may hold (32 MB); with more common lines than that, lines and runs are joined instead.
 BROADCAST_KEYS = 4_000_000
 _STRIP = b" \t\n\r\x0b\x0c"
@@ -55,64 +59,88 @@ def batch_counts(df: DataFrame, text: str, points: int = LEAST_POINTS) -> DataFr
             keep = (hashes != short) | (points < 1)
             yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["hash", "n"])
 
-    return df.select(df[text].alias("text")).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return mapped(df.select(df[text].alias("text")), run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 class LineRuns:
-    """Runs in a folder that the cluster shares; each run is a Parquet table, named by level and number."""
+    """Runs as bucketed tables of the warehouse, which the cluster shares; `close` drops them."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
-        self.folder = folder or f"{shared_dir(spark).rstrip('/')}/line-runs-{uuid.uuid4().hex}"
-        self.levels: list[list[str]] = []
+    def __init__(self, spark: SparkSession, documents: int = LEAST_DOCUMENTS, fanout: int = FANOUT):
+        self.spark, self.documents, self.fanout, self.buckets = spark, documents, fanout, partitions(spark)
+        self.name = f"line_runs_{uuid.uuid4().hex}"
+        self.levels: list[list[str]] = [[]]
         self.made = 0
 
-    def _write(self, counts: DataFrame, level: int) -> str:
-        name = f"{self.folder}/L{level}-{self.made}"
+    def _write(self, run: DataFrame, level: int) -> None:
+        name = f"{self.name}_{level}_{self.made}"
         self.made += 1
-        counts.sortWithinPartitions("hash").write.parquet(name)
+        run.write.bucketBy(self.buckets, "hash").sortBy("hash").format("parquet").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
-        return name
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*names).groupBy("hash").agg(F.sum("n").alias("n"))
+    def _runs(self) -> list[str]:
+        return [n for level in self.levels for n in level]
+
+    def _merge(self, names: list[str], level: int) -> None:
+        """Runs become one, two at a time: a full outer merge join of sorted buckets."""
+        while len(names) > 1:
+            a, b = (self.spark.table(n).withColumnRenamed("n", f"n{i}") for i, n in enumerate(names[:2]))
+            both = a.join(b.hint("merge"), "hash", "full").select("hash", (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("n"))
+            self._write(both, level)
+            self._drop(names[:2])
+            names = [*names[2:], self.levels[level].pop()]
+        self.levels[level] += names
+
+    def unsettled(self, counts: DataFrame) -> DataFrame:
+        """The batch's keys that no run has found in enough documents yet."""
+        for name in self._runs():
+            counts = counts.join(self.spark.table(name).where(F.col("n") >= self.documents).select("hash").hint("merge"), "hash", "left_anti")
+        return counts
+
+    def new_lines(self, counts: DataFrame) -> DataFrame:
+        """The batch's keys that no run has."""
+        for name in self._runs():
+            counts = counts.join(self.spark.table(name).select("hash").hint("merge"), "hash", "left_anti")
+        return counts
 
     def add(self, counts: DataFrame) -> None:
-        """Keep a batch's counts as a run; a level with `fanout` runs becomes one run of the next level."""
-        self._write(counts, 0)
+        """Keep a batch's unsettled counts as a run; a level with `fanout` runs becomes one run of the next level."""
+        self._write(self.unsettled(counts), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._write(self._merged(old), level + 1)
-            self._delete(old)
+            if len(self.levels) == level + 1:
+                self.levels.append([])
+            self._merge(old, level + 1)
             level += 1
 
     def seen(self) -> DataFrame:
-        """(hash, n) over all batches so far."""
-        names = [n for level in self.levels for n in level]
-        return self._merged(names) if names else self.spark.createDataFrame([], "hash long, n long")
-
-    def new_lines(self, counts: DataFrame) -> DataFrame:
-        """The batch's hashes that no run has."""
-        return counts.join(self.seen(), "hash", "left_anti")
-
-    def _delete(self, names: list[str]) -> None:
-        jvm = self.spark._jvm
+        """(hash, n) over all batches so far, n of settled keys at least `documents`; all levels become one run."""
+        names = self._runs()
+        if not names:
+            return self.spark.createDataFrame([], "hash long, n long")
+        top = len(self.levels) - 1
+        self.levels = [[] for _ in self.levels]
+        self._merge(names, top)
+        return self.spark.table(self.levels[top][0])
+
+    def _drop(self, names: list[str]) -> None:
         for n in names:
-            path = jvm.org.apache.hadoop.fs.Path(n)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.spark.sql(f"DROP TABLE IF EXISTS {n}")
 
     def close(self) -> None:
-        self._delete([self.folder])
+        self._drop(self._runs())
+        self.levels = [[]]
 
 
-def common_hashes(runs: LineRuns, documents: int, most: int = BROADCAST_KEYS) -> tuple[DataFrame, np.ndarray | None]:
-    """The hashes in at least `documents` documents, and the same as an array if there are no more than `most`."""
-    common = runs.seen().where(F.col("n") >= documents).select("hash")
+def common_hashes(runs: LineRuns, most: int = BROADCAST_KEYS) -> tuple[DataFrame | None, np.ndarray | None]:
+    """The hashes of common lines: as an array if there are no more than `most`, else as a table. The runs are dropped."""
+    common = runs.seen().where(F.col("n") >= runs.documents).select("hash")
     found = common.limit(most + 1).toArrow()["hash"].to_numpy()
-    return common, np.sort(found) if len(found) <= most else None
+    held = None if len(found) <= most else checkpointed(common)
+    runs.close()
+    return held, np.sort(found) if held is None else None
 
 
 def _kept(text: bytes, common: np.ndarray) -> tuple[int, list[bytes]]:
@@ -122,22 +150,21 @@ def _kept(text: bytes, common: np.ndarray) -> tuple[int, list[bytes]]:
     return len(lines), [x for x, d in zip(lines, drop.tolist()) if not d] if drop.any() else lines
 
 
-def clean(df: DataFrame, text: str, runs: LineRuns, documents: int = LEAST_DOCUMENTS, most: int = BROADCAST_KEYS) -> DataFrame:
-    """df with n_lines, n_dropped and kept_text added. Up to `most` common hashes are broadcast; beyond, the lines' hashes are
-    joined with the runs and each document gets the list of its own common hashes."""
-    common, array = common_hashes(runs, documents, most)
+def _cleaned(df: DataFrame, text: str, runs: LineRuns, most: int) -> tuple[DataFrame, dict]:
+    """(text, c0, c1 ..., n_lines, n_dropped, kept_text), and the columns of df by name. Up to `most` common hashes are broadcast;
+    beyond, the lines' hashes are joined with them and each text gets the list of its own common hashes."""
+    common, array = common_hashes(runs, most)
     own = [c for c in df.columns if c != text]
     source = df.select(df[text].alias("text"), *[df[c].alias(f"c{i}") for i, c in enumerate(own)])
     if array is not None:
-        runs.close()
         shared = df.sparkSession.sparkContext.broadcast(array)
     else:
         shared = None
-        source = source.withColumn("row", F.xxhash64("text"))
-        found = source.select("text", "row").mapInArrow(_line_hashes, "hash long, row long").join(common, "hash", "left_semi")
-        hits = found.groupBy("row").agg(F.collect_set("hash").alias("common"))
-        source = source.join(hits, "row", "left").drop("row")
-    schema = ", ".join(["text string", *(f"c{i} {dict(df.dtypes)[c]}" for i, c in enumerate(own)), "n_lines long", "n_dropped long", "kept_text string"])
+        source = source.withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+        hits = mapped(source.select("text", "digest"), _line_hashes, "hash long, digest string").join(common, "hash", "left_semi").groupBy("digest").agg(F.collect_set("hash").alias("common"))
+        source = source.join(hits, "digest", "left").drop("digest")
+    kinds = dict(df.dtypes)
+    schema = ", ".join(["text string", *(f"c{i} {kinds[c]}" for i, c in enumerate(own)), "n_lines long", "n_dropped long", "kept_text string"])
     n = len(own) + 1
 
     def run(batches):
@@ -148,46 +175,55 @@ def clean(df: DataFrame, text: str, runs: LineRuns, documents: int = LEAST_DOCUM
                 mine = shared.value if shared is not None else np.sort(np.array(extra[i] or [], np.int64))
                 count, kept = _kept(t or b"", mine)
                 out.append((count, count - len(kept), b"\n".join(kept)))
-            counts, dropped, texts = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names)
-            release()
+            counts, dropped, kept_texts = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept_texts, pa.binary()).cast(pa.string())], names)
 
     names = ["text", *(f"c{i}" for i in range(len(own))), "n_lines", "n_dropped", "kept_text"]
-    made = source.mapInArrow(run, schema)
-    columns = {c: F.col(f"c{i}") for i, c in enumerate(own)} | {text: F.col("text")}
-    return made.select(*[columns[c].alias(c) for c in df.columns], "n_lines", "n_dropped", "kept_text")
+    return mapped(source, run, schema), {c: F.col(f"c{i}") for i, c in enumerate(own)} | {text: F.col("text")}
+
+
+def clean(df: DataFrame, text: str, runs: LineRuns, most: int = BROADCAST_KEYS) -> DataFrame:
+    """df with n_lines, n_dropped and kept_text added (in place of columns of these names); the runs are used up."""
+    made, columns = _cleaned(df, text, runs, most)
+    added = ("n_lines", "n_dropped", "kept_text")
+    return made.select(*[columns[c].alias(c) for c in df.columns if c not in added], *added)
 
 
 def _line_hashes(batches):
     for b in batches:
-        hashes, rows = [], []
-        for t, r in zip(b.column(0).cast(pa.large_binary()).to_pylist(), b.column(1).to_pylist()):
+        hashes, digests = [], []
+        for t, d in zip(b.column(0).cast(pa.large_binary()).to_pylist(), b.column(1).to_pylist()):
             own = set(keys(t or b"")[1])
             hashes += own
-            rows += [r] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(rows, pa.int64())], ["hash", "row"])
+            digests += [d] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(digests, pa.string())], ["hash", "digest"])
 
 
 def drop_common(df: DataFrame, text: str, length: str | None = None, documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """df with its common lines removed from `text` and `length` set to the new number of code points; null texts stay null."""
-    runs = LineRuns(df.sparkSession)
+    runs = LineRuns(df.sparkSession, documents)
     runs.add(batch_counts(df, text))
-    found = clean(df, text, runs, documents)
-    changed = found["n_dropped"] > 0
-    columns = {c: found[c] for c in df.columns}
-    columns[text] = F.when(changed, found["kept_text"]).otherwise(found[text])
+    made, columns = _cleaned(df, text, runs, BROADCAST_KEYS)
+    changed = F.col("n_dropped") > 0
+    columns = columns | {text: F.when(changed, F.col("kept_text")).otherwise(columns[text])}
     if length in columns:
-        columns[length] = F.when(changed, F.char_length(found["kept_text"])).otherwise(found[length]).cast(dict(df.dtypes)[length])
-    return found.select(*[columns[c].alias(c) for c in df.columns])
+        columns[length] = F.when(changed, F.char_length("kept_text")).otherwise(columns[length]).cast(dict(df.dtypes)[length])
+    return made.select(*[columns[c].alias(c) for c in df.columns])
+
+
+def file_batches(spark: SparkSession, df: DataFrame, batches: int = BATCHES) -> list[DataFrame]:
+    """A table of files as batches of at most BATCH_FILES whole files; a table without files is one empty batch."""
+    files = sorted(df.inputFiles())
+    size = min(BATCH_FILES, max(1, -(-len(files) // batches)))
+    return [spark.read.schema(df.schema).parquet(*files[first : first + size]) for first in range(0, len(files), size)] or [df]
 
 
-def op10_lines(spark: SparkSession, sf_dir: str, batches: int = 2) -> DataFrame:
-    """The files of `documents` arrive as a few batches, each of which adds its run."""
-    docs = table(spark, sf_dir, "documents")
-    files, runs = sorted(docs.inputFiles()), LineRuns(spark)
-    size = -(-len(files) // batches)
-    for first in range(0, len(files), size):
-        runs.add(batch_counts(spark.read.schema(docs.schema).parquet(*files[first : first + size]), "text"))
+def op10_lines(spark: SparkSession, sf_dir: str, batches: int = BATCHES) -> DataFrame:
+    """The files of `documents` arrive as a few batches, each of which meets the runs and adds its own."""
+    bounded(spark)
+    docs, runs = table(spark, sf_dir, "documents"), LineRuns(spark)
+    for batch in file_batches(spark, docs, batches):
+        runs.add(batch_counts(batch, "text"))
     found = clean(docs.select("doc_id", "text"), "text", runs)
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 

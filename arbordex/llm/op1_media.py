@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arbordex.llm import mjpeg
 from arbordex.llm.columns import buffers, passes
-from arbordex.llm.tables import table
+from arbordex.llm.tables import mapped, table
 
 CLIPS = "clip int, first_frame int, end_frame int, start_s double, end_s double, mean_level double, error string"
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -80,7 +80,7 @@ def digests(df: DataFrame, key: str, text: str) -> DataFrame:
 
     names = [c.split()[0] for c in DIGEST.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text")).mapInArrow(run, DIGEST)
+    return mapped(df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text")), run, DIGEST)
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:

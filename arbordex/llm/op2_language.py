@@ -2,7 +2,8 @@
 
 Fit: at most about SAMPLE_PER_LANGUAGE labelled texts of each language (chosen by a hash of their key; all of a rare language)
 are counted into BINS buckets of 1- to 3-grams. The log-probability matrix, BINS x languages, is broadcast; with more than
-MAX_LANGUAGES labels fitting fails, so its size is bounded. Scoring is a sparse gather and a sum for each text, in numpy.
+MAX_LANGUAGES labels fitting fails, so its size is bounded. Scoring is a sparse gather and a sum for each text, in numpy, at most
+GATHERED numbers at a time however long a text is.
 
 N-grams run over the code points of the lower-cased text with a space before and after; digits and marks count as they are.
 Null text, empty text or text without a letter: `und` with score 0. No labelled text at all: `und` with score 0 for every
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordex.llm.columns import buffers, mix, passes, release
-from arbordex.llm.tables import table
+from arbordex.llm.columns import buffers, mix, passes
+from arbordex.llm.tables import mapped, table
 
 BINS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -25,6 +26,8 @@ SAMPLE_PER_LANGUAGE = 3000
 MAX_LANGUAGES = 256
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: Log-probabilities that scoring gathers at once.
+GATHERED = 1 << 21
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +73,8 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, per_language: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[i, at].astype(np.int64))], ["label", "bin", "n"])
 
     # the sample is bounded, so a few tasks count it, however many files it came from
-    counted = rows.where(place < share).select("text", "label").repartition(12).mapInArrow(count, "label int, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).toArrow()
+    sample = rows.where(place < share).select("text", "label").repartition(12)
+    counted = mapped(sample, count, "label int, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.full((BINS + 1, len(names)), SMOOTHING)
     np.add.at(matrix, (counted["bin"].to_numpy(), counted["label"].to_numpy()), counted["n"].to_numpy())
     matrix = np.log(matrix) - np.log(matrix[:BINS].sum(axis=0))
@@ -78,6 +82,14 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, per_language: int
     return names, matrix.astype(np.float32)
 
 
+def summed(weights: np.ndarray, bins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of the bins' rows of `weights` for each text. Several texts are one gather; a text of many bins is several."""
+    step = max(1024, GATHERED // max(weights.shape[1], 1))
+    if len(ends) == 1 and len(bins) > step:
+        return sum(weights[bins[first : first + step]].sum(axis=0, dtype=np.float64, keepdims=True) for first in range(0, len(bins), step))
+    return np.add.reduceat(weights[bins], np.concatenate([[0], ends[:-1]]), axis=0, dtype=np.float64)
+
+
 def predict(df: DataFrame, key: str, text: str, model: tuple[list[str], np.ndarray], keep: dict[str, Column] | None = None) -> DataFrame:
     """(key, each column of `keep`, lang_pred, score) for each row; score is the posterior of the language chosen."""
     names, matrix = model
@@ -91,15 +103,14 @@ def predict(df: DataFrame, key: str, text: str, model: tuple[list[str], np.ndarr
         for b in batches:
             data, offsets = buffers(b.column(0))
             langs, scores = [], []
-            for _, _, part, at in passes(data, offsets, 1 << 18):
+            for _, _, part, at in passes(data, offsets, max(4096, GATHERED // (len(ORDERS) * max(len(names), 1)))):
                 raw = part.tobytes()
                 texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(at.tolist(), at.tolist()[1:])]
                 if not names:
                     langs += [UNKNOWN] * len(texts)
                     scores += [0.0] * len(texts)
                     continue
-                bins, ends = grams(texts)
-                sums = np.add.reduceat(weights[bins], np.concatenate([[0], ends[:-1]]), axis=0, dtype=np.float64)
+                sums = summed(weights, *grams(texts))
                 odds = np.exp(sums - sums.max(axis=1, keepdims=True))
                 best = sums.argmax(axis=1)
                 score = 1 / odds.sum(axis=1)
@@ -108,10 +119,9 @@ def predict(df: DataFrame, key: str, text: str, model: tuple[list[str], np.ndarr
                     langs.append(names[i] if known else UNKNOWN)
                     scores.append(s if known else 0.0)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], out)
-            release()
 
     fields = ", ".join(f"`{n}` {t}" for n, t in source.dtypes[1:])
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return mapped(source, run, f"{fields}, lang_pred string, score double")
 
 
 def held_out(key: Column) -> Column:

@@ -13,8 +13,8 @@ documents hold costs a reducer one record for each batch. Hashes have 64 bits; t
 their bucket.
 
 Null or empty text: no words. Fewer words than LENGTH: nothing is removed. A window that repeats within its own document only
-stays. A null doc_id counts as the largest. Rows that share a doc_id should be equal rows; each is then cleaned alike, and none
-counts as smaller than another.
+stays. A null doc_id is larger than any other. Rows that share a doc_id, or have none, are documents of their own, and none of
+them is smaller than another; each row gives one row. Other columns of the input may have any name.
 """
 
 from __future__ import annotations
@@ -25,23 +25,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbordex.llm.columns import Rolling, Words, buffers, groups, passes, ranges
-from arbordex.llm.packed import bucket_of, per_id, regroup, spread, unpack
-from arbordex.llm.tables import table
+from arbordex.llm.packed import bucket_of, regroup, spread, unpack
+from arbordex.llm.tables import mapped, table, texts
 
 LENGTH = 50
 PERIOD = 31
 #: The perfect difference set modulo 31 (every remainder but 0 is one difference of two of them).
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = LENGTH - PERIOD + 1
-LAST_ID = (1 << 63) - 1
 _covered = np.zeros(PERIOD, bool)
 _covered[list(COVER)] = True
 
 
-def _ids(b: pa.RecordBatch) -> np.ndarray:
-    return b.column(0).to_numpy()
-
-
 def settle_shared(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, shared, first): for each record in the order, whether its key has two documents here, and whether it is the
     first record of its key."""
@@ -57,9 +52,9 @@ def settle_shared(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def map_anchors(b: pa.RecordBatch, buckets: int):
-    """Records (key, doc, place, state): 0 asks, 1 is known to be shared, 2 only says that its document has the key."""
-    data, offsets = buffers(b.column(1))
-    ids, keys, docs, places = _ids(b), [], [], []
+    """Records (key, row, place, state): 0 asks, 1 is known to be shared, 2 only says that its document has the key."""
+    data, offsets = buffers(b.column(2))
+    ids, keys, docs, places = b.column(0).to_numpy(), [], [], []
     for first, end, part, at in passes(data, offsets):
         words = Words(part, at)
         n = words.counts()
@@ -108,10 +103,11 @@ def _candidates(n: int, anchors: np.ndarray, length: int, width: int) -> np.ndar
 
 
 def map_windows(b: pa.RecordBatch, buckets: int):
-    """Records (key, doc, place, state) of the windows that hold an anchor: state 1 is known to be removed."""
-    data, offsets = buffers(b.column(1))
-    ids, found = _ids(b), b.column(2).to_pylist()
-    keys, docs, places = [], [], []
+    """Records (key, nameless, doc, row, place, state) of the windows that hold an anchor: state 1 is known to be removed."""
+    data, offsets = buffers(b.column(2))
+    rows, found = b.column(0).to_numpy(), b.column(3).to_pylist()
+    nameless, docs = b.column(1).is_null().to_numpy(zero_copy_only=False).astype(np.uint8), b.column(1).fill_null(0).to_numpy()
+    keys, owners, places = [], [], []
     for first, end, part, at in passes(data, offsets):
         if not any(found[first:end]):
             continue
@@ -122,49 +118,48 @@ def map_windows(b: pa.RecordBatch, buckets: int):
                 place = _candidates(n[i], unpack(found[first + i], ["<i4"])[0], LENGTH, ANCHOR)
                 start = words.first[i] + place
                 keys.append(rolling.of(start, start + LENGTH))
-                docs.append(np.full(len(place), ids[first + i]))
+                owners.append(np.full(len(place), first + i))
                 places.append(place.astype(np.int32))
     if not keys:
         return
-    key, doc, place = np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
-    order = np.lexsort((place, doc, key))
-    key, doc, place = key[order], doc[order], place[order]
+    key, owner, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+    columns = [key, nameless[owner], docs[owner], rows[owner], place]
+    order, larger = _larger(*columns[:3])
+    columns, known = [c[order] for c in columns], larger
+    bucket = np.where(known, spread(columns[3], buckets), bucket_of(columns[0], buckets))
+    yield bucket, [*columns, known.astype(np.uint8)]
+
+
+def _larger(key: np.ndarray, nameless: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, larger): an order by key and document, and for each record in it whether its key has a smaller document."""
+    order = np.lexsort((doc, nameless, key))
+    key, nameless, doc = key[order], nameless[order], doc[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
-    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    ask, known = doc == least, doc != least
-    bucket = np.concatenate([bucket_of(key[ask], buckets), spread(doc[known], buckets)])
-    state = np.repeat(np.array([0, 1], np.uint8), [ask.sum(), known.sum()])
-    yield bucket, [*(np.concatenate([c[ask], c[known]]) for c in (key, doc, place)), state]
+    least = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
+    return order, (doc != doc[least]) | (nameless != nameless[least])
 
 
 def reduce_windows(columns: list[np.ndarray]):
-    """(doc, place) of the windows that a smaller document has too."""
-    known = columns[3] == 1
-    yield columns[1][known], [columns[2][known]]
-    key, doc, place, _ = (c[~known] for c in columns)
-    order = np.lexsort((doc, key))
-    key, doc, place = key[order], doc[order], place[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
-    yield doc[doc != least], [place[doc != least]]
+    """(row, place) of the windows that a smaller document has too."""
+    known = columns[5] == 1
+    yield columns[3][known], [columns[4][known]]
+    key, nameless, doc, row, place, _ = (c[~known] for c in columns)
+    order, larger = _larger(key, nameless, doc)
+    yield row[order][larger], [place[order][larger]]
 
 
-def removed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, text, found): the texts, null ids and texts filled, with the packed starts of the windows to remove."""
-    docs = df.select(F.coalesce(df[key].cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(df[text], F.lit("")).alias("text"))
-    kinds = ["<u4", "<i8", "<i4", "u1"]
-    anchors = per_id(regroup(docs, map_anchors, kinds, reduce_anchors, ["<i4"]), ["<i4"])
-    held = docs.join(anchors, "id", "left")
-    repeats = per_id(regroup(held, map_windows, ["<u8", "<i8", "<i4", "u1"], reduce_windows, ["<i4"]), ["<i4"])
-    return docs.join(repeats, "id", "left")
+def removed(docs: DataFrame) -> DataFrame:
+    """`texts` with `found`: the packed starts of the windows to remove."""
+    anchors = regroup(docs, map_anchors, ["<u4", "<i8", "<i4", "u1"], reduce_anchors, ["<i4"])
+    held = docs.join(anchors, "row", "left")
+    return docs.join(regroup(held, map_windows, ["<u8", "u1", "<i8", "<i8", "<i4", "u1"], reduce_windows, ["<i4"]), "row", "left")
 
 
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     """Which of n units lie in a run of `length` that begins at one of `starts`."""
     delta = np.zeros(n + 1, np.int32)
-    np.add.at(delta, starts, 1)
+    np.add.at(delta, np.minimum(starts, n), 1)
     np.add.at(delta, np.minimum(starts + length, n), -1)
     return np.cumsum(delta[:n]) > 0
 
@@ -174,8 +169,8 @@ def deduplicated(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            total, gone, texts = [], [], []
-            for t, found in zip(b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist()):
+            total, gone, kept = [], [], []
+            for t, found in zip(b.column(2).cast(pa.large_binary()).to_pylist(), b.column(3).to_pylist()):
                 words = t.split()
                 total.append(len(words))
                 if found:
@@ -184,11 +179,10 @@ def deduplicated(df: DataFrame, key: str, text: str) -> DataFrame:
                     words = [w for w, d in zip(words, drop.tolist()) if not d]
                 else:
                     gone.append(0)
-                texts.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"])
+                kept.append(b" ".join(words))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    made = removed(df, key, text).mapInArrow(run, "id long, n_words long, n_removed long, kept_text string")
-    return made.select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), "n_words", "n_removed", "kept_text")
+    return mapped(removed(texts(df, key, text)), run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

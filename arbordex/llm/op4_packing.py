@@ -9,7 +9,8 @@
 3. The plan says which ranks among the pieces of one length go where. Ranks are numbered within (length, salt) groups, so no
    length that many documents share lands in one task. Pieces of CAPACITY tokens fill a sequence each and need no rank.
 
-Null text is an empty text: one piece with the end token alone. Repeated rows are packed as often as they occur.
+Null text is an empty text: one piece with the end token alone. Repeated rows, and rows that share a doc_id or have none, are packed
+as often as they occur. `rounds` and `patience` bound the planner's search for fewer sequences, never what is packed.
 """
 
 from __future__ import annotations
@@ -27,15 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from arbordex.llm.columns import release
-from arbordex.llm.tables import checkpointed, partitions, table
+from arbordex.llm.tables import checkpointed, forgets, mapped, partitions, table
 
 CAPACITY = 1024
 END = 2
 SMALL = CAPACITY // 3
 GROUPS = 240
-#: Words whose ids a task remembers; it forgets them when it ends, as the worker may wait idle or run other stages.
-CACHE = 500_000
+#: Bytes of words and ids that a task remembers; it forgets them, and the tokenizer, when it ends.
+CACHE_BYTES = 24 << 20
 VOCABULARY = "byte_bpe_50k"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SPECIAL = "<|endoftext|>"
@@ -49,12 +49,13 @@ class WordIds(dict):
     """
 
     def __init__(self, encode, prefix: str, bare: WordIds | None = None):
-        self.encode, self.prefix, self.bare = encode, prefix, self if bare is None else bare
+        self.encode, self.prefix, self.bare, self.size = encode, prefix, self if bare is None else bare, 0
         self.marks = {c: encode(c) for c in ".,\n"}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
+        if self.size > CACHE_BYTES:
             self.clear()
+            self.size = 0
         if word[-1:] in (".", ",") and word[:-1].isalpha():
             out = self[word[:-1]] + self.marks[word[-1]]
         elif (at := word.find("\n")) > 0 and not word[at - 1].isspace() and at + 1 < len(word) and not word[at + 1].isspace():
@@ -62,9 +63,18 @@ class WordIds(dict):
         else:
             out = self.encode(self.prefix + word)
         self[word] = out
+        self.size += len(word) + len(out) + 150  # and two objects with their place in the table
         return out
 
 
+@forgets
+@lru_cache(maxsize=4)
+def whole(name: str) -> Tokenizer:
+    """The tokenizer file itself, for texts with the name of a special token."""
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+
+@forgets
 @lru_cache(maxsize=4)
 def encoder(name: str = VOCABULARY):
     """text -> little-endian 32-bit ids, the same as the tokenizer file's.
@@ -72,7 +82,6 @@ def encoder(name: str = VOCABULARY):
     Splitting at single spaces never cuts a token, but where white space surrounds one; such texts, and texts with the
     name of a special token, are encoded whole.
     """
-    whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -86,18 +95,13 @@ def encoder(name: str = VOCABULARY):
 
     def encode(text: str) -> bytes:
         if _SPECIAL in text:
-            return array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
+            return array("I", whole(name).encode(text, add_special_tokens=False).ids).tobytes()
         first, *rest = text.split(" ")
         # a space between two white spaces, or one after white space at the end, may belong to a longer token
         if ("" in rest or _edges(rest)) and any((not b or b[0].isspace()) and (not a or a[-1].isspace()) for a, b in zip([first, *rest], rest)):
             return ordinary(text)
         return (bare[first] if first else b"") + b"".join(map(get, rest))
 
-    def forget() -> None:
-        bare.clear()
-        spaced.clear()
-
-    encode.forget = forget
     return encode
 
 
@@ -123,12 +127,10 @@ def pieces(df: DataFrame, key: str, text: str, name: str = VOCABULARY, capacity:
                 rows += [(k, i, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
             columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
-        encode.forget()
-        release()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    return df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text")).mapInArrow(run, PIECES)
+    return mapped(df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text")), run, PIECES)
 
 
 def linear_groups(counts: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:
@@ -326,7 +328,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(where["sequence"][at] + rank - first), pa.array(where["offset"][at])], names)
 
     names = [c.split()[0] for c in PIECES.split(", ")] + ["sequence_id", "offset"]
-    return numbered.mapInArrow(run, f"{PIECES}, sequence_id long, offset long").unionByName(full)
+    return mapped(numbered, run, f"{PIECES}, sequence_id long, offset long").unionByName(full)
 
 
 def packed_documents(df: DataFrame, key: str, text: str) -> DataFrame:

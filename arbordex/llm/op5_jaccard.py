@@ -3,7 +3,7 @@
 A document's set holds its distinct shingles of SHINGLE words (A-Z lower-cased); fewer words make one shingle, no words none.
 Two documents link if 100 * shared >= PERCENT * united. Every stage keeps every link between different sets:
 
-1. Sets equal by a 128-bit digest are one; their smallest document stands for them.
+1. Sets equal by a 128-bit digest are one; one document stands for them.
 2. A set with a partner leaves at most a fifth of itself unshared. So of its n // 5 + 1 + n // 10 least hashes, more than n // 10
    occur in other sets. Sets that fail this have no partner.
 3. The survivors' shingles are put into one global order, rare ones first. Linked sets share one of their first n // 5 + 1.
@@ -11,12 +11,16 @@ Two documents link if 100 * shared >= PERCENT * united. Every stage keeps every
 4. Each cluster's sets go into a prefix tree, common shingles first so that near copies share long paths. A set walks down
    it, carries its overlap along and leaves subtrees that their sizes and remaining lengths rule out. Sets that are already
    connected are not compared for their own sake: walks go on until all sets that never walked are connected. Clusters of
-   more than BLOCK sets are split into blocks that share a few sets; what these leave apart then meets every block.
+   more than BLOCK sets are split into blocks that share a few sets. Sets that these leave apart meet again by each shingle of
+   their rare beginnings that sets of several groups have, a common one in blocks.
 5. Links, equal sets and nothing else make the components.
 
 A batch settles what its own documents decide and sends one record for each hash, so copies and common lines that fill a
-third of the table cost a reducer one record a batch. Null or empty text: an empty set, linked with nothing. A null doc_id
-counts as the largest id. Rows that share a doc_id are one document, with the links of all of them.
+third of the table cost a reducer one record a batch. Null or empty text: an empty set, linked with nothing. Each row is a
+document of its own, also where rows share a doc_id or have none; a component's id is the smallest that a row of it has, null if
+none has one. Other columns of the input may have any name.
+
+BROADCAST_IDS, BLOCK and PIVOTS choose between ways to the same result.
 """
 
 from __future__ import annotations
@@ -25,14 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordex.llm.columns import Rolling, Words, buffers, mix, passes, ranges, release
+from arbordex.llm.columns import Rolling, Words, buffers, mix, passes, ranges
 from arbordex.llm.graph import components
-from arbordex.llm.op3_substrings import LAST_ID, settle_shared
-from arbordex.llm.packed import bucket_of, per_id, regroup, slices, spread, unpack
-from arbordex.llm.tables import checkpointed, partitions, table
+from arbordex.llm.op3_substrings import settle_shared
+from arbordex.llm.packed import bucket_of, regroup, slices, spread, unpack
+from arbordex.llm.tables import checkpointed, mapped, partitions, table, texts
 
 SHINGLE = 5
 PERCENT = 80
@@ -70,9 +74,9 @@ def _sampled(n: np.ndarray) -> np.ndarray:
 
 
 def map_samples(b: pa.RecordBatch, buckets: int):
-    """Records (key, more, doc, n, kind): 0 size of a set, 1 and 2 a sampled shingle that asks or stands for several, 3 shingles
+    """Records (key, more, row, n, kind): 0 size of a set, 1 and 2 a sampled shingle that asks or stands for several, 3 shingles
     known to be shared, 4 a digest, 5 a document equal to another of the batch (more)."""
-    data, offsets = buffers(b.column(1))
+    data, offsets = buffers(b.column(2))
     ids = b.column(0).to_numpy()
     sizes, digests, keys, owners, at0 = [], [], [], [], 0
     for first, end, part, at in passes(data, offsets):
@@ -123,7 +127,7 @@ def map_samples(b: pa.RecordBatch, buckets: int):
 
 
 def reduce_samples(columns: list[np.ndarray]):
-    """(doc, SIZE n), (doc, SAME smaller doc with an equal set), (doc, SHARED sampled shingles that others have)."""
+    """(row, SIZE n), (row, SAME row of a smaller number with an equal set), (row, SHARED sampled shingles that others have)."""
     key, more, doc, n, kind = columns
     out = lambda d, what, value: (d, [np.full(len(d), what, np.uint8), value.astype(np.int64)])
     yield out(doc[kind == 0], SIZE, n[kind == 0])
@@ -149,7 +153,7 @@ def reduce_samples(columns: list[np.ndarray]):
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(id, n, same, shared) of each document, kept in the shared folder."""
+    """(row, n, same, shared) of each document, kept in the shared folder."""
 
     def run(batches):
         for b in batches:
@@ -160,22 +164,23 @@ def described(docs: DataFrame) -> DataFrame:
                 equal = value[what == SAME]
                 same.append(int(equal.min()) if len(equal) else None)
                 shared.append(int(value[what == SHARED].sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(same, pa.int64()), pa.array(shared, pa.int64())], ["id", "n", "same", "shared"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(same, pa.int64()), pa.array(shared, pa.int64())], ["row", "n", "same", "shared"])
 
     found = regroup(docs, map_samples, ["<u8", "<u8", "<i8", "<i4", "u1"], reduce_samples, ["u1", "<i8"])
-    return checkpointed(per_id(found, ["u1", "<i8"]).mapInArrow(run, "id long, n long, same long, shared long"))
+    return checkpointed(mapped(found, run, "row long, n long, same long, shared long"))
 
 
 def survivor_sets(docs: DataFrame, info: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """(id, hashes binary) of the sets that may have a partner, kept in the shared folder."""
+    """(row, hashes binary) of the sets that may have a partner, kept in the shared folder. Up to `most` survivors are told to all
+    tasks, more are joined."""
     unshared = F.floor(F.col("n") * (100 - PERCENT) / 100)
     sampled = F.least(F.col("n"), unshared + 1 + F.floor(F.col("n") / 10))
-    chosen = info.where("same is null and n > 0").where(F.col("shared") >= sampled - unshared).select("id")
-    ids = chosen.limit(most + 1).toArrow()["id"].to_numpy()
-    if len(ids) <= most:
-        shared = docs.sparkSession.sparkContext.broadcast(np.sort(ids))
+    chosen = info.where("same is null and n > 0").where(F.col("shared") >= sampled - unshared).select("row")
+    rows = chosen.limit(most + 1).toArrow()["row"].to_numpy()
+    if len(rows) <= most:
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(rows))
     else:
-        shared, docs = None, docs.join(chosen, "id", "left_semi")
+        shared, docs = None, docs.join(chosen, "row", "left_semi")
 
     def run(batches):
         for b in (part for whole in batches for part in slices(whole)):
@@ -183,23 +188,24 @@ def survivor_sets(docs: DataFrame, info: DataFrame, most: int = BROADCAST_IDS) -
                 own = b.column(0).to_numpy()
                 at = np.minimum(np.searchsorted(shared.value, own), max(len(shared.value) - 1, 0))
                 b = b.filter(pa.array(shared.value[at] == own if len(shared.value) else np.zeros(len(own), bool)))
-            data, offsets = buffers(b.column(1))
+            data, offsets = buffers(b.column(2))
             blobs = []
             for _, _, part, at in passes(data, offsets):
                 n, _, key = sets(part, at)
                 cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
                 blobs += [key[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["id", "hashes"])
-            del data, offsets, blobs
-            release()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["row", "hashes"])
 
-    made = docs.mapInArrow(run, "id long, hashes binary")
-    # rows that share an id bring their sets along; the larger one stands for them
-    return checkpointed(made.groupBy("id").agg(F.max_by("hashes", F.length("hashes")).alias("hashes")))
+    # equal rows have equal sets, of which the first found stays
+    made = mapped(docs, run, "row long, hashes binary").groupBy("row").agg(F.first("hashes").alias("hashes"))
+    kept = checkpointed(made)
+    if shared is not None:
+        shared.unpersist()
+    return kept
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, row of each hash, hashes) of a batch of survivors."""
+    """(rows, place in them of each hash's row, hashes) of a batch of survivors."""
     data, offsets = buffers(b.column(1))
     n = np.diff(offsets) // 8
     return b.column(0).to_numpy(), np.repeat(np.arange(len(n)), n), np.frombuffer(data.tobytes(), np.uint64)
@@ -222,46 +228,47 @@ def reduce_frequencies(columns: list[np.ndarray]):
     yield doc[n > 1], [place[n > 1], np.minimum(n[n > 1], 1 << 30).astype(np.int32)]
 
 
-def map_prefixes(b: pa.RecordBatch, buckets: int):
-    """Records (key, doc, other): a shingle of a set's rare beginning; or, with key 0, two documents of the batch that share one."""
+def beginnings(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the shingles of each set's rare beginning that another survivor has."""
     found = b.column(2).to_pylist()
-    ids, row, key = _flat(b.select([0, 1]))
+    rows, of, key = _flat(b.select([0, 1]))
     frequency = np.ones(len(key), np.int64)
-    begin = np.searchsorted(row, np.arange(len(ids) + 1))
+    begin = np.searchsorted(of, np.arange(len(rows) + 1))
     for i, f in enumerate(found):
         if f:
             place, n = unpack(f, ["<i4", "<i4"])
             frequency[begin[i] + place] = n
-    order = np.lexsort((key, frequency, row))
-    size = np.diff(begin)
-    first = np.arange(len(key)) - begin[row] <= _unshared(size)[row]
+    order = np.lexsort((key, frequency, of))
+    first = np.arange(len(key)) - begin[of] <= _unshared(np.diff(begin))[of]
     pick = order[first & (frequency[order] > 1)]
-    key, doc = key[pick], ids[row[pick]]
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
+    return key[pick], rows[of[pick]]
+
+
+def _paired(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs of each row with the least row of its key, keys, their least rows)."""
+    order = np.lexsort((row, key))
+    key, row = key[order], row[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
-    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else doc
-    pairs = np.unique(np.stack([doc[~new], least[~new]]), axis=1)
-    bucket = np.concatenate([bucket_of(key[new], buckets), spread(pairs[0], buckets)])
-    low = np.concatenate([key[new], np.zeros(pairs.shape[1], np.uint64)])
-    yield bucket, [low, np.concatenate([doc[new], pairs[0]]), np.concatenate([np.full(new.sum(), -1), pairs[1]])]
+    least = row[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else row
+    return np.unique(np.stack([row[~new], least[~new]]), axis=1), key[new], row[new]
+
+
+def map_prefixes(b: pa.RecordBatch, buckets: int):
+    """Records (key, row, other, paired): a shingle of a set's rare beginning; or two rows of the batch that share one."""
+    pairs, key, row = _paired(*beginnings(b))
+    bucket = np.concatenate([bucket_of(key, buckets), spread(pairs[0], buckets)])
+    zero = np.zeros(pairs.shape[1], np.uint64)
+    yield bucket, [np.concatenate([key, zero]), np.concatenate([row, pairs[0]]), np.concatenate([np.zeros(len(row), np.int64), pairs[1]]), np.repeat(np.array([0, 1], np.uint8), [len(row), len(zero)])]
 
 
 def reduce_prefixes(columns: list[np.ndarray]):
-    """(doc, smaller doc) that share a shingle of both beginnings."""
-    key, doc, other = columns
-    paired = other >= 0
-    yield doc[paired], [other[paired]]
-    key, doc = key[~paired], doc[~paired]
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    if len(key):
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([doc[~new], least[~new]]), axis=1)
-        yield pairs[0], [pairs[1]]
+    """(row, smaller row) that share a shingle of both beginnings."""
+    key, row, other, paired = columns
+    paired = paired == 1
+    yield row[paired], [other[paired]]
+    pairs, _, _ = _paired(key[~paired], row[~paired])
+    yield pairs[0], [pairs[1]]
 
 
 def edges(found: DataFrame) -> DataFrame:
@@ -269,11 +276,22 @@ def edges(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for payload in b.column(1).to_pylist():
-                pairs = np.unique(np.stack(unpack([payload], ["<i8", "<i8"])), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            for row, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                other = np.unique(unpack(payload, ["<i8"])[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), row)), pa.array(other)], ["a", "b"])
+
+    return mapped(found, run, "a long, b long")
+
+
+def prefixes(ranked: DataFrame) -> DataFrame:
+    """(row, key) of the rare beginnings of `ranked` (row, hashes, found)."""
+
+    def run(batches):
+        for b in batches:
+            key, row = beginnings(b)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(key.view(np.int64))], ["row", "key"])
 
-    return found.mapInArrow(run, "a long, b long")
+    return mapped(ranked, run, "row long, key long")
 
 
 class PrefixTree:
@@ -409,78 +427,112 @@ def linked(hashes: list[np.ndarray], groups: list[int] | None = None) -> list[tu
 
 
 def _tree_links(dealt: DataFrame, survivors: DataFrame) -> DataFrame:
-    """(a, b): the links of each group (component, i, j) of `dealt` (id, component, i, j, known), where equal `known` are connected."""
-    held = dealt.join(survivors, "id").repartition(partitions(survivors.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "id")
+    """(a, b): the links of each group (part, i, j) of `dealt` (row, part, i, j, known), where equal `known` are connected."""
+    held = dealt.join(survivors, "row").repartition(partitions(survivors.sparkSession), "part", "i", "j").sortWithinPartitions("part", "i", "j", "row")
 
     def run(batches):
         def parts() -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-            key, ids, known, blobs = None, [], [], []
+            key, rows, known, blobs = None, [], [], []
             for b in batches:
-                for i, k, c, blob in zip(b.column(0).to_pylist(), zip(*(b.column(c).to_pylist() for c in (1, 2, 3))), b.column(4).to_pylist(), b.column(5).to_pylist()):
-                    if k != key and ids:
-                        yield ids, known, blobs
-                        ids, known, blobs = [], [], []
+                for r, k, c, blob in zip(b.column(0).to_pylist(), zip(*(b.column(c).to_pylist() for c in (1, 2, 3))), b.column(4).to_pylist(), b.column(5).to_pylist()):
+                    if k != key and rows:
+                        yield rows, known, blobs
+                        rows, known, blobs = [], [], []
                     key = k
-                    ids.append(i)
+                    rows.append(r)
                     known.append(c)
                     blobs.append(blob)
-            if ids:
-                yield ids, known, blobs
+            if rows:
+                yield rows, known, blobs
 
-        for ids, known, blobs in parts():
-            pairs = [(ids[x], ids[y]) for x, y in linked([np.frombuffer(h, np.uint64) for h in blobs], known)]
+        for rows, known, blobs in parts():
+            pairs = [(rows[x], rows[y]) for x, y in linked([np.frombuffer(h, np.uint64) for h in blobs], known)]
             if pairs:
                 a, b = zip(*pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return held.select("id", "component", "i", "j", "known", "hashes").mapInArrow(run, "a long, b long")
+    return mapped(held.select("row", "part", "i", "j", "known", "hashes"), run, "a long, b long")
+
 
+def _blocks(of: str, block: int) -> Column:
+    return F.ceil(F.col(of) / F.lit(block)).cast("int")
 
-def links(survivors: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): linked survivors, enough of them to connect what all links connect.
+
+def links(ranked: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): linked survivors of `ranked` (row, hashes, found), enough of them to connect what all links connect; `clusters`
+    (row, component) has each once.
 
     First each block of a cluster gets a tree, and about PIVOTS sets of a cluster with several blocks go into all its blocks.
-    That connects almost all that is connected. Then each set outside its cluster's largest group meets every block. Any two
-    sets that are not connected by then have one outside the largest group, so no link is lost.
+    That connects almost all that is connected. Two linked sets that are not connected by then share a shingle of their rare
+    beginnings and are not both in their cluster's largest group. So each shingle that a set outside it shares with a set of another
+    group gets a tree of the sets that begin with it; beyond `block` sets, its outside sets meet its blocks one by one.
     """
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
-    placed = checkpointed(clusters.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    survivors = ranked.select("row", "hashes")
+    sizes = checkpointed(clusters.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", _blocks("size", block)))
+    placed = checkpointed(clusters.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")))
     large = placed.where("blocks > 1")
-    one = placed.select("id", "component", F.col("own").alias("i"), F.lit(0).alias("j"), F.col("id").alias("known"))
-    pivots = large.where(F.pmod(F.xxhash64("id", F.lit(1)), F.col("size")) < PIVOTS).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> own")
-    first = checkpointed(_tree_links(one.unionByName(pivots.select("id", "component", "i", F.lit(0).alias("j"), F.col("id").alias("known"))), survivors))
+    columns = ["row", "part", "i", "j", "known"]
+    one = placed.select("row", F.col("component").alias("part"), F.col("own").alias("i"), F.lit(0).alias("j"), F.col("row").alias("known"))
+    pivots = large.where(F.pmod(F.xxhash64("row", F.lit(1)), F.col("size")) < PIVOTS).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> own")
+    first = checkpointed(_tree_links(one.unionByName(pivots.select("row", F.col("component").alias("part"), "i", F.lit(0).alias("j"), F.col("row").alias("known"))), survivors))
     if large.isEmpty():
         return first
-    known = large.join(components(first).withColumnRenamed("component", "known"), "id", "left").withColumn("known", F.coalesce("known", "id"))
-    grouped = known.groupBy("component", "known").agg(F.count("*").alias("n"))
-    largest = grouped.groupBy("component").agg(F.max_by("known", F.struct("n", "known")).alias("largest"), (F.sum("n") - F.max("n")).alias("outside")).withColumn("chunks", F.ceil(F.col("outside") / F.lit(block)).cast("int"))
-    known = checkpointed(known.join(largest, "component").where("chunks > 0"))
-    chunk = F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int")
-    every = known.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.col("own"))
-    outside = known.where("known <> largest").withColumn("j", chunk).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["id", "component", "i", "j", "known"]
+    known = checkpointed(large.join(components(first).select(F.col("id").alias("row"), F.col("component").alias("known")), "row", "left").select("row", "component", F.coalesce("known", "row").alias("known")))
+    largest = checkpointed(known.groupBy("component", "known").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("known", F.struct("n", "known")).alias("largest"), F.count("*").alias("groups")))
+    known = known.join(largest.where("groups > 1"), "component").select("row", "known", (F.col("known") != F.col("largest")).alias("outside"))
+    begun = checkpointed(prefixes(ranked.join(known.select("row"), "row", "left_semi")).join(known, "row"))
+    shingles = begun.groupBy("key").agg(F.count("*").alias("n"), F.count_if("outside").alias("outside_n"), F.min("known").alias("low"), F.max("known").alias("high"))
+    shingles = checkpointed(shingles.where("outside_n > 0 and low <> high").select("key", _blocks("n", block).alias("blocks"), _blocks("outside_n", block).alias("chunks")))
+    begun = begun.join(shingles, "key").select("row", F.col("key").alias("part"), "known", "outside", "blocks", "chunks", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("own"))
+    every = begun.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.col("own"))
+    outside = begun.where("outside and blocks > 1").withColumn("j", F.pmod(F.xxhash64("row", F.lit(2)), F.col("chunks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return first.unionByName(_tree_links(every.select(columns).unionByName(outside.select(columns)).distinct(), survivors))
 
 
-def joined(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document."""
-    docs = df.select(F.coalesce(df[key].cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(df[text], F.lit("")).alias("text"))
+def related(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((row, n) of each of `texts`, (row, component) of each that is linked with another)."""
     info = described(docs)
     survivors = survivor_sets(docs, info)
-    frequent = per_id(regroup(survivors, map_frequencies, ["<u4", "<i8", "<i4"], reduce_frequencies, ["<i4", "<i4"]), ["<i4", "<i4"])
-    near = regroup(survivors.join(frequent, "id", "left"), map_prefixes, ["<u8", "<i8", "<i8"], reduce_prefixes, ["<i8"])
-    found = links(survivors, components(edges(near)))
-    equal = info.where("same is not null").select(F.col("id").alias("a"), F.col("same").alias("b"))
+    frequent = regroup(survivors, map_frequencies, ["<u4", "<i8", "<i4"], reduce_frequencies, ["<i4", "<i4"])
+    ranked = checkpointed(survivors.join(frequent, "row", "left"))
+    near = regroup(ranked, map_prefixes, ["<u8", "<i8", "<i8", "u1"], reduce_prefixes, ["<i8"])
+    found = links(ranked, components(edges(near)).withColumnRenamed("id", "row"))
+    equal = info.where("same is not null").select(F.col("row").alias("a"), F.col("same").alias("b"))
+    return info.select("row", "n"), components(found.unionByName(equal)).withColumnRenamed("id", "row")
+
+
+def joined(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row."""
+    docs = texts(df, key, text)
+    info, groups = related(docs)
+    ids = docs.select("row", "doc_id")
+    groups = checkpointed(groups)
+    least = checkpointed(groups.join(ids, "row").groupBy("component").agg(F.min("doc_id").alias("least")))
+    named = groups.join(least, "component").select("row", "least", F.lit(True).alias("grouped"))
     return (
-        info.join(components(found.unionByName(equal)), "id", "left")
-        .select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "id"), F.lit(LAST_ID)).alias("component_id"))
+        ids.join(info, "row").join(named, "row", "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("grouped"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 
 def first_of_each(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of df whose document is the smallest of its component; near copies of it go, rows without text stay."""
-    kept = joined(df, key, text).where("component_id <=> doc_id").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_kept"))
-    return df.join(kept, F.coalesce(df[key].cast("long"), F.lit(LAST_ID)) == F.col("_kept"), "left_semi")
+    """The rows of df that come first in their component, by doc_id (null last) and then by an arbitrary order; near copies and
+    repeats of them go, rows without words stay."""
+    docs = texts(df, key, text)
+    info, groups = related(docs)
+    groups = checkpointed(groups)
+    ids = docs.select("row", "doc_id")
+    first = groups.join(ids, "row").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))["row"].alias("row"))
+    # a row's fate: all of its group but the first go; a repeated row with words stays once
+    gone = groups.select("row").join(first.select("row"), "row", "left_anti").select("row", F.lit("gone").alias("fate"))
+    again = ids.groupBy("row").count().where("count > 1").join(info.where("n > 0"), "row").join(gone, "row", "left_anti").select("row", F.lit("again").alias("fate"))
+    fates = checkpointed(gone.unionByName(again))
+    columns = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    numbered = df.select(F.xxhash64(df[key].cast("long"), F.coalesce(df[text], F.lit(""))).alias("row"), *[df[c].alias(x) for c, x in columns.items()]).join(fates, "row", "left")
+    kept = numbered.where("fate is null")
+    if not fates.where("fate = 'again'").isEmpty():
+        kept = kept.unionByName(numbered.where("fate = 'again'").dropDuplicates(["row"]))
+    return kept.select(*[F.col(x).alias(c) for c, x in columns.items()])
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Operator 6, document fingerprints by winnowing, in DataFrame functions alone.
 
-Words are runs without `[\\x20\\x09-\\x0D]`. Each K words in a row give a k-gram hash (rolled from the words' hashes), and of each
-WINDOW k-grams in a row the one with the smallest hash is kept, the rightmost of equals. Kept marks carry their place, so two
+Words are runs without `[\\x20\\x09-\\x0D]`. Each K words in a row give a k-gram hash, and of each WINDOW k-grams in a row the one
+with the smallest hash is kept, the rightmost of equals. A k-gram's hash is made anew from the hashes of its words, which are made
+once: rolling would need a fold over the text, and DataFrame functions copy the whole array at each step of one. Kept marks carry their place, so two
 texts that share any WINDOW + K - 1 words in a row share a mark. A text of fewer words than K is one k-gram; without words it
 has no mark. A mark is one long: 39 bits of hash, then 24 bits that fall with the place (modulo 2**24 words).
 
 Likeness is the Jaccard index of the sets of mark hashes; two texts without marks are alike (1.0). Null text is empty.
-Order: ascending doc_id, a null doc_id last; rows that share a doc_id are one place, whose next document is the next doc_id's
-(where several rows have that one, the one whose beginning sorts first).
+Order: ascending doc_id, a null doc_id after all others; rows that share a doc_id, or have none, are one place, whose next document
+is the next place's (where several rows have that one, the one whose beginning sorts first). Each row gives one row.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from arbordex.llm.tables import checkpointed, partitions, table
 K = 4
 WINDOW = 8
 PLACES = (1 << 24) - 1
-LAST_ID = (1 << 63) - 1
 
 
 def words(text: Column) -> Column:
@@ -64,34 +64,35 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def predecessors(ids: DataFrame) -> DataFrame:
-    """(id, before, quarter): for each id the one before it (the last for the first), and how much of a text that one takes.
+def predecessors(places: DataFrame) -> DataFrame:
+    """(place, before, quarter): for each place the one before it (the last for the first), and how much of a text that one takes.
 
-    ids are dealt into ranges; only one row for each range meets in one place.
+    places are dealt into ranges; only one row for each range meets in one place.
     """
-    spark = ids.sparkSession
-    ranged = checkpointed(ids.groupBy("id").agg(F.max("n").alias("n")).repartitionByRange(partitions(spark), "id").withColumn("range", F.spark_partition_id()))
-    ends = ranged.groupBy("range").agg(F.max(F.struct("id", "n")).alias("last"))
+    spark = places.sparkSession
+    ranged = checkpointed(places.groupBy("place").agg(F.max("n").alias("n")).repartitionByRange(partitions(spark), "place").withColumn("range", F.spark_partition_id()))
+    ends = ranged.groupBy("range").agg(F.max(F.struct("place", "n")).alias("last"))
     every = Window.partitionBy(F.lit(0))
     ends = ends.select("range", F.coalesce(F.lag("last").over(every.orderBy("range")), F.max("last").over(every)).alias("edge"))
-    own = F.lag(F.struct("id", "n")).over(Window.partitionBy("range").orderBy("id"))
-    found = ranged.withColumn("own", own).join(F.broadcast(ends), "range").select("id", F.coalesce("own", "edge").alias("p"))
-    return found.select("id", F.col("p.id").alias("before"), F.floor(F.col("p.n") / 4).cast("int").alias("quarter"))
+    own = F.lag(F.struct("place", "n")).over(Window.partitionBy("range").orderBy("place"))
+    found = ranged.withColumn("own", own).join(F.broadcast(ends), "range").select("place", F.coalesce("own", "edge").alias("p"))
+    return found.select("place", F.col("p.place").alias("before"), F.floor(F.col("p.n") / 4).cast("int").alias("quarter"))
 
 
 def compared(df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row."""
-    docs = df.select(F.coalesce(df[key].cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(df[text], F.lit("")).alias("text"))
-    before = predecessors(docs.select("id", F.char_length("text").alias("n")))
-    following = docs.join(before, "id").select(F.col("before").alias("id"), F.expr("substring(text, 1, quarter)").alias("head"), hashes(marks(F.col("text"))).alias("next_hashes"))
-    following = following.groupBy("id").agg(F.min(F.struct("head", "next_hashes")).alias("next"))
+    doc_id = df[key].cast("long")
+    docs = df.select(F.struct(doc_id.isNull().alias("nameless"), F.coalesce(doc_id, F.lit(0)).alias("id")).alias("place"), F.coalesce(df[text], F.lit("")).alias("text"))
+    before = predecessors(docs.select("place", F.char_length("text").alias("n")))
+    following = docs.join(before, "place").select(F.col("before").alias("place"), F.expr("substring(text, 1, quarter)").alias("head"), hashes(marks(F.col("text"))).alias("next_hashes"))
+    following = following.groupBy("place").agg(F.min(F.struct("head", "next_hashes")).alias("next"))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
-    edited = docs.join(following, "id").select("id", "text", n.alias("n"), F.col("next.next_hashes").alias("next_hashes"), F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next.head", F.lit(1), quarter)).alias("edited"))
-    marked = edited.select("id", "n", "next_hashes", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), marks(F.col("text")).alias("own"), marks(F.col("edited")).alias("changed"))
+    edited = docs.join(following, "place").select("place", "text", n.alias("n"), F.col("next.next_hashes").alias("next_hashes"), F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next.head", F.lit(1), quarter)).alias("edited"))
+    marked = edited.select("place", "n", "next_hashes", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), marks(F.col("text")).alias("own"), marks(F.col("edited")).alias("changed"))
     sets = marked.select("*", hashes(F.col("own")).alias("own_hashes"), hashes(F.col("changed")).alias("changed_hashes"))
     return sets.select(
-        F.nullif(F.col("id"), F.lit(LAST_ID)).alias("doc_id"),
+        F.when(~F.col("place.nameless"), F.col("place.id")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",
         shown(F.col("own")).alias("fingerprint"),

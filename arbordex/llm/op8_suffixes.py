@@ -27,9 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbordex.llm.columns import Rolling, buffers, byte_values, passes
-from arbordex.llm.op3_substrings import LAST_ID
-from arbordex.llm.packed import bucket_of, per_id, regroup, spread, unpack
-from arbordex.llm.tables import table
+from arbordex.llm.packed import bucket_of, regroup, spread, unpack
+from arbordex.llm.tables import mapped, table, texts
 
 LENGTH = 200
 GRAM = 16
@@ -88,7 +87,7 @@ def _classes(name: np.ndarray, around: np.ndarray, doc: np.ndarray, start: np.nd
 def map_stretches(b: pa.RecordBatch, buckets: int):
     """Records (stretch, surroundings, doc, place, reach, state); state 0 asks, 1 and 3 know that all strings repeat and that they
     are to be ranked, 2 stands for two or more equal surroundings."""
-    data, offsets = buffers(b.column(1))
+    data, offsets = buffers(b.column(2))
     ids, parts = b.column(0).to_numpy(), []
     for first, end, part, at in passes(data, offsets):
         rolling = Rolling(byte_values(part))
@@ -173,8 +172,8 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def map_strings(b: pa.RecordBatch, buckets: int):
     """Records (rank, doc, start, size, state) of strings: 0 asks, 1 is known to repeat (a run of bytes), 2 stands for several."""
-    data, offsets = buffers(b.column(1))
-    ids, found = b.column(0).to_numpy(), b.column(2).to_pylist()
+    data, offsets = buffers(b.column(2))
+    ids, found = b.column(0).to_numpy(), b.column(3).to_pylist()
     ranked, known = [], []
     for first, end, part, at in passes(data, offsets):
         if not any(found[first:end]):
@@ -236,14 +235,18 @@ def reduce_strings(columns: list[np.ndarray]):
 
 def deduplicated(df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of each row."""
-    docs = df.select(F.coalesce(df[key].cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(df[text], F.lit("")).alias("text"))
-    stretches = per_id(regroup(docs, map_stretches, ["<u4", "<u8", "<i8", "<i4", "u1", "u1"], reduce_stretches, _FOUND), _FOUND)
-    strings = per_id(regroup(docs.join(stretches, "id", "left"), map_strings, ["<u8", "<i8", "<i4", "<i4", "u1"], reduce_strings, ["<i4", "<i4"]), ["<i4", "<i4"])
+    docs = texts(df, key, text)
+    stretches = regroup(docs, map_stretches, ["<u4", "<u8", "<i8", "<i4", "u1", "u1"], reduce_stretches, _FOUND)
+    strings = regroup(docs.join(stretches, "row", "left"), map_strings, ["<u8", "<i8", "<i4", "<i4", "u1"], reduce_strings, ["<i4", "<i4"])
+    again = docs.groupBy("row").count().where("count > 1").select("row", F.lit(True).alias("again"))
 
     def run(batches):
         for b in batches:
             rows = []
-            for t, found in zip(b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist()):
+            for t, found, twice in zip(b.column(2).cast(pa.large_binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                if twice and len(t) >= LENGTH:
+                    rows.append((len(t), len(t), 1, b""))
+                    continue
                 if not found:
                     rows.append((len(t), 0, 0, t))
                     continue
@@ -254,11 +257,11 @@ def deduplicated(df: DataFrame, key: str, text: str) -> DataFrame:
                 drop = np.cumsum(delta[: len(t)]) > 0
                 rows.append((len(t), int(drop.sum()), len(_runs(drop)[0]), np.frombuffer(t, np.uint8)[~drop].tobytes()))
             columns = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names)
 
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept"]
-    made = docs.join(strings, "id", "left").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return made.select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+    found = docs.join(strings, "row", "left").join(again, "row", "left")
+    return mapped(found, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

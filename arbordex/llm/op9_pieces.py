@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
 from arbordex.llm.columns import buffers, mix, passes, ranges
-from arbordex.llm.tables import table
+from arbordex.llm.tables import forgets, mapped, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "\u2581"
@@ -86,6 +86,7 @@ class Vocabulary:
         return found, at
 
 
+@forgets
 @lru_cache(maxsize=2)
 def vocabulary(name: str = MODEL) -> Vocabulary:
     return Vocabulary(public_tokenizers.path(name))
@@ -214,7 +215,7 @@ def encoded(df: DataFrame, key: str, text: str, sharpness: float = SHARPNESS) ->
                 pieces = encode(keys[first:end], texts, known, sharpness)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(pieces, pa.list_(pa.int32()))], [key, "pieces"])
 
-    return df.select(df[key].cast("long").alias(key), df[text].alias("_text")).mapInArrow(run, f"`{key}` long, pieces array<int>")
+    return mapped(df.select(df[key].cast("long").alias(key), df[text].alias("_text")), run, f"`{key}` long, pieces array<int>")
 
 
 def decoded(df: DataFrame, key: str, pieces: str = "pieces") -> DataFrame:
@@ -226,7 +227,7 @@ def decoded(df: DataFrame, key: str, pieces: str = "pieces") -> DataFrame:
             texts = [decode(x or [], known) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string())], [key, "text"])
 
-    return df.select(df[key].cast("long").alias(key), df[pieces].alias("_pieces")).mapInArrow(run, f"`{key}` long, text string")
+    return mapped(df.select(df[key].cast("long").alias(key), df[pieces].alias("_pieces")), run, f"`{key}` long, text string")
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,4 +245,4 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha)], ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
 
     docs = table(spark, sf_dir, "documents")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
+    return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")

@@ -1,7 +1,8 @@
 """Shuffles of many small records as packed columns.
 
 A mapper turns texts into numpy records, each with a bucket; the records of a batch that go to one bucket travel as one row
-(bucket, payload). A reducer gets all records of a bucket as columns. Sorting and grouping are numpy's, moving is Spark's.
+(bucket, payload). Spark sorts these rows by bucket, and a reducer gets all records of one bucket as columns, one bucket after
+another. Sorting and grouping within a bucket are numpy's, moving and sorting by bucket are Spark's.
 
 No bucket grows with a hot key as long as the mapper sends at most a few records of a key for each batch; the mappers here
 settle what a batch alone can settle and send the rest.
@@ -16,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from arbordex.llm.columns import mix, release
-from arbordex.llm.tables import partitions
+from arbordex.llm.tables import mapped, partitions
 
-#: Buckets for each shuffle partition; more of them bound a reducer's memory more closely.
-BUCKETS = 2
+#: Buckets for each shuffle partition: a reducer holds one of them at a time, next to RESULT_BYTES of results.
+BUCKETS = 8
 #: Bytes of a batch that a mapper takes at once.
 BATCH_BYTES = 6 << 20
+#: Bytes of results that a reducer gathers before it sends them on.
+RESULT_BYTES = 4 << 20
+ROW = "row long, found array<binary>"
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -29,9 +33,9 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def spread(ids: np.ndarray, buckets: int) -> np.ndarray:
+def spread(rows: np.ndarray, buckets: int) -> np.ndarray:
     """A bucket for records that need no meeting."""
-    return bucket_of(mix(ids.view(np.uint64)), buckets)
+    return bucket_of(mix(rows.view(np.uint64)), buckets)
 
 
 def pack(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
@@ -71,56 +75,91 @@ def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield b.slice(first, rows)
 
 
-def _rows(rows: list[tuple[int, bytes]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names)
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about BATCH_BYTES of small ones, so that a mapper settles as much as it may hold."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if held and size + b.nbytes > BATCH_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
 
+def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
-def _held(batches) -> dict[int, list[bytes]]:
-    held: dict[int, list[bytes]] = {}
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The payloads of each bucket; rows come sorted by bucket."""
+    now, held = None, []
     for b in batches:
         for bucket, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held.setdefault(bucket, []).append(payload)
-    return held
+            if bucket != now and held:
+                yield held
+                held = []
+            now = bucket
+            held.append(payload)
+    if held:
+        yield held
 
 
-def regroup(df: DataFrame, mapper: Mapper, kinds: list[str], reducer: Reducer, out: list[str]) -> DataFrame:
-    """(bucket long, payload binary): mapper(batch, buckets) yields (bucket, columns of `kinds`); reducer(columns of a bucket) yields
-    (id, columns of `out`). A payload holds the ids and columns that one task found for one bucket of ids; see `per_id`."""
+def _sent(df: DataFrame) -> DataFrame:
+    return df.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
+def scattered(df: DataFrame, mapper: Mapper) -> DataFrame:
+    """(bucket, payload), dealt and sorted by bucket: mapper(batch, buckets) yields (bucket, columns). The first column of df is `row`."""
     buckets = BUCKETS * partitions(df.sparkSession)
 
     def scatter(batches):
-        for b in batches:
-            for part in slices(b):
-                yield _rows([r for bucket, columns in mapper(part, buckets) for r in pack(bucket, columns)], ["bucket", "payload"])
-                release()
+        for b in gathered(part for whole in batches for part in slices(whole)):
+            # equal rows share their number, and one of them speaks for all
+            _, first = np.unique(b.column(0).to_numpy(), return_index=True)
+            if len(first) < b.num_rows:
+                b = b.take(pa.array(np.sort(first)))
+            yield _rows([r for bucket, columns in mapper(b, buckets) for r in pack(bucket, columns)])
+            release()
+
+    return _sent(mapped(df, scatter, "bucket long, payload binary"))
+
+
+def regroup(df: DataFrame, mapper: Mapper, kinds: list[str], reducer: Reducer, out: list[str]) -> DataFrame:
+    """(row, found array<binary>), one for each row that something was found for: mapper(batch, buckets) yields (bucket, columns of
+    `kinds`); reducer(columns of a bucket) yields (rows, columns of `out`); `found` is a list of one payload of `out`."""
+    buckets = BUCKETS * partitions(df.sparkSession)
 
     def gather(batches):
-        held, ids, columns = _held(batches), [], [[] for _ in out]
-        for bucket in sorted(held):
-            for found, parts in reducer(unpack(held.pop(bucket), kinds)):
-                ids.append(found)
-                for c, p in zip(columns, parts):
-                    c.append(p)
-        if ids:
-            every = np.concatenate(ids).astype("<i8")
-            yield _rows(list(pack(spread(every, buckets), [every, *(np.concatenate(c).astype(k) for c, k in zip(columns, out))])), ["bucket", "payload"])
-        del held, ids, columns
-        release()
-
-    sent = df.mapInArrow(scatter, "bucket long, payload binary").repartition(partitions(df.sparkSession), "bucket")
-    return sent.mapInArrow(gather, "bucket long, payload binary")
-
-
-def per_id(found: DataFrame, out: list[str]) -> DataFrame:
-    """(id, found array<binary>): what `regroup` found for each id, its columns packed; one row for each id."""
-
-    def run(batches):
-        held = _held(batches)
-        for bucket in sorted(held):
-            ids, *columns = unpack(held.pop(bucket), ["<i8", *out])
-            rows = list(pack(ids, columns))
-            for first in range(0, len(rows), 10_000):
-                part = rows[first : first + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([[r[1]] for r in part], pa.list_(pa.binary()))], ["id", "found"])
-
-    return found.repartition(partitions(found.sparkSession), "bucket").mapInArrow(run, "id long, found array<binary>")
+        def flushed() -> pa.RecordBatch:
+            every = np.concatenate(rows).astype("<i8")
+            parts = [np.concatenate(c).astype(k) for c, k in zip(columns, out)]
+            return _rows(list(pack(spread(every, buckets), [every, *parts])))
+
+        rows, columns, size = [], [[] for _ in out], 0
+        for payloads in by_bucket(batches):
+            for found, parts in reducer(unpack(payloads, kinds)):
+                if len(found):
+                    rows.append(found)
+                    for c, p in zip(columns, parts):
+                        c.append(p)
+                    size += found.nbytes + sum(p.nbytes for p in parts)
+            if size > RESULT_BYTES:
+                yield flushed()
+                rows, columns, size = [], [[] for _ in out], 0
+                release()
+        if rows:
+            yield flushed()
+
+    def each(batches):
+        for payloads in by_bucket(batches):
+            rows, *columns = unpack(payloads, ["<i8", *out])
+            packed = list(pack(rows, columns))
+            for first in range(0, len(packed), 2000):
+                part = packed[first : first + 2000]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([[r[1]] for r in part], pa.list_(pa.binary()))], ["row", "found"])
+
+    return mapped(_sent(mapped(scattered(df, mapper), gather, "bucket long, payload binary")), each, ROW)

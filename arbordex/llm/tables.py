@@ -1,18 +1,76 @@
-"""Where the operators' queries find their tables."""
+"""Where the operators' queries find their tables, and how their Python functions run over them."""
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arbordex.llm.columns import release
+
+#: Settings that bound what one Arrow batch and one Parquet batch hold where texts are long; (setting, Spark's default, ours).
+BATCHES = (
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"),
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "4000"),
+    ("spark.sql.parquet.columnarReaderBatchSize", "4096", "512"),
+)
+
+_caches: list[Callable[[], None]] = []
+
+
+def forgets(cached):
+    """A cached function whose values go when a task ends, as its worker may wait idle or run other stages next."""
+    _caches.append(cached.cache_clear)
+    return cached
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the session's batches, except where it has settings of its own."""
+    for name, default, ours in BATCHES:
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
+
+
+def _tidy() -> None:
+    for forget in _caches:
+        forget()
+    gc.collect()
+    release()
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow with bounded batches; a task gives its memory back when it ends, also where it fails or stops early."""
+    bounded(df.sparkSession)
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _tidy()
+
+    return df.mapInArrow(task, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, doc_id, text): a null text is empty. `row` tells rows apart that share an id or have none; equal rows share it."""
+    doc_id, filled = df[key].cast("long"), F.coalesce(df[text], F.lit(""))
+    return df.select(F.xxhash64(doc_id, filled).alias("row"), doc_id.alias("doc_id"), filled.alias("text"))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. Without one only a local session gets a folder of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "/tmp/arbordex-checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
@@ -27,3 +85,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

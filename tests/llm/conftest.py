@@ -2,11 +2,7 @@ import random
 
 import pytest
 
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
-
-
-def prose(rng, n):
-    return " ".join(rng.choice(WORDS) + rng.choice(["", "s", "ing", "ed"]) for _ in range(n))
+from samples import prose
 
 
 @pytest.fixture(scope="session")
