@@ -1,20 +1,24 @@
 """Operator 9, SentencePiece encoding and decoding with sampled segmentations.
 
-A word (with the space before it) is a lattice of the vocabulary's pieces. Forward filtering sums, for each place, the weight of
+A word, with the spaces before it, is a lattice of the vocabulary's pieces. Forward filtering sums, for each place, the weight of
 all ways to reach it; backward sampling then draws pieces from the end, each in proportion to the ways through it, so a
 segmentation comes with the probability exp(SHARPNESS * sum of its pieces' log-probabilities), normalised. The vocabulary ranks
 its pieces; log-probabilities are those of a Zipf law over these ranks. Draws depend on the row's key, the word's place in the
 row and the place in the word alone, so a row gives the same pieces in any batch, partition or run.
 
-Characters without a piece of their own are written as byte pieces, and so is the character that stands for a space, so
-decoding gives back every text. Pieces of several spaces are not used, so words are independent; a word of more than MAX_WORD
-characters is cut into parts. Null or empty text: no pieces, decoded as empty. A null key draws like key 0. Rows that repeat a
-key and a text repeat its pieces.
+Pieces may hold spaces only at their beginning, so none reaches over the end of a word and words are independent; a vocabulary with
+others is refused. The longest piece bounds a step's ways. Words of more than STRIP characters are filtered and sampled in strips
+with the same sums, whole and with a bounded lattice.
+
+Characters without a piece of their own are written as byte pieces, and so is the character that stands for a space, so decoding
+gives back every text. Null or empty text: no pieces, decoded as empty. A null key draws like key 0. Rows that repeat a key and a
+text repeat its pieces. Other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from functools import lru_cache
 
@@ -32,10 +36,14 @@ SPACE = "\u2581"
 _TRUE = "\udc81"
 SHARPNESS = 1.0
 SEED = 20240229
-MAX_WORD = 48
-LONGEST = 16
-_WIDTHS = (4, 8, 12, 16, 24, MAX_WORD + 1)
+#: Characters that one lattice spans at most; the strips of longer words are of this size.
+STRIP = 2048
+#: Words of up to so many characters are filtered together.
+_WIDTHS = (4, 8, 12, 16, 24, 48)
+#: The log-probability of a character without a piece.
+_FALLBACK = -12.0
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
+_WORD = re.compile(" *[^ ]+| +")
 
 
 class Vocabulary:
@@ -54,9 +62,11 @@ class Vocabulary:
                 self.byte_id[self.bytes[i][0]] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 rank += 1
-                if len(piece) <= LONGEST and SPACE not in piece[1:]:
-                    usable.append((piece, i, rank))
+                if SPACE in piece.lstrip(SPACE):
+                    raise ValueError(f"a piece that reaches over the end of a word: {piece!r}")
+                usable.append((piece, i, rank))
                 self.bytes[i] = piece.replace(SPACE, " ").encode()
+        self.longest = max(len(p) for p, _, _ in usable)
         hashes = np.array([self._hash(p) for p, _, _ in usable], np.uint64)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
@@ -92,6 +102,25 @@ def vocabulary(name: str = MODEL) -> Vocabulary:
     return Vocabulary(public_tokenizers.path(name))
 
 
+def _steps(points: np.ndarray, known: Vocabulary, sharpness: float, longest: int):
+    """For each piece length from 1: (weight, piece) of the pieces that begin at each place of rows of code points."""
+    width = points.shape[1]
+    rolled = np.zeros(points.shape, np.uint64)
+    for length in range(1, min(longest, width) + 1):
+        rolled = rolled[:, : width - length + 1] * _ROLL + points[:, length - 1 :] + np.uint64(1)
+        found, at = known.find(rolled)
+        w = np.where(found, known.weights[at] * np.float32(sharpness), np.float32(-np.inf))
+        p = np.where(found, known.ids[at], 0)
+        if length == 1:
+            w = np.where(found, w, np.float32(sharpness * _FALLBACK))
+            p = np.where(found, p, -1 - points.astype(np.int64))
+        yield w, p
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
 class Lattices:
     """For each word and each end place in it: the cumulative probability of the last piece's length, and the pieces."""
 
@@ -99,34 +128,25 @@ class Lattices:
         self.length = np.array([len(w) for w in words])
         self.first = np.cumsum(self.length) - self.length
         total = int(self.length.sum())
-        self.chance = np.ones((total, LONGEST), np.float32)
-        self.piece = np.zeros((total, LONGEST), np.int32)
+        self.chance = np.ones((total, known.longest), np.float32)
+        self.piece = np.zeros((total, known.longest), np.int32)
         low = 0
-        for width in _WIDTHS:
+        for width in (*_WIDTHS, *sorted({n for n in self.length.tolist() if n > _WIDTHS[-1]})):
             some = np.flatnonzero((self.length > low) & (self.length <= width))
             low = width
             if len(some):
                 self._fill(some, [words[i] for i in some.tolist()], width, known, sharpness)
 
     def _fill(self, some: np.ndarray, words: list[str], width: int, known: Vocabulary, sharpness: float) -> None:
-        n = len(words)
-        points = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width).astype(np.uint64)
+        n, longest = len(words), min(known.longest, width)
+        points = _points("".join(w.ljust(width, "\0") for w in words)).reshape(n, width)
         ways = np.full((n, width + 1), -np.inf, np.float32)
         ways[:, 0] = 0
-        longest = min(LONGEST, width)
         weight = np.full((width + 1, longest, n), -np.inf, np.float32)
         piece = np.zeros((width + 1, longest, n), np.int32)
-        rolled = np.zeros((n, width), np.uint64)
-        for length in range(1, longest + 1):
-            rolled = rolled[:, : width - length + 1] * _ROLL + points[:, length - 1 :] + np.uint64(1)
-            found, at = known.find(rolled)
-            w = np.where(found, known.weights[at] * np.float32(sharpness), np.float32(-np.inf))
-            p = np.where(found, known.ids[at], 0)
-            if length == 1:
-                w = np.where(found, w, np.float32(-sharpness * 12.0))
-                p = np.where(found, p, -1 - points.astype(np.int64))
-            for end in range(length, width + 1):
-                weight[end, length - 1], piece[end, length - 1] = w[:, end - length], p[:, end - length]
+        for k, (w, p) in enumerate(_steps(points, known, sharpness, longest)):
+            for end in range(k + 1, width + 1):
+                weight[end, k], piece[end, k] = w[:, end - k - 1], p[:, end - k - 1]
         rows = self.first[some]
         for end in range(1, width + 1):
             k = min(longest, end)
@@ -141,15 +161,47 @@ class Lattices:
             self.piece[at, :k] = piece[end, :k].T[here]
 
 
+def _strip(points: np.ndarray, begin: int, end: int, known: Vocabulary, sharpness: float) -> tuple[np.ndarray, np.ndarray]:
+    """(weight, piece) of each length for each end place in (begin, end] of a long word."""
+    first = max(0, begin - known.longest + 1)
+    weight = np.full((end - begin, known.longest), -np.inf)
+    piece = np.zeros((end - begin, known.longest), np.int64)
+    for k, (w, p) in enumerate(_steps(points[None, first:end], known, sharpness, known.longest)):
+        last = np.arange(first + k + 1, end + 1)  # where the pieces of this length end
+        inside = last > begin
+        weight[last[inside] - begin - 1, k], piece[last[inside] - begin - 1, k] = w[0, inside], p[0, inside]
+    return weight, piece
+
+
+def sampled_long(word: str, seed: np.uint64, known: Vocabulary, sharpness: float) -> tuple[np.ndarray, np.ndarray]:
+    """(start, id) of the pieces of a word of more than STRIP characters: one pass of sums forwards, one of draws backwards."""
+    points, n = _points(word), len(word)
+    ways = np.zeros(n + 1)
+    for begin in range(0, n, STRIP):
+        weight, _ = _strip(points, begin, min(begin + STRIP, n), known, sharpness)
+        for i, w in enumerate(weight, begin + 1):
+            k = min(known.longest, i)
+            each = w[:k] + ways[i - k : i][::-1]
+            top = each.max()
+            ways[i] = top + np.log(np.exp(each - top).sum())
+    starts, ids, at = [], [], n
+    draws = (mix(seed + np.arange(n + 1).astype(np.uint64)) >> np.uint64(40)).astype(np.float64) / (1 << 24)
+    for begin in reversed(range(0, n, STRIP)):
+        weight, piece = _strip(points, begin, min(begin + STRIP, n), known, sharpness)
+        while at > begin:
+            k = min(known.longest, at)
+            odds = np.cumsum(np.exp(weight[at - begin - 1, :k] + ways[at - k : at][::-1] - ways[at]))
+            length = min(int((odds / odds[-1] <= draws[at]).sum()), k - 1)
+            ids.append(piece[at - begin - 1, length])
+            at -= length + 1
+            starts.append(at)
+    return np.array(starts), np.array(ids)
+
+
 def words_of(text: str) -> list[str]:
-    """The text's words with the space sign in front; a true space sign becomes a lone surrogate, which no text has."""
-    if not text:
-        return []
-    text = text.replace(SPACE, _TRUE)
-    out = [SPACE + w for w in text.split(" ")]
-    if any(len(w) > MAX_WORD + 1 for w in out):
-        out = [w[i : i + MAX_WORD] for w in out for i in range(0, len(w), MAX_WORD)]
-    return out
+    """The text's words with the spaces before them, of which the first gets one more; a true space sign becomes a lone surrogate,
+    which no text has."""
+    return [w.replace(" ", SPACE) for w in _WORD.findall(" " + text.replace(SPACE, _TRUE))] if text else []
 
 
 def encode(keys: np.ndarray, texts: list[str], known: Vocabulary, sharpness: float = SHARPNESS) -> list[np.ndarray]:
@@ -162,20 +214,26 @@ def encode(keys: np.ndarray, texts: list[str], known: Vocabulary, sharpness: flo
         counts.append(len(own))
     if not words:
         return [np.zeros(0, np.int64)] * len(texts)
+    every = list(index)
+    long = np.array([len(w) > STRIP for w in every])
     word, n = np.array(words), np.array(counts)
     row = np.repeat(np.arange(len(texts)), n)
     seed = mix(mix(keys.view(np.uint64) + np.uint64(SEED))[row] + ranges(n).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    lattice = Lattices(list(index), known, sharpness)
-    at, alive, found = lattice.length[word].copy(), np.arange(len(word)), []
+    lattice = Lattices(["" if x else w for w, x in zip(every, long.tolist())], known, sharpness)
+    found = []
+    for i in np.flatnonzero(long[word]).tolist():
+        starts, ids = sampled_long(every[word[i]], seed[i], known, sharpness)
+        found.append((np.full(len(ids), i), starts, ids))
+    at, alive = lattice.length[word].copy(), np.flatnonzero(~long[word])
     while len(alive):
         node = lattice.first[word[alive]] + at[alive] - 1
         draw = (mix(seed[alive] + at[alive].astype(np.uint64)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
-        length = np.minimum((lattice.chance[node] <= draw[:, None]).sum(axis=1), np.minimum(at[alive], LONGEST) - 1)
+        length = np.minimum((lattice.chance[node] <= draw[:, None]).sum(axis=1), np.minimum(at[alive], known.longest) - 1)
         at[alive] -= length + 1
         found.append((alive, at[alive], lattice.piece[node, length].astype(np.int64)))
         alive = alive[at[alive] > 0]
     which, start, ids = (np.concatenate(c) for c in zip(*found))
-    order = np.argsort(which * (MAX_WORD + 2) + start, kind="stable")
+    order = np.lexsort((start, which))
     which, ids = which[order], ids[order]
     if (ids < 0).any():
         parts = []
@@ -196,7 +254,7 @@ def decode(ids: list[int], known: Vocabulary) -> bytes:
     return b"".join(map(known.bytes.__getitem__, ids))[1:]
 
 
-def _texts(column: pa.Array, size: int = 1 << 20):
+def _texts(column: pa.Array, size: int = 1 << 19):
     """(first row, end row, texts) of passes over a text column."""
     data, offsets = buffers(column)
     for first, end, part, at in passes(data, offsets, size):

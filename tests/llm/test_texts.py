@@ -239,23 +239,43 @@ def test_pieces_are_lossless_and_reproducible(docs, corpus, none):
     assert op9_pieces.encoded(none, "doc_id", "text").count() == 0
 
 
-def test_pieces_follow_the_lattice():
-    from collections import Counter
+def ways(known, s):
+    """Each segmentation of s into pieces, with its weight."""
     from math import exp
 
-    known, n = op9_pieces.vocabulary(), 40000
-    drawn = Counter(tuple(x.tolist()) for x in op9_pieces.encode(np.arange(n), ["there"] * n, known))
-    weight = {known.bytes[i].decode(): (i, float(w)) for i, w in zip(known.ids.tolist(), known.weights)}
+    weight = {known.bytes[i].decode("utf-8", "replace"): (i, float(w)) for i, w in zip(known.ids.tolist(), known.weights)}
 
-    def ways(s):
+    def split(s):
         if not s:
             yield ()
         for k in range(1, len(s) + 1):
             if s[:k] in weight:
-                yield from ((s[:k], *rest) for rest in ways(s[k:]))
+                yield from ((s[:k], *rest) for rest in split(s[k:]))
+
+    return {tuple(weight[p][0] for p in w): exp(sum(weight[p][1] for p in w)) for w in split(s)}
+
 
-    odds = {tuple(weight[p][0] for p in w): exp(sum(weight[p][1] for p in w)) for w in ways(" there")}
+@pytest.mark.parametrize("word", [" there", "    so", "   "])
+def test_pieces_follow_the_lattice(word, monkeypatch):
+    from collections import Counter
+
+    known, n = op9_pieces.vocabulary(), 40000
+    odds = ways(known, word)
     total = sum(odds.values())
-    assert max(abs(drawn[w] / n - o / total) for w, o in odds.items()) < 0.01
-    text = "▁ a▁b  😀".encode("utf-16", "surrogatepass").decode("utf-16") + "x" * 300
-    assert op9_pieces.decode(op9_pieces.encode(np.array([7]), [text], known)[0].tolist(), known).decode() == text
+    drawn = Counter(tuple(x.tolist()) for x in op9_pieces.encode(np.arange(n), [word[1:]] * n, known))
+    assert set(drawn) <= set(odds) and max(abs(drawn[w] / n - o / total) for w, o in odds.items()) < 0.01
+    # the same distribution in strips
+    monkeypatch.setattr(op9_pieces, "STRIP", 2)
+    drawn = Counter(tuple(x.tolist()) for x in op9_pieces.encode(np.arange(6000), [word[1:]] * 6000, known))
+    assert set(drawn) <= set(odds) and max(abs(drawn[w] / 6000 - o / total) for w, o in odds.items()) < 0.03
+
+
+def test_long_words_are_whole_and_lossless():
+    known = op9_pieces.vocabulary()
+    text = "▁ a▁b  😀" + "x" * 300 + "  " * 40 + "long" * 1500 + " " * 5000
+    alone = op9_pieces.encode(np.array([7]), [text], known)[0].tolist()
+    assert op9_pieces.decode(alone, known).decode() == text
+    # what stands beside a text, or a longer word in it, changes nothing
+    a, b = op9_pieces.encode(np.array([7, 7]), ["y" * 48, "y" * 48 + " " + "z" * 3000], known)
+    assert a.tolist() == b.tolist()[: len(a)]
+    assert op9_pieces.encode(np.array([1, 7]), ["z" * 9000, text], known)[1].tolist() == alone
