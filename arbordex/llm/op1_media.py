@@ -26,29 +26,28 @@ STEP = 1 << 19
 
 
 def clips(df: DataFrame, key: str, media: str) -> DataFrame:
-    """(key, clip, first_frame, end_frame, start_s, end_s, mean_level, error) of each shot of each AVI file."""
-    source = df.select(df[key].alias("key"), df[media].cast("binary").alias("media"))
+    """(key, clip, first_frame, end_frame, start_s, end_s, mean_level, error) of each shot of each AVI file. The key may be of any
+    type; if it has the name of another of these columns, it comes out as `key`."""
+    names = [c.split()[0] for c in CLIPS.split(", ")]
 
     def run(batches):
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string())
         for b in batches:
-            rows = []
-            for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            rows: list[tuple] = []
+            for i in range(b.num_rows):
+                m = b.column(1)[i].as_py()
                 if m is None:
                     continue
                 try:
                     [(fps, frames)] = mjpeg.read_frames([m])
-                    rows += [{"key": k, "clip": i, "first_frame": c.first, "end_frame": c.end, "start_s": c.start_s, "end_s": c.end_s, "mean_level": c.mean, "error": None} for i, c in enumerate(mjpeg.shots(frames, fps))]
+                    rows += [(i, k, c.first, c.end, c.start_s, c.end_s, c.mean, None) for k, c in enumerate(mjpeg.shots(frames, fps))]
                 except (ValueError, KeyError, IndexError, StopIteration, mjpeg.struct.error) as e:
-                    rows.append({"key": k, "clip": None, "error": str(e) or type(e).__name__})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    kind = dict(source.dtypes)["key"]
-    schema = pa.schema([("key", _arrow(kind)), ("clip", pa.int32()), ("first_frame", pa.int32()), ("end_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("mean_level", pa.float64()), ("error", pa.string())])
-    return source.mapInArrow(run, f"key {kind}, {CLIPS}").withColumnRenamed("key", key)
+                    rows.append((i, *[None] * 6, str(e) or type(e).__name__))
+            columns = list(zip(*rows)) if rows else [()] * 8
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], kinds))], ["key", *names])
 
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    source = df.select(df[key].alias("key"), df[media].cast("binary").alias("media"))
+    return mapped(source, run, f"key {dict(source.dtypes)['key']}, {CLIPS}").withColumnRenamed("key", "key" if key in names else key)
 
 
 def payload(text: bytes) -> bytes:

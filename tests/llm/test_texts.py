@@ -67,6 +67,188 @@ def test_baseline_frames_and_shots(spark):
     assert rows[1].start_s == pytest.approx(6 / 25) and "AVI" in rows[2].error
 
 
+def code_words(counts, symbols):
+    out, code, at = {}, 0, 0
+    for n, c in enumerate(counts, 1):
+        for _ in range(c):
+            out[symbols[at]] = format(code, f"0{n}b")
+            code, at = code + 1, at + 1
+        code *= 2
+    return out
+
+
+def magnitude(v):
+    n = abs(v).bit_length()
+    return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+
+def stuffed(bits):
+    bits += "1" * (-len(bits) % 8)
+    return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+
+
+def colour_frame(rng, columns, rows, restart):
+    """A 4:2:0 frame without Huffman tables, and its luma by the textbook formula."""
+    books = {}
+    for k, (counts, first) in mjpeg.TYPICAL.items():
+        symbols = list(bytes.fromhex(first))
+        rest = [r << 4 | n for r in range(16) for n in range(1, 11)] if k >= 16 else []
+        books[k] = code_words([int(x) for x in counts.split()], symbols + [x for x in rest if x not in symbols])
+    quant, zigzag = rng.integers(1, 20, 64), sorted(range(64), key=lambda p: (p // 8 + p % 8, p // 8 if (p // 8 + p % 8) % 2 else p % 8))
+    across, down = -(-columns // 16), -(-rows // 16)
+    luma, parts, bits = np.zeros((down * 16, across * 16)), [], ""
+    before = [0, 0, 0]
+    for mcu in range(across * down):
+        if mcu and mcu % restart == 0:
+            parts.append(bits)
+            bits, before = "", [0, 0, 0]
+        for component, b in [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (2, 0)]:
+            block = np.where(rng.random(64) < 0.15, rng.integers(-20, 21, 64), 0)
+            block[0] = rng.integers(-40, 41)
+            block[63] = rng.integers(-1, 2)
+            dc, ac = books[int(component > 0)], books[16 + int(component > 0)]
+            n, low = magnitude(int(block[0]) - before[component])
+            bits, before[component], run = bits + dc[n] + low, int(block[0]), 0
+            for v in block[1 : 1 + max([k for k in range(1, 64) if block[k]], default=0)].tolist():
+                if not v:
+                    run += 1
+                    continue
+                bits += ac[0xF0] * (run // 16)
+                n, low = magnitude(v)
+                bits, run = bits + ac[(run % 16) << 4 | n] + low, 0
+            if not block[63]:
+                bits += ac[0]
+            if component == 0:
+                y, x = (mcu // across) * 16 + b // 2 * 8, (mcu % across) * 16 + b % 2 * 8
+                level = np.zeros(64)
+                level[zigzag] = block * quant
+                scale = [0.5**0.5] + [1] * 7
+                for i in range(8):
+                    for j in range(8):
+                        luma[y + i, x + j] = sum(scale[u] * scale[v] * level[8 * u + v] * np.cos((2 * i + 1) * u * np.pi / 16) * np.cos((2 * j + 1) * v * np.pi / 16) for u in range(8) for v in range(8)) / 4
+    parts.append(bits)
+    head = b"\xff\xd8" + mjpeg._segment(0xDB, bytes([0, *quant.tolist()])) + mjpeg._segment(0xC0, bytes([8, rows >> 8, rows & 255, columns >> 8, columns & 255, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    head += mjpeg._segment(0xDD, bytes([0, restart])) + mjpeg._segment(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0]))
+    body = b"".join(stuffed(p) + (bytes([0xFF, 0xD0 + k % 8]) if k < len(parts) - 1 else b"") for k, p in enumerate(parts))
+    return head + body + b"\xff\xd9", np.clip(np.rint(luma[:rows, :columns] + 128), 0, 255)
+
+
+def test_colour_frames_with_typical_tables():
+    rng = np.random.default_rng(6)
+    for columns, rows, restart in ((40, 24, 100), (33, 50, 2)):
+        frame, luma = colour_frame(rng, columns, rows, restart)
+        [got] = mjpeg.decode_frames([frame])
+        assert got.shape == luma.shape and np.abs(got - luma).max() <= 1
+
+
+def lossless_frame(samples, predictor):
+    rows, columns = samples.shape
+    counts, symbols = [0, 1, 2, 3, 1, 1, 1] + [0] * 9, [3, 2, 1, 4, 0, 5, 6, 7, 8]
+    words, bits, s = code_words(counts, symbols), "", samples.astype(int)
+    for y in range(rows):
+        for x in range(columns):
+            a, b, c = s[y, x - 1], s[y - 1, x], s[y - 1, x - 1]
+            guess = (128 if not x else a) if not y else b if not x else [0, a, b, c, a + b - c, a + ((b - c) >> 1), b + ((a - c) >> 1), (a + b) >> 1][predictor]
+            n, low = magnitude(int(s[y, x] - guess))
+            bits += words[n] + low
+    return b"\xff\xd8" + mjpeg._segment(0xC3, bytes([8, rows >> 8, rows & 255, 0, columns, 1, 1, 0x11, 0])) + mjpeg._segment(0xC4, bytes([0, *counts, *symbols])) + mjpeg._segment(0xDA, bytes([1, 1, 0, predictor, 0, 0])) + stuffed(bits) + b"\xff\xd9"
+
+
+def test_foreign_lossless_frames():
+    rng = np.random.default_rng(7)
+    for predictor in range(1, 8):
+        samples = (np.cumsum(rng.integers(-3, 4, (9, 21)), axis=1) + 100).astype(np.uint8)
+        [got] = mjpeg.decode_frames([lossless_frame(samples, predictor)])
+        assert (got == samples).all()
+
+
+def riff(kind, body):
+    return kind + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+
+
+def test_open_dml_files():
+    grey = [np.full((8, 8), 8 * k, np.uint8) for k in range(1, 7)]
+    frames = [baseline(g) for g in grey]
+    strh = b"vidsMJPG" + bytes(12) + (2).to_bytes(4, "little") + (60).to_bytes(4, "little") + bytes(24)
+    sound = riff(b"LIST", b"strl" + riff(b"strh", b"auds" + bytes(44)))
+
+    def file(places, indexed):
+        index = lambda some: b"\2\0\0\1" + len(some).to_bytes(4, "little") + b"01dc" + bytes(12) + b"".join(p.to_bytes(4, "little") + len(f).to_bytes(4, "little") for p, f in some)
+        parts = [[(places[k], frames[k]) for k in range(4)], [(places[k], frames[k]) for k in range(4, 6)]]
+        standard = [riff(b"ix01", index(p)) for p in parts]
+        entries = b"".join(places[6 + k].to_bytes(8, "little") + len(x).to_bytes(4, "little") + bytes(4) for k, x in enumerate(standard))
+        super_ = riff(b"indx", b"\4\0\0\0" + (2).to_bytes(4, "little") + b"01dc" + bytes(12) + entries) if indexed else b""
+        hdrl = riff(b"LIST", b"hdrl" + sound + riff(b"LIST", b"strl" + riff(b"strh", strh) + super_))
+        movi = lambda some, ix: riff(b"LIST", b"movi" + riff(b"00wb", b"noise") + b"".join(riff(b"01dc", f) for f in some) + ix)
+        return riff(b"RIFF", b"AVI " + hdrl + movi(frames[:4], standard[0])) + riff(b"RIFF", b"AVIX" + movi(frames[4:], standard[1]))
+
+    for indexed in (True, False):
+        data, places = b"", [0] * 8
+        for _ in range(2):  # places depend on sizes alone
+            data = file(places, indexed)
+            at, found = 0, []
+            for f in frames:
+                at = data.index(f, at)
+                found.append(at)
+                at += len(f)
+            first = data.index(b"ix01")
+            places = [*found, first, data.index(b"ix01", first + 4)]
+        track = mjpeg.read_avi(data)
+        assert track.fps == 30 and [a for a, _ in track.chunks] == places[:6]
+        assert all((f == g).all() for f, g in zip(mjpeg.read_frames([data])[0][1], grey))
+
+
+def test_a_large_frame_takes_time_in_proportion():
+    import time
+
+    flat = lambda n: baseline(np.tile(np.array([[40] * 8 + [200] * 8], np.uint8), (n, n // 16)))
+    took = []
+    for n in (128, 512):
+        frame, began = flat(n), time.process_time()
+        mjpeg.decode_frames([frame])
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * 4 * took[0]
+
+
+@pytest.mark.parametrize("kind", ["double", "date", "binary", "string"])
+def test_clips_take_any_key(spark, kind):
+    avi = mjpeg.write_avi([baseline(np.full((8, 8), 40, np.uint8))] * 2)
+    df = spark.createDataFrame([("2024-01-02" if kind != "double" else "1.5", bytearray(avi))], "k string, media binary").withColumn("clip", F.col("k").cast(kind))
+    [r] = op1_media.clips(df, "clip", "media").collect()
+    assert (r["key"], r["first_frame"], r["end_frame"]) == (df.first()["clip"], 0, 2)
+
+
+def test_stored_form_and_feature_by_hand():
+    """The stored bytes read by a plain decoder of their own, and the feature made from the samples."""
+    text = ("é shots " * 700).encode()
+    padded = op1_media.payload(text)
+    [media] = mjpeg.write_payloads([padded])
+    at, frames, back = media.index(b"movi") + 4, [], b""
+    while media[at : at + 4] == b"00dc":
+        size = int.from_bytes(media[at + 4 : at + 8], "little")
+        frames.append(media[at + 8 : at + 8 + size])
+        at += 8 + size + size % 2
+    means = []
+    for f in frames:
+        scan = f[f.index(b"\xff\xda") + 2 :]
+        scan = scan[int.from_bytes(scan[:2], "big") : -2]
+        level = b""
+        for row in re.split(rb"\xff[\xd0-\xd7]", scan):
+            bits, value = "".join(f"{x:08b}" for x in row.replace(b"\xff\0", b"\xff")), 128
+            for _ in range(64):
+                n, bits = int(bits[:4], 2), bits[4:]
+                low, bits = bits[:n], bits[n:]
+                value += 0 if not n else int(low, 2) if low[0] == "1" else int(low, 2) - 2**n + 1
+                level += bytes([value])
+        back += level
+        means.append(sum(level) / len(level))
+    assert back == padded
+    [(fps, decoded)] = mjpeg.read_frames([media])
+    shots = mjpeg.shots(decoded, fps)
+    assert shots[0].first == 0 and shots[-1].end == len(frames)
+    assert op1_media.feature(fps, decoded) == f"{len(frames)}|" + ",".join(f"{c.first / 25:.2f}-{c.end / 25:.2f}:{round(sum(means[c.first : c.end]) / (c.end - c.first), 3):.3f}" for c in shots)
+
+
 def test_language_held_out(spark, none):
     parts = {"en": "the tion and ing er th".split(), "de": "sch ung der ein keit ü".split(), "fr": "eau oi que é les ai".split()}
     rng = np.random.default_rng(1)
@@ -85,6 +267,55 @@ def test_language_held_out(spark, none):
     assert kept.columns == df.columns and kept.count() == 181 and kept.where("doc_id = 1003").first().lang == "en"
 
 
+def test_language_against_plain_naive_bayes(spark, corpus, none):
+    from collections import Counter, defaultdict
+    from math import exp, log
+
+    given = [(r[0], r[1], r[2]) for r in corpus] + [(9000, "a" * 30_000 + " zz", None), (9001, "ÄÖ ß 12", "fr"), (None, "zeta", None)]
+    df = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    seen = df.where(~op2_language.held_out(df["doc_id"]))
+    names, matrix = op2_language.fit(seen, "doc_id", "text", "lang")
+
+    def bins(text):
+        out, padded = [], f" {text.lower()} "
+        for order in op2_language.ORDERS:
+            for i in range(len(padded) - order + 1):
+                h = 0
+                for c in padded[i : i + order]:
+                    h = (h * 0x100000001B3 + ord(c) + 1) % 2**64
+                h = int(op2_language.mix(np.array([(h + (order << 58)) % 2**64], np.uint64))[0])
+                out.append(h >> 48)
+        return out
+
+    counts = defaultdict(Counter)
+    for k, t, lang in given:
+        if t is not None and lang is not None and zlib.crc32(str(k).encode()) % 4 != 2:
+            counts[lang].update(bins(t))
+    assert names == sorted(counts)
+    totals = {x: sum(counts[x].values()) + 0.5 * op2_language.BINS for x in names}
+    for r in op2_language.predict(df, "doc_id", "text", (names, matrix)).collect():
+        [text] = {t or "" for k, t, _ in given if k == r.doc_id} if r.doc_id is not None else ["zeta"]
+        if not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        found = Counter(bins(text))
+        sums = {x: sum(n * log((counts[x][b] + 0.5) / totals[x]) for b, n in found.items()) for x in names}
+        best = max(sums.values())
+        # float32 log-probabilities: a difference of a few parts in a million of the sum
+        close = 3e-7 * abs(best) + 1e-6
+        assert sums[r.lang_pred] >= best - 2 * close
+        assert abs(log(r.score) + log(sum(exp(s - best) for s in sums.values()))) <= 4 * close
+
+
+def test_scores_do_not_depend_on_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdefgh ä"), int(n))) for n in rng.integers(1, 4000, 60)]
+    df = spark.createDataFrame([(i, t, "xy"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = op2_language.fit(df, "doc_id", "text", "lang")
+    one = {r.doc_id: r.score for r in op2_language.predict(df.repartition(1), "doc_id", "text", model).collect()}
+    assert one == {r.doc_id: r.score for r in op2_language.predict(df.repartition(9), "doc_id", "text", model).collect()}
+
+
 def test_packing(docs, corpus, none):
     from tokenizers import Tokenizer
 
@@ -136,25 +367,56 @@ def test_words_encode_as_the_file_says():
         assert np.frombuffer(encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
-def test_fingerprints(docs, corpus, none):
-    texts = {r[0]: r[1] or "" for r in corpus}
-    order = sorted(texts)
-    got = op6_fingerprints.compared(docs, "doc_id", "text").collect()
-    assert len(got) == len(corpus)
-    prints = {}
-    for r in got:
-        t, n = texts[r.doc_id], texts[order[(order.index(r.doc_id) + 1) % len(order)]]
+def winnowed(text):
+    """(hash, place) of each mark, window by window; hashes of words and of four of them as Spark's xxhash64 chains them."""
+    import struct
+
+    import xxhash
+
+    words = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in re.findall("[^\x20\x09-\x0d]+", text)]
+    if not words:
+        return []
+    grams = []
+    for i in range(max(1, len(words) - 3)):
+        h = 42
+        for w in words[i : i + 4]:
+            h = xxhash.xxh64(struct.pack("<Q", w), seed=h).intdigest()
+        grams.append((h >> 25, i))
+    out = []
+    for first in range(max(1, len(grams) - 7)):
+        least = min(h for h, _ in grams[first : first + 8])
+        mark = max(g for g in grams[first : first + 8] if g[0] == least)
+        if mark not in out:
+            out.append(mark)
+    return out
+
+
+def jaccard(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints(spark, corpus, none):
+    from collections import Counter
+
+    given = [(r[0], r[1]) for r in corpus] + [(2**63 - 1, "the last id of all " * 9), (None, "no id here " * 8), (None, "another without " * 7), (-4, "tie tie tie tie tie tie tie tie tie tie tie tie tie"), (200, "the first id given twice")] + [(corpus[3][0], "same id " * 20)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    at = lambda k: (k is None, k or 0)
+    places = sorted({at(k) for k, _ in given})
+    marks = {t or "": winnowed(t or "") for _, t in given}
+    shown = lambda some: ",".join(f"{h}:{p}" for h, p in some)
+    expected = []
+    for k, t in given:
+        t = t or ""
         q = len(t) // 4
-        edited = t[: len(t) - q] + n[:q]
-        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert prints.setdefault(t, r.fingerprint) == r.fingerprint and 0 <= r.near_next <= 1
-        words = re.findall("[^\x20\x09-\x0d]+", t)
-        places = [int(m.split(":")[1]) for m in r.fingerprint.split(",") if m]
-        assert places == sorted(places) and bool(places) == bool(words)
-        # some mark in each window of WINDOW grams
-        grams = max(1, len(words) - op6_fingerprints.K + 1) if words else 0
-        for first in range(max(0, grams - op6_fingerprints.WINDOW + 1)):
-            assert any(first <= p < first + op6_fingerprints.WINDOW for p in places)
+        follower = places[(places.index(at(k)) + 1) % len(places)]
+        longest = max(len(x or "") for y, x in given if at(y) == at(k)) // 4
+        # of several texts of the next place the one whose beginning sorts first
+        candidates = sorted((x or "" for y, x in given if at(y) == follower), key=lambda x: x[:longest].encode())
+        edited = t[: len(t) - q] + candidates[0][:q]
+        new = winnowed(edited)
+        expected.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(marks[t]), shown(new), jaccard(marks[t], new), jaccard(marks[t], marks[candidates[0]])))
+    assert Counter(tuple(r) for r in op6_fingerprints.compared(docs, "doc_id", "text").collect()) == Counter(expected)
     assert op6_fingerprints.compared(none, "doc_id", "text").count() == 0
 
 
