@@ -45,12 +45,16 @@ def extension_of(path: Column) -> Column:
     return F.regexp_extract(fold(file_name(path)), r"^.+(\.[^.]+)$", 1)
 
 
+def ancestors(path: Column) -> Column:
+    """A path's own ancestors from the top, and the path itself."""
+    parts = F.split(path, "/")
+    return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
+
+
 def under_any(path: Column, prefixes: list[str]) -> Column:
-    """Whether a path is one of the prefixes or below one."""
-    out = F.lit(False)
-    for p in sorted(set(prefixes)):
-        out = out | (path == p) | path.startswith(f"{p}/")
-    return out
+    """Whether a path is one of the prefixes or below one: a path's few ancestors are looked up in the set of prefixes."""
+    some = sorted(set(prefixes))
+    return F.arrays_overlap(ancestors(path), F.array(*map(F.lit, some))) if some else F.lit(False)
 
 
 def confidence_milli(value: Column) -> Column:

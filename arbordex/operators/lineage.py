@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once, in the checkpoint folder that the cluster shares; one of our own only where the session names none."""
+    """df computed once, in the checkpoint folder that the cluster shares. Without one only a local session gets one of its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/arbordex-checkpoints")
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(where or "/tmp/arbordex-checkpoints")
     return df.checkpoint()
 
 

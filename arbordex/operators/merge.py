@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbordex.functions.text import ancestors
 from arbordex.operators.snapshot import CLEAN
 
 
@@ -26,10 +27,16 @@ def upsert(files: DataFrame, changed: DataFrame, values: list[str], generation:
     )
 
 
-def tombstone(files: DataFrame, generation: int) -> DataFrame:
-    """Rows that the scan of `generation` did not see become deleted, with their reason."""
+def tombstone(files: DataFrame, generation: int, unread: DataFrame | None = None) -> DataFrame:
+    """Rows that the scan of `generation` did not see become deleted, with their reason; those at or below a path of `unread` (path),
+    which the scan could not look at, stay."""
     gone = ~F.col("is_deleted") & (F.col("last_seen") != generation)
-    return files.withColumn("dirty_reason", F.when(gone, "deleted_path").otherwise(F.lit(""))).withColumn("is_deleted", F.col("is_deleted") | gone)
+    if unread is not None:
+        unseen = files.where(gone).select("path", F.explode(F.concat(F.array(F.lit("")), ancestors(F.col("path")))).alias("_up"))
+        spared = unseen.join(unread.select(F.col("path").alias("_up")).distinct(), "_up", "left_semi").select("path").distinct().withColumn("_spared", F.lit(True))
+        files, gone = files.join(spared, "path", "left"), gone & F.col("_spared").isNull()
+    marked = files.withColumn("dirty_reason", F.when(gone, "deleted_path").otherwise(F.lit(""))).withColumn("is_deleted", F.col("is_deleted") | gone)
+    return marked.drop("_spared")
 
 
 def deleted_log(log: DataFrame, files: DataFrame, generation: int, key: str = "path") -> DataFrame:

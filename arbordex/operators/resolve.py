@@ -113,6 +113,12 @@ def fill_attachments(attachments: DataFrame, resources: DataFrame) -> DataFrame:
     return joined.select(*[columns[c].alias(c) for c in attachments.columns])
 
 
+def class_symbol(attachments: DataFrame, symbols: DataFrame) -> DataFrame:
+    """attachments with script_symbol_id: the first class of their script."""
+    first = _best(symbols.where(F.col("kind") == "class").withColumnRenamed("file_id", "script_id"), ["script_id"], PLACE, "_class")
+    return attachments.join(first, "script_id", "left").select(*attachments.columns, F.col("_class.id").alias("script_symbol_id"))
+
+
 def doc_gaps(symbols: DataFrame, docs: DataFrame) -> DataFrame:
     """Symbols that no attached doc comment describes."""
     return symbols.join(docs.where("is_attached").select(F.col("symbol_id").alias("id")), "id", "left_anti")

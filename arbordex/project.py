@@ -1,76 +1,220 @@
 """A project's inventory on disk, and the questions that can be asked of it.
 
-Tables live in generation folders; a pointer names the current one and moves only when a scan has written all of its tables, so a
-failed or cancelled scan changes nothing. Questions return DataFrames; bad ids give empty ones.
+A scan writes the tables that it changes into a folder of its own and then publishes a version that names them, so a failed or
+cancelled scan changes nothing but its own run row. Questions return DataFrames; bad ids give empty ones.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbordex.functions import text
-from arbordex.operators import graph, inventory, merge, resolve, snapshot, summary
+from arbordex.operators import graph, inventory, merge, resolve, rows, snapshot, summary
 from arbordex.operators.lineage import numbered
-from arbordex.sources import listing, scripts
+from arbordex.sources import imports, listing, scripts
+from arbordex.store import METRICS, SCHEMAS, Store, shaped
+from arbordex.streaming.changes import Watcher
 
 #: Versions that make a file dirty when they change.
 VERSIONS = {"parser": 2, "dependency_parser": 1, "classifier": 2}
 SCENE_VERSION = 1
-_EDGE = "reference_text string, confidence_milli int, is_dynamic boolean, line long, `column` long, slot long, target_path string, target_class string, target_name string, target_uid string, target_id long, target_symbol_id long, source_symbol_id long, is_resolved boolean, is_unresolved boolean"
-SCHEMAS = {
-    "files": "path string, parent_path string, name string, kind string, size_bytes long, modified_ns long, file_identity string, is_hidden boolean, extension string, file_type string, engine_type string, is_directory boolean, parse_status string, parser_version int, dependency_parser_version int, scene_parser_version int, classifier_version int, first_seen long, last_seen long, is_deleted boolean, dirty_reason string, id long, parent_id long",
-    "symbols": "id long, file_id long, slot long, parent_id long, parent_slot long, kind string, name string, qualified_name string, symbol_name string, class_name string, language string, declared_type string, return_type string, default_value string, signature string, doc_state string, flags long, line long, `column` long",
-    "dependencies": f"file_id long, kind string, {_EDGE}",
-    "references": f"file_id long, kind string, {_EDGE}",
-    "doc_comments": "file_id long, symbol_id long, is_attached boolean, style string, comment_text string, summary_text string, line long",
-    "classes": "class_name string, script_path string, file_id long, language string, base_type string",
-    "resources": "scene_id long, resource_id string, slot long, type string, path string, uid string",
-    "attachments": "scene_id long, node_path string, node_name string, node_type string, resource_id string, attachment_kind string, script_path string, script_uid string, script_id long, is_dynamic boolean, is_resolved boolean, is_unresolved boolean, line long",
-    "deleted_log": "path string, generation long",
-    "metrics": "generation long, status string, entries long, inserted long, updated long, refreshed long, deleted long, scripts_parsed long, scenes_parsed long, wall_ms long",
-}
-
-
-class Store:
-    """Generations of tables in one folder of any file system that Spark reaches."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def current(self) -> str | None:
-        pointer = self._path(f"{self.folder}/CURRENT")
-        if not self._fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.folder}/CURRENT").first()[0]
-
-    def table(self, name: str) -> DataFrame:
-        at = self.current()
-        if at is None or not self._fs.exists(self._path(f"{self.folder}/{at}/{name}")):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{at}/{name}")
-
-    def write(self, generation: str, name: str, df: DataFrame) -> DataFrame:
-        at = f"{self.folder}/{generation}/{name}"
-        df.write.parquet(at)
-        return self.spark.read.parquet(at)
-
-    def publish(self, generation: str) -> None:
-        """The pointer moves by a rename; readers see the old generation or the new one."""
-        fresh = self._path(f"{self.folder}/CURRENT.{generation}")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(generation.encode()))
-        out.close()
-        pointer = self._path(f"{self.folder}/CURRENT")
-        self._fs.delete(pointer, False)
-        if not self._fs.rename(fresh, pointer):
-            raise OSError("the pointer to the current generation could not be moved")
+VALUES = (
+    "parent_path name kind size_bytes modified_ns file_identity is_hidden extension file_type engine_type is_directory "
+    "parser_version dependency_parser_version scene_parser_version classifier_version"
+).split()
+_SCRIPT_TABLES = ("symbols", "classes", "dependencies", "references", "doc_comments")
+_SCENE_TABLES = ("resources", "attachments")
+SYMBOL_SEARCH = ("name", "qualified_name", "symbol_name", "class_name", "signature")
+
+
+class Cancelled(Exception):
+    """The scan was cancelled."""
+
+
+class Scan:
+    """One scan on its way from a listing to a version."""
+
+    def __init__(self, project: Project, number: int, began: float):
+        self.project, self.number, self.began, self.spark = project, number, began, project.spark
+        self.folder = f"g{number}-{uuid.uuid4().hex[:8]}"
+        self.old = project.store.current()
+        self.tables = dict(self.old["tables"])
+        self.metrics: dict[str, int] = {}
+
+    def before(self, name: str) -> DataFrame:
+        return self.project.store.table(name, self.old)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a table of this scan; intermediate results have names that begin with `_`."""
+        self.project.check()
+        made = self.project.store.write(self.folder, name, shaped(name, df) if name in SCHEMAS else df)
+        if name in SCHEMAS:
+            self.tables[name] = f"{self.folder}/{name}"
+        return made
+
+    def together(self, tasks: dict[str, Callable[[], Any]]) -> dict[str, Any]:
+        """Independent tables side by side; each is a job of its own."""
+        with ThreadPoolExecutor(4) as pool:
+            running = {name: pool.submit(inheritable_thread_target(self.spark)(task)) for name, task in tasks.items()}
+            return {name: f.result() for name, f in running.items()}
+
+    def timed(self, name: str) -> None:
+        now = time.time()
+        self.metrics[name] = int(1000 * (now - self.began)) - sum(self.metrics.get(m, 0) for m in METRICS[-5:-1])
+
+    def list(self, changed: DataFrame, skipped: DataFrame) -> DataFrame:
+        """The entries with their reasons, written once, and what the listing counts."""
+        changed = self.keep("_changed", changed)
+        is_file, dirty = F.col("kind") == "file", F.col("dirty_reason") != snapshot.CLEAN
+        script, scene = (is_file & F.col("extension").isin(*e) for e in (list(scripts.LANGUAGES), scripts.SCENES))
+        found = changed.agg(
+            F.count_if(is_file).alias("files_seen"),
+            F.count_if(~is_file).alias("dirs_seen"),
+            F.count_if(~dirty).alias("entries_clean"),
+            F.count_if(dirty).alias("entries_dirty"),
+            F.count_if(F.col("dirty_reason") == "new_path").alias("entries_new"),
+            F.count_if(script).alias("scripts_candidates"),
+            F.count_if(script & ~dirty).alias("scripts_skipped_clean"),
+            F.count_if(scene & ~dirty).alias("scenes_skipped_clean"),
+            F.count_if((script | scene) & dirty).alias("to_parse"),
+        ).first()
+        self.metrics |= {k: found[k] for k in found.asDict()}
+        lost = {r["kind"]: r["count"] for r in skipped.groupBy("kind").count().collect()}
+        self.metrics |= {"dirs_skipped": lost.get("skipped", 0), "errors": lost.get("error", 0)}
+        self.timed("traversal_ms")
+        return changed
+
+    def parse(self, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The scripts and scenes that are dirty, parsed."""
+        dirty = changed.where("dirty_reason <> 'clean' and kind = 'file'").select("path", "extension")
+        content = listing.contents(self.spark, self.project.root, [*scripts.LANGUAGES, *scripts.SCENES])
+        content = content.join(dirty.select("path"), "path", "left_semi") if self.metrics["to_parse"] else content.limit(0)
+        made = self.together({"_scripts": lambda: self.keep("_scripts", scripts.parse_scripts(content)), "_scenes": lambda: self.keep("_scenes", scripts.parse_scenes(content))})
+        parsed, scenes = made["_scripts"], made["_scenes"]
+        total = parsed.agg(
+            F.count("*").alias("scripts_parsed"),
+            *[F.coalesce(F.sum(a), F.lit(0)).alias(b) for a, b in (("lines_scanned", "lines_scanned"), ("bytes_read", "bytes_read"), ("tokens_generated", "tokens_generated"))],
+            F.count_if("limit_exceeded").alias("limit_exceeded"),
+        ).first()
+        self.metrics |= total.asDict() | {"scenes_parsed": scenes.count()}
+        self.timed("parse_ms")
+        return parsed, scenes
+
+    def merge(self, changed: DataFrame, parsed: DataFrame, unread: DataFrame | None) -> DataFrame:
+        """The files table: upsert, statuses, tombstones, ids and parents. Files below a folder that could not be read stay."""
+        old = self.before("files")
+        files = merge.upsert(old, changed, VALUES, self.number)
+        files = merge.tombstone(files, self.number, unread)
+        status = parsed.select("path", F.col("status").alias("_status"))
+        known = old.select("path", "id", F.col("parse_status").alias("_before"))
+        files = files.join(known, "path", "left").join(status, "path", "left")
+        files = self.keep("_merged", files.withColumn("parse_status", F.coalesce("_status", "_before", F.lit("not_parsed"))).drop("_status", "_before"))
+        states = {r[0]: r[1] for r in files.groupBy("merge_state").count().collect()}
+        self.metrics |= {s: states.get(s, 0) for s in ("inserted", "updated", "refreshed")} | {"snapshot_entries": sum(states.values()) - states.get("inserted", 0)}
+        if self.metrics["inserted"]:
+            top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+            files = files.where("id is not null").unionByName(numbered(files.where("id is null").drop("id"), "path", top + 1))
+        files = self.keep("files", resolve.parents(files.withColumn("parent_id", F.lit(0).cast("long"))))
+        log = self.keep("deleted_log", merge.deleted_log(self.before("deleted_log"), files, self.number))
+        self.metrics["entries_deleted"] = log.where(F.col("generation") == self.number).count()
+        self.timed("merge_ms")
+        return files
+
+    def scripts(self, files: DataFrame, parsed: DataFrame) -> None:
+        """The tables of scripts: those parsed again are replaced, those of deleted files go, targets that went are let go."""
+        again = parsed.join(files.where("not is_deleted").select("path", F.col("id").alias("file_id")), "path")
+        gone = again.select("file_id")
+        replaced = lambda name, fresh: merge.drop_orphans(merge.replace_children(self.before(name), shaped(name, fresh), gone), files)
+        symbols = self.keep("symbols", replaced("symbols", _symbols(again)))
+        declared = again.where("class_name <> ''").select("class_name", F.col("path").alias("script_path"), "file_id", "language", F.col("direct_base_type").alias("base_type"), "is_node_type", "is_resource_type")
+        others = self.before("classes").join(gone, "file_id", "left_anti")
+        classes = self.keep("classes", merge.drop_orphans(merge.class_registry(others.unionByName(shaped("classes", declared)), order="script_path"), files))
+
+        def edges(name: str, kind: str) -> DataFrame:
+            found = resolve.target_by_class(resolve.target_by_path(_edges(again, name, kind), files), symbols, ["name", "symbol_name", "class_name"])
+            if name == "dependencies":
+                found = resolve.resolution(resolve.target_by_declaration(found, classes)).withColumn("target_symbol_id", F.lit(None).cast("long"))
+            else:
+                found = resolve.resolution(resolve.target_symbol(found, symbols, ["name", "symbol_name"]))
+            kept = merge.replace_children(self.before(name), shaped(name, resolve.source_symbol(found, symbols)), gone)
+            return self.keep(name, merge.invalidate_targets(merge.drop_orphans(kept, files), files))
+
+        docs = again.select("file_id", F.explode("doc_comments").alias("c")).select(
+            "file_id", _id(F.col("c.symbol_local_id")).alias("symbol_id"), "c.is_attached", F.col("c.comment_style").alias("style"),
+            "c.comment_text", "c.summary_text", "c.text_hash", F.col("c.line_start").alias("line"),
+        )
+        self.together({"d": lambda: edges("dependencies", "dependency_kind"), "r": lambda: edges("references", "reference_kind"), "c": lambda: self.keep("doc_comments", replaced("doc_comments", docs))})
+        made = again.agg(
+            *[F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(n) for c, n in (("symbols", "symbols_created"), ("references", "references_created"), ("doc_comments", "doc_comments_created"), ("dependencies", "dependencies_created"))],
+            F.coalesce(F.sum(F.size(F.filter("dependencies", lambda d: d["is_dynamic"]))), F.lit(0)).alias("dynamic_dependencies"),
+        ).first()
+        self.metrics |= made.asDict() | {"unresolved_dependencies": self.project.store.table("dependencies", {"tables": self.tables}).where("is_unresolved").count()}
+
+    def scenes(self, files: DataFrame, scenes: DataFrame) -> None:
+        """The tables of scenes. A resource's file and an attachment's script and class are bound by path."""
+        ids = files.where("not is_deleted").select("path", F.col("id").alias("scene_id"))
+        seen = scenes.join(ids, "path")
+        over, named = seen.select("scene_id"), ids.withColumnsRenamed({"path": "at", "scene_id": "found_id"})
+        resources = seen.select("scene_id", F.posexplode("external_resources").alias("slot", "r")).select(
+            "scene_id", F.col("r.ext_resource_id").alias("resource_id"), "slot", F.col("r.resource_type").alias("type"),
+            F.col("r.resource_path").alias("path"), F.col("r.resource_uid").alias("uid"),
+        )
+        resources = resources.join(named, F.col("path") == F.col("at"), "left").withColumn("target_id", F.col("found_id")).withColumn("is_resolved", F.col("found_id").isNotNull())
+        kept = merge.replace_children(self.before("resources"), shaped("resources", resources), over, "scene_id")
+        resources = self.keep("resources", merge.drop_orphans(kept, files, "scene_id"))
+        hung = seen.select("scene_id", F.explode("script_attachments").alias("a")).select(
+            "scene_id", "a.node_path", "a.node_name", "a.node_type", F.col("a.ext_resource_id").alias("resource_id"), "a.attachment_kind",
+            F.col("a.script_project_relative_path").alias("script_path"), "a.script_uid", "a.is_dynamic", "a.line",
+        )
+        hung = resolve.fill_attachments(hung, resources).join(named, F.col("script_path") == F.col("at"), "left").withColumn("script_id", F.col("found_id"))
+        hung = resolve.class_symbol(hung, self.project.store.table("symbols", {"tables": self.tables}))
+        hung = hung.withColumn("is_resolved", F.col("script_id").isNotNull()).withColumn("is_unresolved", F.col("script_id").isNull() & ~F.col("is_dynamic"))
+        kept = merge.replace_children(self.before("attachments"), shaped("attachments", hung), over, "scene_id")
+        self.keep("attachments", merge.invalidate_targets(merge.drop_orphans(kept, files, "scene_id"), files, "script_id"))
+        self.metrics["attachments_created"] = scenes.agg(F.coalesce(F.sum(F.size("script_attachments")), F.lit(0))).first()[0]
+
+    def finish(self, status: str, error: str = "") -> DataFrame:
+        """Publish the tables with this run's row; of a scan that ended early the row alone."""
+        self.metrics["wall_ms"] = int(1000 * (time.time() - self.began))
+        row = self.spark.createDataFrame([(self.number, status, error, *(int(self.metrics.get(m) or 0) for m in METRICS))], SCHEMAS["metrics"])
+        tables = self.tables if status == "completed" else dict(self.old["tables"])
+        self.project.store.write(self.folder, "metrics", self.before("metrics").unionByName(row).coalesce(1))
+        self.project.store.publish(self.number, tables | {"metrics": f"{self.folder}/metrics"})
+        return row
+
+
+def _id(slot) -> Any:
+    """A symbol's id: its file's, and its place in the file."""
+    return F.col("file_id") * 1_000_000 + slot
+
+
+def _symbols(again: DataFrame) -> DataFrame:
+    return again.select("file_id", F.explode("symbols").alias("s")).select(
+        _id(F.col("s.local_symbol_id")).alias("id"), "file_id", F.col("s.local_symbol_id").alias("slot"),
+        _id(F.col("s.parent_local_symbol_id")).alias("parent_id"), F.col("s.parent_local_symbol_id").alias("parent_slot"),
+        F.col("s.symbol_kind").alias("kind"), "s.name", "s.qualified_name", "s.symbol_name", "s.class_name", "s.language",
+        "s.declared_type", "s.return_type", F.col("s.default_value_excerpt").alias("default_value"),
+        F.col("s.signature_text").alias("signature"), F.col("s.doc_comment_state").alias("doc_state"),
+        F.col("s.symbol_flags").alias("flags"), F.col("s.line_start").alias("line"), F.col("s.column_start").alias("column"),
+    )
+
+
+def _edges(again: DataFrame, name: str, kind: str) -> DataFrame:
+    return again.select("file_id", F.explode(name).alias("d")).select(
+        "file_id", F.col(f"d.{kind}").alias("kind"), "d.reference_text", text.confidence_milli(F.col("d.confidence")).alias("confidence_milli"),
+        "d.is_dynamic", F.col("d.line_start").alias("line"), F.col("d.column_start").alias("column"),
+        F.col("d.source_symbol_local_id").alias("slot"), F.col("d.target_project_relative_path").alias("target_path"),
+        F.col("d.target_class_name").alias("target_class"), F.col("d.target_symbol_name").alias("target_name"),
+        F.col("d.target_resource_uid").alias("target_uid"),
+    )
 
 
 class Project:
@@ -78,109 +222,105 @@ class Project:
 
     def __init__(self, spark: SparkSession, root: str, folder: str, skip: tuple[str, ...] = listing.SKIPPED):
         self.spark, self.root, self.skip, self.store, self.last_error = spark, root, skip, Store(spark, folder), ""
-        self.group = f"scan-{uuid.uuid4().hex}"
+        self.group, self._stop, self.watcher = f"scan-{uuid.uuid4().hex}", False, Watcher(spark)
 
     # scans
 
     def entries(self, hidden: bool = True) -> DataFrame:
-        found = listing.entries(self.spark, self.root, skip=self.skip, hidden=hidden).where("error is null")
-        return found.drop("error").withColumn("is_directory", F.col("kind") == "directory")
+        return listing.entries(self.spark, self.root, skip=self.skip, hidden=hidden)
+
+    def _diff(self, found: DataFrame, files: DataFrame, force: bool, dirty_paths: list[str] | None) -> DataFrame:
+        stamps = {f"{k}_version": F.lit(v) for k, v in {**VERSIONS, "scene_parser": SCENE_VERSION}.items()}
+        changed = snapshot.diff(listing.typed(found), files.where("not is_deleted"), versions=VERSIONS, force=force, dirty_paths=dirty_paths, scene_version=SCENE_VERSION)
+        return changed.withColumns(stamps)
 
     def scan(self, *, force: bool = False, dirty_paths: list[str] | None = None, hidden: bool = True, limit: int | None = None, persist: bool = True) -> DataFrame:
-        """Scan the tree. Persisted: the new generation's metrics row. Otherwise the entries with their dirty reasons."""
-        old = self.store.table("files")
-        changed = snapshot.diff(self.entries(hidden), old.where("not is_deleted"), versions=VERSIONS, force=force, dirty_paths=dirty_paths, scene_version=SCENE_VERSION)
+        """Scan the tree. Persisted: the run's metrics row. Otherwise the entries with their dirty reasons, nothing written."""
+        began = time.time()
+        found = listing.listed(self.spark, self.root, skip=self.skip, hidden=hidden)
         if not persist:
-            return changed.orderBy("path").limit(limit) if limit else changed
-        self.spark.sparkContext.setJobGroup(self.group, "scan", True)
+            changed = self._diff(found, self.store.table("files"), force, dirty_paths).orderBy("path", "kind")
+            return changed.limit(limit) if limit else changed
+        number = self.store.current()["number"] + 1
+        context, self._stop, run = self.spark.sparkContext, False, Scan(self, number, began)
+        context.setJobGroup(self.group, "scan", True)
         try:
-            return self._merge(old, changed)
+            return self._run(run, found, force, dirty_paths)
         except Exception as e:
-            self.last_error = str(e).split("\n")[0]
-            raise
+            status = "cancelled" if self._stop or isinstance(e, Cancelled) else "failed"
+            self.last_error = "" if status == "cancelled" else str(e).split("\n")[0]
+            context.setLocalProperty("spark.jobGroup.id", None)
+            row = run.finish(status, self.last_error)
+            if status == "failed":
+                raise
+            return row
+        finally:
+            for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                context.setLocalProperty(name, None)
+
+    def _run(self, run: Scan, found: DataFrame, force: bool, dirty_paths: list[str] | None) -> DataFrame:
+        found = run.keep("_listed", found)
+        skipped = found.where(~F.col("kind").isin("file", "directory"))
+        changed = run.list(self._diff(found, run.before("files"), force, dirty_paths), skipped)
+        parsed, scenes = run.parse(changed)
+        unread = skipped.where("kind = 'error'").select("path") if run.metrics["errors"] else None
+        files = run.merge(changed, parsed, unread)
+        moved = run.metrics["scripts_parsed"] + run.metrics["scenes_parsed"] + run.metrics["entries_deleted"]
+        # tables that nothing touched stay in the folder where they are
+        if moved or any(t not in run.tables for t in (*_SCRIPT_TABLES, *_SCENE_TABLES)):
+            run.scripts(files, parsed)
+            run.scenes(files, scenes)
+        run.timed("resolve_ms")
+        return run.finish("completed")
+
+    def check(self) -> None:
+        if self._stop:
+            raise Cancelled("the scan was cancelled")
 
     def cancel(self) -> None:
+        """End the scan that is under way, if there is one; its run row says so."""
+        self._stop = True
         self.spark.sparkContext.cancelJobGroup(self.group)
 
-    def _merge(self, old: DataFrame, changed: DataFrame) -> DataFrame:
-        began = time.time()
-        number = (self.store.table("metrics").agg(F.max("generation")).first()[0] or 0) + 1
-        generation = f"g{number}-{uuid.uuid4().hex[:8]}"
-        keep = lambda name, df: self.store.write(generation, name, df)
-        changed = keep("_changed", changed)
-        dirty = changed.where("dirty_reason <> 'clean' and kind = 'file'")
-        content = listing.contents(self.spark, self.root).join(dirty.select("path"), "path", "left_semi")
-        parsed = keep("_scripts", scripts.parse_scripts(content))
-        scenes = keep("_scenes", scripts.parse_scenes(content))
-        values = "parent_path name kind size_bytes modified_ns file_identity is_hidden extension file_type engine_type is_directory".split()
-        files = merge.tombstone(merge.upsert(old, changed, values, number), number)
-        status = parsed.select("path", F.col("status").alias("_status"))
-        files = files.join(old.select("path", "id", F.col("parse_status").alias("_old")), "path", "left").join(status, "path", "left")
-        files = files.withColumn("parse_status", F.coalesce("_status", "_old", F.lit("not_parsed"))).drop("_status", "_old").withColumn("parser_version", F.lit(VERSIONS["parser"])).withColumn("dependency_parser_version", F.lit(VERSIONS["dependency_parser"])).withColumn("scene_parser_version", F.lit(SCENE_VERSION)).withColumn("classifier_version", F.lit(VERSIONS["classifier"]))
-        files = keep("_merged", files)
-        top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        fresh = numbered(files.where("id is null").drop("id"), "path", top + 1)
-        files = files.where("id is not null").unionByName(fresh).withColumn("parent_id", F.lit(0).cast("long"))
-        states = {r[0]: r[1] for r in files.groupBy("merge_state").count().collect()}
-        files = keep("files", self._as("files", resolve.parents(files)))
-        ids = files.where("not is_deleted").select("path", F.col("id").alias("file_id"))
-        again = parsed.join(ids, "path")
-        gone = again.select("file_id")
-
-        symbols = again.select("file_id", F.explode("symbols").alias("s"))
-        key = lambda slot: F.col("file_id") * 1_000_000 + slot
-        symbols = symbols.select(
-            key(F.col("s.local_symbol_id")).alias("id"), "file_id", F.col("s.local_symbol_id").alias("slot"), key(F.col("s.parent_local_symbol_id")).alias("parent_id"), F.col("s.parent_local_symbol_id").alias("parent_slot"), F.col("s.symbol_kind").alias("kind"), "s.name", "s.qualified_name", "s.symbol_name",
-            "s.class_name", "s.language", "s.declared_type", "s.return_type", F.col("s.default_value_excerpt").alias("default_value"), F.col("s.signature_text").alias("signature"), F.col("s.doc_comment_state").alias("doc_state"), F.col("s.symbol_flags").alias("flags"), F.col("s.line_start").alias("line"), F.col("s.column_start").alias("column"),
-        )
-        symbols = keep("symbols", self._as("symbols", merge.drop_orphans(merge.replace_children(self.store.table("symbols"), self._as("symbols", symbols), gone), files)))
-        declared = again.where("class_name <> ''").select("class_name", F.col("path").alias("script_path"), "file_id", "language", F.col("direct_base_type").alias("base_type"))
-        old_classes = self.store.table("classes").join(gone, "file_id", "left_anti")
-        classes = merge.drop_orphans(merge.class_registry(old_classes.unionByName(self._as("classes", declared)), order="script_path"), files)
-        classes = keep("classes", self._as("classes", classes))
-        for name, column in (("dependencies", "dependency"), ("references", "reference")):
-            edges = again.select("file_id", F.explode(name).alias("d")).select(
-                "file_id", F.col(f"d.{column}_kind").alias("kind"), "d.reference_text", text.confidence_milli(F.col("d.confidence")).alias("confidence_milli"), "d.is_dynamic", F.col("d.line_start").alias("line"), F.col("d.column_start").alias("column"),
-                F.col("d.source_symbol_local_id").alias("slot"), F.col("d.target_project_relative_path").alias("target_path"), F.col("d.target_class_name").alias("target_class"), F.col("d.target_symbol_name").alias("target_name"), F.col("d.target_resource_uid").alias("target_uid"),
-            )
-            edges = resolve.target_by_class(resolve.target_by_path(edges, files), symbols, ["name", "symbol_name", "class_name"])
-            if name == "dependencies":
-                edges = resolve.target_by_declaration(edges, classes).withColumn("target_symbol_id", F.lit(None).cast("long"))
-                edges = resolve.resolution(edges.drop("target_symbol_id")).withColumn("target_symbol_id", F.lit(None).cast("long"))
-            else:
-                edges = resolve.resolution(resolve.target_symbol(edges, symbols, ["name", "symbol_name"]))
-            edges = resolve.source_symbol(edges, symbols)
-            kept = merge.replace_children(self.store.table(name), self._as(name, edges), gone)
-            keep(name, self._as(name, merge.invalidate_targets(merge.drop_orphans(kept, files), files)))
-        docs = again.select("file_id", F.explode("doc_comments").alias("c")).select("file_id", key(F.col("c.symbol_local_id")).alias("symbol_id"), "c.is_attached", F.col("c.comment_style").alias("style"), "c.comment_text", "c.summary_text", F.col("c.line_start").alias("line"))
-        keep("doc_comments", self._as("doc_comments", merge.drop_orphans(merge.replace_children(self.store.table("doc_comments"), self._as("doc_comments", docs), gone), files)))
-
-        seen = scenes.join(ids.withColumnRenamed("file_id", "scene_id"), "path")
-        over = seen.select("scene_id")
-        resources = seen.select("scene_id", F.posexplode("external_resources").alias("slot", "r")).select("scene_id", F.col("r.ext_resource_id").alias("resource_id"), F.col("slot").cast("long").alias("slot"), F.col("r.resource_type").alias("type"), F.col("r.resource_path").alias("path"), F.col("r.resource_uid").alias("uid"))
-        resources = keep("resources", self._as("resources", merge.drop_orphans(merge.replace_children(self.store.table("resources"), self._as("resources", resources), over, "scene_id"), files, "scene_id")))
-        hung = seen.select("scene_id", F.explode("script_attachments").alias("a")).select(
-            "scene_id", "a.node_path", "a.node_name", "a.node_type", F.col("a.ext_resource_id").alias("resource_id"), "a.attachment_kind", F.col("a.script_project_relative_path").alias("script_path"), "a.script_uid", F.lit(None).cast("long").alias("script_id"), "a.is_dynamic", "a.is_resolved", (~F.col("a.is_resolved")).alias("is_unresolved"), "a.line"
-        )
-        hung = resolve.fill_attachments(hung, resources)
-        hung = hung.drop("script_id").join(ids.select(F.col("path").alias("script_path"), F.col("file_id").alias("script_id")), "script_path", "left").withColumn("is_resolved", F.col("script_id").isNotNull()).withColumn("is_unresolved", F.col("script_id").isNull() & ~F.col("is_dynamic"))
-        kept = merge.replace_children(self.store.table("attachments"), self._as("attachments", hung), over, "scene_id")
-        keep("attachments", self._as("attachments", merge.invalidate_targets(merge.drop_orphans(kept, files, "scene_id"), files, "script_id")))
-        log = keep("deleted_log", merge.deleted_log(self.store.table("deleted_log"), files, number))
-        row = (number, "completed", changed.count(), states.get("inserted", 0), states.get("updated", 0), states.get("refreshed", 0), log.where(F.col("generation") == number).count(), parsed.count(), scenes.count(), int(1000 * (time.time() - began)))
-        metrics = self.spark.createDataFrame([row], SCHEMAS["metrics"])
-        keep("metrics", self.store.table("metrics").unionByName(metrics))
-        self.store.publish(generation)
-        return metrics
-
-    @staticmethod
-    def _as(name: str, df: DataFrame) -> DataFrame:
-        from pyspark.sql.types import StructType
-
-        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SCHEMAS[name])])
-
-    def scan_status(self) -> DataFrame:
-        return self.store.table("metrics").orderBy(F.desc("generation")).limit(1)
+    def scan_status(self, generation: int = 0) -> DataFrame:
+        """The row of a run, or of the last one."""
+        found = self.store.table("metrics")
+        return found.where(F.col("generation") == generation) if generation > 0 else found.orderBy(F.desc("generation")).limit(1)
+
+    scan_metrics = scan_status
+
+    def scan_fast(self, *, limit: int | None = None, **options) -> DataFrame:
+        """File rows straight from a scan that writes nothing."""
+        return inventory.file_rows(self.scan(persist=False, limit=limit, **options).withColumns({"id": F.lit(0).cast("long"), "parent_id": F.lit(0).cast("long"), "is_deleted": F.lit(False)}))
+
+    def import_inventory(self, found: dict[str, Any]) -> DataFrame:
+        """Take the files and classes of another tool's inventory for those of a scan; rows that it lacks go. The run's row."""
+        run = Scan(self, self.store.current()["number"] + 1, time.time())
+        tables = imports.tables(self.spark, found)
+        files = tables["files"].where("path <> ''").dropDuplicates(["path"])
+        known = run.before("files").select("path", "id", F.col("first_seen").alias("_first"))
+        top = run.before("files").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        files = files.join(known, "path", "left").withColumns({
+            "parent_path": text.parent_path(F.col("path")), "kind": F.when(F.col("is_directory"), "directory").otherwise("file"), "file_identity": F.lit(""),
+            "is_hidden": F.col("name").startswith("."), "parse_status": F.lit("not_parsed"), "first_seen": F.coalesce("_first", F.lit(run.number)), "last_seen": F.lit(run.number),
+            "is_deleted": F.lit(False), "dirty_reason": F.lit(""), "parent_id": F.lit(0).cast("long"), **{f"{k}_version": F.lit(0) for k in (*VERSIONS, "scene_parser")},
+        }).drop("_first")
+        files = run.keep("_imported", files)
+        files = files.where("id is not null").unionByName(numbered(files.where("id is null").drop("id"), "path", top + 1))
+        files = run.keep("files", resolve.parents(files))
+        classes = tables["custom_classes"].where("class_name <> ''").join(files.select(F.col("path").alias("script_path"), F.col("id").alias("file_id")), "script_path", "left")
+        classes = classes.withColumns({"is_node_type": F.col("base_type").isin(*scripts.NODE_TYPES), "is_resource_type": F.col("base_type").isin(*scripts.RESOURCE_TYPES)})
+        run.keep("classes", merge.class_registry(classes, order="script_path"))
+        counts = files.groupBy("is_directory").count().collect()
+        run.metrics |= {("dirs_seen" if r[0] else "files_seen"): r[1] for r in counts}
+        return run.finish("completed")
+
+    # changes
+
+    def scan_changes(self) -> DataFrame:
+        """A scan of what the watcher has seen since the last one; of everything if it has not run."""
+        paths = self.watcher.drain() if self.watcher.status()["running"] else None
+        return self.scan(dirty_paths=paths)
 
     # files and classes
 
@@ -191,7 +331,7 @@ class Project:
         return inventory.file_rows(inventory.page(inventory.filter_files(self.store.table("files"), **query), inventory.file_order(sort), offset, limit))
 
     def file_details(self, file_id: int) -> DataFrame:
-        return inventory.file_rows(self.store.table("files").where(F.col("id") == file_id))
+        return inventory.file_rows(self.store.table("files").where(F.col("id") == file_id if file_id > 0 else F.lit(False)))
 
     def directory_children(self, directory_id: int) -> DataFrame:
         return self.files_page(parent_id=directory_id)
@@ -203,11 +343,17 @@ class Project:
         classes = self.store.table("classes").withColumn("id", F.col("file_id"))
         return inventory.page(inventory.filter_classes(classes, **query), inventory.class_order(sort), offset, limit)
 
-    def export_inventory(self) -> DataFrame:
-        return inventory.file_rows(self.store.table("files").orderBy(*inventory.file_order("path")))
+    def class_details(self, class_name: str) -> DataFrame:
+        return self.store.table("classes").where((F.col("class_name") == class_name) & (F.lit(class_name) != ""))
+
+    def export_inventory(self) -> dict[str, Any]:
+        """Files and classes whole and in order, and how many there are; written by one sort each instead of pages."""
+        files = inventory.file_rows(self.store.table("files").orderBy(*inventory.file_order("path")))
+        classes = self.store.table("classes").withColumn("id", F.col("file_id")).orderBy(*inventory.class_order("class_name"))
+        return {"files": files, "custom_classes": classes, "file_count": files.count(), "custom_class_count": classes.count()}
 
     def autoloads(self) -> DataFrame:
-        found = scripts.parse_project_files(listing.contents(self.spark, self.root, "project.godot")).select(F.explode("autoloads").alias("a")).select("a.*")
+        found = scripts.parse_project_files(listing.contents(self.spark, self.root, glob="project.godot")).select(F.explode("autoloads").alias("a")).select("a.*")
         ids = self.store.table("files").where("not is_deleted").select(F.col("path").alias("target_project_relative_path"), F.col("id").alias("target_id"))
         return found.join(ids, "target_project_relative_path", "left")
 
@@ -216,31 +362,35 @@ class Project:
     def _edges(self) -> DataFrame:
         return self.store.table("dependencies").withColumnsRenamed({"file_id": "src", "target_id": "dst"})
 
+    def _dependencies(self, found: DataFrame, *first: str) -> DataFrame:
+        return rows.edge_rows(found).orderBy(*first, "line", "column", "kind", "reference_text")
+
     def dependencies_for_script(self, file_id: int) -> DataFrame:
-        return graph.dependencies_of(self._edges(), file_id).orderBy("line", "column")
+        return self._dependencies(graph.dependencies_of(self._edges(), file_id))
 
     def dependents_of_file(self, file_id: int) -> DataFrame:
-        return graph.dependents_of(self._edges(), file_id).orderBy("src", "line", "column")
+        return self._dependencies(graph.dependents_of(self._edges(), file_id), "src")
 
     def dependents_of_class(self, class_name: str) -> DataFrame:
-        return self._edges().where((F.col("target_class") == class_name) & (F.lit(class_name) != "")).orderBy("src", "line", "column")
+        return self._dependencies(self._edges().where((F.col("target_class") == class_name) & (F.lit(class_name) != "")), "src")
 
     def unresolved_dependencies(self) -> DataFrame:
-        return self._edges().where("is_unresolved").orderBy("src", "line", "column")
+        return self._dependencies(self._edges().where("is_unresolved"), "src")
 
     def dynamic_dependencies(self) -> DataFrame:
-        return self._edges().where("is_dynamic").orderBy("src", "line", "column")
+        return self._dependencies(self._edges().where("is_dynamic"), "src")
 
     def dependency_cycles(self) -> DataFrame:
         return graph.cycles(self._edges())
 
     def graph_slice(self, root_id: int, depth: int) -> DataFrame:
-        return graph.slice_from(self._edges(), root_id, depth).orderBy("src", "line", "column")
+        return self._dependencies(graph.slice_from(self._edges(), root_id, depth), "src")
 
     # symbols and references
 
     def symbols_for_script(self, file_id: int, **query) -> DataFrame:
-        return inventory.ordered(inventory.filter_symbols(self.store.table("symbols"), file_id=file_id, **query), *resolve.PLACE)
+        found = inventory.filter_symbols(self.store.table("symbols"), file_id=file_id, over=SYMBOL_SEARCH, **query)
+        return rows.symbol_rows(inventory.ordered(found, *resolve.PLACE))
 
     def functions_for_script(self, file_id: int) -> DataFrame:
         return self.symbols_for_script(file_id, kind="function")
@@ -249,28 +399,35 @@ class Project:
         return self.symbols_for_script(file_id, kind="property")
 
     def parameters_for_function(self, symbol_id: int) -> DataFrame:
-        return resolve.parameters(self.store.table("symbols"), symbol_id).orderBy("slot", "id")
+        return rows.symbol_rows(resolve.parameters(self.store.table("symbols"), symbol_id).orderBy("slot", "id"))
 
     def symbol_details(self, symbol_id: int) -> DataFrame:
-        return self.store.table("symbols").where(F.col("id") == symbol_id)
+        return rows.symbol_rows(self.store.table("symbols").where(F.col("id") == symbol_id))
 
     def doc_comment_gaps(self, **query) -> DataFrame:
-        symbols = inventory.filter_symbols(self.store.table("symbols"), over=("name", "qualified_name", "symbol_name", "class_name", "signature"), **query)
-        return resolve.doc_gaps(symbols, self.store.table("doc_comments")).orderBy("file_id", "line", "column", "id")
+        """Symbols without an attached doc comment; a search also looks at the path of their file."""
+        paths = self.store.table("files").select(F.col("id").alias("file_id"), F.col("path").alias("file_path"))
+        symbols = self.store.table("symbols").join(paths, "file_id", "left")
+        found = inventory.filter_symbols(symbols, over=(*SYMBOL_SEARCH, "file_path"), **query)
+        return rows.symbol_rows(resolve.doc_gaps(found, self.store.table("doc_comments")).orderBy("file_id", "line", "column", "id"))
 
     def references(self, file_id: int = 0, kind: str = "") -> DataFrame:
-        refs = self.store.table("references")
+        return self._references(file_id, kind)
+
+    def _references(self, file_id: int = 0, kind: str = "", where: str = "true") -> DataFrame:
+        refs = self.store.table("references").where(where)
         refs = refs.where(F.col("file_id") == file_id) if file_id > 0 else refs
-        return (refs.where(F.col("kind") == kind) if kind else refs).orderBy("file_id", "line", "column")
+        refs = refs.where(F.col("kind") == kind) if kind else refs
+        return rows.edge_rows(refs).orderBy("file_id", "line", "column", "kind", "reference_text")
 
     def references_from_symbol(self, symbol_id: int) -> DataFrame:
-        return self.store.table("references").where(F.col("source_symbol_id") == symbol_id).orderBy("line", "column")
+        return rows.edge_rows(self.store.table("references").where(F.col("source_symbol_id") == symbol_id)).orderBy("line", "column", "kind", "reference_text")
 
-    def unresolved_references(self) -> DataFrame:
-        return self.references().where("is_unresolved")
+    def unresolved_references(self, file_id: int = 0, kind: str = "") -> DataFrame:
+        return self._references(file_id, kind, "is_unresolved")
 
-    def dynamic_references(self) -> DataFrame:
-        return self.references().where("is_dynamic")
+    def dynamic_references(self, file_id: int = 0, kind: str = "") -> DataFrame:
+        return self._references(file_id, kind, "is_dynamic")
 
     def script_summary(self, file_id: int) -> DataFrame:
         return summary.script_summary(file_id, self.store.table("symbols"), self.store.table("doc_comments"), self.store.table("references"))
@@ -280,7 +437,8 @@ class Project:
     def attachments(self, scene_id: int = 0, script_id: int = 0) -> DataFrame:
         found = self.store.table("attachments")
         found = found.where(F.col("scene_id") == scene_id) if scene_id > 0 else found
-        return (found.where(F.col("script_id") == script_id) if script_id > 0 else found).orderBy("scene_id", "line")
+        found = found.where(F.col("script_id") == script_id) if script_id > 0 else found
+        return rows.attachment_rows(found).orderBy("scene_id", "line", "node_path", "resource_id")
 
     def scenes_using_script(self, script_id: int) -> DataFrame:
         return self.attachments(script_id=script_id) if script_id > 0 else self.attachments().limit(0)

@@ -6,6 +6,7 @@ A script is one pass of a token pattern and one pass over its lines; both langua
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 from typing import Any, NamedTuple
@@ -30,8 +31,17 @@ PRIMITIVES = set(
     """void bool boolean int int32 int64 float double decimal short ushort byte sbyte uint uint32 long ulong string stringname char
     var variant object nint nuint array dictionary nodepath callable signal""".split()
 )
+#: Words of C# that stand between an export attribute and its type.
+MODIFIERS = set("public private protected internal static readonly const partial virtual override new".split())
+#: The engine's own types that make a class a node or a resource.
+NODE_TYPES = set(
+    """Node Node2D Node3D Control CanvasItem CharacterBody2D CharacterBody3D RigidBody2D RigidBody3D StaticBody2D StaticBody3D Area2D Area3D
+    Sprite2D AnimatedSprite2D Camera2D Camera3D Label Button Panel TextureRect VBoxContainer HBoxContainer MarginContainer EditorPlugin""".split()
+)
+RESOURCE_TYPES = set("Resource Script GDScript CSharpScript Shader Texture2D ImageTexture PackedScene Material StandardMaterial3D AudioStream Font Mesh MeshLibrary".split())
 GD, CSHARP = "GDScript", "CSharp"
 LANGUAGES = {".gd": GD, ".cs": CSHARP}
+SCENES = (".tscn", ".scn")
 _STRING = r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
 _TOKENS = {
     GD: re.compile(rf"(?P<comment>#[^\n]*)|(?P<string>{_STRING})|(?P<name>[A-Za-z_][A-Za-z0-9_]*)|(?P<number>[0-9][A-Za-z0-9_.]*)|(?P<mark>->|::|[^\s])"),
@@ -48,8 +58,8 @@ class Token(NamedTuple):
 
 
 def tokens(source: str, language: str, limits: Limits) -> tuple[list[Token], bool]:
-    """The tokens without comments, and whether a limit was passed or a string left open."""
-    out, line, start, at, over = [], 1, 0, 0, False
+    """The tokens without comments, and whether a limit was passed or a string left open. Columns count bytes from 1."""
+    out, line, start, at, over, plain = [], 1, 0, 0, False, source.isascii()
     for m in _TOKENS[language].finditer(source):
         breaks = source.count("\n", at, m.start())
         if breaks:
@@ -61,10 +71,25 @@ def tokens(source: str, language: str, limits: Limits) -> tuple[list[Token], boo
         if len(out) >= limits.tokens:
             return out, True
         text = m[0].lstrip("@") if m.lastgroup == "string" else m[0]
-        out.append(Token(m.lastgroup, text, line, at - start + 1))
+        column = at - start if plain else len(encoded(source[start:at]))
+        out.append(Token(m.lastgroup, text, line, column + 1))
     return out, over
 
 
+def decoded(source: bytes) -> str:
+    """UTF-8 text; bytes that are none stay as they are."""
+    return source.decode("utf-8", "surrogateescape")
+
+
+def encoded(text: str) -> bytes:
+    return text.encode("utf-8", "surrogateescape")
+
+
+def clean(text: str) -> str:
+    """Text that tables can hold: bytes that are no UTF-8 become replacement signs."""
+    return encoded(text).decode("utf-8", "replace")
+
+
 def unquoted(text: str) -> str:
     for quote in ('"""', "'''", '"', "'"):
         if len(text) >= 2 * len(quote) and text.startswith(quote) and text.endswith(quote):
@@ -84,164 +109,180 @@ def relative(path: str) -> str:
 
 
 class Dependencies:
-    """The dependency rules of both languages over a list of tokens."""
+    """The dependency rules of both languages over a list of tokens. A token starts at most one rule; the first that fits has it."""
 
     def __init__(self, found: list[Token], language: str, most: int):
         self.t, self.language, self.most, self.out, self.over = found, language, most, [], False
         self.end = Token("end", "", 0, 0)
+        self.class_name = self.base_type = ""
+        self.global_class = False
+        self.export = ""  # of C#: "open" inside an export attribute, "due" behind one
 
     def at(self, i: int) -> Token:
         return self.t[i] if 0 <= i < len(self.t) else self.end
 
-    def add(self, kind: str, token: Token, confidence: float, text: str | None = None, *, path: str | None = None, cls: str | None = None, uid: str | None = None, dynamic: bool = False) -> None:
+    def texts(self, i: int, *expected: str) -> bool:
+        return all(self.at(i + k).text == x for k, x in enumerate(expected))
+
+    def add(self, kind: str, token: Token, confidence: float, text: str, *, path: str | None = None, cls: str | None = None, uid: str | None = None, dynamic: bool = False) -> None:
+        """An edge at a token; a class is also the symbol that a reference looks for."""
         if len(self.out) >= self.most:
             self.over = True
             return
+        bound = path is not None or cls is not None or uid is not None
         self.out.append(
             {
-                "dependency_kind": kind, "source_symbol_local_id": None, "reference_text": token.text if text is None else text, "line_start": token.line, "column_start": token.column,
-                "line_end": token.line, "column_end": token.column + len(token.text), "confidence": confidence, "is_dynamic": dynamic, "is_resolved": path is not None, "is_unresolved": path is None and not dynamic,
-                "target_project_relative_path": path, "target_class_name": cls, "target_symbol_name": None, "target_resource_uid": uid,
+                "dependency_kind": kind, "source_symbol_local_id": None, "reference_text": clean(text), "line_start": token.line, "column_start": token.column,
+                "line_end": token.line, "column_end": token.column, "confidence": confidence, "is_dynamic": dynamic, "is_resolved": path is not None, "is_unresolved": not bound and not dynamic,
+                "target_project_relative_path": path, "target_class_name": cls, "target_symbol_name": cls, "target_resource_uid": uid,
             }
         )
 
-    def type_at(self, i: int, kind: str, confidence: float) -> None:
+    def add_class(self, kind: str, token: Token, confidence: float) -> None:
+        self.add(kind, token, confidence, token.text, cls=token.text)
+
+    def path_at(self, i: int) -> str:
+        """The project path of a string token, if it holds one."""
+        token = self.at(i)
+        literal = unquoted(token.text) if token.kind == "string" else ""
+        return clean(relative(literal)) if literal.startswith("res://") else ""
+
+    def add_path(self, kind: str, i: int) -> None:
+        if path := self.path_at(i):
+            self.add(kind, self.at(i), 1.0, f"res://{path}", path=path)
+
+    def type_at(self, i: int, kind: str) -> None:
         """The class that a type names; of an array the first of its elements that is one."""
         token = self.at(i)
         if token.kind != "name":
             return
-        if token.text.lower() in PRIMITIVES:
-            if token.text == "Array" and self.at(i + 1).text == "[":
-                j = i + 2
-                while self.at(j).text not in ("]", ""):
-                    if self.at(j).kind == "name" and self.at(j).text.lower() not in PRIMITIVES:
-                        self.add("typed_array_element_ref", self.at(j), 0.85, cls=self.at(j).text)
-                        return
-                    j += 1
-            return
-        self.add(kind, token, confidence, cls=token.text)
-
-    def load(self, i: int, kind: str, token: Token) -> None:
-        """A load whose argument stands at i: a literal path, or a dynamic load."""
-        value = self.at(i)
-        literal = unquoted(value.text) if value.kind == "string" else ""
-        if literal.startswith("res://"):
-            self.add(kind, token, 1.0, literal, path=relative(literal))
-        elif literal.startswith("uid://"):
-            self.add(kind, token, 1.0, literal, uid=literal)
-        elif value.kind != "string":
-            self.add("dynamic_load", token, 0.35, value.text, dynamic=True)
+        if token.text.lower() == "array" and self.texts(i + 1, "["):
+            for j in range(i + 2, len(self.t)):
+                if self.t[j].text == "]":
+                    break
+                if self.t[j].kind == "name" and self.t[j].text.lower() not in PRIMITIVES:
+                    self.add_class("typed_array_element_ref", self.t[j], 0.85)
+                    break
+        elif token.text.lower() not in PRIMITIVES:
+            self.add_class(kind, token, 0.9)
+
+    def load(self, i: int, kind: str, call: Token, name: str) -> None:
+        """A load whose argument stands at i: an edge at a literal path, a dynamic one at the call."""
+        if self.at(i).kind == "string":
+            self.add_path(kind, i)
+        elif i < len(self.t):
+            self.add("dynamic_load", call, 0.35, f"{name}(dynamic)", dynamic=True)
 
     def run(self) -> list[dict]:
         rules = self.gdscript if self.language == GD else self.csharp
         for i, token in enumerate(self.t):
             if self.over:
                 break
-            if token.kind == "string" and unquoted(token.text).startswith("uid://"):
-                self.add("resource_uid_ref", token, 1.0, unquoted(token.text), uid=unquoted(token.text))
-            elif token.kind == "name":
+            if token.kind == "string":
+                if (uid := unquoted(token.text)).startswith("uid://"):
+                    self.add("resource_uid_ref", token, 1.0, uid, uid=clean(uid))
+            elif token.kind == "name" or self.language == CSHARP:
                 rules(i, token)
         return self.out
 
-    def until(self, i: int, stop: str, line: int | None = None) -> int:
-        """The next token with the text `stop`, on `line` if one is given; -1 if there is none."""
-        while i < len(self.t) and (line is None or self.t[i].line == line):
-            if self.t[i].text == stop and self.t[i].kind == "mark":
-                return i
-            i += 1
-        return -1
-
     def typed_list(self, i: int, kind: str) -> int:
-        """The types after each `:` of a list in brackets that opens at i; the place after it."""
-        depth = 0
-        while i < len(self.t):
-            if self.t[i].text == "(":
-                depth += 1
-            elif self.t[i].text == ")":
-                depth -= 1
-                if not depth:
-                    return i + 1
-            elif self.t[i].text == ":" and depth == 1:
-                self.type_at(i + 1, kind, 0.9)
+        """The types behind each `:` of the next list in brackets at or after i; the place of its end."""
+        while i < len(self.t) and self.t[i].text != "(":
+            i += 1
+        while i < len(self.t) and self.t[i].text != ")":
+            if self.t[i].text == ":":
+                self.type_at(i + 1, kind)
             i += 1
         return i
 
+    def first_type(self, i: int, kind: str, last_line: int) -> None:
+        """The type behind the first `:` from i on, up to a line."""
+        while i < len(self.t) and self.t[i].line <= last_line:
+            if self.t[i].text == ":":
+                self.type_at(i + 1, kind)
+                return
+            i += 1
+
     def gdscript(self, i: int, token: Token) -> None:
-        word, after, called = token.text, self.at(i + 1), self.at(i + 1).text == "("
+        word, after, called = token.text, self.at(i + 1), self.texts(i + 1, "(")
         if word == "class_name" and after.kind == "name":
-            self.add("class_name_declaration", after, 1.0, cls=after.text)
-        elif word == "extends":
-            if after.kind == "string" and unquoted(after.text).startswith("res://"):
-                self.add("extends_path", after, 1.0, unquoted(after.text), path=relative(unquoted(after.text)))
+            self.class_name = self.class_name or after.text
+            self.add_class("class_name_declaration", after, 1.0)
+        elif word == "extends" and after.kind != "end":
+            if self.path_at(i + 1):
+                self.add_path("extends_path", i + 1)
+                self.base_type = self.base_type or "ScriptPath"
             elif after.kind == "name":
-                self.add("extends_class", after, 0.95, cls=after.text)
-        elif word == "const" and after.kind == "name":
-            given = next((k for k in range(i + 2, i + 8) if self.at(k).text == "="), -1)
-            if given > 0 and self.at(given + 1).text == "preload" and self.at(given + 3).kind == "string" and unquoted(self.at(given + 3).text).startswith("res://"):
-                self.add("const_preload_alias", after, 1.0, path=relative(unquoted(self.at(given + 3).text)))
-        elif word == "preload" and called:
-            self.load(i + 2, "preload_path", token)
-        elif word == "ResourceLoader" and self.at(i + 1).text == "." and self.at(i + 2).text == "load" and self.at(i + 3).text == "(":
-            self.load(i + 4, "resource_loader_load_path", token)
-        elif word == "load" and called and self.at(i - 1).text != ".":
-            self.load(i + 2, "load_path", token)
+                self.add_class("extends_class", after, 0.95)
+                self.base_type = self.base_type or after.text
+        elif word == "const" and after.kind == "name" and self.texts(i + 2, "=", "preload", "(") and self.at(i + 5).kind == "string":
+            if path := self.path_at(i + 5):
+                self.add("const_preload_alias", after, 1.0, after.text, path=path)
+        elif word == "preload" and called and self.at(i + 2).kind != "end":
+            self.load(i + 2, "preload_path", token, "preload")
+        elif word == "ResourceLoader" and self.texts(i + 1, ".", "load", "(") and self.at(i + 4).kind != "end":
+            self.load(i + 4, "resource_loader_load_path", token, "ResourceLoader.load")
+        elif word == "load" and called and self.at(i + 2).kind != "end":
+            if not (i >= 2 and self.texts(i - 1, ".")):
+                self.load(i + 2, "load_path", token, "load")
         elif word == "var":
-            colon = self.until(i, ":", token.line)
-            if colon > 0 and self.at(colon + 1).line == token.line:
-                self.type_at(colon + 1, "typed_var_ref", 0.9)
+            self.first_type(i + 1, "typed_var_ref", token.line)
         elif word == "func":
-            opened = self.until(i, "(", token.line)
-            if opened > 0:
-                j = self.typed_list(opened, "typed_param_ref")
-                if self.at(j).text == "->":
-                    self.type_at(j + 1, "typed_return_ref", 0.9)
-        elif word == "signal" and self.at(i + 2).text == "(":
-            self.typed_list(i + 2, "signal_type_ref")
+            j = self.typed_list(i + 1, "typed_param_ref")
+            while j < len(self.t) and self.t[j].text != "->" and self.t[j].line <= token.line + 2:
+                j += 1
+            if self.texts(j, "->"):
+                self.type_at(j + 1, "typed_return_ref")
+        elif word == "signal":
+            self.typed_list(i + 1, "signal_type_ref")
         elif word == "NodePath" and called and self.at(i + 2).kind == "string":
             self.add("scene_node_path", self.at(i + 2), 0.95, unquoted(self.at(i + 2).text))
-        elif word == "export":
-            j = i + 1
-            while j < len(self.t) and self.t[j].line <= token.line + 1:
-                if self.t[j].text == ":":
-                    self.type_at(j + 1, "export_type_ref", 0.9)
-                    break
-                j += 1
-        if self.at(i + 1).text == "." and self.at(i + 2).text == "new" and self.at(i + 3).text == "(" and word.lower() not in PRIMITIVES:
-            self.add("new_class_instantiation", token, 0.8, cls=word)
-
-    def generic_call(self, i: int) -> tuple[int, int]:
-        """(place of the type argument or -1, place of the first argument or -1) of a call after its name at i."""
-        if self.at(i + 1).text == "<" and self.at(i + 3).text == ">" and self.at(i + 4).text == "(":
-            return i + 2, i + 5
-        return -1, i + 2 if self.at(i + 1).text == "(" else -1
+        elif self.texts(i + 1, ".", "new", "("):
+            if word.lower() not in PRIMITIVES:
+                self.add_class("new_class_instantiation", token, 0.8)
+        elif word == "export" and after.kind != "end":
+            self.first_type(i + 1, "export_type_ref", token.line + 1)
 
     def csharp(self, i: int, token: Token) -> None:
-        word, dotted = token.text, self.at(i + 1).text == "."
-        if word == "class" and self.at(i + 1).kind == "name":
-            before, j = [], i - 1
-            while j >= 0 and self.t[j].text not in ("{", "}", ";"):
-                before.append(self.t[j].text)
-                j -= 1
-            name = self.at(i + 1)
-            if "GlobalClass" in before:
-                self.add("class_name_declaration", name, 1.0, cls=name.text)
-            j = i + 2
-            if self.at(j).text == ":":
-                while self.at(j).text not in ("{", ""):
-                    if self.at(j).kind == "name":
-                        self.add("extends_class", self.at(j), 0.95, cls=self.at(j).text)
+        word, after = token.text.lower(), self.at(i + 1)
+        if token.kind != "name":
+            if word == "[" and after.kind == "name":
+                self.global_class |= after.text.lower() in ("globalclass", "globalclassattribute")
+                if after.text.lower() in ("export", "exportattribute"):
+                    self.export = "open"
+            elif word == "]" and self.export:
+                self.export = "due"
+            return
+        if word == "class" and after.kind == "name":
+            if self.global_class:
+                self.class_name = self.class_name or after.text
+                self.add_class("class_name_declaration", after, 1.0)
+            j = i + 3 if self.texts(i + 2, ":") else len(self.t)
+            while j < len(self.t) and self.t[j].text != "{":
+                if self.t[j].kind == "name":
+                    self.base_type = self.base_type or self.t[j].text
+                    self.add_class("extends_class", self.t[j], 0.95)
+                j += 1
+            return
+        if self.export == "due" and word not in MODIFIERS:
+            self.type_at(i, "export_type_ref")
+            self.export = ""
+        called = self.at(i + 2).text.lower() if self.texts(i + 1, ".") else ""
+        if word in ("gd", "resourceloader") and called == "load":
+            j = i + 3
+            if self.texts(j, "<"):
+                if self.at(j + 1).kind == "name":
+                    self.add_class("typed_return_ref", self.at(j + 1), 0.7)
+                while j < len(self.t) and self.t[j].text != ">":
                     j += 1
-        for owner, method, kind in (("GD", "Load", "gd_load_path"), ("ResourceLoader", "Load", "resource_loader_load_path")):
-            if word == owner and dotted and self.at(i + 2).text == method:
-                of, argument = self.generic_call(i + 2)
-                if of > 0:
-                    self.type_at(of, "typed_return_ref", 0.7)
-                if argument > 0:
-                    self.load(argument, kind, token)
-        if self.at(i).text == "Instantiate" and self.at(i - 1).text == ".":
-            of, _ = self.generic_call(i)
-            if of > 0:
-                self.type_at(of, "new_class_instantiation", 0.9)
+                j += 1
+            if self.texts(j, "("):
+                kind, name = ("gd_load_path", "GD.Load") if word == "gd" else ("resource_loader_load_path", "ResourceLoader.Load")
+                self.load(j + 1, kind, token, name)
+        elif word == "packedscene" and called == "instantiate" and self.texts(i + 3, "<"):
+            of = self.at(i + 4)
+            if of.kind == "name" and of.text.lower() not in PRIMITIVES:
+                self.add_class("new_class_instantiation", of, 0.9)
 
 
 def _symbol(symbols: list[dict], kind: str, name: str, line: int, signature: str, language: str, parent: int | None = None, flags: int = 4, **more: Any) -> dict:
@@ -256,7 +297,7 @@ def _symbol(symbols: list[dict], kind: str, name: str, line: int, signature: str
 
 
 def _parameters(symbols: list[dict], function: dict, listed: str, line: int, language: str) -> None:
-    for part in listed.split(")")[0].split(","):
+    for part in clean(listed).split(")")[0].split(","):
         declared, _, default = part.partition("=")
         if language == GD:
             name, _, kind = declared.partition(":")
@@ -286,7 +327,6 @@ _MODIFIERS = {"@export": 1, "export": 1, "@onready": 16, "onready": 16, "static"
 #: Bits of script and symbol flags that this module sets.
 HAS_CLASS, TOOL, EXTENDS_NODE, EXTENDS_RESOURCE, HAS_EXPORTS, HAS_SIGNALS, READY, PROCESS, PHYSICS, HAS_DOC, INCOMPLETE, DYNAMIC, UNRESOLVED = (1 << k for k in range(13))
 _CALLBACKS = {"_ready": READY, "_process": PROCESS, "_physics_process": PHYSICS, "_Ready": READY, "_Process": PROCESS, "_PhysicsProcess": PHYSICS}
-NODES = "node sprite body area camera control button label panel plugin canvas container".split()
 
 
 def _doc(lines: list[str], at: int, language: str) -> tuple[int, bool, str] | None:
@@ -303,11 +343,11 @@ def _doc(lines: list[str], at: int, language: str) -> tuple[int, bool, str] | No
 def parse_script(source: bytes | None, extension: str, tier: str = "full", limits: Limits | None = None) -> dict[str, Any]:
     """One script. Null source: io_error. Unknown extension: unsupported_language. Past a limit: what was found so far."""
     limits, language = limits or TIERS[tier], LANGUAGES.get(extension, "")
-    out: dict[str, Any] = {"language": language, "status": "no_class", "parse_tier": tier, "class_name": "", "direct_base_type": "", "parse_error": "", "bytes_read": 0, "lines_scanned": 0, "tokens_generated": 0, "script_flags": 0, "limit_exceeded": False, "parser_incomplete": False, "symbols": [], "dependencies": [], "references": [], "doc_comments": []}
+    out: dict[str, Any] = {"language": language, "status": "no_class", "parse_tier": tier, "class_name": "", "direct_base_type": "", "parse_error": "", "bytes_read": 0, "lines_scanned": 0, "tokens_generated": 0, "script_flags": 0, "limit_exceeded": False, "parser_incomplete": False, "is_node_type": False, "is_resource_type": False, "symbols": [], "dependencies": [], "references": [], "doc_comments": []}
     if not language or source is None:
         return out | ({"status": "unsupported_language"} if not language else {"status": "io_error", "parse_error": "failed_to_open"})
     over = len(source) > limits.size
-    text = source[: limits.size].decode("latin-1")
+    text = decoded(source[: limits.size])
     lines = text.split("\n")
     if len(lines) > limits.lines:
         over, lines = True, lines[: limits.lines]
@@ -327,7 +367,7 @@ def parse_script(source: bytes | None, extension: str, tier: str = "full", limit
             flags |= TOOL
         if language == GD and line.startswith("extends "):
             base = line[8:].split("#")[0].strip()
-            flags |= EXTENDS_RESOURCE if "resource" in base.lower() or "res://" in base else EXTENDS_NODE if any(w in base.lower() for w in NODES) else 0
+            flags |= EXTENDS_NODE if "node" in base.lower() and "res://" not in base else EXTENDS_RESOURCE if "resource" in base.lower() or "res://" in line else 0
         while language == GD and (word := line.split(" ", 1)[0]) in _MODIFIERS and " " in line:
             mods, line = mods | _MODIFIERS[word], line.split(" ", 1)[1].lstrip()
         if language == CSHARP and (not line or line.startswith(("//", "/*", "*", "using ", "namespace "))):
@@ -339,20 +379,22 @@ def parse_script(source: bytes | None, extension: str, tier: str = "full", limit
             root = next((s for s in symbols if s["symbol_kind"] == "class"), None)
             if kind == "class" and root and language == GD:
                 break
-            clean = lambda k: (named.get(k) or "").split("#")[0].strip()
-            s = _symbol(symbols, kind, m["name"], n + 1, line, language, root["local_symbol_id"] if root else None, mods, declared_type=clean("type"), return_type=clean("returns"), default_value_excerpt=clean("value")[:120])
+            part = lambda k: clean((named.get(k) or "").split("#")[0].strip())
+            s = _symbol(symbols, kind, m["name"], n + 1, clean(line), language, root["local_symbol_id"] if root else None, mods, declared_type=part("type"), return_type=part("returns"), default_value_excerpt=part("value")[:120])
             if kind == "class":
                 flags |= HAS_CLASS
+                bases = line.partition(":")[2].strip().lower() if language == CSHARP else ""
+                flags |= EXTENDS_NODE if "node" in bases else EXTENDS_RESOURCE if "resource" in bases else 0
             if kind == "signal":
                 flags |= HAS_SIGNALS
             if mods & 1:
                 flags |= HAS_EXPORTS
             flags |= _CALLBACKS.get(m["name"], 0) if kind == "function" else 0
             if doc := _doc(lines, n, language):
-                first, attached, comment = doc
+                first, attached, comment = doc[0], doc[1], clean(doc[2])
                 s["doc_comment_state"] = "present" if attached else "detached"
                 flags |= HAS_DOC
-                docs.append({"symbol_local_id": s["local_symbol_id"], "target_kind": kind, "comment_style": "doc" if attached else "plain", "text_excerpt": comment[:120], "comment_text": comment, "summary_text": next((x for x in comment.split("\n") if x), ""), "is_attached": attached, "line_start": first + 1, "line_end": n})
+                docs.append({"symbol_local_id": s["local_symbol_id"], "target_kind": kind, "comment_style": "doc" if attached else "plain", "text_excerpt": comment[:120], "comment_text": comment, "summary_text": next((x for x in comment.split("\n") if x), ""), "text_hash": hashlib.sha256(comment.encode()).hexdigest()[:16], "is_attached": attached, "line_start": first + 1, "line_end": n})
             if kind == "function":
                 _parameters(symbols, s, named.get("list") or "", n + 1, language)
             break
@@ -365,12 +407,10 @@ def parse_script(source: bytes | None, extension: str, tier: str = "full", limit
             current, at = marks[at], at + 1
         d["source_symbol_local_id"] = current["local_symbol_id"] if current else None
         flags |= DYNAMIC if d["is_dynamic"] else UNRESOLVED if d["is_unresolved"] else 0
-    declared = next((d for d in dependencies if d["dependency_kind"] == "class_name_declaration"), None)
-    base = next((d for d in dependencies if d["dependency_kind"] in ("extends_class", "extends_path")), None)
-    if declared or (root and language == GD):
-        out |= {"status": "parsed_class", "class_name": declared["target_class_name"] if declared else root["name"]}
-    if base:
-        out["direct_base_type"] = base["target_class_name"] or "ScriptPath"
+    name = rules.class_name or (root["name"] if root and language == GD else "")
+    if name:
+        out |= {"status": "parsed_class", "class_name": name}
+    out |= {"direct_base_type": rules.base_type, "is_node_type": rules.base_type in NODE_TYPES, "is_resource_type": rules.base_type in RESOURCE_TYPES}
     if over:
         flags |= INCOMPLETE
         out |= {"limit_exceeded": True, "parser_incomplete": True, "parse_error": "limit_exceeded"}
@@ -398,7 +438,7 @@ def parse_scene(source: bytes | None, limits: Limits = SCENE_LIMITS) -> dict[str
     out: dict[str, Any] = {"status": "no_class", "parse_error": "", "external_resources": [], "script_attachments": []}
     if source is None:
         return out | {"status": "io_error", "parse_error": "failed_to_open"}
-    lines = source[: limits.size].decode("latin-1").split("\n")
+    lines = clean(decoded(source[: limits.size])).split("\n")
     if len(source) > limits.size or len(lines) > limits.lines:
         out["parse_error"], lines = "limit_exceeded", lines[: limits.lines]
     resources: dict[str, dict] = {}
@@ -459,11 +499,11 @@ def _nested(fields: str) -> str:
 
 SCRIPT = ", ".join(
     [
-        "language string, status string, parse_tier string, class_name string, direct_base_type string, parse_error string, bytes_read long, lines_scanned long, tokens_generated long, script_flags long, limit_exceeded boolean, parser_incomplete boolean",
+        "language string, status string, parse_tier string, class_name string, direct_base_type string, parse_error string, bytes_read long, lines_scanned long, tokens_generated long, script_flags long, limit_exceeded boolean, parser_incomplete boolean, is_node_type boolean, is_resource_type boolean",
         "symbols " + _nested(f"local_symbol_id long, parent_local_symbol_id long, symbol_kind string, name string, qualified_name string, class_name string, language string, declared_type string, return_type string, default_value_excerpt string, visibility string, signature_text string, doc_comment_state string, symbol_name string, symbol_flags long, {_RANGE}"),
         "dependencies " + _nested(f"dependency_kind string, {_EDGE}"),
         "references " + _nested(f"reference_kind string, {_EDGE}"),
-        "doc_comments " + _nested("symbol_local_id long, target_kind string, comment_style string, text_excerpt string, comment_text string, summary_text string, is_attached boolean, line_start long, line_end long"),
+        "doc_comments " + _nested("symbol_local_id long, target_kind string, comment_style string, text_excerpt string, comment_text string, summary_text string, text_hash string, is_attached boolean, line_start long, line_end long"),
     ]
 )
 SCENE = "status string, parse_error string, external_resources " + _nested("ext_resource_id string, resource_type string, resource_path string, resource_uid string, is_script_resource boolean, is_resolved boolean, line long") + ", script_attachments " + _nested(
@@ -473,7 +513,8 @@ AUTOLOADS = "autoloads " + _nested("autoload_name string, target_path string, ta
 
 
 def parsed(df: DataFrame, parse: Callable[[dict], dict], schema: str) -> DataFrame:
-    """df's path with what `parse` makes of each row (path, extension, content); batches stay small, as one script may be large."""
+    """df's path with what `parse` makes of each row (path, extension, content). Rows are taken from a batch one by one and go on in
+    batches of about a megabyte of sources, however large a script is."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -481,10 +522,17 @@ def parsed(df: DataFrame, parse: Callable[[dict], dict], schema: str) -> DataFra
     arrow = to_arrow_schema(made)
 
     def run(batches):
+        rows, size = [], 0
         for b in batches:
-            rows = b.to_pylist()
-            for first in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_pylist([{"path": r["path"], **parse(r)} for r in rows[first : first + 256]], schema=arrow)
+            for i in range(b.num_rows):
+                r = {name: b.column(k)[i].as_py() for k, name in enumerate(("path", "extension", "content"))}
+                rows.append({"path": r["path"], **parse(r)})
+                size += len(r["content"] or b"")
+                if size > 1 << 20 or len(rows) >= 256:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return df.select("path", "extension", F.col("content").cast("binary").alias("content")).mapInArrow(run, made)
 
@@ -494,7 +542,7 @@ def parse_scripts(df: DataFrame, tier: str = "full") -> DataFrame:
 
 
 def parse_scenes(df: DataFrame) -> DataFrame:
-    return parsed(df.where(F.col("extension").isin(".tscn", ".scn")), lambda r: parse_scene(r["content"]), SCENE)
+    return parsed(df.where(F.col("extension").isin(*SCENES)), lambda r: parse_scene(r["content"]), SCENE)
 
 
 def parse_project_files(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,6 +33,59 @@ def follow(events: DataFrame, rescan: Callable[[list[str]], object], checkpoint:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+class Watcher:
+    """Change events gathered from a stream until someone asks for them. The events wait in the stream's own checkpoint and in a
+    Parquet folder, so neither a restart nor a lost executor loses any; only the paths that a drain asks for reach the driver."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.query, self.folder, self.taken = spark, None, "", -1
+
+    def start(self, events: DataFrame, folder: str) -> None:
+        """Gather `events` (EVENTS) in a folder that the cluster shares; a watcher that runs goes on."""
+        if self.query is not None and self.query.isActive:
+            return
+        self.folder = folder.rstrip("/")
+
+        def batch(df: DataFrame, number: int) -> None:
+            df.select(*[c.split()[0] for c in EVENTS.split(", ")], F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{self.folder}/events/batch={number}")
+
+        self.query = events.writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.folder}/checkpoint").start()
+
+    def stop(self) -> None:
+        if self.query is not None:
+            self.query.stop()
+
+    def status(self) -> dict:
+        """Whether it runs, whether a whole scan is needed instead, and the stream's error if it broke."""
+        running = self.query is not None and self.query.isActive
+        broken = self.query.exception() if self.query is not None and not running else None
+        return {"running": running, "requires_full_rescan": not running, "last_error": str(broken).split("\n")[0] if broken else ""}
+
+    def _events(self) -> DataFrame:
+        if not self.folder:
+            return self.spark.createDataFrame([], EVENTS + ", batch int")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/events")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], EVENTS + ", batch int")
+        return self.spark.read.schema(EVENTS + ", batch int").parquet(f"{self.folder}/events").where(F.col("batch") > self.taken)
+
+    def dirty_paths(self) -> list[str]:
+        """The paths that wait, sorted, each once."""
+        return dirty_paths(self._events())
+
+    def drain(self) -> list[str]:
+        """The paths that wait; afterwards they no longer do."""
+        if self.query is not None and self.query.isActive:
+            self.query.processAllAvailable()
+        events = self._events()
+        last = events.agg(F.max("batch")).first()[0]
+        if last is None:
+            return []
+        paths = dirty_paths(events.where(F.col("batch") <= last))
+        self.taken = last
+        return paths
+
+
 def latest_state(events: DataFrame) -> DataFrame:
     """(path, removed): what the last event of each path says; for batches and for streams in complete mode."""
     return events.groupBy("path").agg(F.max_by("removed", F.struct("seq")).alias("removed"), F.max("seq").alias("seq"))

@@ -1,10 +1,9 @@
-import os
+
 
 from pyspark.sql import functions as F
 
 from arbordex.operators import graph, inventory, merge, resolve, snapshot
 from arbordex.operators.lineage import numbered
-from arbordex.project import Project
 from arbordex.streaming.changes import EVENTS, follow
 
 
@@ -67,53 +66,6 @@ def test_numbered_and_registry(spark):
     assert rows(merge.class_registry(classes)) == [("C", "z.gd"), ("D", "d.gd")]
 
 
-def write(root, name, content, ns=None):
-    path = os.path.join(root, name)
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w") as f:
-        f.write(content)
-    if ns:
-        os.utime(path, ns=(ns, ns))
-
-
-def test_project_end_to_end(spark, tmp_path):
-    root, folder = str(tmp_path / "tree"), str(tmp_path / "store")
-    write(root, "project.godot", '[autoload]\nMain="*res://scripts/player.gd"\n')
-    write(root, "scripts/player.gd", 'class_name Player\nextends Node\n## Doc.\nfunc go(a: int) -> void:\n\tpass\nvar enemy: Enemy = null\nvar s = preload("res://levels/main.tscn")\n')
-    write(root, "scripts/enemy.gd", 'class_name Enemy\nextends Node\nvar p: Player = null\nvar m: Missing = null\n')
-    write(root, "levels/main.tscn", '[ext_resource type="Script" path="res://scripts/player.gd" id="1"]\n[node name="Root" type="Node"]\nscript = ExtResource("1")\n')
-    write(root, ".godot/imported/x.md5", "skipped")
-    p = Project(spark, root, folder)
-    first = p.scan().first()
-    assert (first.status, first.inserted, first.scripts_parsed, first.scenes_parsed) == ("completed", 7, 2, 1)
-    assert p.file_count(is_directory=False) == 4 and p.class_count() == 2
-    ids = {r.path: r.id for r in p.store.table("files").collect()}
-    assert [r.path for r in p.directory_children(ids["scripts"]).collect()] == ["res://scripts/enemy.gd", "res://scripts/player.gd"]
-    player, enemy = ids["scripts/player.gd"], ids["scripts/enemy.gd"]
-    assert [r.name for r in p.functions_for_script(player).collect()] == ["go"]
-    assert [r.name for r in p.parameters_for_function(p.functions_for_script(player).first().id).collect()] == ["a"]
-    assert {r.src for r in p.dependents_of_file(player).collect()} == {player, enemy}
-    assert "Missing" in {r.target_class for r in p.unresolved_dependencies().collect()}
-    assert p.dependency_cycles().count() >= 2 and p.graph_slice(player, 1).count() >= 4
-    assert [r.script_id for r in p.scripts_of_scene(ids["levels/main.tscn"]).collect()] == [player]
-    assert [r.target_id for r in p.autoloads().collect()] == [player]
-    assert "go" not in {r.name for r in p.doc_comment_gaps().collect()}
-    assert p.script_summary(player).first().functions == 1
-    clean = p.scan().first()
-    assert (clean.inserted, clean.updated, clean.refreshed, clean.scripts_parsed) == (0, 0, 7, 0)
-    write(root, "scripts/missing.gd", "class_name Missing\n")
-    os.remove(os.path.join(root, "scripts/player.gd"))
-    third = p.scan().first()
-    assert (third.inserted, third.scripts_parsed) == (1, 1)
-    attached = p.attachments().collect()
-    assert [(a.script_path, a.script_id, a.is_resolved) for a in attached] == [("scripts/player.gd", None, False)]
-    assert "Missing" in {r.target_class for r in p.unresolved_dependencies().collect()}  # until enemy.gd is parsed again
-    assert p.store.table("deleted_log").where("path = 'scripts/player.gd'").count() == 1
-    assert p.export_inventory().count() == 8 and p.summary().first().files == 8
-    dirty = {r.path: r.dirty_reason for r in p.scan(persist=False, dirty_paths=["scripts/enemy.gd"]).collect()}
-    assert dirty["scripts/enemy.gd"] == "watcher_invalidated" and dirty["levels/main.tscn"] == "clean"
-
-
 def test_change_stream(spark, tmp_path):
     feed, seen = tmp_path / "feed", []
     feed.mkdir()
