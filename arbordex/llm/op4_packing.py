@@ -49,7 +49,7 @@ class WordIds(dict):
     """
 
     def __init__(self, encode, prefix: str, bare: WordIds | None = None):
-        self.encode, self.prefix, self.bare, self.size = encode, prefix, self if bare is None else bare, 0
+        self.encode, self.prefix, self.bare, self.size = encode, prefix, bare, 0
         self.marks = {c: encode(c) for c in ".,\n"}
 
     def __missing__(self, word: str) -> bytes:
@@ -59,7 +59,7 @@ class WordIds(dict):
         if word[-1:] in (".", ",") and word[:-1].isalpha():
             out = self[word[:-1]] + self.marks[word[-1]]
         elif (at := word.find("\n")) > 0 and not word[at - 1].isspace() and at + 1 < len(word) and not word[at + 1].isspace():
-            out = self[word[:at]] + self.marks["\n"] + self.bare[word[at + 1 :]]
+            out = self[word[:at]] + self.marks["\n"] + (self if self.bare is None else self.bare)[word[at + 1 :]]
         else:
             out = self.encode(self.prefix + word)
         self[word] = out

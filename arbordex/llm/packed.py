@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from arbordex.llm.columns import mix, release
 from arbordex.llm.tables import mapped, partitions
 
-#: Buckets for each shuffle partition: a reducer holds one of them at a time, next to RESULT_BYTES of results.
-BUCKETS = 8
+#: Buckets for each shuffle partition: a reducer holds one of them at a time, next to RESULT_BYTES of results. More of them mean
+#: smaller rows, which compress worse and are more to sort.
+BUCKETS = 2
 #: Bytes of a batch that a mapper takes at once.
 BATCH_BYTES = 6 << 20
 #: Bytes of results that a reducer gathers before it sends them on.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,7 +36,6 @@ def bounded(spark: SparkSession) -> None:
 def _tidy() -> None:
     for forget in _caches:
         forget()
-    gc.collect()
     release()
 
 
@@ -51,6 +49,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         finally:
             _tidy()
 
+    task.__name__ = run.__name__  # what plans show
     return df.mapInArrow(task, schema)
 
 
