@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 PLACE = ("line", "column", "slot", "id")
 
 
-def parents(files: DataFrame) -> DataFrame:
-    """files with the id of the file at parent_path that is not deleted; 0 at the top or where there is none."""
-    up = files.where(~F.col("is_deleted")).select(F.col("path").alias("parent_path"), F.col("id").alias("_up"))
+def parents(files: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """files with the id of the file at parent_path, of all files or of `among`, that is not deleted; 0 at the top or where there is
+    none."""
+    up = (files if among is None else among).where(~F.col("is_deleted")).select(F.col("path").alias("parent_path"), F.col("id").alias("_up"))
     return files.drop("parent_id").join(up, "parent_path", "left").select(*[c for c in files.columns if c != "parent_id"], F.coalesce("_up", F.lit(0)).cast("long").alias("parent_id"))
 
 

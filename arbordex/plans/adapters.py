@@ -9,14 +9,20 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-_EXTENSIONS = ".tscn .tres .gd .cs .png .json .ogg .glb .md .cfg .zip .xyz".split()
-_EXTENSION = "CASE p_size % 12 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_EXTENSIONS)) + " END"
+#: Every extension that the file types and resource types know, and some that they don't.
+_EXTENSIONS = (
+    ".tscn .scn .tres .res .meshlib .gd .cs .sh .gdshader .gdshaderinc .shader .import .node .object .resource .json .csv .yaml .yml .toml .xml .dat "
+    ".bytes .png .jpg .jpeg .webp .svg .bmp .gif .tga .exr .wav .mp3 .ogg .opus .flac .otf .ttf .fnt .woff .woff2 .blend1 .blend2 .assbin .glb .gltf "
+    ".fbx .obj .dae .blend .zip .7z .rar .tar .gz .db .sqlite .sqlite3 .dll .so .dylib .lib .a .o .pdb .exp .txt .md .rst .adoc .ase .c .h .cpp .hpp "
+    ".py .js .ts .rs .go .java .xcf .psd .aseprite .kra .spp .bin .cfg .ini .conf .config .godot .uid .gdextension .remap .md5 .cache .x86_64 .xyz .PNG .Gd"
+).split()
+_EXTENSION = f"split_part('{','.join(_EXTENSIONS)}', ',', CAST(p_partkey % {len(_EXTENSIONS)} AS INTEGER) + 1)"
 _STEM = "concat(replace(p_name, ' ', '_'), '_', CAST(p_partkey AS STRING))"
 _BRAND = "replace(p_brand, '#', '_')"
 
 SQL = {
     "files": f"""SELECT CAST(p_partkey + 1 AS BIGINT) AS id, concat({_BRAND}, '/', {_STEM}, {_EXTENSION}) AS path, {_BRAND} AS parent_path,
-  concat({_STEM}, {_EXTENSION}) AS name, {_EXTENSION} AS extension, CAST(p_size AS BIGINT) AS size_bytes, CAST(p_size AS BIGINT) * 1000000007 + p_partkey AS modified_ns,
+  concat({_STEM}, {_EXTENSION}) AS name, lower({_EXTENSION}) AS extension, CAST(p_size AS BIGINT) AS size_bytes, CAST(p_size AS BIGINT) * 1000000007 + p_partkey AS modified_ns,
   false AS is_directory, p_partkey % 13 = 0 AS is_deleted FROM part
   UNION ALL SELECT CAST(100000000 + min(p_partkey) AS BIGINT), {_BRAND}, NULL, {_BRAND}, '', CAST(0 AS BIGINT), CAST(0 AS BIGINT), true, false FROM part GROUP BY p_brand""",
     "old_rows": """SELECT concat('c/', CAST(c_custkey AS STRING), CASE WHEN c_custkey % 20 = 3 THEN '.tscn' ELSE '.gd' END) AS path, CASE WHEN c_custkey % 19 = 0 THEN 'directory' ELSE 'file' END AS kind,
@@ -37,7 +43,9 @@ SQL = {
   CASE WHEN event_id % 4 = 0 THEN CAST(1 + user_id % 40 AS BIGINT) END AS target_id
   FROM events WHERE event_type IN ('error', 'purchase')""",
     "edges": """SELECT CAST(n_nationkey AS BIGINT) AS src, CAST((n_nationkey * 3 + 1) % 25 AS BIGINT) AS dst, CAST(n_nationkey AS BIGINT) AS id FROM nation
-  UNION ALL SELECT CAST(n_nationkey AS BIGINT), CASE WHEN n_nationkey % 8 = 4 THEN NULL ELSE CAST((n_nationkey + 5 * n_regionkey + 1) % 25 AS BIGINT) END, CAST(100 + n_nationkey AS BIGINT) FROM nation WHERE n_nationkey % 4 = 0""",
+  UNION ALL SELECT CAST(n_nationkey AS BIGINT), CASE WHEN n_nationkey % 8 = 4 THEN NULL ELSE CAST((n_nationkey + 5 * n_regionkey + 1) % 25 AS BIGINT) END, CAST(100 + n_nationkey AS BIGINT) FROM nation WHERE n_nationkey % 4 = 0
+  UNION ALL SELECT CAST(1000 + c_custkey AS BIGINT), CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(1000 + c_custkey - c_custkey % 6 + (c_custkey + 1) % 6 AS BIGINT) END, CAST(1000 + c_custkey AS BIGINT) FROM customer
+  UNION ALL SELECT CAST(1000 + c_custkey AS BIGINT), CAST(1000 + c_custkey + 6 AS BIGINT), CAST(10000000 + c_custkey AS BIGINT) FROM customer WHERE c_custkey % 5 = 0""",
     "doc_symbols": "SELECT doc_id AS id, doc_id % 20 AS file_id, source AS kind, lang AS language FROM documents",
     "doc_comments": "SELECT doc_id AS symbol_id, doc_id % 20 AS file_id, quality = 1 AS is_attached FROM labels",
     "attachments": """SELECT DISTINCT CAST(l_orderkey % 500 AS BIGINT) AS scene_id, CAST(l_partkey + 1 AS BIGINT) AS script_id, concat('r', CAST(l_partkey % 10 AS STRING)) AS resource_id,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from arbordex.functions import classify, taxonomy, text
 from arbordex.operators import graph, inventory, merge, resolve, snapshot, summary
 
+from arbordex.plans import trees
 from arbordex.plans.adapters import frame, with_sql
 from arbordex.sources import scripts
 
@@ -34,18 +36,46 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def typed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files with file type, resource type and parent id."""
+def typed_files(spark: SparkSession, sf_dir: str, parents: bool = True) -> DataFrame:
+    """The files with file type, resource type and, where it is asked for, parent id, which takes a join."""
     files = frame(spark, sf_dir, "files")
     files = files.withColumn("file_type", classify.file_type(F.col("path"), F.col("is_directory"))).withColumn("engine_type", classify.type_hint(F.col("path"), F.col("is_directory")))
-    return resolve.parents(files.withColumn("parent_id", F.lit(0).cast("long")))
+    return resolve.parents(files.withColumn("parent_id", F.lit(0).cast("long"))) if parents else files
 
 
 EXTENSION = f"CASE WHEN regexp_matches({FOLD('name')}, '^.+\\.[^.]+$') THEN regexp_extract({FOLD('name')}, '^.+(\\.[^.]+)$', 1) ELSE '' END"
-CONFIG = {"Config": classify.CONFIG_EXTENSIONS}
-TYPE = f"CASE WHEN is_directory THEN 'Folder' ELSE {classify.sql_case('extension', classify.FILE_TYPES | CONFIG, repr('Unknown'))} END"
-HINT = f"CASE WHEN is_directory THEN 'NGT' ELSE {classify.sql_case('extension', classify.TYPE_HINTS, repr('NGT'))} END"
-TYPED = f"""WITH typed AS (SELECT f.*, {TYPE.replace('is_directory', 'f.is_directory').replace('extension', 'f.extension')} AS file_type, {HINT.replace('is_directory', 'f.is_directory').replace('extension', 'f.extension')} AS engine_type, coalesce(d.id, 0) AS parent_id
+# written out by hand, apart from the tables under test: patterns over the folded name
+TYPE = """CASE WHEN is_directory THEN 'Folder'
+  WHEN regexp_matches(extension, '^\\.(tscn|scn)$') THEN 'GodotScene' WHEN regexp_matches(extension, '^\\.(tres|res|meshlib)$') THEN 'GodotResource'
+  WHEN regexp_matches(extension, '^\\.(gd|cs|sh)$') THEN 'Script' WHEN regexp_matches(extension, '^\\.(gdshader(inc)?|shader)$') THEN 'Shader'
+  WHEN extension = '.import' THEN 'GodotImportMetadata' WHEN regexp_matches(extension, '^\\.(node|object|resource)$') THEN 'GodotEditorMetadata'
+  WHEN regexp_matches(extension, '^\\.(json|csv|ya?ml|toml|xml|dat|bytes)$') THEN 'Data' WHEN regexp_matches(extension, '^\\.(png|jpe?g|webp|svg|bmp|gif|tga)$') THEN 'Asset'
+  WHEN extension = '.exr' THEN 'Image' WHEN regexp_matches(extension, '^\\.(wav|mp3|ogg|opus|flac)$') THEN 'Audio' WHEN regexp_matches(extension, '^\\.(otf|ttf|fnt|woff2?)$') THEN 'Font'
+  WHEN regexp_matches(extension, '^\\.blend[12]$') THEN 'ModelBackup' WHEN extension = '.assbin' THEN 'ModelCache' WHEN regexp_matches(extension, '^\\.(glb|gltf|fbx|obj|dae|blend)$') THEN 'Model'
+  WHEN regexp_matches(extension, '^\\.(zip|7z|rar|tar|gz)$') THEN 'Archive' WHEN regexp_matches(extension, '^\\.(db|sqlite3?)$') THEN 'Database'
+  WHEN regexp_matches(extension, '^\\.(dll|so|dylib|lib|a|o|pdb|exp)$') THEN 'BuildArtifact' WHEN regexp_matches(extension, '^\\.(txt|md|rst|adoc)$') THEN 'Documentation'
+  WHEN extension = '.ase' THEN 'ColorPalette' WHEN regexp_matches(extension, '^\\.(c|h|cpp|hpp|py|js|ts|rs|go|java)$') THEN 'SourceCode'
+  WHEN regexp_matches(extension, '^\\.(xcf|psd|aseprite|kra)$') THEN 'SourceArt' WHEN extension = '.spp' THEN 'MaterialSource' WHEN extension = '.bin' THEN 'BinaryData'
+  WHEN regexp_matches(extension, '^\\.(cfg|ini|conf|config|godot|uid|gdextension)$') THEN 'Config' WHEN extension = '.x86_64' THEN 'GeneratedArtifact' ELSE 'Unknown' END"""
+HINT = """CASE WHEN is_directory THEN 'NGT'
+  WHEN regexp_matches(extension, '^\\.(tscn|scn|glb|gltf|fbx|dae|blend)$') THEN 'PackedScene' WHEN regexp_matches(extension, '^\\.(tres|res)$') THEN 'Resource'
+  WHEN extension = '.meshlib' THEN 'MeshLibrary' WHEN extension = '.gd' THEN 'GDScript' WHEN extension = '.cs' THEN 'CSharpScript'
+  WHEN regexp_matches(extension, '^\\.(gd)?shader$') THEN 'Shader' WHEN extension = '.gdshaderinc' THEN 'ShaderInclude'
+  WHEN regexp_matches(extension, '^\\.(png|jpe?g|webp|svg|bmp|gif|tga)$') THEN 'Texture2D' WHEN extension = '.wav' THEN 'AudioStreamWAV' WHEN extension = '.mp3' THEN 'AudioStreamMP3'
+  WHEN regexp_matches(extension, '^\\.(ogg|opus)$') THEN 'AudioStreamOggVorbis' WHEN regexp_matches(extension, '^\\.(otf|ttf|fnt|woff2?)$') THEN 'FontFile'
+  WHEN extension = '.gdextension' THEN 'GDExtension' WHEN extension = '.uid' THEN 'ResourceUID' WHEN regexp_matches(extension, '^\\.(cfg|ini|conf|config|remap)$') THEN 'ConfigFile' ELSE 'NGT' END"""
+LABEL = """CASE WHEN is_directory THEN 'Folder'
+  WHEN regexp_matches(extension, '^\\.(meshlib|blend|tres|res)$') THEN 'GodotResource' WHEN regexp_matches(extension, '^\\.(tscn|scn)$') THEN 'GodotScene'
+  WHEN regexp_matches(extension, '^\\.(gd|cs|sh)$') THEN 'Script' WHEN regexp_matches(extension, '^\\.gdshader(inc)?$') THEN 'Shader'
+  WHEN regexp_matches(extension, '^\\.(png|jpe?g|webp|svg|wav|mp3|ogg)$') THEN 'Asset' WHEN extension = '.import' THEN 'GodotImportMetadata' WHEN extension = '.godot' THEN 'Config'
+  WHEN regexp_matches(extension, '^\\.(pck|json|csv)$') THEN 'Data' WHEN extension = '.x86_64' THEN 'GeneratedArtifact' WHEN extension = '.xcf' THEN 'SourceArt' WHEN extension = '.py' THEN 'SourceCode'
+  WHEN regexp_matches(extension, '^\\.(txt|md)$') THEN 'Documentation' WHEN extension = '.shader' THEN 'ShaderSource' WHEN extension = '.uid' THEN 'GodotResourceUID'
+  WHEN extension = '.gdextension' THEN 'GodotExtensionConfig' WHEN extension = '.remap' THEN 'GodotExportRemap' WHEN regexp_matches(extension, '^\\.(node|object|resource)$') THEN 'GodotEditorMetadata'
+  WHEN regexp_matches(extension, '^\\.(cfg|ini|conf|config)$') THEN 'Config' WHEN regexp_matches(extension, '^\\.(rst|adoc)$') THEN 'Text'
+  WHEN regexp_matches(extension, '^\\.(ya?ml|toml|xml|bytes|dat)$') THEN 'Data' WHEN extension = '.bin' THEN 'BinaryData' WHEN regexp_matches(extension, '^\\.(db|sqlite3?)$') THEN 'Database'
+  WHEN regexp_matches(extension, '^\\.(bmp|gif|tga|exr)$') THEN 'Image' WHEN extension = '.ase' THEN 'ColorPalette' WHEN regexp_matches(extension, '^\\.(aseprite|psd|kra)$') THEN 'SourceArt' ELSE 'Unknown' END"""
+_OF_F = (lambda case: re.sub(r"\b(is_directory|extension)\b", r"f.\1", case))
+TYPED = f"""WITH typed AS (SELECT f.*, {_OF_F(TYPE)} AS file_type, {_OF_F(HINT)} AS engine_type, coalesce(d.id, 0) AS parent_id
   FROM files f LEFT JOIN files d ON f.parent_path = d.path AND NOT d.is_deleted)"""
 SHOWN = "id, concat('res://', path) AS path, name, CASE WHEN is_directory THEN 'folder' ELSE 'file' END AS type, extension, file_type, engine_type, size_bytes, modified_ns // 1000000000 AS modified_time_unix, is_directory, is_deleted, parent_id"
 
@@ -55,8 +85,13 @@ def _files(name: str, where: str, order: str = "", **options) -> None:
 
     @query(name, f"{TYPED} SELECT {SHOWN} FROM typed WHERE {where} {order}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = inventory.filter_files(typed_files(spark, sf_dir), **options)
-        return inventory.file_rows(inventory.page(df, inventory.file_order(key), offset, limit) if key else df)
+        files = typed_files(spark, sf_dir, parents=False)
+        found = inventory.filter_files(files, **options)
+        if key:
+            # only a page's rows get their parents; the join loses the order, so the page is sorted again
+            found = inventory.page(found, inventory.file_order(key), offset, limit)
+        found = resolve.parents(found.withColumn("parent_id", F.lit(0).cast("long")), files)
+        return inventory.file_rows(found.orderBy(*inventory.file_order(key)) if key else found)
 
 
 _files("files_filter_type", "NOT is_deleted AND file_type = 'Script'", file_type="Script")
@@ -90,17 +125,17 @@ def count_files(spark, sf_dir):
 @query("classify_files", f"{TYPED} SELECT id, file_type, engine_type, CASE WHEN engine_type = 'NGT' THEN 'none' ELSE 'extension' END AS type_hint_source, CASE WHEN engine_type = 'NGT' THEN 0 ELSE 50 END AS type_hint_confidence FROM typed")
 def classify_files(spark, sf_dir):
     hint = F.col("engine_type")
-    return typed_files(spark, sf_dir).select("id", "file_type", "engine_type", F.when(hint == classify.NOT_TYPED, "none").otherwise("extension").alias("type_hint_source"), classify.hint_confidence(hint).alias("type_hint_confidence"))
+    return typed_files(spark, sf_dir, parents=False).select("id", "file_type", "engine_type", F.when(hint == classify.NOT_TYPED, "none").otherwise("extension").alias("type_hint_source"), classify.hint_confidence(hint).alias("type_hint_confidence"))
 
 
-@query("legacy_taxonomy", f"SELECT id, CASE WHEN is_directory THEN 'Folder' ELSE {taxonomy.sql_case(FOLD('path'), FOLD('name'), 'extension')} END AS label FROM files")
+@query("legacy_taxonomy", f"SELECT id, {LABEL} AS label FROM files")
 def legacy_taxonomy(spark, sf_dir):
     return frame(spark, sf_dir, "files").select("id", taxonomy.label(F.col("path"), F.col("is_directory")).alias("label"))
 
 
 @query("type_histogram", f"{TYPED} SELECT file_type, engine_type, count(*) AS n FROM typed WHERE NOT is_deleted GROUP BY ALL")
 def type_histogram(spark, sf_dir):
-    return typed_files(spark, sf_dir).where("not is_deleted").groupBy("file_type", "engine_type").agg(F.count("*").alias("n"))
+    return typed_files(spark, sf_dir, parents=False).where("not is_deleted").groupBy("file_type", "engine_type").agg(F.count("*").alias("n"))
 
 
 @query("parent_resolve", f"{TYPED} SELECT id, parent_path, parent_id FROM typed")
@@ -477,7 +512,7 @@ def inventory_prune(spark, sf_dir):
 
 @query("unknowns", f"{TYPED} SELECT path, extension FROM typed WHERE file_type = 'Unknown' AND NOT is_deleted")
 def unknowns(spark, sf_dir):
-    return inventory.filter_files(typed_files(spark, sf_dir), file_type="Unknown").select("path", "extension")
+    return inventory.filter_files(typed_files(spark, sf_dir, parents=False), file_type="Unknown").select("path", "extension")
 
 
 @query("autoload_targets", "SELECT c.class_name, c.script_path, f.id AS target_id FROM (SELECT class_name, path AS script_path FROM declared) c LEFT JOIN files f ON f.path = c.script_path")
@@ -540,12 +575,18 @@ def stream_dirty_batches(spark, sf_dir):
     """The events as a file stream, run to its end; the state of each path after the last batch."""
     import uuid
 
-    from arbordex.streaming.changes import latest_state
+    from arbordex.operators.lineage import checkpoint_folder
+    from arbordex.streaming.changes import KeyedStates, latest_state
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/{{events.parquet}}")
-    name = f"changes_{uuid.uuid4().hex}"
-    state = latest_state(stream.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), (F.col("event_type") == "error").alias("removed"), F.col("event_id").alias("seq")))
-    run = state.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    changes = stream.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), (F.col("event_type") == "error").alias("removed"), F.col("event_id").alias("seq"))
+    folder = f"{checkpoint_folder(spark)}/changes-{uuid.uuid4().hex}"
+    states = KeyedStates(spark, folder)
+    writer = changes.writeStream.foreachBatch(lambda df, number: states.merge(latest_state(df), number)).option("checkpointLocation", f"{folder}/offsets")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return states.table()
+
+
+for _name, _run in trees.QUERIES.items():
+    query(_name, trees.ORACLE[_name])(_run)

@@ -89,3 +89,24 @@ class Watcher:
 def latest_state(events: DataFrame) -> DataFrame:
     """(path, removed): what the last event of each path says; for batches and for streams in complete mode."""
     return events.groupBy("path").agg(F.max_by("removed", F.struct("seq")).alias("removed"), F.max("seq").alias("seq"))
+
+
+class KeyedStates:
+    """The last state of each path as a Parquet table that micro-batches merge into: each makes the next table of the old one and its
+    own rows. A batch that runs again, after a failure, makes the same table again."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.last = spark, folder, -1
+
+    def _read(self, number: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/states-{number}")
+
+    def merge(self, states: DataFrame, number: int) -> None:
+        """states: (path, removed, seq), one for each path of batch `number`."""
+        before = self.last if self.last < number else number - 1
+        every = states if before < 0 else self._read(before).unionByName(states)
+        latest_state(every).write.mode("overwrite").parquet(f"{self.folder}/states-{number}")
+        self.last = number
+
+    def table(self) -> DataFrame:
+        return self._read(self.last) if self.last >= 0 else self.spark.createDataFrame([], "path string, removed boolean, seq long")
