@@ -39,6 +39,11 @@ def test_cycles(spark):
     assert found((1, 2), (2, 1), (2, 1), (2, 3)) == [("1,2,1", 2), ("2,1,2", 2)]
     assert found((1, 2), (2, 3), (3, 1)) == [("1,2,3,1", 3), ("2,3,1,2", 3), ("3,1,2,3", 3)]
     assert found((1, 2), (2, None)) == []
+    # a chain that leads nowhere is trimmed however long, and short cycles fill a report before long ones are walked
+    long = [(k, k + 1) for k in range(100, 112)] + [(112, 100)]
+    many = [e for k in range(1000, 1300, 2) for e in ((k, k + 1), (k + 1, k))]
+    assert len(found(*long)) == 13 and found(*long, *[(k, k + 1) for k in range(500, 580)])[0][1] == 13
+    assert len(found(*many, *long)) == 256 and {h for _, h in found(*many, *long)} == {2}
 
 
 def test_slice(spark):

@@ -4,21 +4,21 @@ import pytest
 
 from arbordex.sources.scripts import Limits, parse_autoloads, parse_scene, parse_script, unquoted
 
-FULL = b"""# head
-class_name PlayerController # note
-extends CharacterBody2D
-## Health of it.
-@export var health: int = 100
-const Enemy = preload("res://scenes/enemy.tscn")
-signal hit(by: Attacker)
-# plain
+FULL = b"""# about
+class_name Lantern # burns
+extends RigidBody2D
+## How much is left.
+@export var oil: int = 100
+const Wick = preload("res://parts/wick.tscn")
+signal lit(by: Keeper)
+# loose words
 func _ready() -> void:
-\tvar a: Array[Foo] = []
-\tvar b = load("res://x/../y.tres")
+\tvar a: Array[Moth] = []
+\tvar b = load("res://q/../glow.tres")
 \tload(name)
-\tvar c = Bar.new()
-func add(left: int, right: Thing = null) -> Other:
-\treturn NodePath("A/B")
+\tvar c = Ember.new()
+func refill(amount: int, source: Barrel = null) -> Receipt:
+\treturn NodePath("Hook/Chain")
 """
 
 
@@ -26,21 +26,73 @@ def kinds(r):
     return [d["dependency_kind"] for d in r["dependencies"]]
 
 
+def edges(source, extension=".gd"):
+    """(kind, text, line, column, path, class, uid, dynamic, unresolved) of each edge."""
+    found = parse_script(source.encode(), extension)["dependencies"]
+    assert all((d["line_end"], d["column_end"]) == (d["line_start"], d["column_start"]) for d in found)
+    return [(d["dependency_kind"], d["reference_text"], d["line_start"], d["column_start"], d["target_project_relative_path"], d["target_class_name"], d["target_resource_uid"], d["is_dynamic"], d["is_unresolved"]) for d in found]
+
+
 def test_gdscript():
     r = parse_script(FULL, ".gd")
-    assert (r["status"], r["class_name"], r["direct_base_type"]) == ("parsed_class", "PlayerController", "CharacterBody2D")
+    assert (r["status"], r["class_name"], r["direct_base_type"], r["is_node_type"]) == ("parsed_class", "Lantern", "RigidBody2D", True)
     symbols = [(s["symbol_kind"], s["name"], s["declared_type"], s["return_type"], s["default_value_excerpt"], s["doc_comment_state"]) for s in r["symbols"]]
-    assert symbols[1] == ("property", "health", "int", "", "100", "present")
+    assert symbols[1] == ("property", "oil", "int", "", "100", "present")
     assert symbols[4] == ("function", "_ready", "", "void", "", "detached")
-    assert symbols[6:] == [("parameter", "left", "int", "", "", "missing"), ("parameter", "right", "Thing", "", "null", "missing")]
+    assert symbols[6:] == [("parameter", "amount", "int", "", "", "missing"), ("parameter", "source", "Barrel", "", "null", "missing")]
     assert kinds(r) == ["class_name_declaration", "extends_class", "const_preload_alias", "preload_path", "signal_type_ref", "typed_array_element_ref", "load_path", "dynamic_load", "new_class_instantiation", "typed_param_ref", "typed_return_ref", "scene_node_path"]
     assert [d["source_symbol_local_id"] for d in r["dependencies"]] == [1, 1, 3, 3, 4, 5, 5, 5, 5, 6, 6, 6]
     assert len(r["references"]) == len(r["dependencies"])
+    assert all(d["target_symbol_name"] == d["target_class_name"] for d in r["references"])
+
+
+def test_edges_stand_at_their_argument():
+    assert edges('var a = preload("res://x/./y.tscn")\nvar b = load( "res://z.res" )\nResourceLoader.load("res://w.png")\n') == [
+        ("preload_path", "res://x/y.tscn", 1, 17, "x/y.tscn", None, None, False, False),
+        ("load_path", "res://z.res", 2, 15, "z.res", None, None, False, False),
+        ("resource_loader_load_path", "res://w.png", 3, 21, "w.png", None, None, False, False),
+    ]
+
+
+def test_uids_and_dynamic_loads():
+    assert edges('var a = preload("uid://b7")\nvar b = preload(which)\nload(which + "x")\nself.load(which)\nload("user://s")\nResourceLoader.load(a.b)\n') == [
+        ("resource_uid_ref", "uid://b7", 1, 17, None, None, "uid://b7", False, False),
+        ("dynamic_load", "preload(dynamic)", 2, 9, None, None, None, True, False),
+        ("dynamic_load", "load(dynamic)", 3, 1, None, None, None, True, False),
+        ("dynamic_load", "ResourceLoader.load(dynamic)", 6, 1, None, None, None, True, False),
+    ]
+
+
+def test_a_token_has_one_rule():
+    # what extends, const and member calls name starts no rule of its own twice
+    assert [e[:2] for e in edges('extends "res://base.gd"\nconst K = preload("res://k.tres")\n@export var t: Torch = null\nexport var u: Urn\n')] == [
+        ("extends_path", "res://base.gd"), ("const_preload_alias", "K"), ("preload_path", "res://k.tres"), ("export_type_ref", "Torch"), ("typed_var_ref", "Torch"), ("export_type_ref", "Urn"), ("typed_var_ref", "Urn"),
+    ]
+    r = parse_script(b'extends "res://base.gd"\n', ".gd")
+    assert (r["direct_base_type"], r["is_node_type"], r["is_resource_type"]) == ("ScriptPath", False, False)
+    assert [e[:2] for e in edges("func f(\n a: Alpha,\n b: Array[Beta])\n -> Gamma:\n\tpass\nsignal s\nvar d: Dictionary[String, Delta]\nvar e: array[int]\n")] == [("typed_param_ref", "Alpha"), ("typed_array_element_ref", "Beta"), ("typed_return_ref", "Gamma")]
+
+
+def test_columns_count_bytes():
+    assert edges('var é = preload("res://ü/ñ.gd")\n') == [("preload_path", "res://ü/ñ.gd", 1, 18, "ü/ñ.gd", None, None, False, False)]
+    r = parse_script("## Größe\nvar g: int = 1 # für\n".encode() + b"var h = '\xff'\n", ".gd")
+    assert r["doc_comments"][0]["comment_text"] == "Größe" and len(r["doc_comments"][0]["text_hash"]) == 16
+    assert [s["name"] for s in r["symbols"]] == ["g", "h"] and "\ufffd" in r["symbols"][1]["default_value_excerpt"]
+
+
+def test_csharp_rules():
+    source = '[Tool, GlobalClass]\nclass A {}\n[globalclass]\nclass Boat : Hull, IFloat {\n [Export(1)] protected readonly Mast M;\n [Export] int n;\n void F() { gd.load<Sail>("res://s.png"); GD.Load(p); PackedScene.Instantiate<Crew>(); ResourceLoader.Load<Map>(v); }\n}\n'
+    assert [(e[0], e[1], e[2]) for e in edges(source, ".cs")] == [
+        ("class_name_declaration", "Boat", 4), ("extends_class", "Hull", 4), ("extends_class", "IFloat", 4), ("export_type_ref", "Mast", 5), ("typed_return_ref", "Sail", 7), ("gd_load_path", "res://s.png", 7),
+        ("dynamic_load", "GD.Load(dynamic)", 7), ("new_class_instantiation", "Crew", 7), ("typed_return_ref", "Map", 7), ("dynamic_load", "ResourceLoader.Load(dynamic)", 7),
+    ]
+    r = parse_script(source.encode(), ".cs")
+    assert (r["class_name"], r["direct_base_type"]) == ("Boat", "Hull")
 
 
 def test_strings_and_comments_hide_calls():
-    r = parse_script(b'var s = "a \\" load(\\"res://no\\")"\nvar t = """\nload("res://no2")\n"""\n# preload("res://no3")\nvar k = preload("res://kept.tscn")\n', ".gd")
-    assert [(d["dependency_kind"], d["target_project_relative_path"]) for d in r["dependencies"]] == [("preload_path", "kept.tscn")]
+    r = parse_script(b'var s = "a \\" load(\\"res://no\\")"\nvar t = """\nload("res://no2")\n"""\n# preload("res://no3")\nvar k = preload("res://seen.tscn")\n', ".gd")
+    assert [(d["dependency_kind"], d["target_project_relative_path"]) for d in r["dependencies"]] == [("preload_path", "seen.tscn")]
 
 
 def test_limits():
@@ -52,8 +104,8 @@ def test_limits():
 
 
 def test_csharp():
-    r = parse_script(b'[GlobalClass]\npublic partial class Enemy : CharacterBody3D {\n [Export] public int Hp { get; set; } = 3;\n void F() { GD.Load<PackedScene>("res://a.tscn"); x.Instantiate<Foo>(); ResourceLoader.Load<Tex>("res://b.png"); } // GD.Load("res://no")\n}\n', ".cs")
-    assert (r["class_name"], r["direct_base_type"]) == ("Enemy", "CharacterBody3D")
+    r = parse_script(b'[GlobalClass]\npublic partial class Ogre : CharacterBody3D {\n [Export] public int Hp { get; set; } = 3;\n void F() { GD.Load<PackedScene>("res://a.tscn"); x.Instantiate<Foo>(); ResourceLoader.Load<Tex>("res://b.png"); } // GD.Load("res://no")\n}\n', ".cs")
+    assert (r["class_name"], r["direct_base_type"]) == ("Ogre", "CharacterBody3D")
     assert [d["target_project_relative_path"] for d in r["dependencies"] if d["target_project_relative_path"]] == ["a.tscn", "b.png"]
     assert ("property", "Hp", "int") in [(s["symbol_kind"], s["name"], s["declared_type"]) for s in r["symbols"]]
 

@@ -10,7 +10,7 @@ def values(spark, rows, column, schema="v string"):
 
 @pytest.mark.parametrize(
     ("path", "expected"),
-    [("res://folder\\player.gd", "folder/player.gd"), ("./folder//nested/../scene.tscn", "folder/scene.tscn"), ("folder/./asset.png", "folder/asset.png"), ("../../a", "a"), ("", ""), ("/a/", "a"), ("././b", "b")],
+    [("res://art\\sky\\dusk.png", "art/sky/dusk.png"), ("./m/./n//o/../p.tres", "m/n/p.tres"), ("q/..", ""), ("../../../up", "up"), ("", ""), ("//deep//end/", "deep/end"), ("./././z", "z"), ("é/ü.gd", "é/ü.gd")],
 )
 def test_normalize_path(spark, path, expected):
     assert values(spark, [path], text.normalize_path(F.col("v"))) == [expected]
@@ -48,3 +48,10 @@ def test_taxonomy(spark):
     assert dict(map(tuple, df.collect())) == cases
     own = (("Mine", "suffix", ".zzz"), *taxonomy.RULES)
     assert df.select(taxonomy.label(F.lit("q.ZZZ"), F.lit(False), own)).first()[0] == "Mine"
+
+
+def test_under_any(spark):
+    paths = ["a", "a/b", "a/b/c", "ab", "x/a", ""]
+    assert values(spark, paths, text.under_any(F.col("v"), ["a/b", "x", "a/b", "q"])) == [False, True, True, False, True, False]
+    assert values(spark, paths, text.under_any(F.col("v"), [])) == [False] * 6
+    assert values(spark, ["d7/x", "d70/x"], text.under_any(F.col("v"), [f"d{i}" for i in range(50)] + ["none"] * 9)) == [True, False]
