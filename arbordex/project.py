@@ -70,38 +70,41 @@ class Scan:
         now = time.time()
         self.metrics[name] = int(1000 * (now - self.began)) - sum(self.metrics.get(m, 0) for m in METRICS[-5:-1])
 
-    def list(self, changed: DataFrame, skipped: DataFrame) -> DataFrame:
-        """The entries with their reasons, written once, and what the listing counts."""
-        changed = self.keep("_changed", changed)
-        is_file, dirty = F.col("kind") == "file", F.col("dirty_reason") != snapshot.CLEAN
+    def list(self, listed: DataFrame, diff: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """(entries with their reasons, rows of what was skipped or could not be read), both of one table, and what they count."""
+        others = listed.where(~F.col("kind").isin("file", "directory")).select("path", "kind", "error")
+        every = self.keep("_changed", diff(listed).unionByName(others, allowMissingColumns=True))
+        entry, is_file, dirty = F.col("kind").isin("file", "directory"), F.col("kind") == "file", F.col("dirty_reason") != snapshot.CLEAN
         script, scene = (is_file & F.col("extension").isin(*e) for e in (list(scripts.LANGUAGES), scripts.SCENES))
-        found = changed.agg(
+        found = every.agg(
             F.count_if(is_file).alias("files_seen"),
-            F.count_if(~is_file).alias("dirs_seen"),
-            F.count_if(~dirty).alias("entries_clean"),
-            F.count_if(dirty).alias("entries_dirty"),
+            F.count_if(F.col("kind") == "directory").alias("dirs_seen"),
+            F.count_if(F.col("kind") == "skipped").alias("dirs_skipped"),
+            F.count_if(F.col("kind") == "error").alias("errors"),
+            F.count_if(entry & ~dirty).alias("entries_clean"),
+            F.count_if(entry & dirty).alias("entries_dirty"),
             F.count_if(F.col("dirty_reason") == "new_path").alias("entries_new"),
             F.count_if(script).alias("scripts_candidates"),
             F.count_if(script & ~dirty).alias("scripts_skipped_clean"),
             F.count_if(scene & ~dirty).alias("scenes_skipped_clean"),
             F.count_if((script | scene) & dirty).alias("to_parse"),
         ).first()
-        self.metrics |= {k: found[k] for k in found.asDict()}
-        lost = {r["kind"]: r["count"] for r in skipped.groupBy("kind").count().collect()}
-        self.metrics |= {"dirs_skipped": lost.get("skipped", 0), "errors": lost.get("error", 0)}
+        self.metrics |= found.asDict()
         self.timed("traversal_ms")
-        return changed
+        return every.where(entry).drop("error"), every.where(~entry)
 
     def parse(self, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The scripts and scenes that are dirty, parsed."""
-        dirty = changed.where("dirty_reason <> 'clean' and kind = 'file'").select("path", "extension")
-        content = listing.contents(self.spark, self.project.root, [*scripts.LANGUAGES, *scripts.SCENES])
-        content = content.join(dirty.select("path"), "path", "left_semi") if self.metrics["to_parse"] else content.limit(0)
+        if not self.metrics["to_parse"]:
+            self.metrics |= {"scripts_parsed": 0, "scenes_parsed": 0}
+            return (self.spark.createDataFrame([], f"path string, {schema}") for schema in (scripts.SCRIPT, scripts.SCENE))
+        dirty = changed.where("dirty_reason <> 'clean' and kind = 'file'").select("path")
+        content = listing.contents(self.spark, self.project.root, [*scripts.LANGUAGES, *scripts.SCENES]).join(dirty, "path", "left_semi")
         made = self.together({"_scripts": lambda: self.keep("_scripts", scripts.parse_scripts(content)), "_scenes": lambda: self.keep("_scenes", scripts.parse_scenes(content))})
         parsed, scenes = made["_scripts"], made["_scenes"]
         total = parsed.agg(
             F.count("*").alias("scripts_parsed"),
-            *[F.coalesce(F.sum(a), F.lit(0)).alias(b) for a, b in (("lines_scanned", "lines_scanned"), ("bytes_read", "bytes_read"), ("tokens_generated", "tokens_generated"))],
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("lines_scanned", "bytes_read", "tokens_generated")],
             F.count_if("limit_exceeded").alias("limit_exceeded"),
         ).first()
         self.metrics |= total.asDict() | {"scenes_parsed": scenes.count()}
@@ -110,21 +113,26 @@ class Scan:
 
     def merge(self, changed: DataFrame, parsed: DataFrame, unread: DataFrame | None) -> DataFrame:
         """The files table: upsert, statuses, tombstones, ids and parents. Files below a folder that could not be read stay."""
-        old = self.before("files")
-        files = merge.upsert(old, changed, VALUES, self.number)
-        files = merge.tombstone(files, self.number, unread)
-        status = parsed.select("path", F.col("status").alias("_status"))
-        known = old.select("path", "id", F.col("parse_status").alias("_before"))
-        files = files.join(known, "path", "left").join(status, "path", "left")
-        files = self.keep("_merged", files.withColumn("parse_status", F.coalesce("_status", "_before", F.lit("not_parsed"))).drop("_status", "_before"))
-        states = {r[0]: r[1] for r in files.groupBy("merge_state").count().collect()}
-        self.metrics |= {s: states.get(s, 0) for s in ("inserted", "updated", "refreshed")} | {"snapshot_entries": sum(states.values()) - states.get("inserted", 0)}
-        if self.metrics["inserted"]:
+        old, found = self.before("files"), self.metrics
+        files = merge.tombstone(merge.upsert(old, changed, VALUES, self.number), self.number, unread)
+        files = files.join(old.select("path", "id", F.col("parse_status").alias("_before")), "path", "left")
+        status = F.coalesce(F.col("_before"), F.lit("not_parsed"))
+        if found["scripts_parsed"]:
+            files, status = files.join(parsed.select("path", F.col("status").alias("_status")), "path", "left"), F.coalesce(F.col("_status"), status)
+        files = files.withColumn("parse_status", status).drop("_status", "_before")
+        found["inserted"] = 0
+        if found["entries_new"]:
+            # only new rows need numbers, and only they are numbered in order
+            files = self.keep("_merged", files)
+            found["inserted"] = files.where("id is null").count()
+        if found["inserted"]:
             top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
             files = files.where("id is not null").unionByName(numbered(files.where("id is null").drop("id"), "path", top + 1))
         files = self.keep("files", resolve.parents(files.withColumn("parent_id", F.lit(0).cast("long"))))
-        log = self.keep("deleted_log", merge.deleted_log(self.before("deleted_log"), files, self.number))
-        self.metrics["entries_deleted"] = log.where(F.col("generation") == self.number).count()
+        total = files.agg(F.count("*").alias("n"), F.count_if(F.col("dirty_reason") == "deleted_path").alias("gone")).first()
+        found |= {"updated": found["entries_dirty"] - found["inserted"], "refreshed": found["entries_clean"], "snapshot_entries": total["n"] - found["inserted"], "entries_deleted": total["gone"]}
+        if total["gone"] or "deleted_log" not in self.tables:
+            self.keep("deleted_log", merge.deleted_log(self.before("deleted_log"), files, self.number))
         self.timed("merge_ms")
         return files
 
@@ -236,13 +244,13 @@ class Project:
 
     def scan(self, *, force: bool = False, dirty_paths: list[str] | None = None, hidden: bool = True, limit: int | None = None, persist: bool = True) -> DataFrame:
         """Scan the tree. Persisted: the run's metrics row. Otherwise the entries with their dirty reasons, nothing written."""
-        began = time.time()
+        began, self._stop = time.time(), False
         found = listing.listed(self.spark, self.root, skip=self.skip, hidden=hidden)
         if not persist:
             changed = self._diff(found, self.store.table("files"), force, dirty_paths).orderBy("path", "kind")
             return changed.limit(limit) if limit else changed
         number = self.store.current()["number"] + 1
-        context, self._stop, run = self.spark.sparkContext, False, Scan(self, number, began)
+        context, run = self.spark.sparkContext, Scan(self, number, began)
         context.setJobGroup(self.group, "scan", True)
         try:
             return self._run(run, found, force, dirty_paths)
@@ -259,11 +267,9 @@ class Project:
                 context.setLocalProperty(name, None)
 
     def _run(self, run: Scan, found: DataFrame, force: bool, dirty_paths: list[str] | None) -> DataFrame:
-        found = run.keep("_listed", found)
-        skipped = found.where(~F.col("kind").isin("file", "directory"))
-        changed = run.list(self._diff(found, run.before("files"), force, dirty_paths), skipped)
+        changed, others = run.list(found, lambda listed: self._diff(listed, run.before("files"), force, dirty_paths))
         parsed, scenes = run.parse(changed)
-        unread = skipped.where("kind = 'error'").select("path") if run.metrics["errors"] else None
+        unread = others.where("kind = 'error'").select("path") if run.metrics["errors"] else None
         files = run.merge(changed, parsed, unread)
         moved = run.metrics["scripts_parsed"] + run.metrics["scenes_parsed"] + run.metrics["entries_deleted"]
         # tables that nothing touched stay in the folder where they are
@@ -293,6 +299,12 @@ class Project:
         """File rows straight from a scan that writes nothing."""
         return inventory.file_rows(self.scan(persist=False, limit=limit, **options).withColumns({"id": F.lit(0).cast("long"), "parent_id": F.lit(0).cast("long"), "is_deleted": F.lit(False)}))
 
+    def parsed_scripts(self, **options) -> DataFrame:
+        """The scripts that a scan would parse, parsed; nothing is written."""
+        dirty = self.scan(persist=False, **options).where("dirty_reason <> 'clean' and kind = 'file'")
+        content = listing.contents(self.spark, self.root, list(scripts.LANGUAGES))
+        return scripts.parse_scripts(content.join(dirty.select("path"), "path", "left_semi"))
+
     def import_inventory(self, found: dict[str, Any]) -> DataFrame:
         """Take the files and classes of another tool's inventory for those of a scan; rows that it lacks go. The run's row."""
         run = Scan(self, self.store.current()["number"] + 1, time.time())
