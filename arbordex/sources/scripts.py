@@ -398,8 +398,12 @@ def parse_script(source: bytes | None, extension: str, tier: str = "full", limit
             if kind == "function":
                 _parameters(symbols, s, named.get("list") or "", n + 1, language)
             break
+    if rules.class_name and not any(s["symbol_kind"] == "class" for s in symbols):
+        # declared where no line rule sees it: the script still has a root symbol, at its first line
+        _symbol(symbols, "class", clean(rules.class_name), 1, clean(rules.class_name), language, declared_type=clean(rules.base_type), doc_comment_state="none")
+        flags |= HAS_CLASS
     # each dependency belongs to the last symbol at or above its line, else to the class
-    marks = [s for s in symbols if s["symbol_kind"] != "parameter"]
+    marks = sorted((s for s in symbols if s["symbol_kind"] != "parameter"), key=lambda s: s["line_start"])
     root = next((s for s in symbols if s["symbol_kind"] == "class"), None)
     at, current = 0, root
     for d in sorted(dependencies, key=lambda d: d["line_start"]):

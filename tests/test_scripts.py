@@ -95,6 +95,13 @@ def test_strings_and_comments_hide_calls():
     assert [(d["dependency_kind"], d["target_project_relative_path"]) for d in r["dependencies"]] == [("preload_path", "seen.tscn")]
 
 
+def test_a_declared_class_has_a_root_symbol():
+    r = parse_script(b'@icon("res://i.png") class_name Kite\nvar tail: Ribbon = null\n', ".gd")
+    assert [(s["symbol_kind"], s["name"], s["line_start"], s["doc_comment_state"]) for s in r["symbols"]] == [("property", "tail", 2, "missing"), ("class", "Kite", 1, "none")]
+    assert (r["status"], r["class_name"]) == ("parsed_class", "Kite")
+    assert [(d["dependency_kind"], d["source_symbol_local_id"]) for d in r["dependencies"]] == [("class_name_declaration", 2), ("typed_var_ref", 1)]
+
+
 def test_limits():
     source = b"".join(b'var v%d = preload("res://a%d.tscn")\n' % (i, i) for i in range(700))
     r = parse_script(source, ".gd", limits=Limits(1000, 1 << 20, 1 << 20, 3))
