@@ -299,6 +299,20 @@ class Project:
         """File rows straight from a scan that writes nothing."""
         return inventory.file_rows(self.scan(persist=False, limit=limit, **options).withColumns({"id": F.lit(0).cast("long"), "parent_id": F.lit(0).cast("long"), "is_deleted": F.lit(False)}))
 
+    def last_scan_results(self) -> dict[str, DataFrame]:
+        """The last run's row, and the rows of the files that the last whole scan saw."""
+        files = self.store.table("files").where("not is_deleted")
+        return {"summary": self.scan_status(), "files": inventory.file_rows(files.orderBy(*inventory.file_order("path")))}
+
+    def benchmark_scan(self, runs: int = 1, **options) -> DataFrame:
+        """(run, entries, wall_ms) of scans that write nothing."""
+        rows = []
+        for i in range(max(runs, 1)):
+            began = time.time()
+            n = self.scan(persist=False, **options).count()
+            rows.append((i + 1, n, int(1000 * (time.time() - began))))
+        return self.spark.createDataFrame(rows, "run int, entries long, wall_ms long")
+
     def parsed_scripts(self, **options) -> DataFrame:
         """The scripts that a scan would parse, parsed; nothing is written."""
         dirty = self.scan(persist=False, **options).where("dirty_reason <> 'clean' and kind = 'file'")

@@ -124,6 +124,9 @@ def test_counts_of_a_run(scanned):
     assert row.dependencies_created == p.store.table("dependencies").count() and row.symbols_created == p.store.table("symbols").count()
     assert row.dynamic_dependencies == 4 and row.unresolved_dependencies == p.unresolved_dependencies().count()
     assert set(METRICS) <= set(p.scan_status().columns) and p.scan_status(99).count() == 0
+    last = p.last_scan_results()
+    assert last["summary"].first().generation == 1 and last["files"].count() == 6
+    assert [(r.run, r.entries) for r in p.benchmark_scan(2).collect()] == [(1, 6), (2, 6)] and p.parsed_scripts(force=True).count() == 3
     assert p.scan_fast(limit=2).count() == 2 and p.scan_fast().first().asDict()["path"] == "res://a"
 
 
