@@ -14,7 +14,7 @@ from arbordex.llm.op4_packing import packed_documents
 from arbordex.llm.op5_jaccard import first_of_each
 from arbordex.llm.op7_secrets import redact
 from arbordex.llm.op10_lines import drop_common
-from arbordex.llm.tables import shared_dir, table
+from arbordex.llm.tables import deleted, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over all documents. A stage's table goes when the next one is written; packing keeps its pieces in
+    the checkpoint folder, so nothing of the last table is needed afterwards."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            deleted(spark, f"{folder}/{before}")
+        before = name
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    deleted(spark, folder)
+    return packed
