@@ -35,7 +35,7 @@ END = 2
 SMALL = CAPACITY // 3
 GROUPS = 240
 #: Bytes of words and ids that a task remembers; it forgets them, and the tokenizer, when it ends.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 48 << 20
 VOCABULARY = "byte_bpe_50k"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SPECIAL = "<|endoftext|>"
