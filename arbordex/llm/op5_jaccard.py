@@ -11,8 +11,8 @@ Two documents link if 100 * shared >= PERCENT * united. Every stage keeps every
 4. Each cluster's sets go into a prefix tree, common shingles first so that near copies share long paths. A set walks down
    it, carries its overlap along and leaves subtrees that their sizes and remaining lengths rule out. Sets that are already
    connected are not compared for their own sake: walks go on until all sets that never walked are connected. Clusters of
-   more than BLOCK sets are split into blocks that share a few sets. Sets that these leave apart meet again by each shingle of
-   their rare beginnings that sets of several groups have, a common one in blocks.
+   more than BLOCK sets are split into blocks that share a few sets. Sets that these leave apart then meet every block, or the
+   sets that share a shingle of their rare beginnings with them, whichever sends fewer sets.
 5. Links, equal sets and nothing else make the components.
 
 A batch settles what its own documents decide and sends one record for each hash, so copies and common lines that fill a
@@ -36,7 +36,7 @@ from arbordex.llm.columns import Rolling, Words, buffers, mix, passes, ranges
 from arbordex.llm.graph import components
 from arbordex.llm.op3_substrings import settle_shared
 from arbordex.llm.packed import bucket_of, regroup, slices, spread, unpack
-from arbordex.llm.tables import checkpointed, mapped, partitions, table, texts
+from arbordex.llm.tables import bucketed, checkpointed, dropped, mapped, one_row_each, partitions, table, texts
 
 SHINGLE = 5
 PERCENT = 80
@@ -170,9 +170,9 @@ def described(docs: DataFrame) -> DataFrame:
     return checkpointed(mapped(found, run, "row long, n long, same long, shared long"))
 
 
-def survivor_sets(docs: DataFrame, info: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """(row, hashes binary) of the sets that may have a partner, kept in the shared folder. Up to `most` survivors are told to all
-    tasks, more are joined."""
+def survivor_sets(docs: DataFrame, info: DataFrame, most: int = BROADCAST_IDS) -> tuple[DataFrame, str]:
+    """(row, hashes binary) of the sets that may have a partner, and the name of their table, which is bucketed by row, so that no
+    join by row that follows exchanges the sets again. Up to `most` survivors are told to all tasks, more are joined."""
     unshared = F.floor(F.col("n") * (100 - PERCENT) / 100)
     sampled = F.least(F.col("n"), unshared + 1 + F.floor(F.col("n") / 10))
     chosen = info.where("same is null and n > 0").where(F.col("shared") >= sampled - unshared).select("row")
@@ -196,12 +196,17 @@ def survivor_sets(docs: DataFrame, info: DataFrame, most: int = BROADCAST_IDS) -
                 blobs += [key[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["row", "hashes"])
 
-    # equal rows have equal sets, of which the first found stays
-    made = mapped(docs, run, "row long, hashes binary").groupBy("row").agg(F.first("hashes").alias("hashes"))
-    kept = checkpointed(made)
+    kept, name = bucketed(mapped(docs, run, "row long, hashes binary"), "row")
+    # equal rows have equal sets, of which one stays
+    again = kept.groupBy("row").count().where("count > 1").select("row")
+    if not again.isEmpty():
+        several = kept.join(again, "row", "left_semi").groupBy("row").agg(F.first("hashes").alias("hashes"))
+        all_of_them = name
+        kept, name = bucketed(kept.join(again, "row", "left_anti").unionByName(several), "row")
+        dropped(docs.sparkSession, all_of_them)
     if shared is not None:
         shared.unpersist()
-    return kept
+    return kept, name
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,6 +288,11 @@ def edges(found: DataFrame) -> DataFrame:
     return mapped(found, run, "a long, b long")
 
 
+def ranked(survivors: DataFrame) -> DataFrame:
+    """(row, hashes, found): sets with how often each of their shingles occurs in all of them, which orders shingles alike for all."""
+    return survivors.join(regroup(survivors, map_frequencies, ["<u4", "<i8", "<i4"], reduce_frequencies, ["<i4", "<i4"]), "row", "left")
+
+
 def prefixes(ranked: DataFrame) -> DataFrame:
     """(row, key) of the rare beginnings of `ranked` (row, hashes, found)."""
 
@@ -458,16 +468,16 @@ def _blocks(of: str, block: int) -> Column:
     return F.ceil(F.col(of) / F.lit(block)).cast("int")
 
 
-def links(ranked: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): linked survivors of `ranked` (row, hashes, found), enough of them to connect what all links connect; `clusters`
-    (row, component) has each once.
+def links(survivors: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): linked `survivors` (row, hashes), enough of them to connect what all links connect; `clusters` (row, component) has
+    each once.
 
     First each block of a cluster gets a tree, and about PIVOTS sets of a cluster with several blocks go into all its blocks.
     That connects almost all that is connected. Two linked sets that are not connected by then share a shingle of their rare
-    beginnings and are not both in their cluster's largest group. So each shingle that a set outside it shares with a set of another
-    group gets a tree of the sets that begin with it; beyond `block` sets, its outside sets meet its blocks one by one.
+    beginnings and are not both in their cluster's largest group. So either the sets outside that group meet all blocks of the
+    cluster, or they meet the sets that share such a shingle with them, shingle by shingle; a cluster takes the way that sends
+    fewer sets, so one that boilerplate holds together does not compare all with all.
     """
-    survivors = ranked.select("row", "hashes")
     sizes = checkpointed(clusters.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", _blocks("size", block)))
     placed = checkpointed(clusters.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")))
     large = placed.where("blocks > 1")
@@ -477,28 +487,43 @@ def links(ranked: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFra
     first = checkpointed(_tree_links(one.unionByName(pivots.select("row", F.col("component").alias("part"), "i", F.lit(0).alias("j"), F.col("row").alias("known"))), survivors))
     if large.isEmpty():
         return first
-    known = checkpointed(large.join(components(first).select(F.col("id").alias("row"), F.col("component").alias("known")), "row", "left").select("row", "component", F.coalesce("known", "row").alias("known")))
-    largest = checkpointed(known.groupBy("component", "known").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("known", F.struct("n", "known")).alias("largest"), F.count("*").alias("groups")))
-    known = known.join(largest.where("groups > 1"), "component").select("row", "known", (F.col("known") != F.col("largest")).alias("outside"))
-    begun = checkpointed(prefixes(ranked.join(known.select("row"), "row", "left_semi")).join(known, "row"))
-    shingles = begun.groupBy("key").agg(F.count("*").alias("n"), F.count_if("outside").alias("outside_n"), F.min("known").alias("low"), F.max("known").alias("high"))
-    shingles = checkpointed(shingles.where("outside_n > 0 and low <> high").select("key", _blocks("n", block).alias("blocks"), _blocks("outside_n", block).alias("chunks")))
-    begun = begun.join(shingles, "key").select("row", F.col("key").alias("part"), "known", "outside", "blocks", "chunks", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("own"))
-    every = begun.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.col("own"))
-    outside = begun.where("outside and blocks > 1").withColumn("j", F.pmod(F.xxhash64("row", F.lit(2)), F.col("chunks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return first.unionByName(_tree_links(every.select(columns).unionByName(outside.select(columns)).distinct(), survivors))
+    known = large.join(components(first).select(F.col("id").alias("row"), F.col("component").alias("known")), "row", "left").withColumn("known", F.coalesce("known", "row"))
+    known = checkpointed(known)
+    groups = known.groupBy("component", "known").agg(F.count("*").alias("n"))
+    largest = groups.groupBy("component").agg(F.max_by("known", F.struct("n", "known")).alias("largest"), (F.sum("n") - F.max("n")).alias("outside_n"))
+    largest = checkpointed(largest.where("outside_n > 0").withColumn("chunks", _blocks("outside_n", block)))
+    if largest.isEmpty():
+        return first
+    known = checkpointed(known.join(largest, "component").select("row", "component", "known", "own", "blocks", "chunks", "size", "outside_n", (F.col("known") != F.col("largest")).alias("outside")))
+    begun = checkpointed(prefixes(ranked(survivors.join(known.select("row"), "row", "left_semi"))).join(known.select("row", "component", "known", "outside"), "row"))
+    shingles = begun.groupBy("component", "key").agg(F.count("*").alias("n"), F.count_if("outside").alias("outside_n"), F.min("known").alias("low"), F.max("known").alias("high"))
+    shingles = checkpointed(shingles.where("outside_n > 0 and low <> high").withColumns({"blocks": _blocks("n", block), "chunks": _blocks("outside_n", block)}))
+    # of the two ways each cluster takes the one that sends fewer sets
+    rows = F.col("n") * F.col("chunks") + F.when(F.col("blocks") > 1, F.col("outside_n") * F.col("blocks")).otherwise(0)
+    by_shingle = shingles.groupBy("component").agg(F.sum(rows).alias("by_shingle"))
+    by_block = known.groupBy("component").agg(F.max(F.col("size") * F.col("chunks") + F.col("outside_n") * F.col("blocks")).alias("by_block"))
+    ways = checkpointed(by_block.join(by_shingle, "component", "left").select("component", (F.coalesce("by_shingle", F.lit(0)) < F.col("by_block")).alias("shingled")))
+    begun = begun.join(ways.where("shingled").select("component"), "component").join(shingles.select("component", "key", "blocks", "chunks"), ["component", "key"])
+    begun = begun.select("row", F.xxhash64("component", "key").alias("part"), "known", "outside", "blocks", "chunks", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("own"))
+    whole = known.join(ways.where("not shingled").select("component"), "component").select("row", F.col("component").alias("part"), "known", "outside", "blocks", "chunks", "own")
+    dealt = checkpointed(begun.unionByName(whole))
+    every = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.col("own"))
+    outside = dealt.where("outside and blocks > 1").withColumn("j", F.pmod(F.xxhash64("row", F.lit(2)), F.col("chunks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a set comes into a block once: as one of it, or as an outside set that meets it
+    outside = outside.where("i <> own")
+    return first.unionByName(_tree_links(every.select(columns).unionByName(outside.select(columns)), survivors))
 
 
 def related(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((row, n) of each of `texts`, (row, component) of each that is linked with another)."""
     info = described(docs)
-    survivors = survivor_sets(docs, info)
-    frequent = regroup(survivors, map_frequencies, ["<u4", "<i8", "<i4"], reduce_frequencies, ["<i4", "<i4"])
-    ranked = checkpointed(survivors.join(frequent, "row", "left"))
-    near = regroup(ranked, map_prefixes, ["<u8", "<i8", "<i8", "u1"], reduce_prefixes, ["<i8"])
-    found = links(ranked, components(edges(near)).withColumnRenamed("id", "row"))
+    survivors, name = survivor_sets(docs, info)
+    near = regroup(ranked(survivors), map_prefixes, ["<u8", "<i8", "<i8", "u1"], reduce_prefixes, ["<i8"])
+    found = links(survivors, components(edges(near)).withColumnRenamed("id", "row"))
     equal = info.where("same is not null").select(F.col("row").alias("a"), F.col("same").alias("b"))
-    return info.select("row", "n"), components(found.unionByName(equal)).withColumnRenamed("id", "row")
+    groups = components(found.unionByName(equal)).withColumnRenamed("id", "row")
+    dropped(docs.sparkSession, name)  # components are kept, nothing reads the sets any more
+    return info.select("row", "n"), groups
 
 
 def joined(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -519,6 +544,7 @@ def first_of_each(df: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of df that come first in their component, by doc_id (null last) and then by an arbitrary order; near copies and
     repeats of them go, rows without words stay."""
     docs = texts(df, key, text)
+    distinct = one_row_each(df, key)
     info, groups = related(docs)
     groups = checkpointed(groups)
     ids = docs.select("row", "doc_id")
@@ -526,11 +552,12 @@ def first_of_each(df: DataFrame, key: str, text: str) -> DataFrame:
     # a row's fate: all of its group but the first go; a repeated row with words stays once
     gone = groups.select("row").join(first.select("row"), "row", "left_anti").select("row", F.lit("gone").alias("fate"))
     again = ids.groupBy("row").count().where("count > 1").join(info.where("n > 0"), "row").join(gone, "row", "left_anti").select("row", F.lit("again").alias("fate"))
-    fates = checkpointed(gone.unionByName(again))
+    fates = checkpointed(gone if distinct else gone.unionByName(again))
     columns = {c: f"c{i}" for i, c in enumerate(df.columns)}
-    numbered = df.select(F.xxhash64(df[key].cast("long"), F.coalesce(df[text], F.lit(""))).alias("row"), *[df[c].alias(x) for c, x in columns.items()]).join(fates, "row", "left")
+    row = df[key].cast("long") if distinct else F.xxhash64(df[key].cast("long"), F.coalesce(df[text], F.lit("")))
+    numbered = df.select(row.alias("row"), *[df[c].alias(x) for c, x in columns.items()]).join(fates, "row", "left")
     kept = numbered.where("fate is null")
-    if not fates.where("fate = 'again'").isEmpty():
+    if not distinct and not fates.where("fate = 'again'").isEmpty():
         kept = kept.unionByName(numbered.where("fate = 'again'").dropDuplicates(["row"]))
     return kept.select(*[F.col(x).alias(c) for c, x in columns.items()])
 

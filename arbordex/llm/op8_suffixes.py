@@ -1,22 +1,26 @@
-"""Operator 8, suffix-array dedup by distributed prefix doubling over sampled suffixes.
+"""Operator 8, suffix-array dedup: prefixes of sampled suffixes, ranked at growing lengths until unique or past the threshold.
 
 A byte is removed if a string of LENGTH bytes that covers it also starts anywhere else, in this document or another.
 
-Ranking every byte position costs a record for each byte and round, which no budget here allows, so suffixes are sampled by
-content: a position is an anchor if its GRAM-byte hash is the least of some run of SPREAD positions of its document. Every
-LENGTH-byte string holds two anchors that its own bytes decide. Rounds then rank prefixes that grow, and leave out what is unique:
-
-1. The stretch from an anchor through the next one (about 60 bytes) is ranked by its hash, and the pair of that rank and the
-   rank of its surroundings, all strings of LENGTH bytes that hold the stretch, by both. A stretch that occurs once drops out
-   with every string through it. Surroundings that occur twice are past the threshold: all their strings repeat.
-2. Where a stretch repeats in different surroundings, the strings of LENGTH bytes through it are ranked one by one, but for those
-   that hold another stretch, decided by their own bytes, that occurs once; of equal surroundings one occurrence speaks for all.
-
-A batch settles what its own documents decide and sends one record of a rank, so hot passages cost a reducer one record for
-each batch, and at most FEW surroundings of a hot stretch. Ranks are 64-bit hashes.
-
-Null or empty text, and texts shorter than LENGTH bytes: nothing is removed. Rows that share a doc_id should be equal rows;
-they repeat each other like other equal texts do only if their ids differ. A null doc_id is a place like any other.
+Doubling from every byte takes a record for each byte and round; the README has the figures that keep it from passing. So suffixes are
+sampled by content: a position is an anchor if its GRAM-byte hash is the least of some run of SPREAD positions of its document. Every
+LENGTH-byte string holds two anchors that its own bytes decide. Three rounds rank prefixes of growing length; a rank is a 64-bit hash
+of the bytes, so the rank of a longer prefix needs no answer about the shorter one, and only whether a rank is unique has to travel:
+
+1. The stretch from an anchor through the next one (about 60 bytes).
+2. The pair of that rank and the rank of its surroundings, all strings of LENGTH bytes that hold the stretch (about 340 bytes). Spark
+   deals and sorts the pairs by bucket; pairs of one bucket are sorted as numbers. A stretch that occurs once drops out with every
+   string through it. Surroundings that occur twice are past the threshold: all their strings repeat.
+3. Where a stretch repeats in different surroundings, the strings of LENGTH bytes through it, one by one, but for those that hold
+   another stretch, decided by their own bytes, that occurs once; of equal surroundings one occurrence speaks for all.
+
+A batch settles what its own documents decide and sends one record of a rank, so hot passages cost a reducer one record for each batch.
+A batch has at most FEW surroundings of a hot stretch settled this way; the strings of further ones are ranked one by one, with the
+same result.
+
+Null or empty text, and texts shorter than LENGTH bytes: nothing is removed. Rows that share a doc_id, or have none, are documents of
+their own; of a row that occurs twice every byte repeats elsewhere, so texts of LENGTH bytes or more lose everything. Other columns of
+the input may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from arbordex.llm.columns import Rolling, buffers, byte_values, passes
 from arbordex.llm.packed import bucket_of, regroup, spread, unpack
-from arbordex.llm.tables import mapped, table, texts
+from arbordex.llm.tables import mapped, one_row_each, table, texts
 
 LENGTH = 200
 GRAM = 16
@@ -239,6 +243,8 @@ def deduplicated(df: DataFrame, key: str, text: str) -> DataFrame:
     stretches = regroup(docs, map_stretches, ["<u4", "<u8", "<i8", "<i4", "u1", "u1"], reduce_stretches, _FOUND)
     strings = regroup(docs.join(stretches, "row", "left"), map_strings, ["<u8", "<i8", "<i4", "<i4", "u1"], reduce_strings, ["<i4", "<i4"])
     again = docs.groupBy("row").count().where("count > 1").select("row", F.lit(True).alias("again"))
+    if one_row_each(df, key):
+        again = again.limit(0)
 
     def run(batches):
         for b in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -58,10 +59,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_row_each(df: DataFrame, key: str) -> bool:
+    """Whether every row has an id and no two rows share one: a job that reads the ids alone."""
+    ids = df.select(df[key].cast("long").alias("id")).groupBy("id").count()
+    return ids.where("id is null or count > 1").isEmpty()
+
+
 def texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, doc_id, text): a null text is empty. `row` tells rows apart that share an id or have none; equal rows share it."""
+    """(row, doc_id, text): a null text is empty. `row` tells rows apart: it is the id where all rows have ids of their own, which
+    shuffles best, else a hash of id and text, which equal rows share."""
     doc_id, filled = df[key].cast("long"), F.coalesce(df[text], F.lit(""))
-    return df.select(F.xxhash64(doc_id, filled).alias("row"), doc_id.alias("doc_id"), filled.alias("text"))
+    row = doc_id if one_row_each(df, key) else F.xxhash64(doc_id, filled)
+    return df.select(row.alias("row"), doc_id.alias("doc_id"), filled.alias("text"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,6 +91,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """(df as a table of the warehouse that is dealt and sorted by a column, its name); joins by the column need no exchange of it."""
+    name, n = f"arbordex_{uuid.uuid4().hex}", partitions(df.sparkSession)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name), name
+
+
+def dropped(spark: SparkSession, *names: str) -> None:
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,9 +32,13 @@ def shared(corpus):
     return [(r[0], r[1]) for r in corpus] + rows + [rows[0]]
 
 
-@pytest.fixture(scope="module")
-def rows(spark, corpus):
-    return shared(corpus), spark.createDataFrame(shared(corpus), "doc_id long, text string").repartition(3)
+@pytest.fixture(scope="module", params=["shared ids", "own ids"])
+def rows(request, spark, corpus):
+    given = shared(corpus)
+    if request.param == "own ids":
+        own = {k: (k, t) for k, t in given if k is not None}
+        given = list(own.values())
+    return given, spark.createDataFrame(given, "doc_id long, text string").repartition(3)
 
 
 def place(k):
@@ -168,9 +172,8 @@ def test_large_clusters_lose_no_link(spark, monkeypatch, made, shingled):
     plain = op5_jaccard._tree_links
     monkeypatch.setattr(op5_jaccard, "_tree_links", lambda dealt, survivors: (sent.append(dealt.count()), plain(dealt, survivors))[1])
     survivors = checkpointed(spark.createDataFrame([(i - 70, bytearray(s.tobytes())) for i, s in enumerate(sets)], "row long, hashes binary"))
-    frequent = op5_jaccard.regroup(survivors, op5_jaccard.map_frequencies, ["<u4", "<i8", "<i4"], op5_jaccard.reduce_frequencies, ["<i4", "<i4"])
     clusters = spark.createDataFrame([(i - 70, 0) for i in range(len(sets))], "row long, component long")
-    found = checkpointed(op5_jaccard.links(survivors.join(frequent, "row", "left"), clusters, block=8))
+    found = checkpointed(op5_jaccard.links(survivors, clusters, block=8))
     small = [(r.id + 70, r.component + 70) for r in components(found).collect()]
     parent = list(range(len(sets)))
 
