@@ -8,7 +8,7 @@ from arbordex.llm.tables import checkpointed
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_copies", "secrets", "packing"]
     assert [k for k in registry.QUERIES if k.startswith("op")] == sorted((k for k in registry.QUERIES if k.startswith("op")), key=lambda k: int(k[2:].split("_")[0]))
-    assert len(registry.QUERIES) == 11 and set(registry.ORACLE) <= set(registry.QUERIES)
+    assert len(registry.QUERIES) == 14 and set(registry.ORACLE) <= set(registry.QUERIES)
 
 
 @pytest.mark.parametrize("extra", ["hash", "row", "c0", "n_lines", "fate"])
