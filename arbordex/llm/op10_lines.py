@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordex.llm.tables import bounded, checkpointed, mapped, partitions, table
+from arbordex.llm.tables import bounded, checkpointed, dropped, mapped, partitions, saved, table
 
 LEAST_DOCUMENTS = 10
 LEAST_POINTS = 1
@@ -63,18 +63,20 @@ def batch_counts(df: DataFrame, text: str, points: int = LEAST_POINTS) -> DataFr
 
 
 class LineRuns:
-    """Runs as bucketed tables of the warehouse, which the cluster shares; `close` drops them."""
+    """Runs as bucketed tables in the folder that the cluster shares; `close` drops them, also after a failure."""
 
     def __init__(self, spark: SparkSession, documents: int = LEAST_DOCUMENTS, fanout: int = FANOUT):
         self.spark, self.documents, self.fanout, self.buckets = spark, documents, fanout, partitions(spark)
         self.name = f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = [[]]
         self.made = 0
+        self.tables: set[str] = set()
 
     def _write(self, run: DataFrame, level: int) -> None:
         name = f"{self.name}_{level}_{self.made}"
         self.made += 1
-        run.write.bucketBy(self.buckets, "hash").sortBy("hash").format("parquet").saveAsTable(name)
+        saved(run, name, "hash", self.buckets)
+        self.tables.add(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
@@ -126,13 +128,19 @@ class LineRuns:
         return self.spark.table(self.levels[top][0])
 
     def _drop(self, names: list[str]) -> None:
-        for n in names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+        dropped(self.spark, *names)
+        self.tables -= set(names)
 
     def close(self) -> None:
-        self._drop(self._runs())
+        self._drop(sorted(self.tables))
         self.levels = [[]]
 
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
 
 def common_hashes(runs: LineRuns, most: int = BROADCAST_KEYS) -> tuple[DataFrame | None, np.ndarray | None]:
     """The hashes of common lines: as an array if there are no more than `most`, else as a table. The runs are dropped."""
@@ -200,10 +208,12 @@ def _line_hashes(batches):
 
 
 def drop_common(df: DataFrame, text: str, length: str | None = None, documents: int = LEAST_DOCUMENTS) -> DataFrame:
-    """df with its common lines removed from `text` and `length` set to the new number of code points; null texts stay null."""
-    runs = LineRuns(df.sparkSession, documents)
-    runs.add(batch_counts(df, text))
-    made, columns = _cleaned(df, text, runs, BROADCAST_KEYS)
+    """df with its common lines removed from `text` and `length` set to the new number of code points; null texts stay null. The rows
+    arrive as BATCHES batches."""
+    with LineRuns(df.sparkSession, documents) as runs:
+        for batch in shares(df.select(df[text].alias("text")), BATCHES):
+            runs.add(batch_counts(batch, "text"))
+        made, columns = _cleaned(df, text, runs, BROADCAST_KEYS)
     changed = F.col("n_dropped") > 0
     columns = columns | {text: F.when(changed, F.col("kept_text")).otherwise(columns[text])}
     if length in columns:
@@ -211,20 +221,30 @@ def drop_common(df: DataFrame, text: str, length: str | None = None, documents:
     return made.select(*[columns[c].alias(c) for c in df.columns])
 
 
+def shares(df: DataFrame, n: int) -> list[DataFrame]:
+    """df as n batches, by a hash of its rows."""
+    place = F.pmod(F.xxhash64(*df.columns), F.lit(n))
+    return [df.where(place == i) for i in range(n)] if n > 1 else [df]
+
+
 def file_batches(spark: SparkSession, df: DataFrame, batches: int = BATCHES) -> list[DataFrame]:
-    """A table of files as batches of at most BATCH_FILES whole files; a table without files is one empty batch."""
+    """A table of files as batches of at most BATCH_FILES whole files. A table of fewer files than batches arrives by shares of its
+    rows; one without files is one empty batch."""
     files = sorted(df.inputFiles())
+    if 0 < len(files) < batches:
+        return shares(df, batches)
     size = min(BATCH_FILES, max(1, -(-len(files) // batches)))
     return [spark.read.schema(df.schema).parquet(*files[first : first + size]) for first in range(0, len(files), size)] or [df]
 
 
 def op10_lines(spark: SparkSession, sf_dir: str, batches: int = BATCHES) -> DataFrame:
-    """The files of `documents` arrive as a few batches, each of which meets the runs and adds its own."""
+    """`documents` arrives as a few batches of files or rows, each of which meets the runs and adds its own."""
     bounded(spark)
-    docs, runs = table(spark, sf_dir, "documents"), LineRuns(spark)
-    for batch in file_batches(spark, docs, batches):
-        runs.add(batch_counts(batch, "text"))
-    found = clean(docs.select("doc_id", "text"), "text", runs)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    with LineRuns(spark) as runs:
+        for batch in file_batches(spark, docs, batches):
+            runs.add(batch_counts(batch, "text"))
+        found = clean(docs, "text", runs)
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 

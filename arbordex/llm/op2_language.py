@@ -1,9 +1,10 @@
 """Operator 2, language ID: multinomial naive Bayes over hashed character n-grams.
 
-Fit: at most about SAMPLE_PER_LANGUAGE labelled texts of each language (chosen by a hash of their key; all of a rare language)
-are counted into BINS buckets of 1- to 3-grams. The log-probability matrix, BINS x languages, is broadcast; with more than
-MAX_LANGUAGES labels fitting fails, so its size is bounded. Scoring is a sparse gather and a sum for each text, in numpy, at most
-GATHERED numbers at a time however long a text is.
+Fit: at most SAMPLE_PER_LANGUAGE different labelled texts of each language (chosen by a hash of id and text; all of a rare language)
+are counted into BINS buckets of 1- to 3-grams. The log-probability matrix, BINS x languages, is broadcast, BLOCK languages at a time, so
+a broadcast has 64 MB at most. More languages are scored block by block: a row carries the best language so far and the sum of all
+odds against it, and the result is that of one matrix. Scoring is a sparse gather and a sum for each text, in numpy, at most GATHERED
+numbers at a time however long a text is.
 
 N-grams run over the code points of the lower-cased text with a space before and after; digits and marks count as they are.
 Null text, empty text or text without a letter: `und` with score 0. No labelled text at all: `und` with score 0 for every
@@ -12,18 +13,20 @@ row. Ties between languages: the first by name. Repeated rows score alike.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbordex.llm.columns import buffers, mix, passes
-from arbordex.llm.tables import mapped, table
+from arbordex.llm.tables import checkpointed, mapped, sampled, table
 
 BINS = 1 << 16
 ORDERS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 3000
-MAX_LANGUAGES = 256
+BLOCK = 256
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Log-probabilities that scoring gathers at once.
@@ -46,40 +49,49 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out.ravel(), ends * len(ORDERS)
 
 
-def fit(labelled: DataFrame, key: str, text: str, label: str, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, key: str, text: str, label: str, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray | Blocks]:
     """(languages, log-probability matrix) from the rows of `labelled` that have a text and a label."""
     rows = labelled.select(labelled[key].alias("key"), labelled[text].alias("text"), labelled[label].alias("label")).where("text is not null and label is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} language labels")
-    names = sorted(sizes)
+    sample = sampled(rows, "key", "text", per_language, "label")
+    names = sorted(r[0] for r in sample.select("label").distinct().collect())
     if not names:
         return [], np.zeros((BINS + 1, 0), np.float32)
-    place = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.coalesce(*[F.when(F.col("label") == n, F.lit(min(1.0, per_language / sizes[n]))) for n in names])
     number = {n: i for i, n in enumerate(names)}
 
     def count(batches):
-        total = np.zeros((len(names), BINS + 1))
         for b in batches:
             texts, labels = b.column(0).to_pylist(), np.array([number[x] for x in b.column(1).to_pylist()])
             for first in range(0, len(texts), 200):
                 bins, ends = grams(texts[first : first + 200])
                 which = np.repeat(labels[first : first + 200], np.diff(ends, prepend=0))
-                total += np.bincount(which * (BINS + 1) + bins, minlength=total.size).reshape(total.shape)
-        for i in range(len(names)):
-            at = np.flatnonzero(total[i, :BINS])
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[i, at].astype(np.int64))], ["label", "bin", "n"])
+                found, n = np.unique((which * (BINS + 1) + bins)[bins < BINS], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((found // (BINS + 1)).astype(np.int32)), pa.array((found % (BINS + 1)).astype(np.int32)), pa.array(n)], ["label", "bin", "n"])
 
     # the sample is bounded, so a few tasks count it, however many files it came from
-    sample = rows.where(place < share).select("text", "label").repartition(12)
-    counted = mapped(sample, count, "label int, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).toArrow()
-    matrix = np.full((BINS + 1, len(names)), SMOOTHING)
-    np.add.at(matrix, (counted["bin"].to_numpy(), counted["label"].to_numpy()), counted["n"].to_numpy())
+    counted = mapped(sample.select("text", "label").repartition(12), count, "label int, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n"))
+    if len(names) <= BLOCK:
+        return names, _matrix(counted, 0, len(names))
+    return names, Blocks(checkpointed(counted), len(names))
+
+
+def _matrix(counted: DataFrame, first: int, languages: int) -> np.ndarray:
+    """Log-probabilities, (BINS + 1) x languages, from (label, bin, n)."""
+    found = counted.where(F.col("label").between(first, first + languages - 1)).toArrow()
+    matrix = np.full((BINS + 1, languages), SMOOTHING)
+    np.add.at(matrix, (found["bin"].to_numpy(), found["label"].to_numpy() - first), found["n"].to_numpy())
     matrix = np.log(matrix) - np.log(matrix[:BINS].sum(axis=0))
     matrix[BINS] = 0
-    return names, matrix.astype(np.float32)
+    return matrix.astype(np.float32)
+
+
+class Blocks:
+    """The matrix of more than BLOCK languages, of which the driver makes one block at a time."""
+
+    def __init__(self, counted: DataFrame, languages: int):
+        self.counted, self.languages = counted, languages
+
+    def block(self, first: int, size: int) -> np.ndarray:
+        return _matrix(self.counted, first, min(size, self.languages - first))
 
 
 def summed(weights: np.ndarray, bins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -90,38 +102,48 @@ def summed(weights: np.ndarray, bins: np.ndarray, ends: np.ndarray) -> np.ndarra
     return np.add.reduceat(weights[bins], np.concatenate([[0], ends[:-1]]), axis=0, dtype=np.float64)
 
 
-def predict(df: DataFrame, key: str, text: str, model: tuple[list[str], np.ndarray], keep: dict[str, Column] | None = None) -> DataFrame:
+def predict(df: DataFrame, key: str, text: str, model: tuple[list[str], np.ndarray | Blocks], keep: dict[str, Column] | None = None, block: int = BLOCK) -> DataFrame:
     """(key, each column of `keep`, lang_pred, score) for each row; score is the posterior of the language chosen."""
     names, matrix = model
-    shared = df.sparkSession.sparkContext.broadcast(matrix)
     keep = {key: df[key], **(keep or {})}
-    source = df.select(df[text].alias("_text"), *[c.alias(n) for n, c in keep.items()])
-    out = [*keep, "lang_pred", "score"]
+    own = [f"c{i}" for i in range(len(keep))]
+    state = df.select(df[text].alias("_text"), *[c.alias(n) for n, c in zip(own, keep.values())], F.lit(UNKNOWN).alias("lang_pred"), F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("odds"))
+    for first in range(0, len(names), block):
+        part = matrix.block(first, block) if isinstance(matrix, Blocks) else matrix[:, first : first + block]
+        state = _scored(checkpointed(state) if first else state, names[first : first + block], part)
+    known = F.col("lang_pred") != UNKNOWN
+    return state.select(*[F.col(n).alias(c) for n, c in zip(own, keep)], "lang_pred", F.when(known, 1 / F.col("odds")).otherwise(F.lit(0.0)).alias("score"))
+
+
+def _scored(state: DataFrame, names: list[str], matrix: np.ndarray) -> DataFrame:
+    """`state` after some more languages: the best so far, its log-probability, and the sum of all odds against it."""
+    shared = state.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix))
+    columns, size = state.columns, len(state.columns)
 
     def run(batches):
         weights = shared.value
         for b in batches:
             data, offsets = buffers(b.column(0))
-            langs, scores = [], []
-            for _, _, part, at in passes(data, offsets, max(4096, GATHERED // (len(ORDERS) * max(len(names), 1)))):
+            before = [b.column(i).to_pylist() for i in range(size - 3, size)]
+            langs, tops, every, row = [], [], [], 0
+            for _, _, part, at in passes(data, offsets, max(4096, GATHERED // (len(ORDERS) * len(names)))):
                 raw = part.tobytes()
                 texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(at.tolist(), at.tolist()[1:])]
-                if not names:
-                    langs += [UNKNOWN] * len(texts)
-                    scores += [0.0] * len(texts)
-                    continue
                 sums = summed(weights, *grams(texts))
-                odds = np.exp(sums - sums.max(axis=1, keepdims=True))
-                best = sums.argmax(axis=1)
-                score = 1 / odds.sum(axis=1)
-                for t, i, s in zip(texts, best.tolist(), score.tolist()):
-                    known = any(map(str.isalpha, t))
-                    langs.append(names[i] if known else UNKNOWN)
-                    scores.append(s if known else 0.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], out)
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in source.dtypes[1:])
-    return mapped(source, run, f"{fields}, lang_pred string, score double")
+                odds = np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1).tolist()
+                for t, i, m, s in zip(texts, sums.argmax(axis=1).tolist(), sums.max(axis=1).tolist(), odds):
+                    lang, top, old = (c[row] for c in before)
+                    row += 1
+                    if any(map(str.isalpha, t)):
+                        high = max(top, m)
+                        old = s * math.exp(m - high) + (old * math.exp(top - high) if old else 0.0)
+                        lang, top = (names[i] if m > top else lang), high
+                    langs.append(lang)
+                    tops.append(top)
+                    every.append(old)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(size - 3)), pa.array(langs, pa.string()), pa.array(tops, pa.float64()), pa.array(every, pa.float64())], columns)
+
+    return mapped(state, run, state.schema)
 
 
 def held_out(key: Column) -> Column:

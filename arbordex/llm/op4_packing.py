@@ -313,7 +313,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     full = made.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     counts.pop(capacity, None)
     shared = spark.sparkContext.broadcast(assignment(plan(counts, capacity)))
-    rest = made.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(partitions(spark))))
+    rest = made.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(partitions(spark))))
     ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
     sizes = rest.groupBy("length", "salt").count()
     before = sizes.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))

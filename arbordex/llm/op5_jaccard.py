@@ -197,13 +197,17 @@ def survivor_sets(docs: DataFrame, info: DataFrame, most: int = BROADCAST_IDS) -
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["row", "hashes"])
 
     kept, name = bucketed(mapped(docs, run, "row long, hashes binary"), "row")
-    # equal rows have equal sets, of which one stays
-    again = kept.groupBy("row").count().where("count > 1").select("row")
-    if not again.isEmpty():
-        several = kept.join(again, "row", "left_semi").groupBy("row").agg(F.first("hashes").alias("hashes"))
-        all_of_them = name
-        kept, name = bucketed(kept.join(again, "row", "left_anti").unionByName(several), "row")
-        dropped(docs.sparkSession, all_of_them)
+    try:
+        # equal rows have equal sets, of which one stays
+        again = kept.groupBy("row").count().where("count > 1").select("row")
+        if not again.isEmpty():
+            several = kept.join(again, "row", "left_semi").groupBy("row").agg(F.first("hashes").alias("hashes"))
+            all_of_them = name
+            kept, name = bucketed(kept.join(again, "row", "left_anti").unionByName(several), "row")
+            dropped(docs.sparkSession, all_of_them)
+    except BaseException:
+        dropped(docs.sparkSession, name)
+        raise
     if shared is not None:
         shared.unpersist()
     return kept, name
@@ -518,11 +522,13 @@ def related(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((row, n) of each of `texts`, (row, component) of each that is linked with another)."""
     info = described(docs)
     survivors, name = survivor_sets(docs, info)
-    near = regroup(ranked(survivors), map_prefixes, ["<u8", "<i8", "<i8", "u1"], reduce_prefixes, ["<i8"])
-    found = links(survivors, components(edges(near)).withColumnRenamed("id", "row"))
-    equal = info.where("same is not null").select(F.col("row").alias("a"), F.col("same").alias("b"))
-    groups = components(found.unionByName(equal)).withColumnRenamed("id", "row")
-    dropped(docs.sparkSession, name)  # components are kept, nothing reads the sets any more
+    try:
+        near = regroup(ranked(survivors), map_prefixes, ["<u8", "<i8", "<i8", "u1"], reduce_prefixes, ["<i8"])
+        found = links(survivors, components(edges(near)).withColumnRenamed("id", "row"))
+        equal = info.where("same is not null").select(F.col("row").alias("a"), F.col("same").alias("b"))
+        groups = components(found.unionByName(equal)).withColumnRenamed("id", "row")
+    finally:
+        dropped(docs.sparkSession, name)  # components are kept, nothing reads the sets any more
     return info.select("row", "n"), groups
 
 

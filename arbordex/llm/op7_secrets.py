@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordex.llm.tables import mapped, table
+from arbordex.llm.tables import mapped, sampled, table
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -117,11 +117,9 @@ def evaluate(words: list[str], ratios: np.ndarray) -> dict[str, float]:
 
 
 def sample_words(df: DataFrame, key: str, text: str, texts: int = SAMPLE_TEXTS) -> list[str]:
-    """Tokens of two or more characters of about `texts` texts, chosen by a hash of their key, up to SAMPLE_WORDS of each; base spans
-    are cut out."""
-    total = df.count()
-    place = F.pmod(F.xxhash64(df[key]), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = df.where(place < F.lit(min(1.0, texts / max(total, 1)))).select(df[text].alias("text"))
+    """Tokens of two or more characters of at most `texts` different texts, chosen by a hash of key and text, up to SAMPLE_WORDS of
+    each; base spans are cut out."""
+    chosen = sampled(df, key, text, texts).select("text")
 
     def words(batches):
         for b in batches:

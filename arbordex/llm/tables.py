@@ -91,16 +91,47 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def saved(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """df as a table that is dealt and sorted by a column. Its files lie in the shared folder, not in the session's warehouse, which may
+    be a folder of one machine; a write that fails leaves nothing behind."""
+    spark = df.sparkSession
+    where = f"{shared_dir(spark).rstrip('/')}/{name}"
+    try:
+        df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", where).saveAsTable(name)
+    except BaseException:
+        dropped(spark, name)
+        raise
+    return spark.table(name)
+
+
 def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
-    """(df as a table of the warehouse that is dealt and sorted by a column, its name); joins by the column need no exchange of it."""
+    """(df as a table that is dealt and sorted by a column, its name); joins by the column need no exchange of it."""
     name, n = f"arbordex_{uuid.uuid4().hex}", partitions(df.sparkSession)
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name), name
+    return saved(df.repartition(n, key), name, key, n), name
 
 
 def dropped(spark: SparkSession, *names: str) -> None:
+    """Remove tables that `saved` made, and their files."""
     for name in names:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        deleted(spark, f"{shared_dir(spark).rstrip('/')}/{name}")
+
+
+def sampled(df: DataFrame, key: str, text: str, most: int, label: str | None = None) -> DataFrame:
+    """(label, text) of at most `most` different rows of each label (or of all): those whose hash of id and text is smallest.
+    Equal rows are one, so rows that share an id or have none can't swell the sample."""
+    named = F.lit("") if label is None else df[label]
+    rows = df.select(named.alias("label"), df[text].alias("text"), F.xxhash64(df[key], df[text]).alias("hash"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    # hashes up to twice the share that is wanted, then the exact bound among them
+    low, span = -(1 << 63), 1 << 64
+    top = {k: low + min(span - 1, 2 * most * span // max(n, 1)) for k, n in sizes.items()}
+    tops = df.sparkSession.createDataFrame([(k, t) for k, t in top.items()], "label string, top long")
+    near = rows.join(tops, "label").where("hash <= top").groupBy("label", "hash").agg(F.first("text").alias("text"))
+    near = checkpointed(near)
+    bounds = near.select("label", "hash").toArrow().to_pandas().groupby("label")["hash"].apply(lambda h: int(h.nsmallest(most).max()))
+    kept = df.sparkSession.createDataFrame([(k, b) for k, b in bounds.items()], "label string, bound long")
+    return near.join(kept, "label").where("hash <= bound").select("label", "text")
 
 
 def partitions(spark: SparkSession) -> int:

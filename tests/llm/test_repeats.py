@@ -247,3 +247,40 @@ def test_runs_are_levelled_and_new_lines_are_new(spark, docs):
     assert plan.count("SortMergeJoin") == 2 and "LeftAnti" in plan and plan.count("Exchange") == 1
     assert Counter(r.n for r in runs.seen().collect()) == {6: 1, 1: 6, 3: 2}
     runs.close()
+
+
+def test_failures_leave_no_tables(spark, docs, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from arbordex.llm.tables import shared_dir
+
+    left = lambda: [t.name for t in spark.catalog.listTables() if not t.isTemporary] + [p.name for p in Path(shared_dir(spark)).glob("*") if p.name.startswith(("arbordex_", "line_runs"))]
+    assert not left()
+
+    def broken(*_, **__):
+        raise RuntimeError("lost")
+
+    docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(op10_lines, "clean", broken)
+    monkeypatch.setattr(op10_lines, "_cleaned", broken)
+    monkeypatch.setattr(op5_jaccard, "links", broken)
+    for run in (lambda: op10_lines.op10_lines(spark, str(tmp_path)), lambda: op10_lines.drop_common(docs, "text"), lambda: op5_jaccard.op5_jaccard(spark, str(tmp_path))):
+        with pytest.raises(RuntimeError, match="lost"):
+            run()
+        assert not left()
+
+
+def test_a_table_of_one_file_meets_the_runs(spark, rows, tmp_path):
+    """Each of its batches but the first is anti-joined with the runs before it."""
+    given, docs = rows
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    whole = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    batches = op10_lines.file_batches(spark, whole)
+    assert len(batches) == op10_lines.BATCHES and sum(b.count() for b in batches) == len(given)
+    with op10_lines.LineRuns(spark) as runs:
+        for b in batches:
+            counts = op10_lines.batch_counts(b, "text")
+            plan = runs.unsettled(counts)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("LeftAnti") == sum(map(len, runs.levels))
+            runs.add(counts)
+        assert [len(x) for x in runs.levels] == [0, 0, 1]

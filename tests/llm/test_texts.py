@@ -541,3 +541,33 @@ def test_long_words_are_whole_and_lossless():
     a, b = op9_pieces.encode(np.array([7, 7]), ["y" * 48, "y" * 48 + " " + "z" * 3000], known)
     assert a.tolist() == b.tolist()[: len(a)]
     assert op9_pieces.encode(np.array([1, 7]), ["z" * 9000, text], known)[1].tolist() == alone
+
+
+def test_samples_are_bounded_whatever_the_ids(spark):
+    from arbordex.llm.tables import sampled
+
+    rng = np.random.default_rng(7)
+    own = ["".join(rng.choice(list("abcdef "), 30)) for _ in range(20_000)]
+    for rows in ([(None, t) for t in own], [(7, t) for t in own], [(None, own[0])] * 20_000 + [(i, t) for i, t in enumerate(own[:50])], [(i, t) for i, t in enumerate(own)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        n = sampled(df, "doc_id", "text", 300).count()
+        assert n == min(300, len(set(rows))) or (len(set(rows)) == 51 and n <= 51)
+        assert len(op7_secrets.sample_words(df, "doc_id", "text", texts=50)) <= 50 * op7_secrets.SAMPLE_WORDS
+    labelled = spark.createDataFrame([(None, t, "en" if i % 100 else "rare") for i, t in enumerate(own)], "doc_id long, text string, lang string")
+    counts = {r[0]: r[1] for r in sampled(labelled, "doc_id", "text", 300, "lang").groupBy("label").count().collect()}
+    assert counts == {"en": 300, "rare": 200}
+
+
+def test_languages_beyond_one_block(spark):
+    """Blocks of languages give the result of one matrix, and more languages than a block can be learned."""
+    rng = np.random.default_rng(8)
+    names = [f"l{i:03}" for i in range(300)]
+    alphabets = [rng.choice([chr(c) for c in range(0x4E00, 0x6000)], 6) for _ in names]
+    rows = [(i, "".join(rng.choice(a, 12)), n) for i, (a, n) in enumerate(zip(alphabets * 2, names * 2))] + [(9000, None, None), (9001, "12 !", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found, matrix = op2_language.fit(df, "doc_id", "text", "lang")
+    assert found == names and isinstance(matrix, op2_language.Blocks)
+    whole = np.hstack([matrix.block(0, 200), matrix.block(200, 200)])
+    one, many, few = ({r.doc_id: (r.lang_pred, round(r.score, 9)) for r in op2_language.predict(df, "doc_id", "text", (found, m), block=b).collect()} for m, b in ((whole, 300), (matrix, 128), (whole, 100)))
+    assert one == many == few and one[9000] == one[9001] == ("und", 0.0)
+    assert sum(one[k][0] == n for k, _, n in rows if n) > 590
