@@ -22,6 +22,7 @@ from arbordex.operators.lineage import numbered
 from arbordex.sources import imports, listing, scripts
 from arbordex.store import METRICS, SCHEMAS, Store, shaped
 from arbordex.streaming.changes import Watcher
+from arbordex.streaming.tree_changes import tree_changes
 
 #: Versions that make a file dirty when they change.
 VERSIONS = {"parser": 2, "dependency_parser": 1, "classifier": 2}
@@ -343,10 +344,20 @@ class Project:
 
     # changes
 
+    def watch(self, folder: str, every: str = "1 second", events: DataFrame | None = None) -> None:
+        """Gather changes of the tree from now on in a folder that the cluster shares: `events`, or what snapshots of the tree tell. A
+        folder that was watched before goes on from there."""
+        if events is None:
+            events = tree_changes(self.spark, self.root, f"{folder.rstrip('/')}/snapshots", skip=",".join(self.skip))
+        self.watcher.start(events, folder, every)
+
     def scan_changes(self) -> DataFrame:
-        """A scan of what the watcher has seen since the last one; of everything if it has not run."""
-        paths = self.watcher.drain() if self.watcher.status()["running"] else None
-        return self.scan(dirty_paths=paths)
+        """A scan of what the watcher has seen since the last one; of everything if it does not run. A whole scan follows what the watcher
+        could not see."""
+        if not self.watcher.status()["running"]:
+            return self.scan()
+        paths = self.watcher.drain()
+        return self.scan(dirty_paths=paths or None)
 
     # files and classes
 

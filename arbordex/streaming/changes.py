@@ -34,22 +34,32 @@ def follow(events: DataFrame, rescan: Callable[[list[str]], object], checkpoint:
 
 
 class Watcher:
-    """Change events gathered from a stream until someone asks for them. The events wait in the stream's own checkpoint and in a
-    Parquet folder, so neither a restart nor a lost executor loses any; only the paths that a drain asks for reach the driver."""
+    """Change events gathered from a stream until someone asks for them. They wait in a folder that the cluster shares, a table for
+    each micro-batch; a drain writes down the last batch that it took and then removes the tables up to it. So neither a restart nor a
+    lost executor loses an event, and what was drained once is not given again. Only the paths that a drain asks for reach the driver."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.query, self.folder, self.taken = spark, None, "", -1
+        self.spark, self.query, self.folder = spark, None, ""
 
-    def start(self, events: DataFrame, folder: str) -> None:
-        """Gather `events` (EVENTS) in a folder that the cluster shares; a watcher that runs goes on."""
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def start(self, events: DataFrame, folder: str, every: str = "1 second") -> None:
+        """Gather `events` (EVENTS) in a folder that the cluster shares, looking for new ones at most once in `every`; a watcher that
+        runs goes on, and one that starts anew on a folder goes on from where the last one stopped."""
         if self.query is not None and self.query.isActive:
             return
         self.folder = folder.rstrip("/")
 
         def batch(df: DataFrame, number: int) -> None:
-            df.select(*[c.split()[0] for c in EVENTS.split(", ")], F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{self.folder}/events/batch={number}")
+            # a batch that runs again after it was drained has nothing new
+            if number > self.taken():
+                named = df.select(*[c.split()[0] for c in EVENTS.split(", ")]).coalesce(1)  # one watcher's batch is small by nature
+                if not named.isEmpty():
+                    named.write.mode("overwrite").parquet(f"{self.folder}/events/batch={number}")
 
-        self.query = events.writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.folder}/checkpoint").start()
+        self.query = events.writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(processingTime=every).start()
 
     def stop(self) -> None:
         if self.query is not None:
@@ -61,52 +71,45 @@ class Watcher:
         broken = self.query.exception() if self.query is not None and not running else None
         return {"running": running, "requires_full_rescan": not running, "last_error": str(broken).split("\n")[0] if broken else ""}
 
-    def _events(self) -> DataFrame:
+    def taken(self) -> int:
+        """The last batch that a drain took, -1 if none: the name of an empty file."""
+        path, files = self._files()
+        at = path(f"{self.folder}/taken")
+        return max((int(s.getPath().getName()) for s in files.listStatus(at)), default=-1) if files.exists(at) else -1
+
+    def _waiting(self) -> list[int]:
+        """The batches whose tables are whole and not taken."""
         if not self.folder:
-            return self.spark.createDataFrame([], EVENTS + ", batch int")
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/events")
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
-            return self.spark.createDataFrame([], EVENTS + ", batch int")
-        return self.spark.read.schema(EVENTS + ", batch int").parquet(f"{self.folder}/events").where(F.col("batch") > self.taken)
+            return []
+        path, files = self._files()
+        at, taken = path(f"{self.folder}/events"), self.taken()
+        names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+        return sorted(n for name in names if (n := int(name.split("=")[1])) > taken and files.exists(path(f"{self.folder}/events/{name}/_SUCCESS")))
+
+    def _events(self, batches: list[int]) -> DataFrame:
+        return self.spark.read.schema(EVENTS).parquet(*[f"{self.folder}/events/batch={n}" for n in batches])
 
     def dirty_paths(self) -> list[str]:
         """The paths that wait, sorted, each once."""
-        return dirty_paths(self._events())
+        batches = self._waiting()
+        return dirty_paths(self._events(batches)) if batches else []
 
     def drain(self) -> list[str]:
         """The paths that wait; afterwards they no longer do."""
-        if self.query is not None and self.query.isActive:
-            self.query.processAllAvailable()
-        events = self._events()
-        last = events.agg(F.max("batch")).first()[0]
-        if last is None:
+        batches = self._waiting()
+        if not batches:
             return []
-        paths = dirty_paths(events.where(F.col("batch") <= last))
-        self.taken = last
+        paths = dirty_paths(self._events(batches))
+        path, files = self._files()
+        files.create(path(f"{self.folder}/taken/{batches[-1]}"), True).close()
+        for n in batches:
+            files.delete(path(f"{self.folder}/events/batch={n}"), True)
+        for s in files.listStatus(path(f"{self.folder}/taken")):
+            if int(s.getPath().getName()) < batches[-1]:
+                files.delete(s.getPath(), False)
         return paths
 
 
 def latest_state(events: DataFrame) -> DataFrame:
     """(path, removed): what the last event of each path says; for batches and for streams in complete mode."""
     return events.groupBy("path").agg(F.max_by("removed", F.struct("seq")).alias("removed"), F.max("seq").alias("seq"))
-
-
-class KeyedStates:
-    """The last state of each path as a Parquet table that micro-batches merge into: each makes the next table of the old one and its
-    own rows. A batch that runs again, after a failure, makes the same table again."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.last = spark, folder, -1
-
-    def _read(self, number: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/states-{number}")
-
-    def merge(self, states: DataFrame, number: int) -> None:
-        """states: (path, removed, seq), one for each path of batch `number`."""
-        before = self.last if self.last < number else number - 1
-        every = states if before < 0 else self._read(before).unionByName(states)
-        latest_state(every).write.mode("overwrite").parquet(f"{self.folder}/states-{number}")
-        self.last = number
-
-    def table(self) -> DataFrame:
-        return self._read(self.last) if self.last >= 0 else self.spark.createDataFrame([], "path string, removed boolean, seq long")
