@@ -74,6 +74,20 @@ def drop_orphans(children: DataFrame, files: DataFrame, owner: str = "file_id")
     return children.join(files.where(~F.col("is_deleted")).select(F.col("id").alias(owner)), owner, "left_semi")
 
 
+def without(children: DataFrame, deleted: DataFrame, owner: str = "file_id") -> DataFrame:
+    """Children of the files of `deleted` (id) go."""
+    return children.join(deleted.select(F.col("id").alias(owner)), owner, "left_anti")
+
+
+def let_go(edges: DataFrame, deleted: DataFrame, target: str = "target_id") -> DataFrame:
+    """Edges whose target file is one of `deleted` (id) lose it and become unresolved."""
+    gone = deleted.select(F.col("id").alias(target), F.lit(True).alias("_gone"))
+    lost = F.col("_gone").isNotNull()
+    joined = edges.join(gone, target, "left")
+    columns = {c: F.col(c) for c in edges.columns} | {target: F.when(~lost, F.col(target)), "is_resolved": F.col("is_resolved") & ~lost, "is_unresolved": F.col("is_unresolved") | lost}
+    return joined.select(*[columns[c].alias(c) for c in edges.columns])
+
+
 def prune(rows: DataFrame, imported: DataFrame, key: str, run: int) -> DataFrame:
     """An import's rows replace the table's: known keys keep first_seen, keys that it lacks go."""
     old = rows.select(key, F.col("first_seen").alias("_first"))

@@ -47,15 +47,22 @@ def target_by_path(refs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.join(alive, "target_path", "left")
 
 
-def class_names(symbols: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, best): for each name that a class has in any of the columns, its first class by file, line, column, slot, id."""
+def _asked(named: DataFrame, refs: DataFrame | None, name: str) -> DataFrame:
+    """The rows whose name is one of `refs`: few references then need few of the names, and no exchange of all."""
+    return named if refs is None else named.join(refs.select(name).where(F.col(name) != "").distinct(), name, "left_semi")
+
+
+def class_names(symbols: DataFrame, columns: list[str], refs: DataFrame | None = None) -> DataFrame:
+    """(name, best): for each name (of `refs`) that a class has in any of the columns, its first class by file, line, column, slot, id."""
     named = symbols.where(F.col("kind") == "class").withColumn("target_class", F.explode(F.array_distinct(F.array(*columns)))).where("target_class <> ''")
+    named = _asked(named, refs, "target_class")
     return _best(named, ["target_class"], ("file_id", *PLACE), "best")
 
 
-def target_by_class(refs: DataFrame, symbols: DataFrame, columns: list[str]) -> DataFrame:
-    """refs with target_id filled in, where it is null, by the class of the name target_class. Three names make one equi-join."""
-    joined = refs.join(class_names(symbols, columns), "target_class", "left")
+def target_by_class(refs: DataFrame, symbols: DataFrame, columns: list[str], few: bool = False) -> DataFrame:
+    """refs with target_id filled in, where it is null, by the class of the name target_class. Three names make one equi-join. `few`
+    references look for their own names alone."""
+    joined = refs.join(class_names(symbols, columns, refs if few else None), "target_class", "left")
     return joined.select(*[c for c in refs.columns if c != "target_id"], F.coalesce("target_id", "best.file_id").alias("target_id"))
 
 
@@ -66,9 +73,10 @@ def target_by_declaration(refs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.select(*[c for c in refs.columns if c != "target_id"], F.coalesce("target_id", "_declared").alias("target_id"))
 
 
-def target_symbol(refs: DataFrame, symbols: DataFrame, columns: list[str]) -> DataFrame:
+def target_symbol(refs: DataFrame, symbols: DataFrame, columns: list[str], few: bool = False) -> DataFrame:
     """refs with target_symbol_id: the first symbol of the name in the target file, or anywhere if there is no target file."""
     named = symbols.withColumn("target_name", F.explode(F.array_distinct(F.array(*columns)))).where("target_name <> ''")
+    named = _asked(named, refs if few else None, "target_name")
     anywhere = _best(named, ["target_name"], ("file_id", *PLACE), "anywhere")
     there = _best(named.withColumnRenamed("file_id", "target_id"), ["target_name", "target_id"], PLACE, "there")
     joined = refs.join(there, ["target_name", "target_id"], "left").join(anywhere, "target_name", "left")

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from arbordex.functions import text
 from arbordex.operators import graph, inventory, merge, resolve, rows, snapshot, summary
 from arbordex.operators.lineage import numbered
-from arbordex.sources import imports, listing, scripts
-from arbordex.store import METRICS, SCHEMAS, Store, shaped
+from arbordex.sources import imports, listing, scripts, tree
+from arbordex.store import BUCKETED, METRICS, SCHEMAS, Store, bucket, shaped
 from arbordex.streaming.changes import Watcher
 from arbordex.streaming.tree_changes import tree_changes
 
@@ -47,9 +47,16 @@ class Scan:
         self.project, self.number, self.began, self.spark = project, number, began, project.spark
         self.folder = f"g{number}-{uuid.uuid4().hex[:8]}"
         self.old = project.store.current()
+        self.buckets = project.store.buckets(self.old)
         self.tables = dict(self.old["tables"])
         self.metrics: dict[str, int] = {}
 
+    def renumber(self) -> None:
+        """Go on from the version that is current now, under the number after it."""
+        self.old = self.project.store.current()
+        self.number = self.old["number"] + 1
+        self.folder = f"g{self.number}-{uuid.uuid4().hex[:8]}"
+
     def before(self, name: str) -> DataFrame:
         return self.project.store.table(name, self.old)
 
@@ -99,8 +106,8 @@ class Scan:
         if not self.metrics["to_parse"]:
             self.metrics |= {"scripts_parsed": 0, "scenes_parsed": 0}
             return (self.spark.createDataFrame([], f"path string, {schema}") for schema in (scripts.SCRIPT, scripts.SCENE))
-        dirty = changed.where("dirty_reason <> 'clean' and kind = 'file'").select("path")
-        content = listing.contents(self.spark, self.project.root, [*scripts.LANGUAGES, *scripts.SCENES]).join(dirty, "path", "left_semi")
+        dirty = changed.where("dirty_reason <> 'clean' and kind = 'file'").where(F.col("extension").isin(*scripts.LANGUAGES, *scripts.SCENES))
+        content = tree.opened(tree.dealt(dirty), self.project.root)
         made = self.together({"_scripts": lambda: self.keep("_scripts", scripts.parse_scripts(content)), "_scenes": lambda: self.keep("_scenes", scripts.parse_scenes(content))})
         parsed, scenes = made["_scripts"], made["_scenes"]
         total = parsed.agg(
@@ -137,57 +144,93 @@ class Scan:
         self.timed("merge_ms")
         return files
 
-    def scripts(self, files: DataFrame, parsed: DataFrame) -> None:
+    def _buckets(self, name: str, *keys: DataFrame) -> set[int]:
+        """The buckets of a table that keys (one column each) fall into."""
+        found = [k.select(bucket(name, self.buckets, F.col(k.columns[0])).alias("b")) for k in keys]
+        every = found[0]
+        for f in found[1:]:
+            every = every.unionByName(f)
+        return {r[0] for r in every.distinct().collect()}
+
+    def rewrite(self, name: str, touched: set[int], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Write the touched buckets of a table anew, made of what they held; all others stay where they are."""
+        self.project.check()
+        old = self.tables.get(name) or {}
+        if isinstance(old, str):  # a table that was whole before goes into buckets
+            old, touched = {}, set(range(self.buckets))
+        if touched or name not in self.tables:
+            fresh = self.project.store.write_buckets(self.folder, name, shaped(name, make(self.project.store.table(name, self.old, touched))), self.buckets)
+            self.tables[name] = {k: at for k, at in old.items() if int(k) not in touched} | fresh
+            self.metrics["buckets_written"] = self.metrics.get("buckets_written", 0) + len(touched)
+        return self.project.store.table(name, {"tables": self.tables})
+
+    def scripts(self, files: DataFrame, parsed: DataFrame, deleted: DataFrame) -> None:
         """The tables of scripts: those parsed again are replaced, those of deleted files go, targets that went are let go."""
         again = parsed.join(files.where("not is_deleted").select("path", F.col("id").alias("file_id")), "path")
-        gone = again.select("file_id")
-        replaced = lambda name, fresh: merge.drop_orphans(merge.replace_children(self.before(name), shaped(name, fresh), gone), files)
-        symbols = self.keep("symbols", replaced("symbols", _symbols(again)))
-        declared = again.where("class_name <> ''").select("class_name", F.col("path").alias("script_path"), "file_id", "language", F.col("direct_base_type").alias("base_type"), "is_node_type", "is_resource_type")
-        others = self.before("classes").join(gone, "file_id", "left_anti")
-        classes = self.keep("classes", merge.drop_orphans(merge.class_registry(others.unionByName(shaped("classes", declared)), order="script_path"), files))
+        if self.metrics["scripts_parsed"]:
+            again = self.keep("_again", again)
+        gone, few = again.select("file_id"), self.metrics["scripts_parsed"] * 4 < self.metrics["scripts_candidates"]
+        owned = self._buckets("symbols", gone, deleted)
+        left = lambda old: merge.without(old.join(gone, "file_id", "left_anti"), deleted)
+        symbols = self.rewrite("symbols", owned, lambda old: left(old).unionByName(shaped("symbols", _symbols(again))))
+        own = self.project.store.table("symbols", {"tables": self.tables}, owned)
+        declared = shaped("classes", again.where("class_name <> ''").select("class_name", F.col("path").alias("script_path"), "file_id", "language", F.col("direct_base_type").alias("base_type"), "is_node_type", "is_resource_type"))
+        went = self.before("classes").join(gone.unionByName(deleted.select(F.col("id").alias("file_id"))), "file_id", "left_semi")
+        named = self._buckets("classes", went.select("class_name"), declared.select("class_name"))
+        classes = self.rewrite("classes", named, lambda old: merge.class_registry(left(old).unionByName(declared), order="script_path"))
 
         def edges(name: str, kind: str) -> DataFrame:
-            found = resolve.target_by_class(resolve.target_by_path(_edges(again, name, kind), files), symbols, ["name", "symbol_name", "class_name"])
+            found = resolve.target_by_class(resolve.target_by_path(_edges(again, name, kind), files), symbols, ["name", "symbol_name", "class_name"], few)
             if name == "dependencies":
                 found = resolve.resolution(resolve.target_by_declaration(found, classes)).withColumn("target_symbol_id", F.lit(None).cast("long"))
             else:
-                found = resolve.resolution(resolve.target_symbol(found, symbols, ["name", "symbol_name"]))
-            kept = merge.replace_children(self.before(name), shaped(name, resolve.source_symbol(found, symbols)), gone)
-            return self.keep(name, merge.invalidate_targets(merge.drop_orphans(kept, files), files))
+                found = resolve.resolution(resolve.target_symbol(found, symbols, ["name", "symbol_name"], few))
+            fresh = merge.invalidate_targets(shaped(name, resolve.source_symbol(found, own)), files)
+            touched = owned | self._targets(name, deleted)
+            return self.rewrite(name, touched, lambda old: merge.let_go(left(old), deleted).unionByName(fresh))
 
         docs = again.select("file_id", F.explode("doc_comments").alias("c")).select(
             "file_id", _id(F.col("c.symbol_local_id")).alias("symbol_id"), "c.is_attached", F.col("c.comment_style").alias("style"),
             "c.comment_text", "c.summary_text", "c.text_hash", F.col("c.line_start").alias("line"),
         )
-        self.together({"d": lambda: edges("dependencies", "dependency_kind"), "r": lambda: edges("references", "reference_kind"), "c": lambda: self.keep("doc_comments", replaced("doc_comments", docs))})
+        self.together({"d": lambda: edges("dependencies", "dependency_kind"), "r": lambda: edges("references", "reference_kind"), "c": lambda: self.rewrite("doc_comments", owned, lambda old: left(old).unionByName(shaped("doc_comments", docs)))})
         made = again.agg(
             *[F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(n) for c, n in (("symbols", "symbols_created"), ("references", "references_created"), ("doc_comments", "doc_comments_created"), ("dependencies", "dependencies_created"))],
             F.coalesce(F.sum(F.size(F.filter("dependencies", lambda d: d["is_dynamic"]))), F.lit(0)).alias("dynamic_dependencies"),
         ).first()
         self.metrics |= made.asDict() | {"unresolved_dependencies": self.project.store.table("dependencies", {"tables": self.tables}).where("is_unresolved").count()}
 
-    def scenes(self, files: DataFrame, scenes: DataFrame) -> None:
+    def _targets(self, name: str, deleted: DataFrame, target: str = "target_id") -> set[int]:
+        """The buckets of edges whose target went."""
+        if not self.metrics["entries_deleted"]:
+            return set()
+        lost = self.before(name).join(deleted.select(F.col("id").alias(target)), target, "left_semi")
+        return self._buckets(name, lost.select(BUCKETED[name]))
+
+    def scenes(self, files: DataFrame, scenes: DataFrame, deleted: DataFrame) -> None:
         """The tables of scenes. A resource's file and an attachment's script and class are bound by path."""
         ids = files.where("not is_deleted").select("path", F.col("id").alias("scene_id"))
         seen = scenes.join(ids, "path")
         over, named = seen.select("scene_id"), ids.withColumnsRenamed({"path": "at", "scene_id": "found_id"})
+        owned = self._buckets("resources", over, deleted)
+        left = lambda old: merge.without(old.join(over, "scene_id", "left_anti"), deleted, "scene_id")
         resources = seen.select("scene_id", F.posexplode("external_resources").alias("slot", "r")).select(
             "scene_id", F.col("r.ext_resource_id").alias("resource_id"), "slot", F.col("r.resource_type").alias("type"),
             F.col("r.resource_path").alias("path"), F.col("r.resource_uid").alias("uid"),
         )
         resources = resources.join(named, F.col("path") == F.col("at"), "left").withColumn("target_id", F.col("found_id")).withColumn("is_resolved", F.col("found_id").isNotNull())
-        kept = merge.replace_children(self.before("resources"), shaped("resources", resources), over, "scene_id")
-        resources = self.keep("resources", merge.drop_orphans(kept, files, "scene_id"))
+        self.rewrite("resources", owned, lambda old: left(old).unionByName(shaped("resources", resources)))
         hung = seen.select("scene_id", F.explode("script_attachments").alias("a")).select(
             "scene_id", "a.node_path", "a.node_name", "a.node_type", F.col("a.ext_resource_id").alias("resource_id"), "a.attachment_kind",
             F.col("a.script_project_relative_path").alias("script_path"), "a.script_uid", "a.is_dynamic", "a.line",
         )
-        hung = resolve.fill_attachments(hung, resources).join(named, F.col("script_path") == F.col("at"), "left").withColumn("script_id", F.col("found_id"))
+        own = self.project.store.table("resources", {"tables": self.tables}, owned)
+        hung = resolve.fill_attachments(hung, own).join(named, F.col("script_path") == F.col("at"), "left").withColumn("script_id", F.col("found_id"))
         hung = resolve.class_symbol(hung, self.project.store.table("symbols", {"tables": self.tables}))
         hung = hung.withColumn("is_resolved", F.col("script_id").isNotNull()).withColumn("is_unresolved", F.col("script_id").isNull() & ~F.col("is_dynamic"))
-        kept = merge.replace_children(self.before("attachments"), shaped("attachments", hung), over, "scene_id")
-        self.keep("attachments", merge.invalidate_targets(merge.drop_orphans(kept, files, "scene_id"), files, "script_id"))
+        fresh = merge.invalidate_targets(shaped("attachments", hung), files, "script_id")
+        touched = owned | self._targets("attachments", deleted, "script_id")
+        self.rewrite("attachments", touched, lambda old: merge.let_go(left(old), deleted, "script_id").unionByName(fresh))
         self.metrics["attachments_created"] = scenes.agg(F.coalesce(F.sum(F.size("script_attachments")), F.lit(0))).first()[0]
 
     def finish(self, status: str, error: str = "") -> DataFrame:
@@ -196,7 +239,7 @@ class Scan:
         row = self.spark.createDataFrame([(self.number, status, error, *(int(self.metrics.get(m) or 0) for m in METRICS))], SCHEMAS["metrics"])
         tables = self.tables if status == "completed" else dict(self.old["tables"])
         self.project.store.write(self.folder, "metrics", self.before("metrics").unionByName(row).coalesce(1))
-        self.project.store.publish(self.number, tables | {"metrics": f"{self.folder}/metrics"})
+        self.project.store.publish(self.number, tables | {"metrics": f"{self.folder}/metrics"}, buckets=self.buckets)
         return row
 
 
@@ -259,7 +302,7 @@ class Project:
             status = "cancelled" if self._stop or isinstance(e, Cancelled) else "failed"
             self.last_error = "" if status == "cancelled" else str(e).split("\n")[0]
             context.setLocalProperty("spark.jobGroup.id", None)
-            row = run.finish(status, self.last_error)
+            row = self._ended(run, status)
             if status == "failed":
                 raise
             return row
@@ -267,6 +310,15 @@ class Project:
             for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
                 context.setLocalProperty(name, None)
 
+    def _ended(self, run: Scan, status: str) -> DataFrame:
+        """The row of a run that did not complete, under the next number that is free: another scan may have taken the run's own."""
+        for _ in range(100):
+            try:
+                return run.finish(status, self.last_error)
+            except OSError:
+                run.renumber()
+        raise OSError("no version number is free")
+
     def _run(self, run: Scan, found: DataFrame, force: bool, dirty_paths: list[str] | None) -> DataFrame:
         changed, others = run.list(found, lambda listed: self._diff(listed, run.before("files"), force, dirty_paths))
         parsed, scenes = run.parse(changed)
@@ -275,8 +327,9 @@ class Project:
         moved = run.metrics["scripts_parsed"] + run.metrics["scenes_parsed"] + run.metrics["entries_deleted"]
         # tables that nothing touched stay in the folder where they are
         if moved or any(t not in run.tables for t in (*_SCRIPT_TABLES, *_SCENE_TABLES)):
-            run.scripts(files, parsed)
-            run.scenes(files, scenes)
+            deleted = files.where("dirty_reason = 'deleted_path'").select("id")
+            run.scripts(files, parsed, deleted)
+            run.scenes(files, scenes, deleted)
         run.timed("resolve_ms")
         return run.finish("completed")
 
@@ -317,8 +370,7 @@ class Project:
     def parsed_scripts(self, **options) -> DataFrame:
         """The scripts that a scan would parse, parsed; nothing is written."""
         dirty = self.scan(persist=False, **options).where("dirty_reason <> 'clean' and kind = 'file'")
-        content = listing.contents(self.spark, self.root, list(scripts.LANGUAGES))
-        return scripts.parse_scripts(content.join(dirty.select("path"), "path", "left_semi"))
+        return scripts.parse_scripts(tree.opened(tree.dealt(dirty.where(F.col("extension").isin(*scripts.LANGUAGES))), self.root))
 
     def import_inventory(self, found: dict[str, Any]) -> DataFrame:
         """Take the files and classes of another tool's inventory for those of a scan; rows that it lacks go. The run's row."""
@@ -335,9 +387,20 @@ class Project:
         files = run.keep("_imported", files)
         files = files.where("id is not null").unionByName(numbered(files.where("id is null").drop("id"), "path", top + 1))
         files = run.keep("files", resolve.parents(files))
+        # what hung on files that the inventory lacks goes with them
+        lost = run.before("files").select("id").join(files.select("id"), "id", "left_anti")
+        for name, owner in BUCKETED.items():
+            if name != "classes" and name in run.tables:
+                run.metrics["entries_deleted"] = 1
+                touched = run._buckets(name, lost)
+                target = {"dependencies": "target_id", "references": "target_id", "resources": "target_id", "attachments": "script_id"}.get(name)
+                touched |= run._targets(name, lost, target) if target else set()
+                keep = lambda old: merge.without(old, lost, owner)  # noqa: E731, B023
+                run.rewrite(name, touched, (lambda old: merge.let_go(keep(old), lost, target)) if target and name != "resources" else keep)
+        run.metrics["entries_deleted"] = lost.count()
         classes = tables["custom_classes"].where("class_name <> ''").join(files.select(F.col("path").alias("script_path"), F.col("id").alias("file_id")), "script_path", "left")
         classes = classes.withColumns({"is_node_type": F.col("base_type").isin(*scripts.NODE_TYPES), "is_resource_type": F.col("base_type").isin(*scripts.RESOURCE_TYPES)})
-        run.keep("classes", merge.class_registry(classes, order="script_path"))
+        run.rewrite("classes", set(range(run.buckets)), lambda old: merge.class_registry(shaped("classes", classes), order="script_path"))
         counts = files.groupBy("is_directory").count().collect()
         run.metrics |= {("dirs_seen" if r[0] else "files_seen"): r[1] for r in counts}
         return run.finish("completed")
@@ -390,7 +453,7 @@ class Project:
         return {"files": files, "custom_classes": classes, "file_count": files.count(), "custom_class_count": classes.count()}
 
     def autoloads(self) -> DataFrame:
-        found = scripts.parse_project_files(listing.contents(self.spark, self.root, glob="project.godot")).select(F.explode("autoloads").alias("a")).select("a.*")
+        found = scripts.parse_project_files(tree.tree(self.spark, self.root).where("path = 'project.godot'")).select(F.explode("autoloads").alias("a")).select("a.*")
         ids = self.store.table("files").where("not is_deleted").select(F.col("path").alias("target_project_relative_path"), F.col("id").alias("target_id"))
         return found.join(ids, "target_project_relative_path", "left")
 

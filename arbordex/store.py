@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,7 +17,7 @@ _COUNTS = (
     "files_seen dirs_seen dirs_skipped errors entries_clean entries_dirty entries_new entries_deleted inserted updated refreshed "
     "scripts_candidates scripts_parsed scripts_skipped_clean scenes_parsed scenes_skipped_clean lines_scanned bytes_read "
     "tokens_generated limit_exceeded symbols_created references_created doc_comments_created attachments_created "
-    "dependencies_created unresolved_dependencies dynamic_dependencies snapshot_entries"
+    "dependencies_created unresolved_dependencies dynamic_dependencies snapshot_entries buckets_written"
 ).split()
 _TIMES = "traversal_ms parse_ms merge_ms resolve_ms wall_ms".split()
 SCHEMAS = {
@@ -54,6 +54,16 @@ SCHEMAS = {
     "metrics": f"generation long, status string, error string, {', '.join(f'{c} long' for c in [*_COUNTS, *_TIMES])}",
 }
 METRICS = [*_COUNTS, *_TIMES]
+#: Tables in buckets, by what their rows are dealt: a scan writes only the buckets that it changes.
+BUCKETED = {"symbols": "file_id", "dependencies": "file_id", "references": "file_id", "doc_comments": "file_id", "resources": "scene_id", "attachments": "scene_id", "classes": "class_name"}
+#: Buckets of a new store. A bucket is what one changed script rewrites of a table, so large projects take more.
+BUCKETS = 16
+
+
+def bucket(name: str, buckets: int, key: Column | None = None) -> Column:
+    """The bucket of a row of a table, or of a key."""
+    key = F.col(BUCKETED[name]) if key is None else key
+    return F.pmod(F.xxhash64(key) if BUCKETED[name] == "class_name" else key, F.lit(buckets)).cast("int")
 
 
 def shaped(name: str, df: DataFrame) -> DataFrame:
@@ -62,14 +72,15 @@ def shaped(name: str, df: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Tables in one folder. A version file names the folder of each table; the highest number is the current version.
+    """Tables in one folder. A version file names the folder of each table, or of each bucket of a table; the highest number is the
+    current version.
 
     A version is written under another name and renamed to a number that must be free, so readers see whole versions, a crash leaves
     the last one in place, and of two writers of one number the second fails. Tables that a version did not change stay where they are.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.new_buckets = spark, folder.rstrip("/"), buckets
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -87,22 +98,35 @@ class Store:
             return {"number": 0, "tables": {}}
         return json.loads(self.spark.read.text(f"{self.folder}/versions/{found[-1]}", wholetext=True).first()[0])
 
-    def table(self, name: str, version: dict | None = None) -> DataFrame:
+    def buckets(self, version: dict) -> int:
+        """How many buckets the tables of a store have: those of its first version."""
+        return version.get("buckets", self.new_buckets)
+
+    def table(self, name: str, version: dict | None = None, only: set[int] | None = None) -> DataFrame:
+        """A table of a version; of a table in buckets all of them or `only` some."""
         at = (version or self.current())["tables"].get(name)
-        if at is None:
+        some = [at] if isinstance(at, str) else [f for k, f in (at or {}).items() if only is None or int(k) in only]
+        if not some:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{at}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.folder}/{f}" for f in some])
+
+    def write_buckets(self, folder: str, name: str, df: DataFrame, buckets: int) -> dict[str, str]:
+        """Write rows of some buckets; where each bucket that has rows is."""
+        dealt = df.withColumn("_bucket", bucket(name, buckets)).repartition(F.col("_bucket"))
+        dealt.write.partitionBy("_bucket").parquet(f"{self.folder}/{folder}/{name}")
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/{folder}/{name}"))]
+        return {n.split("=")[1]: f"{folder}/{name}/{n}" for n in sorted(found) if n.startswith("_bucket=")}
 
     def write(self, folder: str, name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{self.folder}/{folder}/{name}")
         return self.spark.read.parquet(f"{self.folder}/{folder}/{name}")
 
-    def publish(self, number: int, tables: dict[str, str], keep: int = 2) -> None:
+    def publish(self, number: int, tables: dict[str, str | dict[str, str]], keep: int = 2, buckets: int | None = None) -> None:
         """Make `tables` version `number`; what only versions before the last `keep` use is removed."""
         name = f"{number:012}"
         fresh = self._path(f"{self.folder}/versions/.{name}")
         out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"number": number, "tables": tables}).encode()))
+        out.write(bytearray(json.dumps({"number": number, "tables": tables, "buckets": buckets or self.new_buckets}).encode()))
         out.close()
         place = self._path(f"{self.folder}/versions/{name}")
         if self._fs.exists(place) or not self._fs.rename(fresh, place):
@@ -116,7 +140,7 @@ class Store:
         used = set()
         for v in versions[-keep:]:
             text = self.spark.read.text(f"{self.folder}/versions/{v}", wholetext=True).first()[0]
-            used |= {at.split("/")[0] for at in json.loads(text)["tables"].values()}
+            used |= {f.split("/")[0] for at in json.loads(text)["tables"].values() for f in ([at] if isinstance(at, str) else at.values())}
         for s in self._fs.listStatus(self._path(self.folder)):
             name = s.getPath().getName()
             # a folder of the version being written has a higher number than all published ones
