@@ -10,11 +10,15 @@ from arbordex.operators.lineage import kept
 MAX_DEPTH = 12
 MAX_SLICE = 16
 MAX_CYCLES = 256
+#: Hops that colours may take to settle, and hops between two looks at whether they have.
+ROUNDS = 32
+HOPS = 4
+#: Open paths of a walk at which looking for components pays.
+WIDE = 100_000
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """Edges without those that can't be on a cycle: an end that nothing enters or leaves goes, round by round. Trimming only saves
-    work, so it ends when a round takes less than a tenth of the edges."""
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those whose end nothing enters or leaves, round by round until a round takes less than a tenth of them."""
     edges = kept(edges)
     before = edges.count()
     while before:
@@ -27,25 +31,88 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def cycles(edges: DataFrame, most: int | None = MAX_CYCLES) -> DataFrame:
+def colours(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
+    """(node, up, down): the smallest node that reaches a node, and the smallest that it reaches. None if `rounds` hops do not settle
+    them."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    state, last = kept(nodes.select("node", F.col("node").alias("up"), F.col("node").alias("down"))), None
+    for _ in range(0, rounds, HOPS):
+        for _ in range(HOPS):
+            up = edges.join(state.select(F.col("node").alias("src"), "up"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("up").alias("_up"))
+            down = edges.join(state.select(F.col("node").alias("dst"), "down"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("down").alias("_down"))
+            state = state.join(up, "node", "left").join(down, "node", "left").select("node", F.least("up", "_up").alias("up"), F.least("down", "_down").alias("down"))
+        state = kept(state)
+        # colours only fall, so equal sums are equal colours
+        now = state.agg(F.sum(F.col("up").cast("decimal(38,0)")), F.sum(F.col("down").cast("decimal(38,0)"))).first()
+        if now == last:
+            return state
+        last = now
+    return None
+
+
+def within_components(edges: DataFrame) -> DataFrame:
+    """Edges within strongly connected components: the nodes of one reach each other, so the same smallest node reaches them and is
+    reached, and an edge whose ends differ in either leaves its component. Without such edges colours tell more apart, until none is
+    left. A graph with paths so long that colours do not settle stays as it is."""
+    before = edges.count()
+    while before and (found := colours(edges)) is not None:
+        a, b = (found.select(F.col("node").alias(end), F.struct("up", "down").alias(f"_{end}")) for end in ("src", "dst"))
+        edges = kept(edges.join(a, "src").join(b, "dst").where("_src = _dst").select("src", "dst"))
+        now = edges.count()
+        if now == before:
+            break
+        before = now
+    return edges
+
+
+def _rotations(closed: DataFrame) -> DataFrame:
+    """A cycle's path [a, b, ..., a] once from each of its nodes."""
+    nodes, size = F.slice("path", 1, F.size("path") - 1), F.size("path") - 1
+    turned = closed.select("path", F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
+    after, before = F.slice(nodes, F.col("i") + 1, size - F.col("i")), F.slice(nodes, F.lit(1), F.col("i"))
+    return turned.select(F.concat(after, before, F.array(F.get(nodes, F.col("i")))).alias("path"))
+
+
+def _doubled(turned: DataFrame, loops: DataFrame) -> DataFrame:
+    """Paths whose first node has an edge to itself, with that edge walked first."""
+    return turned.join(loops.select(F.col("src").alias("_loop")), F.get("path", F.lit(0)) == F.col("_loop"), "left_semi").select(F.concat(F.slice("path", 1, 1), "path").alias("path"))
+
+
+def cycles(edges: DataFrame, most: int | None = MAX_CYCLES, wide: int = WIDE) -> DataFrame:
     """(source_id, target_id, cycle_path, hop_count) of each simple cycle of at most 13 hops, once from each node on it, shortest
-    first. A self-loop at a is the path a,a,a of two hops. Equal edges count once; `most` rows are the report's size.
+    first. An edge from a to itself may be walked first, so a loop alone is the path a,a,a of two hops. Equal edges count once; `most`
+    rows are the report's size.
 
-    Each level of the walk is kept, and the walk ends when shorter cycles fill the report: longer ones come after them."""
-    edges = on_cycles(edges.where("dst is not null").select("src", "dst").distinct())
-    walk = edges.select(F.col("src").alias("origin"), F.col("dst").alias("current"), F.array("src", "dst").alias("path"))
-    found, total = None, 0
+    Ends that nothing enters or leaves are trimmed, and each cycle is walked once, from its smallest node over larger ones; its other rows
+    are rotations. A walk that grows to more than `wide` paths goes on within strongly connected components alone, which only saves work.
+    Each level of the walk is kept, and the walk ends when shorter cycles fill the report."""
+    edges = edges.where("dst is not null").select("src", "dst").distinct()
+    loops = kept(edges.where("src = dst"))
+    found = [_doubled(loops.select(F.array("src", "dst").alias("path")), loops)]
+    edges, whole = trimmed(edges.where("src <> dst")), True
+    walk = edges.where("src < dst").select(F.array("src", "dst").alias("path"))
+    total = loops.count() if most else 0
     for depth in range(1, MAX_DEPTH + 1):
-        step = kept(walk.join(edges, walk["current"] == edges["src"]).select("origin", F.col("dst").alias("current"), F.concat("path", F.array("dst")).alias("path")))
-        closed = step.where("current = origin").select(
-            F.col("origin").alias("source_id"), F.col("current").alias("target_id"), F.array_join(F.col("path").cast("array<string>"), ",").alias("cycle_path"), F.lit(depth + 1).cast("long").alias("hop_count")
-        )
-        found = closed if found is None else found.unionByName(closed)
-        total += closed.count()
-        walk = step.where(~F.array_contains(F.slice("path", 1, F.size("path") - 1), F.col("current")))
-        if (most and total >= most) or walk.isEmpty():
+        origin, end = F.get("path", F.lit(0)), F.element_at("path", -1)
+        ahead = walk.withColumn("_end", end).join(edges, F.col("_end") == F.col("src")).where((F.col("dst") >= origin) & ((F.col("dst") == origin) | ~F.array_contains("path", F.col("dst"))))
+        step = kept(ahead.select(F.concat("path", F.array("dst")).alias("path"), (F.col("dst") == origin).alias("closed")))
+        n = step.agg(F.count_if("closed").alias("closed"), F.count_if(~F.col("closed")).alias("open")).first()
+        turned = _rotations(step.where("closed"))
+        found.append(turned)
+        if depth < MAX_DEPTH:
+            found.append(_doubled(turned, loops))
+        total += n["closed"] * (depth + 1)
+        walk = step.where("not closed").select("path")
+        if (most and total >= most) or not n["open"]:
             break
-    out = found.select("source_id", "target_id", "cycle_path", "hop_count")
+        if whole and n["open"] > wide:
+            edges, whole = within_components(edges), False
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    out = every.select(
+        F.get("path", F.lit(0)).alias("source_id"), F.element_at("path", -1).alias("target_id"), F.array_join(F.col("path").cast("array<string>"), ",").alias("cycle_path"), (F.size("path") - 1).cast("long").alias("hop_count")
+    )
     return out.orderBy("hop_count", "source_id", "cycle_path").limit(most) if most else out
 
 

@@ -88,9 +88,9 @@ def let_go(edges: DataFrame, deleted: DataFrame, target: str = "target_id") -> D
     return joined.select(*[columns[c].alias(c) for c in edges.columns])
 
 
-def prune(rows: DataFrame, imported: DataFrame, key: str, run: int) -> DataFrame:
+def prune(rows: DataFrame, imported: DataFrame, key: str | list[str], run: int) -> DataFrame:
     """An import's rows replace the table's: known keys keep first_seen, keys that it lacks go."""
-    old = rows.select(key, F.col("first_seen").alias("_first"))
+    old = rows.select(*([key] if isinstance(key, str) else key), F.col("first_seen").alias("_first"))
     return imported.join(old, key, "left").select(*imported.columns, F.coalesce("_first", F.lit(run)).cast("long").alias("first_seen"), F.lit(run).cast("long").alias("last_seen"))
 
 

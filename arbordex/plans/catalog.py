@@ -254,7 +254,16 @@ def metrics_latest(spark, sf_dir):
 
 @query("list_projects", "SELECT * FROM projects ORDER BY last_seen DESC, id DESC")
 def list_projects(spark, sf_dir):
-    return frame(spark, sf_dir, "projects").orderBy(F.desc("last_seen"), F.desc("id"))
+    """The projects as a registry keeps them, in its order."""
+    import uuid
+
+    from arbordex.operators.lineage import checkpoint_folder
+    from arbordex.registry import PROJECTS, Registry
+
+    known = Registry(spark, f"{checkpoint_folder(spark)}/registry-{uuid.uuid4().hex}")
+    rows = frame(spark, sf_dir, "projects")
+    known.replace(rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in (f.split() for f in PROJECTS.split(", "))]))
+    return known.projects().select(*rows.columns)
 
 
 @query("project_summary", "SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM classes) AS classes, (SELECT count(*) FROM symbols) AS symbols, (SELECT max(o_orderkey) FROM orders) AS latest_run")

@@ -33,6 +33,8 @@ VALUES = (
 ).split()
 _SCRIPT_TABLES = ("symbols", "classes", "dependencies", "references", "doc_comments")
 _SCENE_TABLES = ("resources", "attachments")
+#: The tables whose rows point to a file besides their own.
+_TARGETS = {"dependencies": "target_id", "references": "target_id", "attachments": "script_id"}
 SYMBOL_SEARCH = ("name", "qualified_name", "symbol_name", "class_name", "signature")
 
 
@@ -243,6 +245,11 @@ class Scan:
         return row
 
 
+def _letting_go(lost: DataFrame, owner: str, target: str | None) -> Callable[[DataFrame], DataFrame]:
+    """What a table keeps when files (id) go: rows of other owners, without targets among them."""
+    return lambda old: merge.let_go(merge.without(old, lost, owner), lost, target) if target else merge.without(old, lost, owner)
+
+
 def _id(slot) -> Any:
     """A symbol's id: its file's, and its place in the file."""
     return F.col("file_id") * 1_000_000 + slot
@@ -373,10 +380,19 @@ class Project:
         return scripts.parse_scripts(tree.opened(tree.dealt(dirty.where(F.col("extension").isin(*scripts.LANGUAGES))), self.root))
 
     def import_inventory(self, found: dict[str, Any]) -> DataFrame:
-        """Take the files and classes of another tool's inventory for those of a scan; rows that it lacks go. The run's row."""
+        """Take another tool's inventory for that of a scan: files, classes, autoloads, and the files of unknown type. Rows that it lacks
+        go, known ones keep their ids and first_seen, and of items with one key the last counts. The run's row."""
         run = Scan(self, self.store.current()["number"] + 1, time.time())
         tables = imports.tables(self.spark, found)
-        files = tables["files"].where("path <> ''").dropDuplicates(["path"])
+        try:
+            return self._import(run, tables)
+        except Exception as e:
+            self.last_error = str(e).split("\n")[0]
+            self._ended(run, "failed")
+            raise
+
+    def _import(self, run: Scan, tables: dict[str, DataFrame]) -> DataFrame:
+        files = imports.last_of(tables["files"].where("path <> ''"), "path")
         known = run.before("files").select("path", "id", F.col("first_seen").alias("_first"))
         top = run.before("files").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         files = files.join(known, "path", "left").withColumns({
@@ -387,24 +403,36 @@ class Project:
         files = run.keep("_imported", files)
         files = files.where("id is not null").unionByName(numbered(files.where("id is null").drop("id"), "path", top + 1))
         files = run.keep("files", resolve.parents(files))
+        ids = files.select(F.col("path").alias("_at"), F.col("id").alias("target_id"))
+        autoloads = imports.last_of(tables["autoloads"].where("autoload_name <> ''"), "autoload_name")
+        autoloads = autoloads.join(ids, F.col("target_project_relative_path") == F.col("_at"), "left").drop("_at")
+        run.keep("autoloads", merge.prune(run.before("autoloads"), autoloads, "autoload_name", run.number))
+        unknown = files.where("file_type = 'Unknown'").select("path", "extension", "name", "file_type", "engine_type")
+        run.keep("unknowns", merge.prune(run.before("unknowns"), unknown, ["path", "extension"], run.number))
         # what hung on files that the inventory lacks goes with them
         lost = run.before("files").select("id").join(files.select("id"), "id", "left_anti")
-        for name, owner in BUCKETED.items():
-            if name != "classes" and name in run.tables:
-                run.metrics["entries_deleted"] = 1
-                touched = run._buckets(name, lost)
-                target = {"dependencies": "target_id", "references": "target_id", "resources": "target_id", "attachments": "script_id"}.get(name)
-                touched |= run._targets(name, lost, target) if target else set()
-                keep = lambda old: merge.without(old, lost, owner)  # noqa: E731, B023
-                run.rewrite(name, touched, (lambda old: merge.let_go(keep(old), lost, target)) if target and name != "resources" else keep)
         run.metrics["entries_deleted"] = lost.count()
-        classes = tables["custom_classes"].where("class_name <> ''").join(files.select(F.col("path").alias("script_path"), F.col("id").alias("file_id")), "script_path", "left")
+        for name, owner in BUCKETED.items() if run.metrics["entries_deleted"] else ():
+            if name != "classes" and name in run.tables:
+                target = _TARGETS.get(name)
+                touched = run._buckets(name, lost) | (run._targets(name, lost, target) if target else set())
+                run.rewrite(name, touched, _letting_go(lost, owner, target))
+        classes = imports.last_of(tables["custom_classes"].where("class_name <> ''"), "class_name")
+        classes = classes.join(files.select(F.col("path").alias("script_path"), F.col("id").alias("file_id")), "script_path", "left")
         classes = classes.withColumns({"is_node_type": F.col("base_type").isin(*scripts.NODE_TYPES), "is_resource_type": F.col("base_type").isin(*scripts.RESOURCE_TYPES)})
-        run.rewrite("classes", set(range(run.buckets)), lambda old: merge.class_registry(shaped("classes", classes), order="script_path"))
+        run.rewrite("classes", set(range(run.buckets)), lambda old: shaped("classes", classes))
         counts = files.groupBy("is_directory").count().collect()
         run.metrics |= {("dirs_seen" if r[0] else "files_seen"): r[1] for r in counts}
         return run.finish("completed")
 
+    def imported_autoloads(self) -> DataFrame:
+        """The autoloads of the last import, with the files that they name."""
+        return self.store.table("autoloads").orderBy("autoload_name")
+
+    def unknowns(self) -> DataFrame:
+        """The files of the last import whose type is unknown."""
+        return self.store.table("unknowns").orderBy("path", "extension")
+
     # changes
 
     def watch(self, folder: str, every: str = "1 second", events: DataFrame | None = None) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ PROJECTS = (
     "id long, uid string, root string, project_file string, display_name string, identity_source string, identity_warning string, "
     "first_seen long, last_seen long"
 )
+#: Lists of projects fall by these.
+ORDER = ("last_seen", "id")
 #: Where a project keeps its identity.
 UID_FILE = ".godot/arbordex/project.uid"
 
@@ -51,10 +54,10 @@ class Registry:
         self.spark, self.store, self.last_error = spark, Store(spark, folder), ""
 
     def projects(self) -> DataFrame:
-        """All projects by name and id, with whether their identity comes from their paths."""
+        """All projects, those seen last first, with whether their identity comes from their paths."""
         at = self.store.current()["tables"].get("projects")
         found = self.spark.read.schema(PROJECTS).parquet(f"{self.store.folder}/{at}") if at else self.spark.createDataFrame([], PROJECTS)
-        return found.withColumn("is_path_derived_identity", F.col("identity_source") == "path_derived").orderBy(F.lower("display_name"), "id")
+        return found.withColumn("is_path_derived_identity", F.col("identity_source") == "path_derived").orderBy(*ORDER, ascending=False)
 
     def project(self, project_id: int) -> DataFrame:
         found = self.projects()
@@ -78,8 +81,12 @@ class Registry:
             first = known.where(F.col("id") == project).first()["first_seen"]
         row = (project, uid, root, os.path.join(root, project_file), name or os.path.basename(root), source, warning, first, now)
         table = known.where(F.col("id") != project).unionByName(self.spark.createDataFrame([row], PROJECTS))
-        number = version["number"] + 1
-        folder = f"g{number}-{hashlib.sha256(uid.encode()).hexdigest()[:8]}-{time.time_ns()}"
-        self.store.write(folder, "projects", table.coalesce(1))
-        self.store.publish(number, {"projects": f"{folder}/projects"})
+        self.replace(table, version["number"] + 1)
         return project
+
+    def replace(self, projects: DataFrame, number: int | None = None) -> None:
+        """Make `projects` (PROJECTS) the known ones, as version `number` or the next."""
+        number = number or self.store.current()["number"] + 1
+        folder = f"g{number}-{uuid.uuid4().hex[:16]}"
+        self.store.write(folder, "projects", projects)
+        self.store.publish(number, {"projects": f"{folder}/projects"})

@@ -6,18 +6,19 @@ import math
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KEYS = ("files", "autoloads", "custom_classes")
 FILES = (
     "path string, name string, extension string, is_directory boolean, file_type string, engine_type string, size_bytes long, "
     "modified_ns long"
 )
-AUTOLOADS = "autoload_name string, target_path string, is_singleton boolean"
+AUTOLOADS = "autoload_name string, target_path string, target_project_relative_path string, is_singleton boolean"
 CLASSES = "class_name string, script_path string, language string, base_type string"
 #: The names of the dicts' fields, in the order of the columns above.
 FIELDS = {
     "files": "project_relative_path file_name extension is_directory file_type godot_type size_bytes modified_time_ns".split(),
-    "autoloads": "autoload_name target_project_relative_path is_singleton".split(),
+    "autoloads": "autoload_name target_path target_project_relative_path is_singleton".split(),
     "custom_classes": "class_name script_project_relative_path language direct_base_type".split(),
 }
 SCHEMAS = {"files": FILES, "autoloads": AUTOLOADS, "custom_classes": CLASSES}
@@ -39,14 +40,14 @@ def as_text(value: Any) -> str:
 
 
 def tables(spark: SparkSession, inventory: dict[str, Any], seconds_of: str = "modified_time_unix") -> dict[str, DataFrame]:
-    """The three tables of an inventory. Items that are no dicts are left out; an empty engine type is NGT; a file without
-    nanoseconds takes its seconds. Raises ValueError if the dict has none of the three keys."""
+    """The three tables of an inventory, with the place of each item in its list. Items that are no dicts are left out; an empty engine
+    type is NGT; a file without nanoseconds takes its seconds. Raises ValueError if the dict has none of the three keys."""
     if not any(k in inventory for k in KEYS):
         raise ValueError("the inventory has none of: " + ", ".join(KEYS))
     out = {}
     for key in KEYS:
         rows, fields = [], [f.split() for f in SCHEMAS[key].split(", ")]
-        for item in inventory.get(key) or []:
+        for place, item in enumerate(inventory.get(key) or []):
             if not isinstance(item, dict):
                 continue
             kinds = {"long": as_long, "boolean": as_boolean, "string": as_text}
@@ -54,6 +55,12 @@ def tables(spark: SparkSession, inventory: dict[str, Any], seconds_of: str = "mo
             if key == "files":
                 row["engine_type"] = row["engine_type"] or "NGT"
                 row["modified_ns"] = row["modified_ns"] or as_long(item.get(seconds_of)) * 1_000_000_000
-            rows.append(tuple(row.values()))
-        out[key] = spark.createDataFrame(rows, SCHEMAS[key])
+            rows.append((*row.values(), place))
+        out[key] = spark.createDataFrame(rows, f"{SCHEMAS[key]}, place long")
     return out
+
+
+def last_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of the items with one key the last of the list, as each overwrites the one before."""
+    others = [c for c in rows.columns if c not in (*keys, "place")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "place").alias("_row")).select(*keys, "_row.*")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from typing import Any, NamedTuple
 
@@ -48,6 +49,10 @@ _TOKENS = {
     CSHARP: re.compile(rf"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>@\"(?:[^\"]|\"\")*\"|{_STRING})|(?P<name>[A-Za-z_][A-Za-z0-9_]*)|(?P<number>[0-9][A-Za-z0-9_.]*)|(?P<mark>->|::|[^\s])"),
 }
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+#: Marks that rules look for from where they stand.
+_SOUGHT = frozenset(("(", ")", "[", "]", "{", ":", ">", "->"))
+#: Tokens behind `Array[` that are looked at for the type of its elements.
+ARRAY_TYPES = 1000
 
 
 class Token(NamedTuple):
@@ -117,6 +122,16 @@ class Dependencies:
         self.class_name = self.base_type = ""
         self.global_class = False
         self.export = ""  # of C#: "open" inside an export attribute, "due" behind one
+        self.places: dict[str, list[int]] = {}
+        for i, token in enumerate(found):
+            if token.text in _SOUGHT:
+                self.places.setdefault(token.text, []).append(i)
+
+    def next(self, mark: str, i: int) -> int:
+        """The place of the next token `mark` at or after i; the number of tokens if there is none."""
+        some = self.places.get(mark, ())
+        k = bisect_left(some, i)
+        return some[k] if k < len(some) else len(self.t)
 
     def at(self, i: int) -> Token:
         return self.t[i] if 0 <= i < len(self.t) else self.end
@@ -157,9 +172,7 @@ class Dependencies:
         if token.kind != "name":
             return
         if token.text.lower() == "array" and self.texts(i + 1, "["):
-            for j in range(i + 2, len(self.t)):
-                if self.t[j].text == "]":
-                    break
+            for j in range(i + 2, min(self.next("]", i + 2), i + 2 + ARRAY_TYPES)):
                 if self.t[j].kind == "name" and self.t[j].text.lower() not in PRIMITIVES:
                     self.add_class("typed_array_element_ref", self.t[j], 0.85)
                     break
@@ -187,21 +200,19 @@ class Dependencies:
 
     def typed_list(self, i: int, kind: str) -> int:
         """The types behind each `:` of the next list in brackets at or after i; the place of its end."""
-        while i < len(self.t) and self.t[i].text != "(":
-            i += 1
-        while i < len(self.t) and self.t[i].text != ")":
-            if self.t[i].text == ":":
-                self.type_at(i + 1, kind)
-            i += 1
-        return i
+        i = self.next("(", i)
+        end = self.next(")", i)
+        i = self.next(":", i)
+        while i < end and not self.over:
+            self.type_at(i + 1, kind)
+            i = self.next(":", i + 1)
+        return end
 
     def first_type(self, i: int, kind: str, last_line: int) -> None:
         """The type behind the first `:` from i on, up to a line."""
-        while i < len(self.t) and self.t[i].line <= last_line:
-            if self.t[i].text == ":":
-                self.type_at(i + 1, kind)
-                return
-            i += 1
+        i = self.next(":", i)
+        if i < len(self.t) and self.t[i].line <= last_line:
+            self.type_at(i + 1, kind)
 
     def gdscript(self, i: int, token: Token) -> None:
         word, after, called = token.text, self.at(i + 1), self.texts(i + 1, "(")
@@ -229,10 +240,10 @@ class Dependencies:
             self.first_type(i + 1, "typed_var_ref", token.line)
         elif word == "func":
             j = self.typed_list(i + 1, "typed_param_ref")
-            while j < len(self.t) and self.t[j].text != "->" and self.t[j].line <= token.line + 2:
-                j += 1
-            if self.texts(j, "->"):
-                self.type_at(j + 1, "typed_return_ref")
+            # an arrow counts up to two lines below, or right behind the list
+            arrow = self.next("->", j)
+            if arrow < len(self.t) and (arrow == j or self.t[arrow - 1].line <= token.line + 2):
+                self.type_at(arrow + 1, "typed_return_ref")
         elif word == "signal":
             self.typed_list(i + 1, "signal_type_ref")
         elif word == "NodePath" and called and self.at(i + 2).kind == "string":
@@ -258,7 +269,8 @@ class Dependencies:
                 self.class_name = self.class_name or after.text
                 self.add_class("class_name_declaration", after, 1.0)
             j = i + 3 if self.texts(i + 2, ":") else len(self.t)
-            while j < len(self.t) and self.t[j].text != "{":
+            end = self.next("{", j)
+            while j < end and not self.over:
                 if self.t[j].kind == "name":
                     self.base_type = self.base_type or self.t[j].text
                     self.add_class("extends_class", self.t[j], 0.95)
@@ -273,9 +285,7 @@ class Dependencies:
             if self.texts(j, "<"):
                 if self.at(j + 1).kind == "name":
                     self.add_class("typed_return_ref", self.at(j + 1), 0.7)
-                while j < len(self.t) and self.t[j].text != ">":
-                    j += 1
-                j += 1
+                j = self.next(">", j) + 1
             if self.texts(j, "("):
                 kind, name = ("gd_load_path", "GD.Load") if word == "gd" else ("resource_loader_load_path", "ResourceLoader.Load")
                 self.load(j + 1, kind, token, name)
@@ -285,18 +295,26 @@ class Dependencies:
                 self.add_class("new_class_instantiation", of, 0.9)
 
 
-def _symbol(symbols: list[dict], kind: str, name: str, line: int, signature: str, language: str, parent: int | None = None, flags: int = 4, **more: Any) -> dict:
-    owner = next((s["name"] for s in symbols if s["symbol_kind"] == "class"), "")
+class Symbols(list):
+    """The symbols of a script in the order in which they were found; `root` is its first class."""
+
+    root: dict | None = None
+
+
+def _symbol(symbols: Symbols, kind: str, name: str, line: int, signature: str, language: str, parent: int | None = None, flags: int = 4, **more: Any) -> dict:
+    owner = symbols.root["name"] if symbols.root else ""
     out = {
         "local_symbol_id": len(symbols) + 1, "parent_local_symbol_id": parent, "symbol_kind": kind, "name": name, "qualified_name": f"{owner}.{name}" if owner and kind != "class" else name, "class_name": name if kind == "class" else owner,
         "language": language, "declared_type": "", "return_type": "", "default_value_excerpt": "", "visibility": "public", "signature_text": signature, "doc_comment_state": "missing", "symbol_name": name, "symbol_flags": flags,
         "line_start": line, "column_start": 1, "line_end": line, "column_end": 1,
     } | more
     symbols.append(out)
+    if kind == "class" and symbols.root is None:
+        symbols.root = out
     return out
 
 
-def _parameters(symbols: list[dict], function: dict, listed: str, line: int, language: str) -> None:
+def _parameters(symbols: Symbols, function: dict, listed: str, line: int, language: str) -> None:
     for part in clean(listed).split(")")[0].split(","):
         declared, _, default = part.partition("=")
         if language == GD:
@@ -309,20 +327,42 @@ def _parameters(symbols: list[dict], function: dict, listed: str, line: int, lan
             _symbol(symbols, "parameter", m[0], line, part.strip(), language, function["local_symbol_id"], declared_type=kind, default_value_excerpt=default.strip()[:120])
 
 
+#: A name, its type and its value. Possessive, so that a line is gone through once.
+_DECLARED = r"(?P<name>[A-Za-z_]\w*+)\s*+(?::(?P<type>[\w.\[\],\s]++|(?==)))?(?::?=\s*+(?P<value>.*))?$"
 _GD_RULES = (
     ("class", re.compile(r"class_name\s+(?P<name>[A-Za-z_]\w*)")),
     ("function", re.compile(r"func\s+(?P<name>[A-Za-z_]\w*)\s*\((?P<list>[^)]*)\)?(?:\s*->\s*(?P<returns>[\w.\[\], ]+))?")),
     ("signal", re.compile(r"signal\s+(?P<name>[A-Za-z_]\w*)")),
     ("enum", re.compile(r"enum\s+(?P<name>[A-Za-z_]\w*)")),
-    ("constant", re.compile(r"const\s+(?P<name>[A-Za-z_]\w*)\s*(?::\s*(?P<type>[\w.\[\], ]+?))?\s*(?::?=\s*(?P<value>.*))?$")),
-    ("property", re.compile(r"var\s+(?P<name>[A-Za-z_]\w*)\s*(?::\s*(?P<type>[\w.\[\], ]+?))?\s*(?::?=\s*(?P<value>.*))?$")),
+    ("constant", re.compile(rf"const\s+{_DECLARED}")),
+    ("property", re.compile(rf"var\s+{_DECLARED}")),
 )
+#: Patterns that are searched for in a line: each starts only where a run of its first characters does, and takes runs whole.
 _CS_RULES = (
-    ("class", re.compile(r"(?:^|.*\s)class\s+(?P<name>[A-Za-z_]\w*)")),
-    ("signal", re.compile(r".*\bevent\s+[\w.<>]+\s+(?P<name>[A-Za-z_]\w*)")),
-    ("property", re.compile(r".*?(?P<type>[\w.<>\[\]]+)\s+(?P<name>[A-Za-z_]\w*)\s*\{\s*(?:get|set)\b")),
-    ("function", re.compile(r".*?(?P<name>[A-Za-z_]\w*)\s*(?:<[^>]*>)?\((?P<list>.*)\)")),
+    ("class", re.compile(r"(?<!\S)class\s++(?P<name>[A-Za-z_]\w*+)")),
+    ("signal", re.compile(r"\bevent\s++[\w.<>]++\s++(?P<name>[A-Za-z_]\w*+)")),
+    ("property", re.compile(r"(?<![\w.<>\[\]])(?P<type>[\w.<>\[\]]++)\s++(?P<name>[A-Za-z_]\w*+)\s*+\{\s*+(?:get|set)\b")),
+    ("function", re.compile(r"(?<!\w)[^\WA-Za-z_]*+(?P<name>[A-Za-z_]\w*+)\s*+(?:<[^>]{0,1000}+>)?\((?P<list>.*)\)")),
 )
+
+
+def _found(kind: str, pattern: re.Pattern, line: str) -> re.Match | None:
+    """A C# rule in a line: of classes one that begins it, else the last, of events the last, of properties and functions the first. A function's list goes up to the
+    line's last bracket."""
+    if kind == "class" and (m := pattern.match(line)):
+        return m
+    if kind in ("class", "signal"):
+        word = "class" if kind == "class" else "event"
+        end = len(line)
+        # the last place from which the pattern fits; each place is tried once
+        while (at := line.rfind(word, 0, end)) >= 0:
+            if m := pattern.match(line, at):
+                return m
+            end = at + len(word) - 1
+        return None
+    if kind == "function":
+        return pattern.search(line, 0, line.rfind(")") + 1) if ")" in line else None
+    return pattern.search(line) if "{" in line else None
 _MODIFIERS = {"@export": 1, "export": 1, "@onready": 16, "onready": 16, "static": 2}
 #: Bits of script and symbol flags that this module sets.
 HAS_CLASS, TOOL, EXTENDS_NODE, EXTENDS_RESOURCE, HAS_EXPORTS, HAS_SIGNALS, READY, PROCESS, PHYSICS, HAS_DOC, INCOMPLETE, DYNAMIC, UNRESOLVED = (1 << k for k in range(13))
@@ -336,7 +376,7 @@ def _doc(lines: list[str], at: int, language: str) -> tuple[int, bool, str] | No
         while first and lines[first - 1].strip().startswith(mark) and (attached or not lines[first - 1].strip().startswith("##")):
             first -= 1
         if first < at:
-            return first, attached, "\n".join(x.strip()[len(mark) :].strip() for x in lines[first:at])
+            return first, attached, "\n".join(x.rstrip("\r").lstrip()[len(mark) :].lstrip() for x in lines[first:at])
     return None
 
 
@@ -356,7 +396,7 @@ def parse_script(source: bytes | None, extension: str, tier: str = "full", limit
     rules = Dependencies(found, language, limits.dependencies)
     dependencies = rules.run()
     over = over or open_ended or rules.over
-    symbols, docs, flags = [], [], 0
+    symbols, docs, flags = Symbols(), [], 0
     stop = len(lines)
     for n, raw in enumerate(lines[:stop]):
         line, mods = raw.rstrip("\r"), 4
@@ -373,10 +413,10 @@ def parse_script(source: bytes | None, extension: str, tier: str = "full", limit
         if language == CSHARP and (not line or line.startswith(("//", "/*", "*", "using ", "namespace "))):
             continue
         for kind, pattern in _GD_RULES if language == GD else _CS_RULES:
-            if not (m := pattern.match(line)):
+            if not (m := pattern.match(line) if language == GD else _found(kind, pattern, line)):
                 continue
             named = m.groupdict()
-            root = next((s for s in symbols if s["symbol_kind"] == "class"), None)
+            root = symbols.root
             if kind == "class" and root and language == GD:
                 break
             part = lambda k: clean((named.get(k) or "").split("#")[0].strip())
@@ -392,19 +432,20 @@ def parse_script(source: bytes | None, extension: str, tier: str = "full", limit
             flags |= _CALLBACKS.get(m["name"], 0) if kind == "function" else 0
             if doc := _doc(lines, n, language):
                 first, attached, comment = doc[0], doc[1], clean(doc[2])
+                summary = next((x.strip() for x in comment.split("\n") if x.strip()), "")
                 s["doc_comment_state"] = "present" if attached else "detached"
                 flags |= HAS_DOC
-                docs.append({"symbol_local_id": s["local_symbol_id"], "target_kind": kind, "comment_style": "doc" if attached else "plain", "text_excerpt": comment[:120], "comment_text": comment, "summary_text": next((x for x in comment.split("\n") if x), ""), "text_hash": hashlib.sha256(comment.encode()).hexdigest()[:16], "is_attached": attached, "line_start": first + 1, "line_end": n})
+                docs.append({"symbol_local_id": s["local_symbol_id"], "target_kind": kind, "comment_style": "doc" if attached else "plain", "text_excerpt": summary or comment, "comment_text": comment, "summary_text": summary, "text_hash": hashlib.sha256(comment.encode()).hexdigest()[:16], "is_attached": attached, "line_start": first + 1, "line_end": n})
             if kind == "function":
                 _parameters(symbols, s, named.get("list") or "", n + 1, language)
             break
-    if rules.class_name and not any(s["symbol_kind"] == "class" for s in symbols):
+    if rules.class_name and symbols.root is None:
         # declared where no line rule sees it: the script still has a root symbol, at its first line
         _symbol(symbols, "class", clean(rules.class_name), 1, clean(rules.class_name), language, declared_type=clean(rules.base_type), doc_comment_state="none")
         flags |= HAS_CLASS
     # each dependency belongs to the last symbol at or above its line, else to the class
     marks = sorted((s for s in symbols if s["symbol_kind"] != "parameter"), key=lambda s: s["line_start"])
-    root = next((s for s in symbols if s["symbol_kind"] == "class"), None)
+    root = symbols.root
     at, current = 0, root
     for d in sorted(dependencies, key=lambda d: d["line_start"]):
         while at < len(marks) and marks[at]["line_start"] <= d["line_start"]:

@@ -51,6 +51,11 @@ SCHEMAS = {
         "is_unresolved boolean, line long"
     ),
     "deleted_log": "path string, generation long",
+    "autoloads": (
+        "autoload_name string, target_path string, target_project_relative_path string, is_singleton boolean, target_id long, "
+        "first_seen long, last_seen long"
+    ),
+    "unknowns": "path string, extension string, name string, file_type string, engine_type string, first_seen long, last_seen long",
     "metrics": f"generation long, status string, error string, {', '.join(f'{c} long' for c in [*_COUNTS, *_TIMES])}",
 }
 METRICS = [*_COUNTS, *_TIMES]

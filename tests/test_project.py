@@ -242,6 +242,21 @@ def test_import(spark, tmp_path):
     p.import_inventory({"files": given["files"][1:]})
     again = {r.path: (r.id, r.first_seen, r.last_seen) for r in p.store.table("files").collect()}
     assert again == {"d/x.gd": (found["d/x.gd"].id, 1, 2)} and p.class_count() == 0
+    given = {
+        "files": [{"project_relative_path": p, "file_name": p, "extension": e, "file_type": t, "size_bytes": n} for p, e, t, n in (("m.gd", ".gd", "Script", 1), ("u.zzz", ".zzz", "Unknown", 1), ("v.yyy", ".yyy", "Unknown", 1), ("m.gd", ".gd", "Script", 2))],
+        "autoloads": [{"autoload_name": "Main", "target_path": "res://old.gd"}, {"autoload_name": "Main", "target_path": "res://m.gd", "target_project_relative_path": "m.gd", "is_singleton": True}, {"autoload_name": "Lost", "target_project_relative_path": "none.gd"}, 7],
+        "custom_classes": [{"class_name": "M", "script_project_relative_path": "m.gd", "language": "a"}, {"class_name": "M", "script_project_relative_path": "a.gd", "language": "b"}],
+    }
+    p.import_inventory(given)
+    ids = {r.path: (r.id, r.size_bytes) for r in p.store.table("files").collect()}
+    assert ids["m.gd"][1] == 2 and p.class_details("M").first().language == "b"
+    assert [tuple(r) for r in p.imported_autoloads().collect()] == [("Lost", "", "none.gd", False, None, 3, 3), ("Main", "res://m.gd", "m.gd", True, ids["m.gd"][0], 3, 3)]
+    assert [(r.path, r.extension, r.first_seen) for r in p.unknowns().collect()] == [("u.zzz", ".zzz", 3), ("v.yyy", ".yyy", 3)]
+    given["files"].pop(1)
+    given["autoloads"] = given["autoloads"][1:2]
+    p.import_inventory(given)
+    assert [(r.autoload_name, r.first_seen, r.last_seen) for r in p.imported_autoloads().collect()] == [("Main", 3, 4)] and [(r.path, r.first_seen, r.last_seen) for r in p.unknowns().collect()] == [("v.yyy", 3, 4)]
+    assert p.scan_status().first().entries_deleted == 1
     assert [imports.as_long(x) for x in (2.7, True, "5", None, float("inf"))] == [2, 1, 0, 0, 0]
     assert [imports.as_text(x) for x in ("a", None, 3)] == ["a", "", "3"] and imports.as_boolean("yes") is False
 
@@ -258,7 +273,10 @@ def test_registry(spark, tmp_path, monkeypatch):
     assert known.register(str(moved)) == first and known.project(first).first().root == str(moved)
     other = tmp_path / "two"
     other.mkdir()
-    assert known.register(str(other), "Alpha") == 2 and [r.display_name for r in known.projects().collect()] == ["Alpha", "moved"]
+    assert known.register(str(other), "Alpha") == 2 and [r.id for r in known.projects().collect()] == [2, 1]
+    rows = known.projects().drop("is_path_derived_identity")
+    known.replace(rows.withColumn("last_seen", F.col("last_seen") + F.when(F.col("id") == 1, 100).otherwise(0)))
+    assert [r.id for r in known.projects().collect()] == [1, 2]  # seen last, first
     (moved / ".godot/arbordex/project.uid").write_text(" \tnew-identity \r\n")
     with pytest.raises(ValueError):
         known.register(str(moved))
@@ -288,3 +306,67 @@ def test_watcher(spark, tmp_path):
     assert p.scan_changes().first().scripts_parsed == 1 and p.watcher.drain() == []
     p.watcher.stop()
     assert p.watcher.status()["requires_full_rescan"]
+
+
+def test_an_import_lets_go_of_what_hung_on_its_losses(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "tree")
+    write(root, "a.gd", "class_name A\nextends B\n")
+    write(root, "b.gd", "class_name B\nfunc f():\n\tpass\n")
+    p = Project(spark, root, str(tmp_path / "store"))
+    p.scan()
+    ids = {r.path: r.id for r in p.store.table("files").collect()}
+    assert p.dependents_of_file(ids["b.gd"]).where("file_id = %d" % ids["a.gd"]).count() == 1
+    with monkeypatch.context() as m:
+        m.setattr(module.Scan, "rewrite", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            p.import_inventory({"files": []})
+    assert p.scan_status().first().status == "failed" and p.store.table("files").count() == 2
+    p.import_inventory({"files": [{"project_relative_path": "a.gd", "file_name": "a.gd", "extension": ".gd"}]})
+    assert {r.file_id for r in p.store.table("symbols").collect()} == {ids["a.gd"]}
+    [edge] = p.store.table("dependencies").where("target_class = 'B'").collect()
+    assert (edge.target_id, edge.is_resolved, edge.is_unresolved) == (None, False, True)
+
+
+def test_a_changed_script_rewrites_its_own_buckets(spark, tmp_path):
+    root = str(tmp_path / "tree")
+    for i in range(40):
+        write(root, f"s{i}.gd", f"class_name C{i}\nextends C{(i + 1) % 40}\n## Doc.\nfunc f{i}():\n\tpass\n")
+    p = Project(spark, root, str(tmp_path / "store"))
+    first = p.scan().first()
+    before = {k: dict(v) for k, v in p.store.current()["tables"].items() if isinstance(v, dict)}
+    rows = {name: sorted(map(repr, p.store.table(name).collect())) for name in before}
+    write(root, "s7.gd", "class_name C7\nextends C9\nfunc g():\n\tpass\n")
+    second = p.scan().first()
+    after = p.store.current()["tables"]
+    moved = {name: {k for k in set(before[name]) | set(after[name]) if before[name].get(k) != after[name].get(k)} for name in before}
+    ids = {r.path: r.id for r in p.store.table("files").collect()}
+    own = {str(ids["s7.gd"] % 16)}
+    assert first.buckets_written > 60 and second.buckets_written < 8
+    assert moved["symbols"] == moved["dependencies"] == moved["references"] == moved["doc_comments"] == own and len(moved["classes"]) == 1
+    assert moved["resources"] == moved["attachments"] == set()
+    # the same tables as of a store that was scanned from nothing
+    whole = Project(spark, root, str(tmp_path / "other"))
+    whole.scan()
+    for name in before:
+        assert sorted(map(repr, p.store.table(name).collect())) == sorted(map(repr, whole.store.table(name).collect())), name
+    assert rows["symbols"] != sorted(map(repr, p.store.table("symbols").collect()))
+    os.remove(os.path.join(root, "s8.gd"))  # s7 no longer names it, nobody else does
+    os.remove(os.path.join(root, "s9.gd"))  # s7 and, before, s8 name it
+    third = p.scan().first()
+    assert third.entries_deleted == 2 and third.scripts_parsed == 0
+    lost = p.store.table("dependencies").where("target_class = 'C9'").collect()
+    assert [(r.file_id, r.target_id, r.is_unresolved) for r in lost] == [(ids["s7.gd"], None, True)]
+    assert p.store.table("symbols").where(F.col("file_id").isin(ids["s8.gd"], ids["s9.gd"])).count() == 0
+    assert p.class_count() == 38
+
+
+def test_two_scans_that_end_together(spark, tmp_path):
+    root = str(tmp_path / "tree")
+    write(root, "a.gd", "class_name A\n")
+    one, two = (Project(spark, root, str(tmp_path / "store")) for _ in range(2))
+    begun = module.Scan(one, 1, time.time())
+    two.scan()
+    one.last_error = "lost"
+    assert one._ended(begun, "failed").first().generation == 2
+    assert [(r.generation, r.status) for r in two.store.table("metrics").orderBy("generation").collect()] == [(1, "completed"), (2, "failed")]
+    assert two.store.table("files").count() == 1

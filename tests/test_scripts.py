@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -145,3 +146,22 @@ def test_never_raises(seed):
         parse_scene(b)
         parse_autoloads(b)
     assert unquoted("'a'") == "a"
+
+
+def test_comments_are_whole():
+    long = "word " * 60
+    source = f"##   {long}\n##  indented  \nfunc f():\n\tpass\n#\n#  \n# plain {long}\nvar a\n"
+    first, second = parse_script(source.encode(), ".gd")["doc_comments"]
+    assert (first["comment_text"], first["summary_text"], first["text_excerpt"]) == (f"{long}\nindented  ", long.strip(), long.strip())
+    assert (second["comment_text"], second["text_excerpt"], second["is_attached"]) == (f"\n\nplain {long}", f"plain {long}".strip(), False)
+
+
+@pytest.mark.parametrize(
+    "source, extension",
+    [("var a = 1\n" * (250 << 10), ".gd"), ("var x:" + " " * 500_000 + "!", ".gd"), ("func a( " * 60_000, ".gd"), ("var " * 60_000, ".gd"), ("var a: Array[1 " * 40_000, ".gd")]
+    + [(f"x {w}", ".cs") for w in ("a" * 1_000_000, "a(" * 300_000, "a<" * 300_000, "a<b>" * 150_000, "a{ " * 200_000, "class " * 150_000, "event a " * 80_000, "a  " * 200_000 + "{", " " * 500_000 + "x")],
+)
+def test_time_grows_with_the_source(source, extension):
+    began = time.time()
+    parse_script(source.encode(), extension)
+    assert time.time() - began < 30  # a few seconds where nothing else runs; the former rules took minutes
