@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from arbordex.operators.lineage import checkpoint_folder
 from arbordex.project import Project
+from arbordex.sources import sql, tree
 
 _GD = (
     "concat('class_name S', s_suppkey, '\\nextends Node3D\\n', CASE WHEN s_suppkey % 2 = 0 THEN '## Doc.\\n' ELSE '' END, 'func go(a: int) -> S', "
@@ -121,6 +122,27 @@ def project_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.scan().select("status", "files_seen", "dirs_seen", "inserted", "updated", "refreshed", "entries_deleted", "scripts_parsed", "scenes_parsed")
 
 
+def project_symbols_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions of the tree's scripts, asked in SQL of the tree source itself."""
+    sql.register(spark)
+    tree.tree(spark, scanned(spark, sf_dir).root).createOrReplaceTempView("project_tree_files")
+    return spark.sql(
+        "SELECT f.path, file_type_of(f.path) AS file_type, s.name, s.class_name, s.return_type FROM project_tree_files f, LATERAL script_symbols(f.path, f.content) s "
+        "WHERE f.extension IN ('.gd', '.cs') AND s.symbol_kind = 'function'"
+    )
+
+
+def document_symbols_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts made of documents, each text a comment above a function; their symbols, asked in SQL."""
+    sql.register(spark)
+    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("sql_documents")
+    script = "concat('# ', replace(text, '\\n', ' '), '\\nfunc f', doc_id, '(n: int) -> void:\\n\\tpass\\nvar size := ', n_chars, '\\n')"
+    return spark.sql(
+        f"SELECT d.doc_id, s.symbol_kind, s.name, s.declared_type, s.return_type, s.doc_comment_state, s.line_start FROM (SELECT doc_id, {script} AS source FROM sql_documents) d, "
+        "LATERAL script_symbols('document.gd', d.source) s"
+    )
+
+
 _EDGES = """SELECT path, 'class_name_declaration' AS kind, CASE WHEN sharp THEN 2 ELSE 1 END AS line, concat('S', k) AS target_class, '' AS target_path, path AS bound_path, concat('S', k) AS bound_symbol, concat('S', k) AS source, true AS is_resolved, false AS is_dynamic, false AS is_unresolved FROM s
   UNION ALL SELECT path, 'extends_class', 2, 'Node3D', '', NULL, NULL, concat('S', k), false, false, true FROM s
   UNION ALL SELECT path, 'typed_return_ref', CASE WHEN sharp THEN 3 WHEN k % 2 = 0 THEN 4 ELSE 3 END, concat('S', k + 1), '', next, CASE WHEN NOT last THEN concat('S', k + 1) END, CASE WHEN sharp THEN 'F' ELSE 'go' END, NOT last, false, last FROM s
@@ -129,7 +151,7 @@ _EDGES = """SELECT path, 'class_name_declaration' AS kind, CASE WHEN sharp THEN
   UNION ALL SELECT path, 'gd_load_path', 3, '', concat('res://', folder, '/main.tscn'), concat(folder, '/main.tscn'), NULL, 'F', true, false, false FROM s WHERE sharp
   UNION ALL SELECT path, 'dynamic_load', CASE WHEN k % 2 = 0 THEN 8 ELSE 7 END, '', '', NULL, NULL, 'home', false, true, false FROM s WHERE NOT sharp"""
 
-QUERIES = {f.__name__: f for f in (project_files, project_classes, project_references, project_attachments, project_doc_gaps, project_rescan)}
+QUERIES = {f.__name__: f for f in (project_files, project_classes, project_references, project_attachments, project_doc_gaps, project_rescan, project_symbols_sql, document_symbols_sql)}
 ORACLE = {
     "project_files": f"""WITH {SCRIPTS} SELECT path, 'file' AS kind, 'Script' AS file_type, CASE WHEN sharp THEN 'CSharpScript' ELSE 'GDScript' END AS engine_type, 'parsed_class' AS parse_status, folder AS parent FROM s
       UNION ALL SELECT path, 'file', 'GodotScene', 'PackedScene', 'not_parsed', folder FROM scenes UNION ALL SELECT folder, 'directory', 'Folder', 'NGT', 'not_parsed', '' FROM scenes""",
@@ -137,6 +159,9 @@ ORACLE = {
     "project_references": f"WITH {SCRIPTS.replace('s AS', 'r AS', 1).replace('FROM s GROUP', 'FROM r GROUP')}, s AS (SELECT r.*, n.path AS next FROM r LEFT JOIN r n ON n.k = r.k + 1) {_EDGES}",
     "project_attachments": f"""WITH {SCRIPTS} SELECT scenes.path AS scene, 'Top' AS node_path, concat('res://', s.path) AS script_path, concat('uid://u', s.k) AS resource_uid, s.path AS bound_path, concat('S', s.k) AS bound_symbol, false AS is_dynamic, true AS is_resolved
       FROM scenes JOIN s USING (k) UNION ALL SELECT path, 'Low', '', '', NULL, NULL, true, false FROM scenes""",
+    "project_symbols_sql": f"WITH {SCRIPTS} SELECT path, 'Script' AS file_type, CASE WHEN sharp THEN 'F' ELSE 'go' END AS name, concat('S', k) AS class_name, CASE WHEN sharp THEN '' ELSE concat('S', k + 1) END AS return_type FROM s",
+    "document_symbols_sql": """SELECT doc_id, 'function' AS symbol_kind, concat('f', doc_id) AS name, '' AS declared_type, 'void' AS return_type, 'detached' AS doc_comment_state, 2 AS line_start FROM documents WHERE text IS NOT NULL
+      UNION ALL SELECT doc_id, 'parameter', 'n', 'int', '', 'missing', 2 FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 'property', 'size', '', '', 'missing', 4 FROM documents WHERE text IS NOT NULL""",
     "project_doc_gaps": f"WITH {SCRIPTS} SELECT path AS file_path, 'go' AS name FROM s WHERE NOT sharp AND k % 2 = 1",
     "project_rescan": f"""WITH {SCRIPTS}, n AS (SELECT count(*) AS scripts, count(*) FILTER (k % 10 = 3) AS gone, count(*) FILTER (k % 10 = 4) AS changed, count(DISTINCT folder) AS folders FROM s)
       SELECT 'completed' AS status, scripts - gone + 2 * folders AS files_seen, folders AS dirs_seen, folders AS inserted, changed AS updated, scripts - gone - changed + 2 * folders AS refreshed, gone AS entries_deleted, changed + folders AS scripts_parsed, 0 AS scenes_parsed FROM n""",
