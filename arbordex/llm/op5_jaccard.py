@@ -570,3 +570,24 @@ def first_of_each(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+#: All pairs that share a shingle: for small tables, where no shingle is in very many documents.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS p FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(p[i : i + least(len(p), 5) - 1], ' ') AS s
+  FROM (SELECT doc_id, p, unnest(range(1, len(p) - least(len(p), 5) + 2)) AS i FROM w WHERE len(p) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), reached(id, other) AS (
+  SELECT a, b FROM links UNION SELECT id, b FROM reached JOIN links ON other = a
+)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id AS doc_id, min(other) AS low FROM reached GROUP BY id) USING (doc_id)
+"""

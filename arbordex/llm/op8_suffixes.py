@@ -272,3 +272,25 @@ def deduplicated(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string of 200 bytes by its md5: for small tables.
+ORACLE = r"""
+WITH b AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), starts AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM b WHERE n >= 200)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM starts) WHERE c > 1
+), placed AS (
+  SELECT doc_id, i, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 AS apart, lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL AS first FROM again
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM (SELECT doc_id, i, sum(CASE WHEN apart OR first THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM placed) GROUP BY doc_id, g
+), cuts AS (
+  SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans
+), kept AS (
+  SELECT doc_id, sum(z - a) AS removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(z) AS last FROM cuts JOIN b USING (doc_id) GROUP BY doc_id
+)
+SELECT b.doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN kept USING (doc_id)
+"""
