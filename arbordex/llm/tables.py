@@ -119,19 +119,24 @@ def dropped(spark: SparkSession, *names: str) -> None:
 
 def sampled(df: DataFrame, key: str, text: str, most: int, label: str | None = None) -> DataFrame:
     """(label, text) of at most `most` different rows of each label (or of all): those whose hash of id and text is smallest.
-    Equal rows are one, so rows that share an id or have none can't swell the sample."""
-    named = F.lit("") if label is None else df[label]
+    Equal rows are one, so rows that share an id or have none can't swell the sample. Bounds of the labels, which the driver counts,
+    are told to all tasks; only the rows of the sample, and about as many more, are moved."""
+    spark, named = df.sparkSession, F.lit("") if label is None else df[label]
     rows = df.select(named.alias("label"), df[text].alias("text"), F.xxhash64(df[key], df[text]).alias("hash"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+
+    def below(df: DataFrame, bounds: dict[str, int]) -> DataFrame:
+        if label is None:
+            return df.where(F.col("hash") <= F.lit(bounds.get("", 0)))
+        told = spark.createDataFrame(list(bounds.items()), "label string, bound long")
+        return df.join(F.broadcast(told), "label").where("hash <= bound").drop("bound")
+
+    sizes = {"": df.count()} if label is None else {r[0]: r[1] for r in rows.where("label is not null").groupBy("label").count().collect()}
     # hashes up to twice the share that is wanted, then the exact bound among them
     low, span = -(1 << 63), 1 << 64
-    top = {k: low + min(span - 1, 2 * most * span // max(n, 1)) for k, n in sizes.items()}
-    tops = df.sparkSession.createDataFrame([(k, t) for k, t in top.items()], "label string, top long")
-    near = rows.join(tops, "label").where("hash <= top").groupBy("label", "hash").agg(F.first("text").alias("text"))
-    near = checkpointed(near)
-    bounds = near.select("label", "hash").toArrow().to_pandas().groupby("label")["hash"].apply(lambda h: int(h.nsmallest(most).max()))
-    kept = df.sparkSession.createDataFrame([(k, b) for k, b in bounds.items()], "label string, bound long")
-    return near.join(kept, "label").where("hash <= bound").select("label", "text")
+    near = below(rows, {k: low + min(span - 1, 2 * most * span // max(n, 1)) for k, n in sizes.items()})
+    near = checkpointed(near.groupBy("label", "hash").agg(F.first("text").alias("text")))
+    found = near.select("label", "hash").toArrow().to_pandas().groupby("label")["hash"]
+    return below(near, {k: int(h.nsmallest(most).max()) for k, h in found}).select("label", "text")
 
 
 def partitions(spark: SparkSession) -> int:
