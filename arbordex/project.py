@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from arbordex.functions import text
@@ -70,6 +70,12 @@ class Scan:
             self.tables[name] = f"{self.folder}/{name}"
         return made
 
+    def told(self, name: str, df: DataFrame, *told: Column) -> tuple[DataFrame, dict[str, Any]]:
+        """(a table of this scan, aggregates of its rows): the job that writes the table observes them, so none reads it again."""
+        seen = Observation()
+        made = self.keep(name, (shaped(name, df) if name in SCHEMAS else df).observe(seen, *told))
+        return made, {k: v or 0 for k, v in seen.get.items()}
+
     def together(self, tasks: dict[str, Callable[[], Any]]) -> dict[str, Any]:
         """Independent tables side by side; each is a job of its own."""
         with ThreadPoolExecutor(4) as pool:
@@ -83,10 +89,11 @@ class Scan:
     def list(self, listed: DataFrame, diff: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
         """(entries with their reasons, rows of what was skipped or could not be read), both of one table, and what they count."""
         others = listed.where(~F.col("kind").isin("file", "directory")).select("path", "kind", "error")
-        every = self.keep("_changed", diff(listed).unionByName(others, allowMissingColumns=True))
         entry, is_file, dirty = F.col("kind").isin("file", "directory"), F.col("kind") == "file", F.col("dirty_reason") != snapshot.CLEAN
         script, scene = (is_file & F.col("extension").isin(*e) for e in (list(scripts.LANGUAGES), scripts.SCENES))
-        found = every.agg(
+        every, found = self.told(
+            "_changed",
+            diff(listed).unionByName(others, allowMissingColumns=True),
             F.count_if(is_file).alias("files_seen"),
             F.count_if(F.col("kind") == "directory").alias("dirs_seen"),
             F.count_if(F.col("kind") == "skipped").alias("dirs_skipped"),
@@ -98,8 +105,8 @@ class Scan:
             F.count_if(script & ~dirty).alias("scripts_skipped_clean"),
             F.count_if(scene & ~dirty).alias("scenes_skipped_clean"),
             F.count_if((script | scene) & dirty).alias("to_parse"),
-        ).first()
-        self.metrics |= found.asDict()
+        )
+        self.metrics |= found
         self.timed("traversal_ms")
         return every.where(entry).drop("error"), every.where(~entry)
 
@@ -110,14 +117,23 @@ class Scan:
             return (self.spark.createDataFrame([], f"path string, {schema}") for schema in (scripts.SCRIPT, scripts.SCENE))
         dirty = changed.where("dirty_reason <> 'clean' and kind = 'file'").where(F.col("extension").isin(*scripts.LANGUAGES, *scripts.SCENES))
         content = tree.opened(tree.dealt(dirty), self.project.root)
-        made = self.together({"_scripts": lambda: self.keep("_scripts", scripts.parse_scripts(content)), "_scenes": lambda: self.keep("_scenes", scripts.parse_scenes(content))})
-        parsed, scenes = made["_scripts"], made["_scenes"]
-        total = parsed.agg(
-            F.count("*").alias("scripts_parsed"),
-            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("lines_scanned", "bytes_read", "tokens_generated")],
-            F.count_if("limit_exceeded").alias("limit_exceeded"),
-        ).first()
-        self.metrics |= total.asDict() | {"scenes_parsed": scenes.count()}
+        sizes = [F.sum(F.size(c)).alias(n) for c, n in (("symbols", "symbols_created"), ("references", "references_created"), ("doc_comments", "doc_comments_created"), ("dependencies", "dependencies_created"))]
+        made = self.together(
+            {
+                "_scripts": lambda: self.told(
+                    "_scripts",
+                    scripts.parse_scripts(content),
+                    F.count(F.lit(1)).alias("scripts_parsed"),
+                    *[F.sum(c).alias(c) for c in ("lines_scanned", "bytes_read", "tokens_generated")],
+                    F.count_if(F.col("limit_exceeded")).alias("limit_exceeded"),
+                    F.sum(F.size(F.filter("dependencies", lambda d: d["is_dynamic"]))).alias("dynamic_dependencies"),
+                    *sizes,
+                ),
+                "_scenes": lambda: self.told("_scenes", scripts.parse_scenes(content), F.count(F.lit(1)).alias("scenes_parsed"), F.sum(F.size("script_attachments")).alias("attachments_created")),
+            }
+        )
+        (parsed, of_scripts), (scenes, of_scenes) = made["_scripts"], made["_scenes"]
+        self.metrics |= of_scripts | of_scenes
         self.timed("parse_ms")
         return parsed, scenes
 
@@ -138,8 +154,8 @@ class Scan:
         if found["inserted"]:
             top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
             files = files.where("id is not null").unionByName(numbered(files.where("id is null").drop("id"), "path", top + 1))
-        files = self.keep("files", resolve.parents(files.withColumn("parent_id", F.lit(0).cast("long"))))
-        total = files.agg(F.count("*").alias("n"), F.count_if(F.col("dirty_reason") == "deleted_path").alias("gone")).first()
+        numbers = (F.count(F.lit(1)).alias("n"), F.count_if(F.col("dirty_reason") == "deleted_path").alias("gone"))
+        files, total = self.told("files", resolve.parents(files.withColumn("parent_id", F.lit(0).cast("long"))), *numbers)
         found |= {"updated": found["entries_dirty"] - found["inserted"], "refreshed": found["entries_clean"], "snapshot_entries": total["n"] - found["inserted"], "entries_deleted": total["gone"]}
         if total["gone"] or "deleted_log" not in self.tables:
             self.keep("deleted_log", merge.deleted_log(self.before("deleted_log"), files, self.number))
@@ -168,18 +184,33 @@ class Scan:
 
     def scripts(self, files: DataFrame, parsed: DataFrame, deleted: DataFrame) -> None:
         """The tables of scripts: those parsed again are replaced, those of deleted files go, targets that went are let go."""
-        again = parsed.join(files.where("not is_deleted").select("path", F.col("id").alias("file_id")), "path")
+        again, owned = parsed.join(files.where("not is_deleted").select("path", F.col("id").alias("file_id")), "path"), set()
         if self.metrics["scripts_parsed"]:
-            again = self.keep("_again", again)
+            again, seen = self.told("_again", again, F.collect_set(bucket("symbols", self.buckets)).alias("owned"))
+            owned |= set(seen["owned"] or ())
         gone, few = again.select("file_id"), self.metrics["scripts_parsed"] * 4 < self.metrics["scripts_candidates"]
-        owned = self._buckets("symbols", gone, deleted)
+        owned |= self._buckets("symbols", deleted) if self.metrics["entries_deleted"] else set()
         left = lambda old: merge.without(old.join(gone, "file_id", "left_anti"), deleted)
-        symbols = self.rewrite("symbols", owned, lambda old: left(old).unionByName(shaped("symbols", _symbols(again))))
+        docs = again.select("file_id", F.explode("doc_comments").alias("c")).select(
+            "file_id", _id(F.col("c.symbol_local_id")).alias("symbol_id"), "c.is_attached", F.col("c.comment_style").alias("style"),
+            "c.comment_text", "c.summary_text", "c.text_hash", F.col("c.line_start").alias("line"),
+        )
+
+        def declarations() -> DataFrame:
+            declared = shaped("classes", again.where("class_name <> ''").select("class_name", F.col("path").alias("script_path"), "file_id", "language", F.col("direct_base_type").alias("base_type"), "is_node_type", "is_resource_type"))
+            went = self.before("classes").join(gone.unionByName(deleted.select(F.col("id").alias("file_id"))), "file_id", "left_semi")
+            named = self._buckets("classes", went.select("class_name"), declared.select("class_name"))
+            return self.rewrite("classes", named, lambda old: merge.class_registry(left(old).unionByName(declared), order="script_path"))
+
+        made = self.together(
+            {
+                "symbols": lambda: self.rewrite("symbols", owned, lambda old: left(old).unionByName(shaped("symbols", _symbols(again)))),
+                "classes": declarations,
+                "docs": lambda: self.rewrite("doc_comments", owned, lambda old: left(old).unionByName(shaped("doc_comments", docs))),
+            }
+        )
+        symbols, classes = made["symbols"], made["classes"]
         own = self.project.store.table("symbols", {"tables": self.tables}, owned)
-        declared = shaped("classes", again.where("class_name <> ''").select("class_name", F.col("path").alias("script_path"), "file_id", "language", F.col("direct_base_type").alias("base_type"), "is_node_type", "is_resource_type"))
-        went = self.before("classes").join(gone.unionByName(deleted.select(F.col("id").alias("file_id"))), "file_id", "left_semi")
-        named = self._buckets("classes", went.select("class_name"), declared.select("class_name"))
-        classes = self.rewrite("classes", named, lambda old: merge.class_registry(left(old).unionByName(declared), order="script_path"))
 
         def edges(name: str, kind: str) -> DataFrame:
             found = resolve.target_by_class(resolve.target_by_path(_edges(again, name, kind), files), symbols, ["name", "symbol_name", "class_name"], few)
@@ -191,16 +222,8 @@ class Scan:
             touched = owned | self._targets(name, deleted)
             return self.rewrite(name, touched, lambda old: merge.let_go(left(old), deleted).unionByName(fresh))
 
-        docs = again.select("file_id", F.explode("doc_comments").alias("c")).select(
-            "file_id", _id(F.col("c.symbol_local_id")).alias("symbol_id"), "c.is_attached", F.col("c.comment_style").alias("style"),
-            "c.comment_text", "c.summary_text", "c.text_hash", F.col("c.line_start").alias("line"),
-        )
-        self.together({"d": lambda: edges("dependencies", "dependency_kind"), "r": lambda: edges("references", "reference_kind"), "c": lambda: self.rewrite("doc_comments", owned, lambda old: left(old).unionByName(shaped("doc_comments", docs)))})
-        made = again.agg(
-            *[F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(n) for c, n in (("symbols", "symbols_created"), ("references", "references_created"), ("doc_comments", "doc_comments_created"), ("dependencies", "dependencies_created"))],
-            F.coalesce(F.sum(F.size(F.filter("dependencies", lambda d: d["is_dynamic"]))), F.lit(0)).alias("dynamic_dependencies"),
-        ).first()
-        self.metrics |= made.asDict() | {"unresolved_dependencies": self.project.store.table("dependencies", {"tables": self.tables}).where("is_unresolved").count()}
+        made = self.together({"unresolved": lambda: edges("dependencies", "dependency_kind").where("is_unresolved").count(), "references": lambda: edges("references", "reference_kind")})
+        self.metrics["unresolved_dependencies"] = made["unresolved"]
 
     def _targets(self, name: str, deleted: DataFrame, target: str = "target_id") -> set[int]:
         """The buckets of edges whose target went."""
@@ -233,7 +256,6 @@ class Scan:
         fresh = merge.invalidate_targets(shaped("attachments", hung), files, "script_id")
         touched = owned | self._targets("attachments", deleted, "script_id")
         self.rewrite("attachments", touched, lambda old: merge.let_go(left(old), deleted, "script_id").unionByName(fresh))
-        self.metrics["attachments_created"] = scenes.agg(F.coalesce(F.sum(F.size("script_attachments")), F.lit(0))).first()[0]
 
     def finish(self, status: str, error: str = "") -> DataFrame:
         """Publish the tables with this run's row; of a scan that ended early the row alone."""
@@ -331,12 +353,11 @@ class Project:
         parsed, scenes = run.parse(changed)
         unread = others.where("kind = 'error'").select("path") if run.metrics["errors"] else None
         files = run.merge(changed, parsed, unread)
-        moved = run.metrics["scripts_parsed"] + run.metrics["scenes_parsed"] + run.metrics["entries_deleted"]
+        deleted = files.where("dirty_reason = 'deleted_path'").select("id")
         # tables that nothing touched stay in the folder where they are
-        if moved or any(t not in run.tables for t in (*_SCRIPT_TABLES, *_SCENE_TABLES)):
-            deleted = files.where("dirty_reason = 'deleted_path'").select("id")
-            run.scripts(files, parsed, deleted)
-            run.scenes(files, scenes, deleted)
+        for name, some, make, made in (("scripts_parsed", _SCRIPT_TABLES, run.scripts, parsed), ("scenes_parsed", _SCENE_TABLES, run.scenes, scenes)):
+            if run.metrics[name] or run.metrics["entries_deleted"] or any(t not in run.tables for t in some):
+                make(files, made, deleted)
         run.timed("resolve_ms")
         return run.finish("completed")
 
