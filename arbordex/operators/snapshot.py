@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbordex.functions.text import under_any
+from arbordex.functions.text import ancestors, under_any
 
 CLEAN = "clean"
+#: Dirty paths that a plan holds as literals; more are rows of a table.
+LITERALS = 64
 
 
 def dirty_reason(old: str, new: str, *, versions: dict[str, int] | None = None, force: bool = False) -> Column:
@@ -37,14 +39,23 @@ def diff(scan: DataFrame, snapshot: DataFrame, *, versions: dict[str, int] | Non
     joined = scan.join(old, F.col("path") == F.col("old_path"), "left")
     reason = dirty_reason("old_", "", versions=versions, force=force)
     if dirty_paths and not force:
-        known = F.col("old_path").isNotNull()
-        reason = F.when(known & under_any(F.col("path"), dirty_paths), "watcher_invalidated").when(known, CLEAN).otherwise(reason)
+        known, hit = F.col("old_path").isNotNull(), under_any(F.col("path"), dirty_paths) if len(dirty_paths) <= LITERALS else F.col("_hit")
+        if len(dirty_paths) > LITERALS:
+            joined = joined.join(below(scan, dirty_paths), "path", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+        reason = F.when(known & hit, "watcher_invalidated").when(known, CLEAN).otherwise(reason)
     if scene_version is not None:
         stale = F.col("old_path").isNotNull() & F.col("path").rlike(r"\.(tscn|scn)$") & (F.col("old_scene_parser_version") != scene_version)
         reason = F.when(stale, "scene_parser_version_changed").otherwise(reason)
     return joined.select(*[F.col(c) for c in scan.columns], reason.alias("dirty_reason"))
 
 
+def below(scan: DataFrame, paths: list[str]) -> DataFrame:
+    """(path, _hit) of the scan's paths that are one of `paths` or below one: ancestors are looked up in a table of the paths."""
+    told = scan.sparkSession.createDataFrame([(p,) for p in sorted(set(paths))], "_up string")
+    up = scan.select("path", F.explode(ancestors(F.col("path"))).alias("_up"))
+    return up.join(told, "_up", "left_semi").select("path").distinct().withColumn("_hit", F.lit(True))
+
+
 def reason_counts(changed: DataFrame) -> DataFrame:
     return changed.groupBy("dirty_reason").agg(F.count("*").alias("n"))
 

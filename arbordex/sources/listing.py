@@ -108,15 +108,3 @@ def entries(spark: SparkSession, root: str, *, skip: tuple[str, ...] = SKIPPED,
     """The typed entries of a tree, ordered by path bytes, then kind."""
     return typed(listed(spark, root, skip=skip, hidden=hidden)).orderBy("path", "kind")
 
-
-def contents(spark: SparkSession, root: str, extensions: list[str] | None = None, glob: str = "") -> DataFrame:
-    """(path, extension, content) of a tree's files by Spark's own reader, for any store that it reads. The glob only saves reading;
-    which rows count is the caller's to say, as paths differ in case."""
-    base = root.rstrip("/")
-    glob = glob or "*.{" + ",".join(e[1:] for e in extensions or ()) + "}"
-    glob = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() and extensions else c for c in glob)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(base)
-    marker = base.split(":")[-1] + "/"
-    path = F.col("path")
-    path = F.when(F.instr(path, marker) > 0, F.substring(path, F.instr(path, marker) + len(marker), F.lit(1 << 30))).otherwise(F.substring_index(path, f"{base.rsplit('/', 1)[-1]}/", -1))
-    return raw.select(path.alias("path"), text.extension_of(path).alias("extension"), "content")

@@ -77,3 +77,15 @@ def test_change_stream(spark, tmp_path):
     (feed / "1.json").write_text('{"path":"res://b.gd","removed":false,"is_directory":false}\n{"path":"./a//c.gd","removed":true,"is_directory":false}\n{"path":"b.gd","removed":false,"is_directory":false}\n')
     follow(spark.readStream.schema(EVENTS).json(str(feed)), seen.append, str(tmp_path / "offsets")).awaitTermination()
     assert seen == [["a/c.gd", "b.gd"]]
+
+
+def test_many_dirty_paths_are_rows(spark, monkeypatch):
+    columns = "path string, kind string, size_bytes long, modified_ns long, file_identity string"
+    scan = spark.createDataFrame([(p, "file", 1, 1, "") for p in ("a/b/c.gd", "a/bc.gd", "d.gd", "new.gd", "e/f.gd")], columns)
+    old = spark.createDataFrame([(p, "file", 2, 1, "", "x") for p in ("a/b/c.gd", "a/bc.gd", "d.gd", "e/f.gd")], f"{columns}, parse_status string")
+    found = lambda paths: {r.path: r.dirty_reason for r in snapshot.diff(scan, old, dirty_paths=paths).collect()}
+    few = found(["a/b", "d.gd", "none"])
+    assert few == {"a/b/c.gd": "watcher_invalidated", "a/bc.gd": "clean", "d.gd": "watcher_invalidated", "e/f.gd": "clean", "new.gd": "new_path"}
+    assert found(["a/b", "d.gd", *(f"n{i}" for i in range(3000))]) == few
+    plan = snapshot.diff(scan, old, dirty_paths=["a/b", *(f"n{i}" for i in range(3000))])._jdf.queryExecution().optimizedPlan().toString()
+    assert "n2999" not in plan
