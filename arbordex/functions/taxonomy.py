@@ -1,17 +1,22 @@
 """A finer file taxonomy: ordered rules, the first that holds names the file. Callers add rules of their own before or after.
 
 A rule is (label, kind, values): `extension` compares the folded extension, `name` the folded file name, `under` the start of the
-folded path, and `suffix` the end of the folded name.
+folded path, and `suffix` the end of the folded name. `label` takes rules as code; `labelled` takes them as rows of a table (priority, kind,
+pattern, label), as many as there are: a file looks up its extension, its name, and its beginnings and ends of the lengths that patterns
+have, and the hit with the lowest priority names it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbordex.functions.text import extension_of, file_name, fold
 
 Rule = tuple[str, str, str]
+TABLE = "priority int, kind string, pattern string, label string"
+#: Rules that a plan holds as one map; more are joined.
+LITERALS = 2000
 #: The core of the taxonomy, in its order.
 RULES: tuple[Rule, ...] = (
     ("GodotResource", "extension", ".meshlib .blend"),
@@ -92,3 +97,35 @@ def sql_case(path: str, name: str, extension: str, rules: tuple[Rule, ...] = RUL
         return " OR ".join(f"starts_with({path}, {v!r})" if kind == "under" else f"ends_with({name}, {v!r})" for v in values)
 
     return "CASE " + " ".join(f"WHEN {holds(kind, values.split())} THEN '{wanted}'" for wanted, kind, values in rules) + f" ELSE '{other}' END"
+
+
+def rule_rows(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rules as rows (TABLE)."""
+    return spark.createDataFrame([(i, kind, pattern, wanted) for i, (wanted, kind, values) in enumerate(rules) for pattern in values.split()], TABLE)
+
+
+def _keys(path: Column, lengths: dict[str, list[int]]) -> Column:
+    """What a file is looked up by: kind:pattern of everything that a rule may say about it."""
+    low, name = fold(path), fold(file_name(path))
+    ends = [F.when(F.char_length(name) >= n, F.concat(F.lit("suffix:"), F.substring(name, -n, n))) for n in lengths.get("suffix", [])]
+    starts = [F.when(F.char_length(low) >= n, F.concat(F.lit("under:"), F.substring(low, 1, n))) for n in lengths.get("under", [])]
+    return F.array(F.concat(F.lit("extension:"), extension_of(path)), F.concat(F.lit("name:"), name), *ends, *starts)
+
+
+def labelled(df: DataFrame, path: str, is_directory: Column, rules: DataFrame, other: str = "Unknown", literals: int = LITERALS) -> DataFrame:
+    """df with `label` by a table of rules (TABLE); of rules with one priority the smallest label. A few rules are one map in the plan, and
+    nothing is exchanged; more are joined by what files are looked up by."""
+    best = rules.where("pattern <> ''").groupBy(F.concat_ws(":", "kind", "pattern").alias("key")).agg(F.min(F.struct("priority", "label")).alias("hit"))
+    lengths: dict[str, list[int]] = {}
+    for kind, n in rules.where("pattern <> '' and kind in ('suffix', 'under')").select("kind", F.char_length("pattern")).distinct().collect():
+        lengths.setdefault(kind, []).append(n)
+    keys = _keys(F.col(path), {k: sorted(v) for k, v in lengths.items()})
+    few = best.limit(literals + 1).collect()
+    if len(few) <= literals:
+        table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.struct(F.lit(x["priority"]).alias("priority"), F.lit(x["label"]).alias("label")) for r in few for x in (r["key"], r["hit"])]) if few else None
+        found = F.array_min(F.transform(F.filter(keys, lambda k: k.isNotNull()), lambda k: F.try_element_at(table, k)))["label"] if few else F.lit(None)
+        return df.withColumn("label", F.when(is_directory, "Folder").otherwise(F.coalesce(found, F.lit(other))))
+    asked = df.select(F.col(path).alias("_path")).distinct().withColumn("key", F.explode(_keys(F.col("_path"), {k: sorted(v) for k, v in lengths.items()})))
+    hits = asked.join(best, "key").groupBy("_path").agg(F.min("hit")["label"].alias("_label"))
+    named = df.join(hits, F.col(path) == F.col("_path"), "left")
+    return named.withColumn("label", F.when(is_directory, "Folder").otherwise(F.coalesce("_label", F.lit(other)))).select(*df.columns, "label")

@@ -133,6 +133,18 @@ def legacy_taxonomy(spark, sf_dir):
     return frame(spark, sf_dir, "files").select("id", taxonomy.label(F.col("path"), F.col("is_directory")).alias("label"))
 
 
+#: A path for every pattern of every rule, given to parts in turn.
+_RULE_PATHS = [{"extension": "d/x" + p, "name": "d/" + p, "under": p + "x", "suffix": "d/y" + p}[kind] for _, kind, values in taxonomy.RULES for p in values.split()] + ["d/none", "d/.none", "D/X.GD"]
+_RULE_PATH = f"split_part('{','.join(_RULE_PATHS)}', ',', CAST(p_partkey % {len(_RULE_PATHS)} AS INTEGER) + 1)"
+
+
+@query("taxonomy_every_rule", f"SELECT p_partkey, path, {taxonomy.sql_case('lower(path)', 'name', 'extension')} AS label FROM (SELECT *, regexp_extract(name, '^.+(\\.[^.]+)$', 1) AS extension FROM (SELECT p_partkey, path, lower(regexp_extract(path, '[^/]*$')) AS name FROM (SELECT p_partkey, {_RULE_PATH} AS path FROM part)))")
+def taxonomy_every_rule(spark, sf_dir):
+    """Labels by the table of rules; each rule has its files."""
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", f"{_RULE_PATH} AS path")
+    return taxonomy.labelled(files, "path", F.lit(False), taxonomy.rule_rows(spark))
+
+
 @query("type_histogram", f"{TYPED} SELECT file_type, engine_type, count(*) AS n FROM typed WHERE NOT is_deleted GROUP BY ALL")
 def type_histogram(spark, sf_dir):
     return typed_files(spark, sf_dir, parents=False).where("not is_deleted").groupBy("file_type", "engine_type").agg(F.count("*").alias("n"))

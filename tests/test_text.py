@@ -55,3 +55,24 @@ def test_under_any(spark):
     assert values(spark, paths, text.under_any(F.col("v"), ["a/b", "x", "a/b", "q"])) == [False, True, True, False, True, False]
     assert values(spark, paths, text.under_any(F.col("v"), [])) == [False] * 6
     assert values(spark, ["d7/x", "d70/x"], text.under_any(F.col("v"), [f"d{i}" for i in range(50)] + ["none"] * 9)) == [True, False]
+
+
+def test_rules_as_rows(spark):
+    """A table of rules says what the chain of rules says, as a map and as a join."""
+    from arbordex.functions import taxonomy
+
+    paths = [{"extension": "d/x" + p, "name": "d/" + p, "under": p + "x", "suffix": "d/y" + p}[kind] for _, kind, values in taxonomy.RULES for p in values.split()]
+    paths += ["", "a", "A.GD", "é.ÄB", ".godot/shader_cache", "x.tar.gz", None, "d/requirements.txt", "a.b/c"]
+    df = spark.createDataFrame([(p, i % 7 == 0) for i, p in enumerate(paths)], "path string, is_directory boolean")
+    expected = {(r.path, r.is_directory): r.label for r in df.withColumn("label", taxonomy.label(F.col("path"), F.col("is_directory"))).collect()}
+    rules = taxonomy.rule_rows(spark)
+    for literals in (taxonomy.LITERALS, 3):
+        got = taxonomy.labelled(df, "path", F.col("is_directory"), rules, literals=literals)
+        assert {(r.path, r.is_directory): r.label for r in got.collect()} == expected
+    assert len(set(expected.values())) > 25  # some rules come after others that take all their files
+    plan = taxonomy.labelled(df, "path", F.col("is_directory"), rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    own = spark.createDataFrame([(1, "suffix", "rements.txt", "Late"), (0, "name", "requirements.txt", "Early"), (0, "under", "a.b/", "Under")], taxonomy.TABLE)
+    got = {r.path: r.label for r in taxonomy.labelled(df.where("not is_directory"), "path", F.lit(False), own, other="-").collect()}
+    assert got.get("d/requirements.txt", "Early") == "Early" and got.get("a.b/c", "Under") == "Under" and got["A.GD" if "A.GD" in got else "a"] == "-"
+    assert taxonomy.labelled(df, "path", F.lit(False), rules.limit(0)).where("label <> 'Unknown'").count() == 0
