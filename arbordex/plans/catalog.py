@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbordex.functions import classify, taxonomy, text
-from arbordex.operators import graph, inventory, merge, resolve, snapshot, summary
+from arbordex.operators import graph, inventory, merge, pages, resolve, snapshot, summary
 
 from arbordex.plans import trees
 from arbordex.plans.adapters import frame, with_sql
@@ -105,6 +105,36 @@ _files("files_page_modified", "NOT is_deleted", "ORDER BY modified_ns DESC, id L
 _files("files_page_type", "NOT is_deleted", "ORDER BY file_type, path LIMIT 300", sort="file_type", limit=300)
 
 
+_laid: dict[tuple[str, str, str], str] = {}
+
+
+def laid_files(spark: SparkSession, sf_dir: str, sort: str) -> str:
+    """The folder of the files laid out in an order; one for each session and folder of tables."""
+    import uuid
+
+    from arbordex.operators.lineage import checkpoint_folder
+
+    key = (spark.sparkContext.applicationId, sf_dir, sort)
+    if key not in _laid:
+        folder = f"{checkpoint_folder(spark)}/pages-{uuid.uuid4().hex}"
+        pages.lay(inventory.filter_files(typed_files(spark, sf_dir)), inventory.file_order(sort), folder)
+        _laid[key] = folder
+    return _laid[key]
+
+
+@query("files_page_laid", f"{TYPED} SELECT {SHOWN} FROM typed WHERE NOT is_deleted ORDER BY modified_ns DESC, id LIMIT 400 OFFSET 1100")
+def files_page_laid(spark, sf_dir):
+    """A page far down the list, read from an order on disk."""
+    return inventory.file_rows(pages.page(spark, laid_files(spark, sf_dir, "modified_time"), 1100, 400))
+
+
+@query("files_page_laid_search", f"{TYPED} SELECT {SHOWN} FROM typed WHERE NOT is_deleted AND file_type = 'Script' AND {LIKE('path', '%a%')} ORDER BY {FOLD('name')}, id LIMIT 150 OFFSET 60")
+def files_page_laid_search(spark, sf_dir):
+    """A page of what a filter keeps of an order on disk."""
+    keep = lambda df: inventory.filter_files(df, file_type="Script").where(text.contains_like(F.col("path"), "a"))
+    return inventory.file_rows(pages.page(spark, laid_files(spark, sf_dir, "name"), 60, 150, keep))
+
+
 @query("files_filter_parent", f"{TYPED} SELECT {SHOWN} FROM typed WHERE NOT is_deleted AND parent_id = (SELECT min(id) FROM files WHERE is_directory)")
 def files_filter_parent(spark, sf_dir):
     files = typed_files(spark, sf_dir)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from arbordex.functions import text
-from arbordex.operators import graph, inventory, merge, resolve, rows, snapshot, summary
+from arbordex.operators import graph, inventory, merge, pages, resolve, rows, snapshot, summary
 from arbordex.operators.lineage import numbered
 from arbordex.sources import imports, listing, scripts, tree
 from arbordex.store import BUCKETED, METRICS, SCHEMAS, Store, bucket, shaped
@@ -35,6 +35,10 @@ _SCRIPT_TABLES = ("symbols", "classes", "dependencies", "references", "doc_comme
 _SCENE_TABLES = ("resources", "attachments")
 #: The tables whose rows point to a file besides their own.
 _TARGETS = {"dependencies": "target_id", "references": "target_id", "attachments": "script_id"}
+#: The sort keys of lists; other keys mean the first.
+SORTS = {"files": ("path", "name", "modified_time", "file_type"), "classes": ("class_name", "script_path", "base_type")}
+#: Pages under a filter that end before this row come of one pass that keeps the first rows, later ones of laid orders.
+NEAR = 10 * inventory.PAGE
 SYMBOL_SEARCH = ("name", "qualified_name", "symbol_name", "class_name", "signature")
 
 
@@ -477,7 +481,39 @@ class Project:
         return inventory.filter_files(self.store.table("files"), **query).count()
 
     def files_page(self, offset: int = 0, limit: int = inventory.PAGE, sort: str = "path", **query) -> DataFrame:
-        return inventory.file_rows(inventory.page(inventory.filter_files(self.store.table("files"), **query), inventory.file_order(sort), offset, limit))
+        """A page of the files that meet a query; from a laid order where there is one (see `lay_pages`)."""
+        deleted = query.pop("include_deleted", False)  # laid orders are of files that exist
+        keep = lambda df: inventory.filter_files(df, include_deleted=deleted, **query)
+        found = None if deleted else self._page("files", sort, offset, limit, keep, query)
+        return inventory.file_rows(inventory.page(keep(self.store.table("files")), inventory.file_order(sort), offset, limit) if found is None else found)
+
+    def lay_pages(self, *sorts: str) -> None:
+        """Lay the files and classes of the current version out in orders (all that are named, or all that there are), so that a page
+        at any offset reads its own rows and no list is sorted for it. Orders belong to a table as it is: a scan that writes the table
+        anew ends them, and questions then sort again until they are laid again."""
+        version = self.store.current()
+        listed = {
+            "files": (self.store.table("files", version).where("not is_deleted"), inventory.file_order),
+            "classes": (self._classes(version), inventory.class_order),
+        }
+        for name, (rows_of, order) in listed.items():
+            for sort in SORTS[name]:
+                place = self.store.beside(name, sort, version)
+                if place and (not sorts or sort in sorts) and not self.store.holds(f"{place}/counts"):
+                    made = f"{place}-{uuid.uuid4().hex[:8]}"
+                    pages.lay(rows_of, order(sort), made)
+                    self.store.put(made, place)
+
+    def _page(self, name: str, sort: str, offset: int, limit: int, keep: Callable[[DataFrame], DataFrame], query: dict[str, Any]) -> DataFrame | None:
+        """A page of a laid order; None where there is none, or where a pass that keeps the first rows is the better way."""
+        filtered = any(v is not None and v != "" for v in query.values())
+        if filtered and offset + limit <= NEAR:
+            return None
+        at = self.store.beside(name, sort if sort in SORTS[name] else SORTS[name][0])
+        return pages.page(self.spark, at, offset, limit, keep if filtered else None) if at and self.store.holds(f"{at}/counts") else None
+
+    def _classes(self, version: dict | None = None) -> DataFrame:
+        return self.store.table("classes", version).withColumn("id", F.col("file_id"))
 
     def file_details(self, file_id: int) -> DataFrame:
         return inventory.file_rows(self.store.table("files").where(F.col("id") == file_id if file_id > 0 else F.lit(False)))
@@ -489,8 +525,9 @@ class Project:
         return inventory.filter_classes(self.store.table("classes"), **query).count()
 
     def classes_page(self, offset: int = 0, limit: int = inventory.PAGE, sort: str = "class_name", **query) -> DataFrame:
-        classes = self.store.table("classes").withColumn("id", F.col("file_id"))
-        return inventory.page(inventory.filter_classes(classes, **query), inventory.class_order(sort), offset, limit)
+        keep = lambda df: inventory.filter_classes(df, **query)
+        found = self._page("classes", sort, offset, limit, keep, query)
+        return inventory.page(keep(self._classes()), inventory.class_order(sort), offset, limit) if found is None else found
 
     def class_details(self, class_name: str) -> DataFrame:
         return self.store.table("classes").where((F.col("class_name") == class_name) & (F.lit(class_name) != ""))
@@ -498,7 +535,7 @@ class Project:
     def export_inventory(self) -> dict[str, Any]:
         """Files and classes whole and in order, and how many there are; written by one sort each instead of pages."""
         files = inventory.file_rows(self.store.table("files").orderBy(*inventory.file_order("path")))
-        classes = self.store.table("classes").withColumn("id", F.col("file_id")).orderBy(*inventory.class_order("class_name"))
+        classes = self._classes().orderBy(*inventory.class_order("class_name"))
         return {"files": files, "custom_classes": classes, "file_count": files.count(), "custom_class_count": classes.count()}
 
     def autoloads(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,6 +116,26 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.folder}/{f}" for f in some])
 
+    def beside(self, name: str, label: str, version: dict | None = None) -> str | None:
+        """The folder for what is made of a table as a version has it: named by what the table is made of, and gone when its newest
+        part goes. None where the version has no such table."""
+        at = (version or self.current())["tables"].get(name)
+        parts = [at] if isinstance(at, str) else list((at or {}).values())
+        if not parts:
+            return None
+        newest = max((f.split("/")[0] for f in parts), key=lambda f: int(f[1:].split("-")[0]))
+        made_of = hashlib.sha256(json.dumps(at, sort_keys=True).encode()).hexdigest()[:16]
+        return f"{self.folder}/{newest}/{name}-{label}-{made_of}"
+
+    def holds(self, folder: str) -> bool:
+        """Whether a folder was written to its end."""
+        return self._fs.exists(self._path(f"{folder}/_SUCCESS"))
+
+    def put(self, made: str, place: str) -> None:
+        """Move a folder to a place; what another writer has put there stays."""
+        if self._fs.exists(self._path(place)) or not self._fs.rename(self._path(made), self._path(place)):
+            self._fs.delete(self._path(made), True)
+
     def write_buckets(self, folder: str, name: str, df: DataFrame, buckets: int) -> dict[str, str]:
         """Write rows of some buckets; where each bucket that has rows is."""
         dealt = df.withColumn("_bucket", bucket(name, buckets)).repartition(F.col("_bucket"))

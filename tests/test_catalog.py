@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from arbordex.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-SOME = """files_page_path files_page_type files_filter_search files_filter_parent classify_files type_histogram legacy_taxonomy unknowns normalize_path snapshot_diff merge_upsert
+SOME = """files_page_path files_page_type files_page_laid files_page_laid_search files_filter_search files_filter_parent classify_files type_histogram legacy_taxonomy unknowns normalize_path snapshot_diff merge_upsert
 best_match_source_symbol asof_enclosing_symbol target_symbol dependency_cycles graph_slice_d2 attachment_fill parse_gdscript stream_dirty_batches project_files project_classes
 project_references project_attachments project_doc_gaps project_rescan project_symbols_sql document_symbols_sql taxonomy_every_rule list_projects""".split()
 
