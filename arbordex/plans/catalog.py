@@ -122,17 +122,17 @@ def laid_files(spark: SparkSession, sf_dir: str, sort: str) -> str:
     return _laid[key]
 
 
-@query("files_page_laid", f"{TYPED} SELECT {SHOWN} FROM typed WHERE NOT is_deleted ORDER BY modified_ns DESC, id LIMIT 400 OFFSET 1100")
+@query("files_page_laid", f"{TYPED} SELECT {SHOWN} FROM typed WHERE NOT is_deleted ORDER BY modified_ns DESC, id LIMIT 400 OFFSET 150")
 def files_page_laid(spark, sf_dir):
-    """A page far down the list, read from an order on disk."""
-    return inventory.file_rows(pages.page(spark, laid_files(spark, sf_dir, "modified_time"), 1100, 400))
+    """A page down the list, read from an order on disk."""
+    return inventory.file_rows(pages.page(spark, laid_files(spark, sf_dir, "modified_time"), 150, 400))
 
 
-@query("files_page_laid_search", f"{TYPED} SELECT {SHOWN} FROM typed WHERE NOT is_deleted AND file_type = 'Script' AND {LIKE('path', '%a%')} ORDER BY {FOLD('name')}, id LIMIT 150 OFFSET 60")
+@query("files_page_laid_search", f"{TYPED} SELECT {SHOWN} FROM typed WHERE NOT is_deleted AND file_type = 'Script' AND {LIKE('path', '%a%')} ORDER BY {FOLD('name')}, id LIMIT 50 OFFSET 3")
 def files_page_laid_search(spark, sf_dir):
     """A page of what a filter keeps of an order on disk."""
     keep = lambda df: inventory.filter_files(df, file_type="Script").where(text.contains_like(F.col("path"), "a"))
-    return inventory.file_rows(pages.page(spark, laid_files(spark, sf_dir, "name"), 60, 150, keep))
+    return inventory.file_rows(pages.page(spark, laid_files(spark, sf_dir, "name"), 3, 50, keep))
 
 
 @query("files_filter_parent", f"{TYPED} SELECT {SHOWN} FROM typed WHERE NOT is_deleted AND parent_id = (SELECT min(id) FROM files WHERE is_directory)")
