@@ -17,13 +17,19 @@ HOPS = 4
 WIDE = 100_000
 
 
+def met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that moves both sides between executors. Loops join many times, and each table that Spark finds small enough to broadcast
+    would pass through the driver anew."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def trimmed(edges: DataFrame) -> DataFrame:
     """Edges without those whose end nothing enters or leaves, round by round until a round takes less than a tenth of them."""
     edges = kept(edges)
     before = edges.count()
     while before:
         entered, left = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-        edges = kept(edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"))
+        edges = kept(met(met(edges, entered, "src", "left_semi"), left, "dst", "left_semi").select("src", "dst"))
         now = edges.count()
         if now > 0.9 * before:
             break
@@ -35,12 +41,15 @@ def colours(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
     """(node, up, down): the smallest node that reaches a node, and the smallest that it reaches. None if `rounds` hops do not settle
     them."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    # what a node holds goes on to where its edges lead, back to where they come from, and to itself; so a hop is one join
+    ways = edges.selectExpr("src AS node", "dst AS _to", "true AS _on", "false AS _back")
+    ways = ways.union(edges.selectExpr("dst", "src", "false", "true")).union(nodes.selectExpr("node", "node", "true", "true"))
+    ways = kept(ways.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node"))
     state, last = kept(nodes.select("node", F.col("node").alias("up"), F.col("node").alias("down"))), None
     for _ in range(0, rounds, HOPS):
         for _ in range(HOPS):
-            up = edges.join(state.select(F.col("node").alias("src"), "up"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("up").alias("_up"))
-            down = edges.join(state.select(F.col("node").alias("dst"), "down"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("down").alias("_down"))
-            state = state.join(up, "node", "left").join(down, "node", "left").select("node", F.least("up", "_up").alias("up"), F.least("down", "_down").alias("down"))
+            told = met(ways, state, "node")
+            state = told.groupBy(F.col("_to").alias("node")).agg(F.min(F.when(F.col("_on"), F.col("up"))).alias("up"), F.min(F.when(F.col("_back"), F.col("down"))).alias("down"))
         state = kept(state)
         # colours only fall, so equal sums are equal colours
         now = state.agg(F.sum(F.col("up").cast("decimal(38,0)")), F.sum(F.col("down").cast("decimal(38,0)"))).first()
@@ -57,7 +66,7 @@ def within_components(edges: DataFrame) -> DataFrame:
     before = edges.count()
     while before and (found := colours(edges)) is not None:
         a, b = (found.select(F.col("node").alias(end), F.struct("up", "down").alias(f"_{end}")) for end in ("src", "dst"))
-        edges = kept(edges.join(a, "src").join(b, "dst").where("_src = _dst").select("src", "dst"))
+        edges = kept(met(met(edges, a, "src"), b, "dst").where("_src = _dst").select("src", "dst"))
         now = edges.count()
         if now == before:
             break
@@ -75,7 +84,8 @@ def _rotations(closed: DataFrame) -> DataFrame:
 
 def _doubled(turned: DataFrame, loops: DataFrame) -> DataFrame:
     """Paths whose first node has an edge to itself, with that edge walked first."""
-    return turned.join(loops.select(F.col("src").alias("_loop")), F.get("path", F.lit(0)) == F.col("_loop"), "left_semi").select(F.concat(F.slice("path", 1, 1), "path").alias("path"))
+    first = turned.withColumn("_loop", F.get("path", F.lit(0)))
+    return met(first, loops.select(F.col("src").alias("_loop")), "_loop", "left_semi").select(F.concat(F.slice("path", 1, 1), "path").alias("path"))
 
 
 def cycles(edges: DataFrame, most: int | None = MAX_CYCLES, wide: int = WIDE) -> DataFrame:
@@ -94,7 +104,7 @@ def cycles(edges: DataFrame, most: int | None = MAX_CYCLES, wide: int = WIDE) ->
     total = loops.count() if most else 0
     for depth in range(1, MAX_DEPTH + 1):
         origin, end = F.get("path", F.lit(0)), F.element_at("path", -1)
-        ahead = walk.withColumn("_end", end).join(edges, F.col("_end") == F.col("src")).where((F.col("dst") >= origin) & ((F.col("dst") == origin) | ~F.array_contains("path", F.col("dst"))))
+        ahead = met(walk.withColumn("src", end), edges, "src").where((F.col("dst") >= origin) & ((F.col("dst") == origin) | ~F.array_contains("path", F.col("dst"))))
         step = kept(ahead.select(F.concat("path", F.array("dst")).alias("path"), (F.col("dst") == origin).alias("closed")))
         n = step.agg(F.count_if("closed").alias("closed"), F.count_if(~F.col("closed")).alias("open")).first()
         turned = _rotations(step.where("closed"))

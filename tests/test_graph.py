@@ -48,3 +48,15 @@ def test_only_components_are_walked(spark):
     assert graph.colours(frame(spark, [(i + 1, i) for i in range(40)]), rounds=8) is None
     found = {r.node: (r.up, r.down) for r in graph.colours(frame(spark, rings + bridge)).collect()}
     assert found[10] == (1, 10) and found[50] == (1, 50) and found[3] == (1, 1)
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    """Pairs and a ring among them; an executor's copy of a table may hold 3 MB, an empty one takes 2."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "3m")
+    try:
+        pairs = spark.range(400_000).selectExpr("id + 100 AS src", "(id ^ 1) + 100 AS dst")
+        assert graph.trimmed(pairs).count() == 400_000
+        assert [tuple(r) for r in graph.cycles(pairs, 2).collect()] == [(100, 100, "100,101,100", 2), (101, 101, "101,100,101", 2)]
+        assert graph.within_components(pairs.union(spark.createDataFrame([(101, 102), (103, 104)], "a long, b long"))).count() == 400_000
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
