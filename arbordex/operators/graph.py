@@ -15,6 +15,8 @@ ROUNDS = 32
 HOPS = 4
 #: Open paths of a walk at which looking for components pays.
 WIDE = 100_000
+#: Rows that go to every executor in a join.
+FEW = 10_000
 
 
 def met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -23,6 +25,11 @@ def met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataF
     return left.hint("merge").join(right.hint("merge"), on, how)
 
 
+def beside(left: DataFrame, right: DataFrame, on: str, how: str, n: int) -> DataFrame:
+    """A join with a right side of n rows: where these are few each executor gets them, and the left side is never what is sent."""
+    return left.join(F.broadcast(right), on, how) if n <= FEW else met(left, right, on, how)
+
+
 def trimmed(edges: DataFrame) -> DataFrame:
     """Edges without those whose end nothing enters or leaves, round by round until a round takes less than a tenth of them."""
     edges = kept(edges)
@@ -128,16 +135,17 @@ def cycles(edges: DataFrame, most: int | None = MAX_CYCLES, wide: int = WIDE) ->
 
 def slice_from(edges: DataFrame, root: int, depth: int) -> DataFrame:
     """All edges, unresolved ones too, that leave a node reached from root in at most `depth` hops (0 to 16)."""
-    step = kept(edges.where("dst is not null").select("src", "dst").distinct())
-    reached = edges.sparkSession.createDataFrame([(root,)], "node long")
-    frontier = reached
+    step = kept(edges.where("dst is not null").select(F.col("src").alias("node"), F.col("dst").cast("long").alias("_to")).distinct())
+    reached = frontier = edges.sparkSession.range(root, root + 1, 1, 1).toDF("node")
+    n = new = 1
     for _ in range(min(max(depth, 0), MAX_SLICE)):
-        after = frontier.join(step, frontier["node"] == step["src"]).select(F.col("dst").cast("long").alias("node")).distinct()
-        frontier = kept(after.join(reached, "node", "left_anti"))
-        if frontier.isEmpty():
+        after = beside(step, frontier, "node", "inner", new).select(F.col("_to").alias("node")).distinct()
+        frontier = kept(beside(after, reached, "node", "left_anti", n))
+        new = frontier.count()
+        if not new:
             break
-        reached = kept(reached.unionByName(frontier))
-    return edges.join(reached.select(F.col("node").alias("src")), "src", "left_semi")
+        reached, n = kept(reached.unionByName(frontier)), n + new
+    return beside(edges, reached.select(F.col("node").alias("src")), "src", "left_semi", n)
 
 
 def dependencies_of(edges: DataFrame, source: int) -> DataFrame:

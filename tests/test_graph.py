@@ -60,3 +60,18 @@ def test_tables_that_grow_are_not_broadcast(spark):
         assert graph.within_components(pairs.union(spark.createDataFrame([(101, 102), (103, 104)], "a long, b long"))).count() == 400_000
     finally:
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_a_slice_sends_its_front_and_not_the_edges(spark, monkeypatch):
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "3m")
+    try:
+        chain = spark.range(300_000).selectExpr("id AS src", "CASE WHEN id <> 9 THEN id + 1 END AS dst")
+        few = [(i, i + 1 if i != 9 else None) for i in range(3, 10)]
+        for rows in (graph.FEW, 0):  # fronts sent, and fronts joined by shuffles
+            monkeypatch.setattr(graph, "FEW", rows)
+            assert sorted(map(tuple, graph.slice_from(chain, 3, 17).collect())) == few
+            assert sorted(map(tuple, graph.slice_from(chain, 3, 2).collect())) == few[:3]
+            assert [tuple(r) for r in graph.slice_from(chain, 9, 4).collect()] == few[-1:]
+            assert [tuple(r) for r in graph.slice_from(chain, 7, 0).collect()] == few[4:5]
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
