@@ -119,21 +119,22 @@ class Scan:
         if not self.metrics["to_parse"]:
             self.metrics |= {"scripts_parsed": 0, "scenes_parsed": 0}
             return (self.spark.createDataFrame([], f"path string, {schema}") for schema in (scripts.SCRIPT, scripts.SCENE))
-        dirty = changed.where("dirty_reason <> 'clean' and kind = 'file'").where(F.col("extension").isin(*scripts.LANGUAGES, *scripts.SCENES))
-        content = tree.opened(tree.dealt(dirty), self.project.root)
+        dirty = changed.where("dirty_reason <> 'clean' and kind = 'file'")
+        # each job opens its own files alone
+        content = lambda kinds: tree.opened(tree.dealt(dirty.where(F.col("extension").isin(*kinds)), self.metrics["to_parse"]), self.project.root)
         sizes = [F.sum(F.size(c)).alias(n) for c, n in (("symbols", "symbols_created"), ("references", "references_created"), ("doc_comments", "doc_comments_created"), ("dependencies", "dependencies_created"))]
         made = self.together(
             {
                 "_scripts": lambda: self.told(
                     "_scripts",
-                    scripts.parse_scripts(content),
+                    scripts.parse_scripts(content(scripts.LANGUAGES)),
                     F.count(F.lit(1)).alias("scripts_parsed"),
                     *[F.sum(c).alias(c) for c in ("lines_scanned", "bytes_read", "tokens_generated")],
                     F.count_if(F.col("limit_exceeded")).alias("limit_exceeded"),
                     F.sum(F.size(F.filter("dependencies", lambda d: d["is_dynamic"]))).alias("dynamic_dependencies"),
                     *sizes,
                 ),
-                "_scenes": lambda: self.told("_scenes", scripts.parse_scenes(content), F.count(F.lit(1)).alias("scenes_parsed"), F.sum(F.size("script_attachments")).alias("attachments_created")),
+                "_scenes": lambda: self.told("_scenes", scripts.parse_scenes(content(scripts.SCENES)), F.count(F.lit(1)).alias("scenes_parsed"), F.sum(F.size("script_attachments")).alias("attachments_created")),
             }
         )
         (parsed, of_scripts), (scenes, of_scenes) = made["_scripts"], made["_scenes"]

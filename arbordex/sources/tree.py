@@ -32,6 +32,8 @@ LIMIT = 8 << 20
 #: Asked paths of one task, and bytes of one batch to Spark.
 PATHS = 256
 BATCH_BYTES = 4 << 20
+#: Files that are worth a task of their own.
+FILES_OF_TASK = 32
 _ARROW = pa.schema([("path", pa.string()), ("parent_path", pa.string()), ("name", pa.string()), ("extension", pa.string()), ("size_bytes", pa.int64()), ("modified_ns", pa.int64()), ("content", pa.binary())])
 
 
@@ -206,6 +208,9 @@ def opened(paths: DataFrame, root: str, limit: int = LIMIT) -> DataFrame:
     return paths.select("path").mapInArrow(run, "path string, extension string, content binary")
 
 
-def dealt(paths: DataFrame) -> DataFrame:
-    """Paths dealt evenly to tasks by their hash, as a few folders may hold most of them."""
-    return paths.repartition(F.xxhash64("path"))
+def dealt(paths: DataFrame, files: int | None = None) -> DataFrame:
+    """Paths dealt evenly to tasks by their hash, as a few folders may hold most of them. How many tasks is told, by how many files there
+    are if that is known: paths are short, so Spark would take many files for one small task."""
+    most = 4 * paths.sparkSession.sparkContext.defaultParallelism
+    tasks = most if files is None else max(1, min(most, files // FILES_OF_TASK))
+    return paths.repartition(tasks, F.xxhash64("path"))

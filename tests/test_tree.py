@@ -81,3 +81,11 @@ def test_reads_stop_at_the_limit(spark, root):
     header = tree.tree(spark, root, limit=scripts.TIERS["header"].size).where("extension = '.gd'")
     parsed = scripts.parse_scripts(header, "header").where(F.col("path") == "big.gd").first()
     assert parsed.bytes_read == 64 << 10 and parsed.limit_exceeded
+
+
+def test_short_paths_are_many_tasks(spark):
+    """A thousand paths are a few KB, which Spark alone would give to one task."""
+    tasks = lambda df: df.select(F.spark_partition_id().alias("t")).distinct().count()
+    paths = spark.range(1000).selectExpr("concat('p', id) AS path")
+    assert tasks(tree.dealt(paths)) == 16
+    assert tasks(tree.dealt(paths, 100_000)) == 16 and tasks(tree.dealt(paths, 100)) == 3 and tasks(tree.dealt(paths, 0)) == 1
