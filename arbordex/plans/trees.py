@@ -54,14 +54,23 @@ def write_tree(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+_written: dict[tuple[str, str], str] = {}
 _scanned: dict[tuple[str, str], Project] = {}
 
 
+def written(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the tables' tree; one for each session and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        _written[key] = write_tree(spark, sf_dir)
+    return _written[key]
+
+
 def scanned(spark: SparkSession, sf_dir: str) -> Project:
     """A project of the tables' tree after its first scan; one for each session and folder of tables."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _scanned:
-        root = write_tree(spark, sf_dir)
+        root = written(spark, sf_dir)
         project = Project(spark, root, f"{root}-store")
         project.scan()
         _scanned[key] = project
@@ -124,9 +133,9 @@ def project_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_symbols_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The functions of the tree's scripts, asked in SQL of the tree source itself."""
+    """The functions of the tree's scripts, asked in SQL of the tree source itself, which needs no scan."""
     sql.register(spark)
-    tree.tree(spark, scanned(spark, sf_dir).root).createOrReplaceTempView("project_tree_files")
+    tree.tree(spark, written(spark, sf_dir)).createOrReplaceTempView("project_tree_files")
     return spark.sql(
         "SELECT f.path, file_type_of(f.path) AS file_type, s.name, s.class_name, s.return_type FROM project_tree_files f, LATERAL script_symbols(f.path, f.content) s "
         "WHERE f.extension IN ('.gd', '.cs') AND s.symbol_kind = 'function'"

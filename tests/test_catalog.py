@@ -35,3 +35,15 @@ def test_against_sql(spark, name):
         return sorted(tuple(str(whole(v)) for v in r) for r in df[columns].astype(object).itertuples(index=False))
 
     assert shown(found) == shown(expected)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_symbols_in_sql_need_no_scan(spark, monkeypatch):
+    from arbordex.plans import trees
+
+    def scan(*_, **__):
+        raise AssertionError("scanned")
+
+    monkeypatch.setattr(trees, "_scanned", {})
+    monkeypatch.setattr(trees.Project, "scan", scan)
+    assert catalog.QUERIES["project_symbols_sql"](spark, DATA).count() == spark.read.parquet(f"{DATA}/supplier.parquet").count()
