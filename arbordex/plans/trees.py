@@ -118,17 +118,24 @@ def project_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = write_tree(spark, sf_dir)
     project = Project(spark, root, f"{root}-store")
     project.scan()
-    files = [os.path.join(d, f) for d, _, names in os.walk(root) for f in names]
-    for f in files:
-        stem = os.path.basename(f).split(".")[0]
-        if stem.endswith("3"):
-            os.remove(f)
-        elif stem.endswith("4"):
-            with open(f, "a", encoding="utf-8") as out:
-                out.write("# more\n")
-        elif stem == "main":
-            with open(os.path.join(os.path.dirname(f), "fresh.gd"), "w", encoding="utf-8") as out:
-                out.write("class_name Fresh\n")
+
+    def change(rows) -> None:
+        for r in rows:
+            f = os.path.join(root, r["path"])
+            stem = os.path.basename(f).split(".")[0]
+            if stem.endswith("3"):
+                if os.path.exists(f):  # a task may run again
+                    os.remove(f)
+            elif stem.endswith("4"):
+                with open(f, "a", encoding="utf-8") as out:
+                    out.write("# more\n")
+            elif stem == "main":
+                with open(os.path.join(os.path.dirname(f), "fresh.gd"), "w", encoding="utf-8") as out:
+                    out.write("class_name Fresh\n")
+
+    # the scan has listed the tree, so the tasks change a list of files that stays as it is
+    files = project.store.table("files").where("kind = 'file'").select("path")
+    tree.dealt(files).foreachPartition(change)
     return project.scan().select("status", "files_seen", "dirs_seen", "inserted", "updated", "refreshed", "entries_deleted", "scripts_parsed", "scenes_parsed")
 
 

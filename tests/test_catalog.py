@@ -47,3 +47,15 @@ def test_symbols_in_sql_need_no_scan(spark, monkeypatch):
     monkeypatch.setattr(trees, "_scanned", {})
     monkeypatch.setattr(trees.Project, "scan", scan)
     assert catalog.QUERIES["project_symbols_sql"](spark, DATA).count() == spark.read.parquet(f"{DATA}/supplier.parquet").count()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_a_tree_is_changed_by_tasks(spark, monkeypatch):
+    def walk(*_, **__):
+        raise AssertionError("walked on the driver")
+
+    monkeypatch.setattr(os, "walk", walk)
+    keys = [r[0] for r in spark.read.parquet(f"{DATA}/supplier.parquet").select("s_suppkey").collect()]
+    found = catalog.QUERIES["project_rescan"](spark, DATA).first()
+    assert (found.entries_deleted, found.updated) == (sum(k % 10 == 3 for k in keys), sum(k % 10 == 4 for k in keys))
+    assert found.inserted == found.dirs_seen == found.scripts_parsed - found.updated
